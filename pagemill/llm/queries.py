@@ -2,27 +2,76 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, simhash, token_counts
+from . import bpe_codec, embedding_dedup, host_reputation, mixing, secrets, simhash, token_counts, token_files, toxicity, winnowing
 from .common import table
 
 #: Vocabulary files; other paths can be given to the operators.
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "top_sentence", "top_score")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+    def digest(batches):
+        for b in batches:
+            crc = [zlib.crc32(x) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read.select("doc_id", "start", "n_tokens", "ids").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge(table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 6) for c in ("rate", "low")})
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, ["doc_id"])
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, ["doc_id"])
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op6_token_counts, op8_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs), ["doc_id"]), ["doc_id"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_token_files, op3_host_reputation, op4_bpe_codec, op5_mixing, op6_token_counts, op7_embedding_dedup, op8_simhash,
+        op9_winnowing, op10_secrets,
+    )
+}
+ORACLE_SQL = {"op3_host_reputation": host_reputation.ORACLE}
