@@ -123,7 +123,7 @@ ORACLE = (
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
   seen AS (SELECT *, {_case(0)} AS rule, {_case(1)} AS ruled FROM part),
   host0 AS (SELECT host, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad,
-    list_aggregate(list_slice(string_split(host, '.'), -2, NULL), 'string_agg', '.') AS domain,
+    array_to_string(string_split(host, '.')[-2:], '.') AS domain,
     string_split(host, '.')[-1] AS suffix FROM seen GROUP BY host),
   dom0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host0 GROUP BY ALL),
   suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1.0) / (sum(n) + 2) FROM host0) AS mean FROM dom0 GROUP BY suffix)"""
