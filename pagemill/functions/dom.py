@@ -22,6 +22,7 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IMPLIED_END = {"dd", "dt", "li", "option", "optgroup", "p", "rp", "rt"}
 SCOPE = set("applet caption html table td th marquee object template".split())
 FORM_ASSOCIATED = set("button fieldset input keygen label object output select textarea".split())
+TABLE_ONLY = {"caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"}
 TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
 #: What a start tag closes first, up to (not including) the nearest of the second names.
 CLOSES = {
@@ -83,7 +84,7 @@ class Tree(HTMLParser):
 
     def _push(self, name, attrs, ns="html") -> Node:
         node, top = Node("element", name, attrs, ns=ns), self._top()
-        if top.name in TABLE_PARTS and name not in {"caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th", "script", "style", "form"} and not (
+        if top.name in TABLE_PARTS and name not in TABLE_ONLY | {"script", "style", "form"} and not (
             name == "input" and attrs.get("type", "").lower() == "hidden"
         ):
             self._foster(node)
@@ -195,9 +196,11 @@ class Tree(HTMLParser):
         if self._top().name == "svg" or self._top().ns in ("svg", "math"):
             self._push(tag, given, ns="svg" if self._top().ns == "svg" else "math")
             return
+        if tag in TABLE_ONLY and self._open({"table"}, set()) is None:
+            return
         if tag in CLOSES:
             names, stop = CLOSES[tag]
-            while (i := self._open(names, stop | (SCOPE - names - {"table"} if tag not in ("tr", "td", "th", "tbody", "thead", "tfoot") else set()))) is not None:
+            while (i := self._open(names, stop | (SCOPE - names if tag not in ("tr", "td", "th", "tbody", "thead", "tfoot") else set()))) is not None:
                 self._pop_to(i)
         if tag in BLOCKS | {"li", "dd", "dt"} and (i := self._open({"p"}, SCOPE | {"button"})) is not None:
             self._pop_to(i)
