@@ -22,6 +22,7 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IMPLIED_END = {"dd", "dt", "li", "option", "optgroup", "p", "rp", "rt"}
 SCOPE = set("applet caption html table td th marquee object template".split())
 FORM_ASSOCIATED = set("button fieldset input keygen label object output select textarea".split())
+INTEGRATION = {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
 TABLE_ONLY = {"caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"}
 TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
 #: What a start tag closes first, up to (not including) the nearest of the second names.
@@ -84,7 +85,7 @@ class Tree(HTMLParser):
 
     def _push(self, name, attrs, ns="html") -> Node:
         node, top = Node("element", name, attrs, ns=ns), self._top()
-        if top.name in TABLE_PARTS and name not in TABLE_ONLY | {"script", "style", "form"} and not (
+        if top.ns == "html" and top.name in TABLE_PARTS and name not in TABLE_ONLY | {"script", "style", "form"} and not (
             name == "input" and attrs.get("type", "").lower() == "hidden"
         ):
             self._foster(node)
@@ -154,7 +155,7 @@ class Tree(HTMLParser):
                 self._in_body()
             elif len(self.stack) < 2:
                 self._in_body()
-            if top.name in TABLE_PARTS and not data.isspace():
+            if top.ns == "html" and top.name in TABLE_PARTS and not data.isspace():
                 table = next(n for n in reversed(self.stack) if n.name == "table")
                 self._text(table.parent or self.document, data, before=table)
                 return
@@ -193,9 +194,12 @@ class Tree(HTMLParser):
                 self.stack[1:] = [self.head]
         else:
             self._in_body()
-        if self._top().name == "svg" or self._top().ns in ("svg", "math"):
-            self._push(tag, given, ns="svg" if self._top().ns == "svg" else "math")
-            return
+        if self._top().ns in ("svg", "math") and self._top().name not in INTEGRATION:
+            if tag not in BLOCKS | {"li", "dd", "dt", "b", "i", "body", "br", "img", "span"}:
+                self._push(tag, given, ns=self._top().ns)
+                return
+            while self._top().ns != "html" and self._top().name not in INTEGRATION:  # such a tag breaks out
+                self.stack.pop()
         if tag in TABLE_ONLY and self._open({"table"}, set()) is None:
             return
         if tag in CLOSES:
