@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_text, removed, session, written
-from .pretokens import CACHE_CHARS, Cache
+from .pretokens import CACHE_CHARS, CACHE_PIECES, Cache
 
 #: Kinds in their order with pattern, the group whose length counts, and the least length.
 BASE = (
@@ -26,7 +26,9 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "api", "k
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+|[^\sA-Za-z0-9+/_\-]")
 #: Tags; hashed feature space; labelled documents that a model is fitted on at most.
 O, B, I = 0, 1, 2
-FEATURES, SAMPLE = 1 << 12, 2000
+FEATURES, SAMPLE = 1 << 12, 800
+#: Words on either side of a seed that the dynamic programme covers.
+REACH = 6
 #: Bytes that weigh in the file's features.
 CODE = "={};()"
 
@@ -50,7 +52,7 @@ def shape(token: str) -> list[str]:
     turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
     classes = "".join(sorted(set(kinds)))
     mixed = "0" if not digits or digits == n else "l" if 5 * digits < n else "h"
-    hexa = all(c in "0123456789abcdef" for c in token)
+    hexa = not token.strip(HEX)
     turny = "0" if not turns else "1" if turns < 3 else "2" if 4 * turns < n else "3"
     return [f"c{classes}", f"n{size}", f"m{mixed}{size}", f"t{turny}{size}", f"h{int(hexa)}{size}{mixed}", f"c{classes}{size}"]
 
@@ -65,10 +67,21 @@ def own_features(token: str) -> list[int]:
 
 def neighbour_features(token: str, at: int) -> list[int]:
     """Of a token ``at`` places before (negative) or after the tagged one."""
+    word = said(token)
+    mark = token if len(token) == 1 and not token.isalnum() and ord(token) < 128 else ""
+    return [_hash(f"{at} {word}")] * bool(word) + [_hash(f"{at} {mark}")] * bool(mark)
+
+
+def said(token: str) -> str:
+    """The first of the words that a secret often follows, in a token that isn't too long to be remembered."""
     low = token.lower()
-    said = next((w for w in WORDS if w in low), "") if len(low) <= CACHE_CHARS else ""
-    mark = token if len(token) == 1 and not token.isalnum() else ""
-    return [_hash(f"{at} {said}")] * bool(said) + [_hash(f"{at} {mark}")] * bool(mark and ord(mark) < 128)
+    return next((w for w in WORDS if w in low), "") if len(low) <= CACHE_CHARS else ""
+
+
+#: Whether a word can hold a mark or one of the words; character classes of a shape; digits of a hexadecimal number.
+LENDS = re.compile(r"(?i)[!-*,.:-@\[-^`{-~]|" + "|".join(WORDS)).search
+SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(97 + i): "a" for i in range(26)}, **{chr(65 + i): "A" for i in range(26)}, "/": "-", "+": "-", "_": "-"})
+HEX = "0123456789abcdef"
 
 
 def file_feature(text: str) -> int:
@@ -108,80 +121,91 @@ class Model:
 
 
 class Scanner:
-    """spans(text): what Viterbi tags over the whole text.
+    """spans(texts): what Viterbi tags in whole texts.
 
-    Most words can't be part of a secret whatever stands around them: their outside score is above the others by more
-    than all neighbours, file and transitions could add (margin), so the best path is outside there. Such words cut
-    the text exactly, and the dynamic programme runs on the stretches between them.
+    A tagged run of the best path gains over leaving all of it outside, so it holds a seed: a token whose own, file and
+    neighbour scores make up for one transition within a run (entering and leaving one gains nothing, or that is added).
+    Bounds of these scores are remembered by word (a run of visible characters), seeds are found over the whole
+    text with them, and the dynamic programme runs on the stretches within REACH words of a seed.
     """
 
     def __init__(self, model: Model):
-        self.model = model
-        gain = np.maximum(0, model.emit[:, [B, I]] - model.emit[:, [O]]).max(axis=1)
-
-        def most(fs):
-            return max([0.0, *(gain[f] for f in fs)])
-
-        files = most(_hash(f"file {k}") for k in range(3))
-        marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
-        near = sum(max(most(_hash(f"{d} {w}") for w in WORDS), most(_hash(f"{d} {m}") for m in marks)) for d in NEAR)
-        self.margin = files + near + 2 * float(model.step.max() - model.step.min())
-        self.plain = Cache(lambda new: map(self._plain, new))
-
-    def _plain(self, chunk: str) -> bool:
-        """Whether no token of this run of visible characters can be in a secret."""
-        for t in TOKEN.findall(chunk):
-            e = self.model.emit[own_features(t)].sum(axis=0)
-            if max(e[B], e[I]) - e[O] + self.margin >= 0:
-                return False
-        return True
-
-    def __call__(self, text: str, chunks: list[str], plain: dict) -> list[tuple[int, int]]:
-        ok = list(map(plain.__getitem__, chunks))
-        if all(ok):
+        self.model, step = model, model.step
+        self.over = model.emit[:, [B, I]].max(axis=1) - model.emit[:, O]
+        enter, leave = step[O, [B, I]].max() - step[O, O], step[[B, I], O].max() - step[O, O]
+        self.edge = float(max(0.0, step[1:, 1:].max() - step[O, O]) + max(0.0, enter + leave))
+        self.shapes, self.marks = {}, {}
+        self.bounds = Cache(lambda new: [complex(self._own(w), self._lent(w)) for w in new])  # own and lent in one number
+
+    def _own(self, word: str) -> float:
+        """The most that a token of the word gains by itself over outside."""
+        top = -1e9
+        for t in TOKEN.findall(word):
+            key = t.translate(SHAPES), not t.strip(HEX)  # all that own_features looks at
+            if (v := self.shapes.get(key)) is None:
+                if len(self.shapes) > CACHE_PIECES:
+                    self.shapes.clear()
+                e = self.model.emit[own_features(t)].sum(axis=0)
+                v = self.shapes[key] = float(max(e[B], e[I]) - e[O])
+            top = max(top, v)
+        return top
+
+    def _lent(self, word: str) -> float:
+        """The most that the word's tokens add to what is near them."""
+        if not LENDS(word):
+            return 0.0
+        total = 0.0
+        for t in TOKEN.findall(word):
+            if len(t) > 1 or not t.isalnum():
+                key = t if len(t) == 1 else said(t)
+                if key not in self.marks:
+                    self.marks[key] = max([0.0] + [float(self.over[neighbour_features(t, d)].clip(0).sum()) for d in NEAR])
+                total += self.marks[key]
+        return total
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        every = {w for ws in split for w in ws}
+        bounds = self.bounds(every).__getitem__
+        out = [self._text(t, ws, np.fromiter(map(bounds, ws), complex, len(ws))) for t, ws in zip(texts, split)]
+        self.bounds.trim(every)
+        return out
+
+    def _text(self, text: str, words: list[str], bounds: np.ndarray) -> list[tuple[int, int]]:
+        file = file_feature(text)
+        least = -self.edge - max(0.0, float(self.over[file]))
+        gain, near = bounds.real, bounds.imag
+        full = np.flatnonzero(gain > -1e8)
+        near = near[full]
+        around = np.convolve(near, np.ones(5))[1 : 1 + len(near)] if len(near) else near  # itself, 3 before, 1 after
+        seeds = full[gain[full] + around >= least]
+        if not len(seeds):
             return []
-        starts, at = [], 0
-        for c in chunks:
-            starts.append(at)
-            at += len(c) + 1
-        file, out, i = file_feature(text), [], 0
-        emit = self.model.emit
-        while i < len(ok):
-            if ok[i]:
-                i += 1
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        out = []
+        first = np.flatnonzero(np.r_[True, np.diff(seeds) > 2 * REACH + 1])
+        for x, y in zip(seeds[first].tolist(), seeds[np.r_[first[1:] - 1, len(seeds) - 1]].tolist()):
+            lo, hi = max(0, x - REACH), min(len(words), y + REACH + 1)
+            got = list(TOKEN.finditer(text, int(starts[lo]), int(starts[hi]) - 1))
+            if not got:
                 continue
-            j = i
-            while j < len(ok) and not ok[j]:
-                j += 1
-            lo, hi = i, j  # enough words around for the neighbours of the stretch
-            before = after = 0
-            while lo and before < 3:
-                lo -= 1
-                before += len(TOKEN.findall(chunks[lo]))
-            while hi < len(ok) and after < 1:
-                after += len(TOKEN.findall(chunks[hi]))
-                hi += 1
-            a, b = starts[i], starts[j - 1] + len(chunks[j - 1])
-            got = list(TOKEN.finditer(text, starts[lo], starts[hi - 1] + len(chunks[hi - 1])))
-            fs = sequence_features([m.group() for m in got], file)
-            of = [k for k, m in enumerate(got) if a <= m.start() < b]
-            if of:
-                tags = self.model.viterbi(np.array([emit[fs[k]].sum(axis=0) for k in of]))
-                span = None
-                for k, tag in zip(of, tags):
-                    if tag == I and span:
-                        span = (span[0], got[k].end())
-                        continue
-                    if span:
-                        out.append(span)
-                    span = (got[k].start(), got[k].end()) if tag != O else None
+            before = [m.group() for m in list(TOKEN.finditer(text, int(starts[max(0, lo - 6)]), int(starts[lo])))[-3:]]
+            after = TOKEN.findall(text, int(starts[hi]) - 1, int(starts[min(len(words), hi + 4)]))[:1]
+            fs = sequence_features([*before, *(m.group() for m in got), *after], file)[len(before) :]
+            span = None
+            for m, tag in zip(got, self.model.viterbi(np.array([self.model.emit[f].sum(axis=0) for f in fs[: len(got)]]))):
+                if tag == I and span:
+                    span = (span[0], m.end())
+                    continue
                 if span:
                     out.append(span)
-            i = j
+                span = m.span() if tag != O else None
+            if span:
+                out.append(span)
         return out
 
 
-def _examples(text: str, context: int = 12, apart: int = 400) -> tuple[list[list[list[int]]], list[list[int]]]:
+def _examples(text: str, context: int = 12, apart: int = 1500) -> tuple[list[list[list[int]]], list[list[int]]]:
     """Feature sequences and tags around each base match, and around places spread over the text, labelled by the base."""
     file, tokens = file_feature(text), list(TOKEN.finditer(text))
     tags = np.zeros(len(tokens), int)
@@ -203,10 +227,9 @@ def _examples(text: str, context: int = 12, apart: int = 400) -> tuple[list[list
     return xs, ys
 
 
-def fit(xs: list[list[list[int]]], ys: list[list[int]], steps: int = 150, rate: float = 0.1, l2: float = 1e-4) -> Model:
+def fit(xs: list[list[list[int]]], ys: list[list[int]], steps: int = 80, rate: float = 0.15, l2: float = 1e-4) -> Model:
     """Gradient steps (Adam) on the conditional likelihood; forward and backward sums run over all sequences at once."""
     emit, step = np.zeros((FEATURES, 3)), np.zeros((3, 3))
-    step[O, I] = -8.0
     if not xs:
         return Model(emit - np.array([0, 3.0, 3.0]) / 8, step)
     n, length, width = len(xs), max(map(len, xs)), max(len(f) for x in xs for f in x)
@@ -249,7 +272,6 @@ def fit(xs: list[list[list[int]]], ys: list[list[int]], steps: int = 150, rate:
     v[pad] = 0
     keep = used < FEATURES
     emit[used[keep]] = v[: len(used)][keep]
-    step[O, I] = min(step[O, I], -8.0)
     return Model(emit, step)
 
 
@@ -295,15 +317,12 @@ def scan(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         scanner = Scanner(known.value)
 
         def of(texts):
-            split = [t.translate(BREAKS).split(" ") for t in texts]
-            every = {c for cs in split for c in cs}
-            plain, out = scanner.plain(every), []
-            for t, cs in zip(texts, split):
+            out = []
+            for t, tagged in zip(texts, scanner(texts)):
                 found = base_spans(t)
-                more = [("crf", a, b) for a, b in scanner(t, cs, plain) if all(b <= x or a >= y for _, x, y in found)]
+                more = [("crf", a, b) for a, b in tagged if all(b <= x or a >= y for _, x, y in found)]
                 spans = sorted(found + more, key=lambda s: (s[1], KINDS[s[0]]))
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            scanner.plain.trim(every)
             return [out]
 
         return of
@@ -312,7 +331,6 @@ def scan(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return map_text(docs, keep, [T.StructField("spans", T.ArrayType(kind))], make, text)
 
 
-BREAKS = str.maketrans("\n\t\r", "   ")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "crf": 3}
 
 
@@ -333,18 +351,15 @@ def redacted(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
         scanner = Scanner(known.value)
 
         def of(texts):
-            split = [t.translate(BREAKS).split(" ") for t in texts]
-            every = {c for cs in split for c in cs}
-            plain, out = scanner.plain(every), []
-            for t, cs in zip(texts, split):
-                spans = sorted([(a, b) for _, a, b in base_spans(t)] + scanner(t, cs, plain))
+            out = []
+            for t, tagged in zip(texts, scanner(texts)):
+                spans = sorted([(a, b) for _, a, b in base_spans(t)] + tagged)
                 got, at = [], 0
                 for a, b in spans:
                     if a >= at:
                         got += [t[at:a], mark]
                     at = max(at, b)
                 out.append("".join(got) + t[at:] if spans else t)
-            scanner.plain.trim(every)
             return [out]
 
         return of
