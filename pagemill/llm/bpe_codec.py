@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text
-from .pretokens import BytePieces, byte_letters, load_vocabulary
+from .piece_table import ByteEncoder
+from .pretokens import BYTE_PATTERN, byte_letters, load_vocabulary
 
 NONE = np.int64(1 << 40)
 
@@ -102,20 +103,14 @@ class Codec:
         self.bytes_of = [b""] * top
         for token, i in [*v["vocab"].items(), *v["specials"].items()]:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
-        self.pieces = BytePieces(self.words, {s: np.array([i], np.uint32).tobytes() for s, i in v["specials"].items()})
-
-    def words(self, words: list[str]) -> list[bytes]:
-        raw = [x.encode() for x in words]
-        if not raw:
-            return []
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        symbols = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        ids, word = self.merger(symbols, np.repeat(np.arange(len(raw)), lens))
-        flat, ends = ids.astype(np.uint32).tobytes(), np.cumsum(np.bincount(word, minlength=len(raw))) * 4
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, np.uint32) for x in self.pieces(texts)]
+        self.encode = ByteEncoder(self.words, v["specials"], BYTE_PATTERN)
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, how many each has)."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        ids, word = self.merger(symbols, np.repeat(np.arange(len(words)), lens))
+        return ids.astype(np.uint32), np.bincount(word, minlength=len(words))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of whole texts in one Arrow batch: bounds a Python worker's memory to this many texts.
-TEXTS_PER_BATCH = 1000
+#: Rows and bytes of an Arrow batch at most (but for one longer row): they bound a Python worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def session(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -33,13 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back.
 
     A lost executor loses nothing of it, and no later action computes df again.
     """
     path = shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,3 +92,25 @@ def map_text(
 def of_row(df: DataFrame, *cols: str) -> DataFrame:
     """Only these columns, in this order, whatever else the table holds."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
+
+
+def id_ranges(df: DataFrame, doc_id: str) -> tuple[int, Column]:
+    """(parts, code): ranges of ids about equal in rows, as many as shuffle partitions at most, and a column that is twice
+    the number of a row's range, plus 1 for the greatest id of the range, which occurs. Null ids are in range 0.
+
+    Bounds are ids that occur, found by a job on the ids alone; they are as few as the ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
+    got = df.agg(F.percentile_approx(doc_id, steps, F.lit(max(10000, 20 * n))).alias("cuts"), F.max(doc_id).alias("top")).first()
+    heads = np.array(sorted({x for x in got.cuts or () if x < got.top}) + ([got.top] if got.top is not None else []), dtype=np.int64)
+    parts = max(1, len(heads))
+
+    @F.pandas_udf(T.IntegerType())
+    def code(ids: pd.Series) -> pd.Series:
+        at, known = ids.fillna(0).astype("int64").to_numpy(), ids.notna().to_numpy()
+        part = np.minimum(np.searchsorted(heads, at), parts - 1)
+        head = known & (heads[part] == at) if len(heads) else np.zeros(len(at), bool)
+        return pd.Series((np.where(known, 2 * part, 0) + head).astype("int32"))
+
+    return parts, code(doc_id)

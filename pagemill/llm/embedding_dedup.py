@@ -104,9 +104,8 @@ def window_links(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSE
     Every pass sorts all vectors by its key in ranges; a range takes over no rows of the one before, so a pair that a
     range's edge divides is left to the other passes. Only that many edges exist as partitions.
     """
-    spark = session(vectors)
+    session(vectors)
     keys = vectors.select("node", "dim", "v").mapInArrow(_keys(passes, BITS, seed), "pass int, dim int, key long, node long, v array<double>")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     order = keys.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
     return order.mapInArrow(_windows(cosine, window), "a long, b long")
 
@@ -141,7 +140,7 @@ def near_duplicates(
     different lengths don't link. Rows that repeat an id are one node if their vectors are equal or link; each is kept.
     An empty table gives an empty one; other columns are dropped.
     """
-    spark = session(df)
+    session(df)
     v = F.transform(F.col(f"`{embedding}`"), lambda x: x.cast("double"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     src = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))

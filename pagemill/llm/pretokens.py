@@ -1,14 +1,11 @@
-"""Splitting texts into separately tokenized pieces, with a bounded cache of the pieces seen by a Python worker."""
+"""Vocabulary files and their patterns, and a bounded cache of the words seen by a Python worker."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterable
 from itertools import islice
 
-import regex
-
 #: The pre-token patterns of the two public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,57 +53,3 @@ class Cache:
         for p in pieces:
             if len(p) > CACHE_CHARS:
                 self.of.pop(p, None)
-
-
-class BytePieces:
-    """Encodes texts of a byte-level vocabulary through ``encode_words(list of pre-tokens) -> list of bytes``.
-
-    A text is cut before each single space between visible characters: no pre-token of the pattern spans such a
-    cut, so the pieces (a word with its punctuation) encode apart and repeat often. Texts with other
-    runs of white space go through the pattern whole. Special strings become their own id, as by default.
-    """
-
-    def __init__(self, encode_words: Callable[[list[str]], Iterable[bytes]], specials: dict[str, bytes]):
-        self.find = regex.compile(BYTE_PATTERN).findall
-        self.words = Cache(encode_words)
-        self.first, self.later = Cache(lambda new: self._pieces(new, "")), Cache(lambda new: self._pieces(new, " "))
-        self.specials = specials
-        self.split = re.compile("(" + "|".join(map(re.escape, specials)) + ")").split if specials else None
-
-    def _pieces(self, new: list[str], before: str) -> list[bytes | None]:
-        odd = [not p and before or p[:1].isspace() or p[-1:].isspace() for p in new]
-        found = [[] if o else self.find(before + p) for p, o in zip(new, odd)]
-        every = [w for ws in found for w in ws]
-        of = self.words(every)
-        out = [None if o else b"".join([of[w] for w in ws]) for ws, o in zip(found, odd)]
-        self.words.trim(every)
-        return out
-
-    def _whole(self, text: str) -> bytes:
-        words = self.find(text)
-        of = self.words(words)
-        out = b"".join([of[w] for w in words])
-        self.words.trim(words)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [[(s in self.specials, s) for s in self.split(t) if s] if self.split and any(s in t for s in self.specials) else [(False, t)] for t in texts]
-        plain = [s.split(" ") for ps in parts for special, s in ps if not special]
-        first = self.first([p[0] for p in plain])
-        rest = {q for p in plain for q in p[1:]}
-        later = self.later(rest)
-        out, at = [], 0
-        for ps in parts:
-            got = []
-            for special, s in ps:
-                if special:
-                    got.append(self.specials[s])
-                    continue
-                p = plain[at]
-                at += 1
-                one, more = first[p[0]], [later[q] for q in p[1:]]
-                got.append(self._whole(s) if one is None or None in more else one + b"".join(more))
-            out.append(b"".join(got))
-        self.first.trim({p[0] for p in plain})
-        self.later.trim(rest)
-        return out

@@ -6,12 +6,14 @@ import heapq
 import re
 import unicodedata
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text
-from .pretokens import WORD_PATTERN, Cache, byte_letters, load_vocabulary
+from .piece_table import PieceTable
+from .pretokens import WORD_PATTERN, byte_letters, load_vocabulary
 
 
 class Counter:
@@ -25,11 +27,11 @@ class Counter:
         self.find = regex.compile(WORD_PATTERN).findall
         self.specials = sorted(v["specials"])
         self.split = re.compile("|".join(map(re.escape, self.specials))).split
-        self.words, self.pieces = Cache(lambda new: map(self.word, new)), Cache(self._pieces)
+        self.words, self.pieces = PieceTable(self._words), PieceTable(self._pieces)
 
-    def word(self, word: str) -> int:
+    def word(self, word: bytes) -> int:
         """Initial symbols less merges: pops the lowest rank, leftmost first, until no pair is left."""
-        shown = [self.letters[b] for b in word.encode()]
+        shown = [self.letters[b] for b in word]
         shown[-1] += self.suffix
         ids = [self.symbol[c] for c in shown if c in self.symbol]
         n = left = len(ids)
@@ -55,22 +57,32 @@ class Counter:
                 heapq.heappush(heap, (m[0], h, m[1]))
         return left
 
-    def _pieces(self, new: list[str]) -> list[int]:
-        found = [self.find(unicodedata.normalize("NFC", p).replace("Σ", "σ").lower()) for p in new]
-        every = [w for ws in found for w in ws]
-        of = self.words(every)
-        out = [sum([of[w] for w in ws]) for ws in found]
-        self.words.trim(every)
-        return out
+    def _words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.fromiter(map(self.word, new), np.uint32, len(new)), np.ones(len(new), np.int64)
+
+    def _pieces(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of pieces between white space, from those of their words."""
+        found = [self.find(unicodedata.normalize("NFC", p.decode()).replace("Σ", "σ").lower()) for p in new]
+        raw = [w.encode() for ws in found for w in ws]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        counts, _ = self.words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends][: len(ends)], ends)
+        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, found), np.int64, len(found)))
+        return np.bincount(owner, weights=counts, minlength=len(new)).astype(np.uint32), np.ones(len(new), np.int64)
 
     def __call__(self, texts: list[str]) -> list[int]:
-        parts = [self.split(t) if any(s in t for s in self.specials) else [t] for t in texts]
-        split = [[p for s in ps for p in s.replace("\n", " ").split(" ")] for ps in parts]
-        every = {p for ps in split for p in ps}
-        of = self.pieces(every)
-        out = [len(ps) - 1 + sum(map(of.__getitem__, s)) for ps, s in zip(parts, split)]
-        self.pieces.trim(every)
-        return out
+        # special strings count one each, and part what is around them as white space does
+        cut = [self.split(t) if any(s in t for s in self.specials) else [t] for t in texts]
+        raw = [" ".join(ps).encode() for ps in cut]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        bounds = np.cumsum(sizes) - sizes
+        buffer = np.frombuffer(b"".join(raw), np.uint8)
+        marks = np.r_[(buffer == 32) | (buffer == 10), False]
+        marks[bounds] = True
+        starts = np.flatnonzero(marks[:-1])
+        counts, _ = self.pieces(buffer, starts, np.r_[starts[1:], len(buffer)][: len(starts)])
+        before = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+        at = before[np.searchsorted(starts, np.r_[bounds, len(buffer)])]
+        return [int(n) + len(ps) - 1 for n, ps in zip(np.diff(at), cut)]
 
 
 _counters: dict[str, Counter] = {}

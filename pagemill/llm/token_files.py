@@ -3,7 +3,7 @@
 A token file set is a folder with
 
 - ``freqs``: Parquet of (token, freq): one table shared by all blocks, scaled to 2**SCALE;
-- ``blocks``: Parquet of (part, block, part_start, n_tokens, blob): independent blocks of whole documents in ascending
+- ``blocks``: Parquet of (part, part_start, n_tokens, blob): independent blocks of whole documents in ascending
   document order, ``part`` ascending with the documents and ``part_start`` the ids before the block in its part.
 
 A blob is little-endian: HEAD (magic, documents, tokens, lanes, steps between checkpoints, checkpoints, words, CRC-32
@@ -14,6 +14,7 @@ Symbol k of a block belongs to lane k % lanes. Checkpoint 0 is the start; a deco
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_text, removed, session, shared_dir, written
-from .pretokens import BytePieces
+from .common import id_ranges, removed, session, shared_dir, written
+from .piece_table import ByteEncoder
+from .pretokens import BYTE_PATTERN, load_vocabulary
 
 SCALE, LOW = 20, 31
 MASK = np.uint64((1 << SCALE) - 1)
@@ -132,102 +133,122 @@ def unpack(coder: Coder, blob: bytes) -> tuple[list[int | None], np.ndarray, np.
     return [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist())], lengths, ids
 
 
-_encoders: dict[str, BytePieces] = {}
+def id_width(path: str):
+    """The integer type that ids of a vocabulary fit."""
+    v = load_vocabulary(path)
+    return np.uint16 if max([*v["vocab"].values(), *v["specials"].values()]) < 1 << 16 else np.uint32
 
 
-def library_encoder(path: str) -> BytePieces:
+_encoders: dict[str, ByteEncoder] = {}
+
+
+def library_encoder(path: str) -> ByteEncoder:
     """Ids of whole texts by the tokenizers library, which encodes each distinct pre-token once while it is remembered."""
     if path not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        special = {x.content: np.array([i], np.uint32).tobytes() for i, x in t.get_added_tokens_decoder().items()}
+        specials = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         t.encode_special_tokens = True  # special strings are cut out before
 
-        def words(new: list[str]) -> list[bytes]:
-            return [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]
+        def words(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [e.ids for e in t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+            return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-        _encoders[path] = BytePieces(words, special)
+        _encoders[path] = ByteEncoder(words, specials, BYTE_PATTERN)
     return _encoders[path]
 
 
-def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text and the end id, as little-endian unsigned 32-bit integers. Null text: empty."""
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    end = np.array([end_id], np.uint32).tobytes()
+def ordered_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """(part, part_start, doc_id, ids) in ascending doc_id order (null first; ties by a hash of their texts): the ids of each
+    whole text and the end id as little-endian unsigned integers, of 2 bytes where the vocabulary fits. Null text: empty.
+
+    One shuffle, of the texts by ranges of ids. part is the range and part_start the ids before the document in it.
+    """
+    session(docs)
+    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    parts, code = id_ranges(src, "doc_id")
+    rows = src.withColumn("part", F.shiftright(code, 1)).repartitionById(parts, "part")
+    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("part", "doc_id", "text")
+
+    width = id_width(path)
 
-    def make():
-        encode = library_encoder(path)
-        return lambda texts: [[x + end for x in encode(texts)]]
+    def run(batches):
+        encode, at = library_encoder(path), 0
+        for b in batches:
+            ids = [np.append(x, np.uint32(end_id)) for x in encode(b.column(2).to_pylist())]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            starts = at + np.cumsum(lengths) - lengths
+            at += int(lengths.sum())
+            cells = [x.astype(width).tobytes() for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(starts), b.column(1), pa.array(cells, pa.binary())], names=["part", "part_start", "doc_id", "ids"])
 
-    return map_text(src, ["doc_id"], [T.StructField("ids", T.BinaryType())], make)
+    return rows.mapInArrow(run, "part int, part_start long, doc_id long, ids binary")
 
 
-def _counted(batches: Iterator) -> Iterator:
-    counts = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        flat = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32)
-        if len(flat):
-            got = np.bincount(flat, minlength=len(counts))
+def _counted(width):
+    def run(batches: Iterator) -> Iterator:
+        counts = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width), minlength=len(counts))
             got[: len(counts)] += counts
             counts = got
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(counts[seen])], names=["token", "n"])
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(counts[seen])], names=["token", "n"])
+
+    return run
 
 
-def frequencies(ids: DataFrame) -> np.ndarray:
+def frequencies(ids: DataFrame, width=np.uint16) -> np.ndarray:
     """Counts of all ids of all documents: one array a task, summed by token. Only the vocabulary comes to the driver."""
-    rows = ids.select("ids").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids").mapInArrow(_counted(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows.token.max()) + 1 if len(rows) else 1, np.int64)
     counts[rows.token.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return counts
 
 
-def _blocks(freqs: np.ndarray, block: int):
+def _blocks(freqs: np.ndarray, block: int, width):
     def run(batches):
-        from pyspark import TaskContext
-
-        coder, part = Coder(freqs), TaskContext.get().partitionId()
+        coder = Coder(freqs)
         held: list[tuple] = []
-        size = at = number = 0
+        part, first, size = None, 0, 0
 
         def out():
             blob = pack(coder, [d for d, _ in held], [x for _, x in held])
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())],
-                names=["part", "block", "part_start", "n_tokens", "blob"],
+                [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())],
+                names=["part", "part_start", "n_tokens", "blob"],
             )
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.append((d, np.frombuffer(x, np.uint32)))
-                size += len(held[-1][1])
-                if size >= block:
+            for p, at, d, x in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and (size >= block or p != part or at != first + size):  # full, or rows from elsewhere begin
                     yield out()
-                    at, number, size, held = at + size, number + 1, 0, []
+                    held, size = [], 0
+                if not held:
+                    part, first = p, at
+                held.append((d, np.frombuffer(x, width).astype(np.uint32)))
+                size += len(held[-1][1])
         if held:
             yield out()
 
     return run
 
 
-def write_token_files(ids: DataFrame, path: str, block: int = BLOCK) -> None:
-    """Writes (doc_id, ids) rows as a token file set, in ascending doc_id order (null first; ties by their ids' hash).
+def write_token_files(ids: DataFrame, path: str, width=np.uint16, block: int = BLOCK) -> None:
+    """Writes ordered_ids() rows, read from a table, as a token file set, without a shuffle.
 
-    One shuffle, of the ids by ranges of doc_id. A block ends with the document that fills it, so a task holds
-    one block, or one document if that is longer.
+    A block ends with the document that fills it, so a task holds one block, or one document if that is longer.
     """
     spark = session(ids)
-    freqs = scaled(frequencies(ids))
+    freqs = scaled(frequencies(ids, width))
     token = np.flatnonzero(freqs)
     spark.createDataFrame(list(zip(token.tolist(), freqs[token].tolist())), "token long, freq long").coalesce(1).write.parquet(f"{path}/freqs")
-    order = ids.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    order.mapInArrow(_blocks(freqs, block), "part int, block long, part_start long, n_tokens long, blob binary").write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    made = ids.select("part", "part_start", "doc_id", "ids").mapInArrow(_blocks(freqs, block, width), "part int, part_start long, n_tokens long, blob binary")
+    made.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def _read(freqs: np.ndarray):
@@ -255,13 +276,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     table = spark.read.schema("token long, freq long").parquet(f"{path}/freqs").toPandas()
     freqs = np.zeros(int(table.token.max()) + 1 if len(table) else 1, np.int64)
     freqs[table.token.to_numpy(np.int64)] = table.freq.to_numpy(np.int64)
-    blocks = spark.read.schema("part int, block long, part_start long, n_tokens long, blob binary").parquet(f"{path}/blocks")
+    blocks = spark.read.schema("part int, part_start long, n_tokens long, blob binary").parquet(f"{path}/blocks")
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     base, at = [], 0
     for r in totals:
         base.append((r.part, at))
         at += r.n
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    session(blocks)
     docs = blocks.select("part", "part_start", "blob").mapInArrow(_read(freqs), "doc_id long, part int, part_start long, n_tokens long, ids binary")
     known = F.broadcast(spark.createDataFrame(base, "part int, base long"))  # a row for each written partition
     return docs.join(known, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
@@ -274,7 +295,7 @@ def token_files(docs: DataFrame, path: str, folder: str | None = None) -> DataFr
     empty table gives an empty one; other columns are dropped.
     """
     folder = folder or shared_dir(docs.sparkSession)
-    ids = written(tokenized(docs, path))
-    write_token_files(ids, folder)
+    ids = written(ordered_ids(docs, path), compression="zstd")
+    write_token_files(ids, folder, id_width(path))
     removed(ids)
     return read_token_files(docs.sparkSession, folder)

@@ -6,13 +6,12 @@ import base64
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, session
+from .common import id_ranges, map_text, session
 
 #: Characters of a gram and grams of a window: texts that share K + WINDOW - 1 characters share a fingerprint hash.
 K, WINDOW = 12, 20
@@ -154,26 +153,12 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows of one id follow each other by a hash of their texts. A table of one row is its own next. An empty
     table gives an empty one.
     """
-    spark = session(docs)
+    session(docs)
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
-    got = src.agg(F.percentile_approx("doc_id", steps, F.lit(max(10000, 20 * n))).alias("cuts"), F.max("doc_id").alias("top")).first()
-    heads = np.array(sorted({x for x in got.cuts or () if x < got.top}) + ([got.top] if got.top is not None else []), dtype=np.int64)
-    parts = max(1, len(heads))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        """Twice the range's number, and 1 more for its head."""
-        at = ids.fillna(0).astype("int64").to_numpy()
-        part = np.minimum(np.searchsorted(heads, at), parts - 1)
-        known = ids.notna().to_numpy()
-        head = known & (heads[part] == at) if len(heads) else np.zeros(len(at), bool)
-        return pd.Series((np.where(known, 2 * part, 0) + head).astype("int32"))
-
+    parts, code = id_ranges(src, "doc_id")
     sent = F.array(F.struct("part", F.lit(0).alias("context")))
     also = F.array(F.struct("part", F.lit(0).alias("context")), F.struct(((F.col("part") + 1) % parts).alias("part"), F.lit(1).alias("context")))
-    rows = src.withColumn("range", range_of("doc_id")).withColumn("part", F.shiftright("range", 1))
+    rows = src.withColumn("range", code).withColumn("part", F.shiftright("range", 1))
     if parts > 1:
         rows = rows.withColumn("to", F.explode(F.when(F.col("range") % 2 == 1, also).otherwise(sent))).select("doc_id", "text", F.col("to.context").alias("context"), F.col("to.part").alias("part"))
     else:
