@@ -168,7 +168,9 @@ def near_duplicates(
     cols = ["component", "f", "a", "role", "node", "copies", "v", F.col("far").cast("int").alias("is_far")]
     as_far = tile.where("far").withColumns({"f": F.pmod("h", "fars").cast("int"), "role": F.lit(0)}).withColumn("a", each("alls")).select(*cols)
     as_all = tile.withColumns({"a": F.pmod("h", "alls").cast("int"), "role": F.lit(1)}).withColumn("f", each("fars")).select(*cols)
-    counted = as_far.unionByName(as_all).groupBy("component", "f", "a").applyInPandas(_tile_counts(cosine), "node long, n long")
+    # dealt by tile: the join before has all of a component in one place
+    tiles = as_far.unionByName(as_all).repartition("component", "f", "a")
+    counted = tiles.groupBy("component", "f", "a").applyInPandas(_tile_counts(cosine), "node long, n long")
     counted = counted.groupBy("node").agg(F.sum("n").alias("more"))
     links = placed.join(near, "component").join(counted, "node", "left").select(
         "node", "component",
