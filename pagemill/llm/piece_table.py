@@ -2,7 +2,7 @@
 
 Cutting texts into pieces, hashing the pieces, finding them and laying out their values are array operations over one buffer
 of all texts of a batch; only pieces that the table doesn't hold are made into Python strings. An entry takes some 40
-bytes and no Python object, so a worker can hold a million of them.
+bytes and no Python object, so a worker can hold a million of them. A full table forgets its later half: frequent pieces come early.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-#: Entries that a table holds before it starts anew; the longest piece it keeps, in bytes.
-ENTRIES, LONGEST = 1 << 21, 48
+#: Entries that a table holds; the longest piece it keeps, in bytes.
+ENTRIES, LONGEST = 1 << 20, 48
 #: Odd numbers, so powers have inverses modulo 2**64: one hash finds an entry, the other confirms it.
 FIND, CONFIRM = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: White space outside ASCII begins with these pairs of UTF-8 bytes (others begin with them too, which costs a cut only).
@@ -58,33 +58,35 @@ class PieceTable:
     def __init__(self, fill: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], entries: int = ENTRIES):
         self.fill, self.entries = fill, entries
         self.mask = (1 << (2 * entries - 1).bit_length()) - 1
-        self._clear()
-
-    def _clear(self) -> None:
-        self.key, self.check = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.uint64)
+        self.key, self.check = np.zeros(entries, np.uint64), np.zeros(entries, np.uint64)
         self.entry = np.full(self.mask + 1, -1, np.int32)
-        self.start, self.length = np.zeros(self.entries + 1, np.int64), np.zeros(self.entries + 1, np.int32)
+        self.start, self.length = np.zeros(entries, np.int64), np.zeros(entries, np.int32)
         self.values, self.size, self.used = np.zeros(1 << 16, np.uint32), 0, 0
 
+    def _halve(self) -> None:
+        kept = self.used // 2
+        self.size, self.used = int(self.start[kept]), kept
+        self.entry.fill(-1)
+        self._put(self.key[:kept], np.arange(kept, dtype=np.int32))
+
     def _find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Entry of each pair of hashes, or -1: linear probing, all open pairs a step at a time."""
         out = np.full(len(h), -1, np.int32)
         slot, open_ = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
         while len(open_):
             e = self.entry[slot]
-            same = (e >= 0) & (self.key[slot] == h[open_]) & (self.check[slot] == c[open_])
+            same = (e >= 0) & (self.key[e] == h[open_]) & (self.check[e] == c[open_])
             out[open_[same]] = e[same]
             more = (e >= 0) & ~same
             open_, slot = open_[more], (slot[more] + 1) & self.mask
         return out
 
-    def _put(self, h: np.ndarray, c: np.ndarray, entries: np.ndarray) -> None:
+    def _put(self, h: np.ndarray, entries: np.ndarray) -> None:
         slot, open_ = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
         while len(open_):
             free = self.entry[slot] < 0
             self.entry[slot[free]] = entries[open_[free]]  # of several for one slot, the last stays
             won = self.entry[slot] == entries[open_]
-            self.key[slot[won]], self.check[slot[won]] = h[open_[won]], c[open_[won]]
             open_, slot = open_[~won], (slot[~won] + 1) & self.mask
 
     def __call__(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +123,8 @@ class PieceTable:
         if len(lost):
             keep = np.flatnonzero((ends - starts)[first] <= LONGEST)
             if self.used + len(keep) > self.entries:
-                self._clear()
-            keep = keep[: self.entries]
+                self._halve()
+            keep = keep[: self.entries - self.used]
             self._add(h[first[keep]], c[first[keep]], fresh_values, fresh_start[keep], fresh_length[keep])
         return out, length
 
@@ -135,8 +137,9 @@ class PieceTable:
         at = np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
         self.values[self.size : self.size + total] = values[at]
         self.start[entries], self.length[entries] = self.size + ends - lengths, lengths
+        self.key[entries], self.check[entries] = h, c
         self.size, self.used = self.size + total, self.used + len(h)
-        self._put(h, c, entries)
+        self._put(h, entries)
 
 
 def cuts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
