@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,8 +13,12 @@ from pyspark.sql import functions as F
 from .common import session, written
 from .components import connected_components
 
-#: Least cosine of a link; passes; neighbours compared on either side of a vector in a pass; bits of the sort key.
+#: Least cosine of a link; least passes; neighbours compared on either side of a vector in a pass; bits of the sort key.
 COSINE, PASSES, WINDOW, BITS = 0.9, 16, 48, 63
+#: Chance that the passes find a link right at the least cosine, where vectors lie evenly; links above it are found more surely.
+RECALL = 0.99
+#: A vector's row in a pass.
+KEYED = "pass int, dim int, key long, node long, v array<double>"
 #: Vectors of a chunk where links of loose components are counted pair by pair.
 CHUNK = 512
 
@@ -26,6 +32,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes over n vectors such that a link of ``cosine`` is found with a chance of ``recall`` at least, PASSES at least.
+
+    Two vectors at an angle share a hash bit with p = 1 - angle / pi; those that share the first log2(n / window) bits
+    are about ``window`` places apart. The passes grow as a power of n, at cosine 0.9 as n ** 0.22.
+    """
+    one = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if one >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-one)))
+
+
 def _stack(column: pa.Array) -> np.ndarray:
     """Rows of one length; the values of a list column of doubles as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -56,15 +72,29 @@ def _keys(passes: int, bits: int, seed: int):
 
 
 def _windows(cosine: float, window: int):
-    """Over rows sorted by (pass, dim, key): links of each row to the ``window`` rows before it, one to each root it reaches.
+    """Over rows sorted by (pass, dim, key): links of each row to the ``window`` rows before it, one to each root it reaches,
+    and the first and last ``window`` rows of the partition as they are, each once, for the links over its edges.
 
     Rows of the same run already united are joined once: what is given is a spanning forest of the links found, so
     there are at most as many as rows.
     """
 
+    def given(a, b, rows):
+        n = len(a) + rows.num_rows
+        ends = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(rows.num_rows, pa.int64())]) for x in (a, b)]
+        whole = [pa.concat_arrays([pa.nulls(len(a), c.type), c]) for c in rows.columns]
+        return pa.RecordBatch.from_arrays([*ends, *whole], names=["a", "b", *rows.schema.names]) if n else None
+
     def run(batches):
         tail = None  # the last rows: (pass, dim, node, vectors)
+        seen, end = 0, None  # rows of the partition so far; its last rows that are none of the first
         for b in batches:
+            if not b.num_rows:
+                continue
+            first = b.slice(0, max(0, min(window - seen, b.num_rows)))
+            rest, seen = b.slice(first.num_rows), seen + b.num_rows
+            end = pa.concat_batches([end, rest]) if end is not None else rest
+            end = end.slice(max(0, end.num_rows - window))
             group = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
             cuts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(axis=0), True])
             a_out, b_out = [], []
@@ -92,22 +122,29 @@ def _windows(cosine: float, window: int):
                             a_out.append(node[i])
                             b_out.append(node[i + d])
                 tail = at, node[-window:], v[-window:]
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+            if (out := given(a_out, b_out, first)) is not None:
+                yield out
+        if end is not None and (out := given([], [], end)) is not None:
+            yield out
 
     return run
 
 
-def window_links(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, seed: int = 7) -> DataFrame:
+def window_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, seed: int = 7) -> DataFrame:
     """(a, b): links of at least ``cosine`` found in the passes, as spanning forests, over rows (node, dim, v).
 
-    Every pass sorts all vectors by its key in ranges; a range takes over no rows of the one before, so a pair that a
-    range's edge divides is left to the other passes. Only that many edges exist as partitions.
+    Every pass sorts all vectors by its key in ranges. Each range also gives its first and last ``window`` rows; those of
+    a pass are sorted once more, where the end of a range comes just before the beginning of the next. So no edge of a
+    range divides a pair, and what is found doesn't depend on the ranges. ``passes`` follow the number of vectors unless given.
     """
     session(vectors)
-    keys = vectors.select("node", "dim", "v").mapInArrow(_keys(passes, BITS, seed), "pass int, dim int, key long, node long, v array<double>")
+    passes = passes or passes_for(vectors.count(), cosine, window)
+    keys = vectors.select("node", "dim", "v").mapInArrow(_keys(passes, BITS, seed), KEYED)
     order = keys.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
-    return order.mapInArrow(_windows(cosine, window), "a long, b long")
+    found = written(order.mapInArrow(_windows(cosine, window), "a long, b long, " + KEYED))
+    edges = found.where("a is null").drop("a", "b").repartition("pass", "dim").sortWithinPartitions("pass", "dim", "key", "node")
+    over = edges.mapInArrow(_windows(cosine, window), "a long, b long, " + KEYED).where("a is not null")
+    return found.where("a is not null").select("a", "b").unionByName(over.select("a", "b"))
 
 
 def _tile_counts(cosine: float):
@@ -128,14 +165,15 @@ def _tile_counts(cosine: float):
 
 
 def near_duplicates(
-    df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW
+    df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, passes: int | None = None, window: int = WINDOW
 ) -> DataFrame:
     """A row for each vector: vec_id, n_links, component_id, kept.
 
     Equal vectors are one node with a count, linked to each other. Links found in the passes give the components.
     In a component, the vectors within half the links' angle of its least node all link to each other (the angle is a
     metric), so they are counted and not compared; every other vector of it is compared to all of the component in
-    chunks. So n_links counts every link of a component. A link between components is one that no pass found.
+    chunks. So n_links counts every link of a component. A link between components is one that no pass found; ``passes`` follow
+    the number of nodes (``passes_for``) unless given.
     Null or zero vectors, vectors with null or non-finite components, and null ids link with nothing; vectors of
     different lengths don't link. Rows that repeat an id are one node if their vectors are equal or link; each is kept.
     An empty table gives an empty one; other columns are dropped.

@@ -318,6 +318,41 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_passes_follow_the_vectors(spark):
+    for n in (10**4, 10**5, 10**6, 10**7, 10**8):
+        one = (1 - np.arccos(0.9) / np.pi) ** np.log2(n / embedding_dedup.WINDOW)
+        assert 1 - (1 - one) ** embedding_dedup.passes_for(n) >= embedding_dedup.RECALL
+    # pairs right above the least cosine; a window of 1 over 4,000 vectors is as one of 48 over 192,000
+    rng, n, dim = np.random.default_rng(2), 2000, 48
+    a, b = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist()) for i in range(n) for k, v in enumerate((a[i], b[i]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df, window=1).collect()}
+    assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(n)]) > 0.97
+
+
+def test_embedding_windows_reach_over_the_edges_of_ranges(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 8))
+    rows = [(i, 8, (centres[i % 60] + 0.2 * rng.normal(size=8)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "node long, dim int, v array<double>")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    found = {}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            links = embedding_dedup.window_links(df, passes=2, window=12)
+            found[parts] = {(r.node, r.component) for r in connected_components(links).collect()}
+    finally:
+        for k, x in was.items():
+            spark.conf.set(k, x)
+    assert found["1"] == found["40"] and len(found["1"]) > 100
+
+
 def test_host_reputation(spark):
     urls = ["http://A.Example.com/en/1", "https://a.example.com/en/7x", "x://net/de/9", "http://b.org/es/?q", "http://b.org", "nothing", None, "http://b.org#/es/", "://q?x", "http://com/en/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
