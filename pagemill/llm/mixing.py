@@ -1,4 +1,4 @@
-"""Mixing sources to target weights (operator 5) by a low-discrepancy schedule of equal-token blocks."""
+"""Mixing sources to target weights (operator 5) in equal-token blocks, whose order is a low-discrepancy schedule."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from .common import session, written
 #: White space is \x20 and \x09-\x0D; the weights repeat over the sources; words mixed per word; the most repeats.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Slots of the whole schedule: a block has 1 / SLOTS of the mix's words, at least MIN_BLOCK, at any size of input.
-SLOTS, MIN_BLOCK = 1 << 20, 16
+#: Words of a slot's block at least, for callers of schedule(); the slots grow with the mix.
+MIN_BLOCK = 16
 #: Hash buckets that a source's documents are dealt into for running sums, so that no task holds a source whole.
 BUCKETS = 1024
 GOLDEN = 0.6180339887498949
@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 def schedule(spark, sources: DataFrame, total: float, block: int) -> DataFrame:
     """(slot, rank, turn) of every slot: the golden-ratio point of a slot falls into one source's share, and the turn
-    counts that source's slots before it.
+    counts that source's slots before it: the order in which a mix's blocks are read. mix() needs only what they sum to.
 
     Slots are a distributed range in stretches of 4,096: turns are counted in each stretch, and stretches are
     summed by source. Sources meet slots by a coarse grid of shares, so each slot meets a few sources only.
@@ -80,13 +80,15 @@ def mix(
 ) -> DataFrame:
     """``keep`` with size, source_size, target and taken, a row for each document.
 
-    Each source's documents are shuffled by a hash of their id (and text), laid end to end and cut into blocks of
-    equal words; the schedule's k-th slot of a source takes its block k modulo its blocks. taken is what
-    a document's words in the taken blocks sum to, at most ``most`` times its size (a whole number).
+    Each source's documents are shuffled by a hash of their id (and text) and laid end to end, again and again. The
+    schedule's k-th slot of a source takes block k of that line, its last slot only the words that its target still
+    lacks. So taken, what a document's words in the taken blocks sum to, depends on the target alone and not on blocks
+    or on where the slots lie: a source's taken sum to its target, rounded, whatever the sizes of the others. It
+    is at most ``most`` times the document's size (a whole number).
     Null or blank texts have size 0 and take 0. Null sources are one source, the last; sources of size 0 have target 0.
     Repeated rows are laid in turn; an empty table gives an empty one. Nothing depends on partitions, so reruns agree.
     """
-    spark = session(docs)
+    session(docs)
     clash = {"size", "source_size", "target", "taken"} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are in the input already")
@@ -99,8 +101,6 @@ def mix(
     )
     sums = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     sources = written(targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most))
-    total = float(sources.agg(F.max("sum")).first()[0] or 0)
-    block = max(MIN_BLOCK, int(-(-total // SLOTS)))
     # one row for each source and bucket: at most BUCKETS rows of a source
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.join(sources, sums.source.eqNullSafe(sources.source)).select(
@@ -112,16 +112,9 @@ def mix(
         "nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "id", "size"))
     )
     at = at.join(b, at.source.eqNullSafe(b.s) & (at.bucket == b.k)).withColumn("start", F.col("base") + F.col("offset"))
-    at = written(at.select("row", "rank", "bucket", "nth", "size", "source_size", "target", "start"))
-    if not total:
-        return at.select("row.*", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    blocks = sources.select("rank", F.ceil(F.col("source_size") / block).alias("blocks"))
-    slots = schedule(spark, sources, total, block).join(blocks, "rank")
-    slots = slots.where(F.col("turn") < int(most) * F.col("blocks"))
-    times = slots.groupBy("rank", (F.col("turn") % F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
-    of = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-    over = at.where("size > 0").select("rank", "bucket", "nth", "start", "size", of.alias("block")).join(times, ["rank", "block"])
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = over.groupBy("rank", "bucket", "nth").agg(F.sum(words * F.col("times")).alias("taken"))
-    out = at.join(taken, ["rank", "bucket", "nth"], "left")
-    return out.select("row.*", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # what the source's slots take, its line of words repeated: whole rounds of it, then its first words
+    goal, size, all_ = F.round("target").cast("long"), F.col("size"), F.expr("nullif(source_size, 0)")
+    rounds = F.floor(goal / all_).cast("long")
+    more = F.greatest(F.lit(0), F.least(size, goal - rounds * all_ - F.col("start")))
+    taken = F.coalesce(rounds * size + F.when(size > 0, more).otherwise(F.lit(0)), F.lit(0)).cast("long")
+    return at.select("row.*", "size", "source_size", "target", taken.alias("taken"))

@@ -196,6 +196,20 @@ def test_mixing(docs, empty):
         mixing.mix(docs, ["doc_id", "size"])
 
 
+def test_mixing_meets_the_targets_of_small_sources(spark):
+    # one source of 21 million words, and sources of a few words each, below any block
+    rows = [(i, "w " * 60_000, "huge") for i in range(350)]
+    rows += [(1000 + 10 * i + j, "x " * (1 + i % 7), f"small{i:03}") for i in range(200) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = mixing.mix(df, ["source"]).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(sums) == 201 and all(abs(r.taken - r.target) <= 0.5 for r in sums)
+    # the schedule's slots agree with what is taken, but for their discrepancy
+    few = spark.createDataFrame([("a", 5000), ("b", 3000), ("c", 20)], "source string, source_size long")
+    of = mixing.targets(few).collect()
+    turns = {r.rank: r["count"] for r in mixing.schedule(spark, mixing.targets(few), sum(r.target for r in of), 16).groupBy("rank").count().collect()}
+    assert all(abs(16 * turns.get(r.rank, 0) - r.target) <= 16 * 6 for r in of)
+
+
 def test_winnowing(docs, empty):
     rng = random.Random(1)
     for _ in range(200):
