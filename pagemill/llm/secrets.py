@@ -304,9 +304,26 @@ def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: s
     return fit(xs, ys)
 
 
+def outside(text: str, tagged: list[tuple[int, int]], found: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of tagged runs that no base span covers, without white space at their ends, by a merge of the sorted lists."""
+    out, base, k = [], sorted((x, y) for _, x, y in found), 0
+    for a, b in sorted(tagged):
+        while k < len(base) and base[k][1] <= a:
+            k += 1
+        j, parts = k, []
+        while j < len(base) and base[j][0] < b:
+            parts.append((a, base[j][0]))
+            a, j = max(a, base[j][1]), j + 1
+        for x, y in [*parts, (a, b)]:
+            part = text[x:y]
+            if part.strip():
+                out.append((x + len(part) - len(part.lstrip()), y - len(part) + len(part.rstrip())))
+    return out
+
+
 def scan(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and spans array<struct<kind, start, end>> of each whole text, in one narrow stage: all base matches, and
-    what the model tags beside them (kind crf, where no base match is touched), by start.
+    what the model tags beside them (kind crf, those parts of a run that no base match covers), by start.
 
     Positions are code points, the end exclusive. Null or empty texts have none. Repeated rows and null ids are scanned
     each; an empty table gives an empty one; other columns are dropped.
@@ -320,7 +337,7 @@ def scan(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             out = []
             for t, tagged in zip(texts, scanner(texts)):
                 found = base_spans(t)
-                more = [("crf", a, b) for a, b in tagged if all(b <= x or a >= y for _, x, y in found)]
+                more = [("crf", a, b) for a, b in outside(t, tagged, found)]
                 spans = sorted(found + more, key=lambda s: (s[1], KINDS[s[0]]))
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             return [out]

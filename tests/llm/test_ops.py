@@ -258,6 +258,24 @@ def test_secrets(docs, empty):
     assert secrets.train(empty) is not None
 
 
+def test_tagged_runs_keep_what_lies_outside_base_matches():
+    text = "a password=abcdefgh$rest b xx0123456789abcdef0123456789abcdefzz lone"
+    runs = [(2, 24), (27, 63), (64, 68)]
+    base = [("assign", 2, 19), ("hex", 29, 61)]
+    assert sorted(secrets.base_spans(text)) == base
+    assert [text[a:b] for a, b in secrets.outside(text, runs, base)] == ["$rest", "xx", "zz", "lone"]
+    assert secrets.outside(text, [(4, 15)], base) == []
+    found = [("hex", 0, 4), ("assign", 2, 6), ("hex", 3, 5)]  # overlapping base spans
+    assert secrets.outside("abcd ef  gh", [(1, 11)], found) == [(6, 11)]
+    rng = random.Random(6)
+    for _ in range(300):
+        base = [("hex", a, a + rng.randint(1, 6)) for a in (rng.randint(0, 30) for _ in range(rng.randint(0, 6)))]
+        ends = sorted(rng.sample(range(40), 6))
+        tagged = list(zip(ends[::2], ends[1::2]))
+        left = {i for a, b in tagged for i in range(a, b)} - {i for _, a, b in base for i in range(a, b)}
+        assert {i for a, b in secrets.outside("x" * 40, tagged, base) for i in range(a, b)} == left
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     for _ in range(30):
