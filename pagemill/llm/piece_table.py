@@ -1,8 +1,9 @@
 """A table of short byte strings and what they encode to, looked up for whole batches in numpy.
 
-Cutting texts into pieces, hashing the pieces, finding them and laying out their values are array operations over one buffer
-of all texts of a batch; only pieces that the table doesn't hold are made into Python strings. An entry takes some 40
-bytes and no Python object, so a worker can hold a million of them. A full table forgets its later half: frequent pieces come early.
+Cutting texts into pieces, finding the pieces and laying out their values are array operations over one buffer of all
+texts of a batch; only pieces that the table doesn't hold are made into Python objects. A piece of up to SHORT bytes is its
+own key, as two numbers and its length; a longer one is kept as bytes. So equal entries are equal pieces whatever the
+texts hold. A full table forgets its later half: frequent pieces come early.
 """
 
 from __future__ import annotations
@@ -11,45 +12,22 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import regex
 
-#: Entries that a table holds; the longest piece it keeps, in bytes.
-ENTRIES, LONGEST = 1 << 20, 48
-#: Odd numbers, so powers have inverses modulo 2**64: one hash finds an entry, the other confirms it.
-FIND, CONFIRM = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Entries that a table holds; bytes of a piece that is its own key; the longest piece a table keeps; how many of over SHORT bytes.
+ENTRIES, SHORT, LONGEST, LONG_ENTRIES = 1 << 20, 16, 48, 1 << 17
 #: White space outside ASCII begins with these pairs of UTF-8 bytes (others begin with them too, which costs a cut only).
 ODD_PAIRS = np.zeros(1 << 16, bool)
-ODD_PAIRS[[0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]] = True
+ODD_PAIRS[[0xC285, 0xC2A0, 0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380]] = True
+#: Bits of the first 0 to 8 bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash of each piece buffer[start:end], by differences of running sums, mixed with its length.
-
-    The running sums are taken in stretches, so that the powers' table stays small.
-    """
-    out = np.zeros(len(starts), np.uint64)
-    power, inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-    stretch = 1 << 16
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * stretch, power)])
-    inverses = np.cumprod(np.r_[np.uint64(1), np.full(2 * stretch, inverse)])
-    at = 0
-    while at < len(starts):
-        origin = int(starts[at])
-        upto = max(at + 1, int(np.searchsorted(starts, origin + stretch)))
-        stop = int(ends[at:upto].max())
-        if stop - origin > 2 * stretch:  # a piece of over 64 KB: by itself
-            piece = buffer[origin : int(ends[at])].tobytes()
-            out[at], at = hash(piece) & 0xFFFFFFFFFFFFFFFF ^ base, at + 1
-            continue
-        sums = np.zeros(stop - origin + 1, np.uint64)
-        np.cumsum((buffer[origin:stop].astype(np.uint64) + np.uint64(1)) * powers[: stop - origin], out=sums[1:])
-        lo, hi = starts[at:upto] - origin, ends[at:upto] - origin
-        out[at:upto] = (sums[hi] - sums[lo]) * inverses[lo]
-        at = upto
-    out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+def packed(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first SHORT bytes of each piece as two numbers, zero past its end."""
+    padded = np.concatenate([buffer, np.zeros(SHORT, np.uint8)])
+    at = np.ndarray((len(buffer) + 8,), "<u8", padded, 0, (1,))  # the number at every byte
+    low = at[starts] & FIRST[np.minimum(sizes, 8)]
+    return low, at[np.minimum(starts + 8, len(buffer))] & FIRST[np.clip(sizes - 8, 0, 8)]
 
 
 class PieceTable:
@@ -58,7 +36,8 @@ class PieceTable:
     def __init__(self, fill: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], entries: int = ENTRIES):
         self.fill, self.entries = fill, entries
         self.mask = (1 << (2 * entries - 1).bit_length()) - 1
-        self.key, self.check = np.zeros(entries, np.uint64), np.zeros(entries, np.uint64)
+        self.low, self.high, self.bytes = np.zeros(entries, np.uint64), np.zeros(entries, np.uint64), np.zeros(entries, np.uint8)
+        self.long: dict[bytes, int] = {}
         self.entry = np.full(self.mask + 1, -1, np.int32)
         self.start, self.length = np.zeros(entries, np.int64), np.zeros(entries, np.int32)
         self.values, self.size, self.used = np.zeros(1 << 16, np.uint32), 0, 0
@@ -66,23 +45,31 @@ class PieceTable:
     def _halve(self) -> None:
         kept = self.used // 2
         self.size, self.used = int(self.start[kept]), kept
+        self.long = {p: e for p, e in self.long.items() if e < kept}
         self.entry.fill(-1)
-        self._put(self.key[:kept], np.arange(kept, dtype=np.int32))
-
-    def _find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Entry of each pair of hashes, or -1: linear probing, all open pairs a step at a time."""
-        out = np.full(len(h), -1, np.int32)
-        slot, open_ = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+        self._put(np.flatnonzero(self.bytes[:kept] <= SHORT).astype(np.int32))
+
+    def _slot(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (high >> np.uint64(31))) + size.astype(np.uint64)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return ((h >> np.uint64(20)) & np.uint64(self.mask)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entry of each short piece, or -1: linear probing, all open pieces a step at a time."""
+        out = np.full(len(low), -1, np.int32)
+        slot, open_ = self._slot(low, high, size), np.arange(len(low))
         while len(open_):
             e = self.entry[slot]
-            same = (e >= 0) & (self.key[e] == h[open_]) & (self.check[e] == c[open_])
+            same = (e >= 0) & (self.low[e] == low[open_]) & (self.high[e] == high[open_]) & (self.bytes[e] == size[open_])
             out[open_[same]] = e[same]
             more = (e >= 0) & ~same
             open_, slot = open_[more], (slot[more] + 1) & self.mask
         return out
 
-    def _put(self, h: np.ndarray, entries: np.ndarray) -> None:
-        slot, open_ = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+    def _put(self, entries: np.ndarray) -> None:
+        slot, open_ = self._slot(self.low[entries], self.high[entries], self.bytes[entries]), np.arange(len(entries))
         while len(open_):
             free = self.entry[slot] < 0
             self.entry[slot[free]] = entries[open_[free]]  # of several for one slot, the last stays
@@ -91,55 +78,57 @@ class PieceTable:
 
     def __call__(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of all pieces in turn, how many each has)."""
-        n = len(starts)
-        if not n:
+        if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        h, c = hashes(buffer, starts, ends, FIND), hashes(buffer, starts, ends, CONFIRM)
-        found = self._find(h, c)
+        sizes, raw = ends - starts, buffer.tobytes()
+        low, high = packed(buffer, starts, sizes)
+        found = np.full(len(starts), -1, np.int32)
+        short = sizes <= SHORT
+        found[short] = self._find(low[short], high[short], sizes[short])
+        for i in np.flatnonzero(~short & (sizes <= LONGEST)).tolist():
+            found[i] = self.long.get(raw[starts[i] : ends[i]], -1)
         lost = np.flatnonzero(found < 0)
-        fresh_values, fresh_start, fresh_length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        which = np.zeros(0, np.int64)
-        if len(lost):
-            order = lost[np.lexsort((c[lost], h[lost]))]
-            new = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])]
-            first = order[new]
-            which = np.empty(n, np.int64)
-            which[order] = np.cumsum(new) - 1
-            raw = buffer.tobytes()
-            fresh_values, fresh_length = self.fill([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-            fresh_length = fresh_length.astype(np.int64)
-            fresh_start = np.cumsum(fresh_length) - fresh_length
+        fresh: dict[bytes, int] = {}
+        which = np.fromiter((fresh.setdefault(raw[a:b], len(fresh)) for a, b in zip(starts[lost].tolist(), ends[lost].tolist())), np.int64, len(lost))
         base = np.where(found >= 0, self.start[found], 0)
         length = np.where(found >= 0, self.length[found], 0).astype(np.int64)
         pool = self.values[: self.size]
-        if len(lost):
-            base[lost] = len(pool) + fresh_start[which[lost]]
-            length[lost] = fresh_length[which[lost]]
-            pool = np.concatenate([pool, fresh_values.astype(np.uint32)])
+        if fresh:
+            values, lengths = self.fill(list(fresh))
+            values, lengths = values.astype(np.uint32), lengths.astype(np.int64)
+            begins = np.cumsum(lengths) - lengths
+            base[lost], length[lost] = len(pool) + begins[which], lengths[which]
+            pool = np.concatenate([pool, values])
         total = np.cumsum(length)
         at = np.repeat(base - (total - length), length)
         at += np.arange(len(at))
         out = pool[at]
-        if len(lost):
-            keep = np.flatnonzero((ends - starts)[first] <= LONGEST)
-            if self.used + len(keep) > self.entries:
-                self._halve()
-            keep = keep[: self.entries - self.used]
-            self._add(h[first[keep]], c[first[keep]], fresh_values, fresh_start[keep], fresh_length[keep])
+        if fresh:
+            first = np.empty(len(fresh), np.int64)
+            first[which[::-1]] = lost[::-1]
+            self._add(list(fresh), low[first], high[first], values, begins, lengths)
         return out, length
 
-    def _add(self, h, c, values, starts, lengths) -> None:
-        entries = np.arange(self.used, self.used + len(h), dtype=np.int32)
+    def _add(self, pieces: list[bytes], low, high, values, begins, lengths) -> None:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        keep = np.flatnonzero(sizes <= LONGEST)
+        over = keep[sizes[keep] > SHORT]
+        if self.used + len(keep) > self.entries or len(self.long) + len(over) > LONG_ENTRIES:
+            self._halve()
+        over = over[max(0, LONG_ENTRIES - len(self.long)) :]
+        keep = np.setdiff1d(keep, over, assume_unique=True)[: self.entries - self.used] if len(over) else keep[: self.entries - self.used]
+        entries = np.arange(self.used, self.used + len(keep), dtype=np.int32)
+        begins, lengths, sizes = begins[keep], lengths[keep], sizes[keep]
         total = int(lengths.sum())
         if self.size + total > len(self.values):
             self.values = np.concatenate([self.values, np.zeros(max(total, len(self.values) // 2), np.uint32)])
         ends = np.cumsum(lengths)
-        at = np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-        self.values[self.size : self.size + total] = values[at]
+        self.values[self.size : self.size + total] = values[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
         self.start[entries], self.length[entries] = self.size + ends - lengths, lengths
-        self.key[entries], self.check[entries] = h, c
-        self.size, self.used = self.size + total, self.used + len(h)
-        self._put(h, entries)
+        self.low[entries], self.high[entries], self.bytes[entries] = low[keep], high[keep], sizes
+        self.size, self.used = self.size + total, self.used + len(keep)
+        self.long.update((pieces[k], e) for k, e, n in zip(keep.tolist(), entries.tolist(), sizes.tolist()) if n > SHORT)
+        self._put(entries[sizes <= SHORT])
 
 
 def cuts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -161,26 +150,15 @@ def cuts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 class ByteEncoder:
-    """Ids of whole texts under a byte-level vocabulary: pieces from one table, their pre-tokens from another.
+    """Ids of whole texts under a byte-level vocabulary, by a table of pieces.
 
-    words(pre-tokens as UTF-8) -> (ids of all, how many each has). Special strings become their own id.
+    encode(pieces as UTF-8) -> (ids of all, how many each has). Special strings become their own id.
     """
 
-    def __init__(self, words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], specials: dict[str, int], pattern: str, entries: int = ENTRIES):
-        self.find = regex.compile(pattern).findall
-        self.words, self.pieces = PieceTable(words, entries), PieceTable(self._fill, entries)
-        self.specials = specials
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], specials: dict[str, int], entries: int = ENTRIES):
+        self.pieces, self.specials = PieceTable(encode, entries), specials
         self.split = re.compile("(" + "|".join(map(re.escape, specials)) + ")").split if specials else None
 
-    def _fill(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        tokens = [self.find(p.decode()) for p in pieces]
-        raw = [w.encode() for ws in tokens for w in ws]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        starts = np.r_[0, ends[:-1]] if len(ends) else ends
-        ids, length = self.words(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
-        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, tokens), np.int64, len(tokens)))
-        return ids, np.bincount(owner, weights=length, minlength=len(pieces)).astype(np.int64)
-
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode() for t in texts]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -201,3 +179,9 @@ class ByteEncoder:
             plain = iter(self._plain([p for p in parts if p not in self.specials]))
             out[i] = np.concatenate([np.array([self.specials[p]], np.uint32) if p in self.specials else next(plain) for p in parts])
         return out
+
+
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends) of byte strings laid end to end."""
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    return np.frombuffer(b"".join(parts), np.uint8), np.r_[0, ends][: len(ends)], ends

@@ -1,4 +1,4 @@
-"""Vocabulary files and their patterns, and a bounded cache of the words seen by a Python worker."""
+"""Vocabulary files, their normal forms and pre-tokens, and a bounded cache of the words seen by a Python worker."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import json
 from collections.abc import Callable, Iterable
 from itertools import islice
 
-#: The pre-token patterns of the two public vocabularies.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
 #: Pieces a worker remembers at most, and the longest that it does.
 CACHE_PIECES, CACHE_CHARS = 400_000, 48
 
@@ -32,6 +28,18 @@ def load_vocabulary(path: str) -> dict:
     return {"vocab": j["model"]["vocab"], "merges": merges, "specials": {t["content"]: t["id"] for t in j["added_tokens"]}}
 
 
+def pre_tokenizer(path: str) -> Callable[[str], list[str]]:
+    """The pre-tokens of a text in the letters of a vocabulary file, after its normal form. Both are the public library's own,
+    so that its Unicode tables hold whatever those of Python are."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    normal, cut = t.normalizer, t.pre_tokenizer
+    if normal is None:
+        return lambda text: [w for w, _ in cut.pre_tokenize_str(text)]
+    return lambda text: [w for w, _ in cut.pre_tokenize_str(normal.normalize_str(text))]
+
+
 class Cache:
     """A dict that forgets its later half when full: frequent pieces come early. ``fill(missing)`` gives values in order.
 

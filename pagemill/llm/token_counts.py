@@ -4,34 +4,32 @@ from __future__ import annotations
 
 import heapq
 import re
-import unicodedata
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text
-from .piece_table import PieceTable
-from .pretokens import WORD_PATTERN, byte_letters, load_vocabulary
+from .piece_table import PieceTable, joined
+from .pretokens import load_vocabulary, pre_tokenizer
 
 
 class Counter:
-    """Counts tokens of a vocabulary with word ends: its normal form is NFC, then white space dropped, then lower case."""
+    """Counts tokens of a vocabulary with word ends, whose pre-tokens are the library's and hold no white space."""
 
     def __init__(self, path: str, suffix: str = "</w>"):
         v = load_vocabulary(path)
-        vocab, self.letters, self.suffix = v["vocab"], byte_letters(), suffix
+        vocab, self.suffix = v["vocab"], suffix
         self.symbol = {s: i for s, i in vocab.items() if len(s.removesuffix(suffix)) <= 1}
         self.merges = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(v["merges"])}
-        self.find = regex.compile(WORD_PATTERN).findall
+        self.cut = pre_tokenizer(path)
         self.specials = sorted(v["specials"])
         self.split = re.compile("|".join(map(re.escape, self.specials))).split
         self.words, self.pieces = PieceTable(self._words), PieceTable(self._pieces)
 
-    def word(self, word: bytes) -> int:
+    def word(self, word: str) -> int:
         """Initial symbols less merges: pops the lowest rank, leftmost first, until no pair is left."""
-        shown = [self.letters[b] for b in word]
+        shown = list(word)
         shown[-1] += self.suffix
         ids = [self.symbol[c] for c in shown if c in self.symbol]
         n = left = len(ids)
@@ -58,14 +56,12 @@ class Counter:
         return left
 
     def _words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromiter(map(self.word, new), np.uint32, len(new)), np.ones(len(new), np.int64)
+        return np.fromiter((self.word(w.decode()) for w in new), np.uint32, len(new)), np.ones(len(new), np.int64)
 
     def _pieces(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The counts of pieces between white space, from those of their words."""
-        found = [self.find(unicodedata.normalize("NFC", p.decode()).replace("Σ", "σ").lower()) for p in new]
-        raw = [w.encode() for ws in found for w in ws]
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-        counts, _ = self.words(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends][: len(ends)], ends)
+        found = [self.cut(p.decode()) for p in new]
+        counts, _ = self.words(*joined([w.encode() for ws in found for w in ws]))
         owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, found), np.int64, len(found)))
         return np.bincount(owner, weights=counts, minlength=len(new)).astype(np.uint32), np.ones(len(new), np.int64)
 

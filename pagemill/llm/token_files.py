@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import id_ranges, removed, session, shared_dir, written
 from .piece_table import ByteEncoder
-from .pretokens import BYTE_PATTERN, load_vocabulary
+from .pretokens import load_vocabulary
 
 SCALE, LOW = 20, 31
 MASK = np.uint64((1 << SCALE) - 1)
@@ -143,7 +143,8 @@ _encoders: dict[str, ByteEncoder] = {}
 
 
 def library_encoder(path: str) -> ByteEncoder:
-    """Ids of whole texts by the tokenizers library, which encodes each distinct pre-token once while it is remembered."""
+    """Ids of whole texts by the tokenizers library, which encodes each distinct piece between single spaces once while it is
+    remembered: no pre-token of a byte-level vocabulary spans such a space, so the ids are those of the whole text."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -154,11 +155,11 @@ def library_encoder(path: str) -> ByteEncoder:
         specials = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         t.encode_special_tokens = True  # special strings are cut out before
 
-        def words(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        def pieces(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             ids = [e.ids for e in t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-        _encoders[path] = ByteEncoder(words, specials, BYTE_PATTERN)
+        _encoders[path] = ByteEncoder(pieces, specials)
     return _encoders[path]
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm import bpe_codec, embedding_dedup, host_reputation, mixing, secrets, simhash, token_counts, token_files, toxicity, winnowing
+from pagemill.llm import bpe_codec, embedding_dedup, host_reputation, mixing, piece_table, secrets, simhash, token_counts, token_files, toxicity, winnowing
 from pagemill.llm.components import connected_components
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -58,6 +58,45 @@ def test_bpe_equals_the_library_and_round_trips(docs, empty):
     assert bpe_codec.encode(empty, BYTE, ["doc_id"]).count() == 0
 
 
+def thue_morse(n, a, b):
+    x = a
+    while len(x) < n:
+        x += x.translate(str.maketrans(a + b, b + a))
+    return x
+
+
+def test_encoders_are_exact_on_hard_texts(spark):
+    # words on which polynomial hashes modulo 2**64 collide, pieces of over 64 KB, NULs at ends, letters that Unicode versions differ on
+    hard = [thue_morse(n, *ab) for n in (512, 1024, 4096) for ab in ("aq", "qa", "et", "te")]
+    hard += ["x" * 70_000 + "y", "x" * 70_000 + "z", "w " * 40_000, "a", "a\0", "a\0\0", " a", " a\0 b", "\ua7cb", "\u00e7\U00016ff2", "a\u3000 b \u2003c"]
+    rng = random.Random(9)
+    ranges = [(32, 127), (9, 14), (32, 33), (128, 0x3100), (0xA700, 0xD7FF), (0x10000, 0x1FFFF)]
+    hard += ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randint(1, 30))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string").coalesce(1)
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    ids = {r.doc_id: r.ids for r in bpe_codec.encode(df, BYTE, ["doc_id"]).collect()}
+    files = {r.doc_id: np.frombuffer(r.ids, "<u4")[:-1].tolist() for r in token_files.token_files(df, BYTE).collect()}
+    shas = {r.doc_id: r.decoded_sha256 for r in bpe_codec.round_trip(df, BYTE, ["doc_id"]).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, WORD, ["doc_id"]).collect()}
+    for i, x in enumerate(hard):
+        want = byte.encode(x, add_special_tokens=False).ids
+        assert ids[i] == want == files[i], x[:60]
+        assert shas[i] == hashlib.sha256(byte.decode(want, skip_special_tokens=False).encode()).hexdigest()
+        assert counts[i] == len(word.encode(x, add_special_tokens=False).ids), x[:60]
+
+
+def test_a_full_piece_table_stays_exact():
+    made = []
+    table = piece_table.PieceTable(lambda new: (made.append(len(new)), (np.array([b for p in new for b in p], np.uint32), np.array([len(p) for p in new])))[1], entries=64)
+    rng = random.Random(3)
+    for _ in range(60):
+        pieces = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([1, 2, 3, 8, 9, 16, 17, 30, 60]))) for _ in range(40)]
+        values, length = table(*piece_table.joined(pieces))
+        assert values.tolist() == [b for p in pieces for b in p] and length.tolist() == list(map(len, pieces))
+        assert table.used <= 64
+    assert sum(made) < 60 * 40
+
+
 def test_merges_of_a_repeated_symbol_and_of_later_lower_ranks():
     m = bpe_codec.Merger({"a": 0, "b": 1, "aa": 2, "ab": 3, "aaa": 4}, [("a", "a"), ("aa", "a")])
     s, w = m(np.array([0, 0, 0, 0, 0, 0, 1]), np.array([0, 0, 0, 0, 0, 1, 1]))
