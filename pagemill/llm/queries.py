@@ -65,4 +65,4 @@ QUERIES = {
         op9_winnowing, op10_secrets,
     )
 }
-ORACLE_SQL = {"op3_host_reputation": host_reputation.ORACLE}
+ORACLE_SQL = {"op3_host_reputation": host_reputation.ORACLE, "op5_mixing": mixing.ORACLE}

@@ -229,7 +229,7 @@ def test_mixing(docs, empty):
     taken = {s: sum(r.taken for r in got if r.source == s) for s in names}
     for s in names:
         assert all(abs(r.target - target[s]) < 1e-6 * target[s] for r in got if r.source == s)
-        assert abs(taken[s] - target[s]) <= max(4 * mixing.MIN_BLOCK, 0.02 * target[s])
+        assert abs(taken[s] - target[s]) <= 0.5
     assert mixing.mix(empty, ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, ["doc_id", "size"])
@@ -242,11 +242,17 @@ def test_mixing_meets_the_targets_of_small_sources(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sums = mixing.mix(df, ["source"]).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert len(sums) == 201 and all(abs(r.taken - r.target) <= 0.5 for r in sums)
-    # the schedule's slots agree with what is taken, but for their discrepancy
-    few = spark.createDataFrame([("a", 5000), ("b", 3000), ("c", 20)], "source string, source_size long")
-    of = mixing.targets(few).collect()
-    turns = {r.rank: r["count"] for r in mixing.schedule(spark, mixing.targets(few), sum(r.target for r in of), 16).groupBy("rank").count().collect()}
-    assert all(abs(16 * turns.get(r.rank, 0) - r.target) <= 16 * 6 for r in of)
+    # a slot for each block of each source, and no stretch of slots is far from the shares
+    few = spark.createDataFrame([("a", 500_000), ("b", 300_000), ("c", 20), ("d", 0)], "source string, source_size long")
+    sources = mixing.in_blocks(mixing.targets(few), 64)
+    of = {r["rank"]: r for r in sources.collect()}
+    slots = sorted(tuple(r) for r in mixing.schedule(spark, sources).collect())
+    assert len({s for s, _, _ in slots}) == len(slots) == sum(r.blocks for r in of.values())
+    assert sorted((r, t) for _, r, t in slots) == sorted((k, t) for k, r in of.items() for t in range(r.blocks))
+    assert all(r.blocks * r.block >= r.goal > (r.blocks - 1) * r.block for r in of.values() if r.goal)
+    for n in range(100, len(slots), 997):
+        for k, r in of.items():
+            assert abs(sum(x == k for _, x, _ in slots[:n]) - n * r.blocks / len(slots)) < 6
 
 
 def test_winnowing(docs, empty):
