@@ -42,14 +42,16 @@ def sentences(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights of the hashed features and the bias of a sentence's logit."""
+    """Weights of the hashed features; a sentence's logit is their sum, the bias, and less ``slope`` times the logarithm of the
+    sentences of its document: so the share that clean sentences add to the noisy-or doesn't grow with the document."""
 
     weights: np.ndarray
     bias: float
+    slope: float = 0.0
 
     def scorer(self):
         """score(text) -> (document score, index of its highest sentence, that sentence's score)."""
-        weights, bias = self.weights, self.bias
+        weights, bias, slope = self.weights, self.bias, self.slope
 
         def word(w: str) -> float:
             return float(sum(weights[f] for f in features(w)))
@@ -62,7 +64,8 @@ class Model:
             value = words(every).__getitem__
             out = []
             for ss in split:
-                logits = np.array([sum(map(value, s)) for s in ss if s] or [0.0]) + bias
+                logits = np.array([sum(map(value, s)) for s in ss if s] or [0.0])
+                logits += bias - slope * np.log(len(logits))
                 log_clean = -np.logaddexp(0, logits)  # log(1 - p) of each sentence
                 top = int(logits.argmax())
                 out.append((float(-np.expm1(log_clean.sum())), top, float(-np.expm1(log_clean[top]))))
@@ -72,13 +75,13 @@ class Model:
         return of
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.15, l2: float = 2e-6) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.15, l2: float = 1e-4) -> Model:
     """Gradient steps (Adam) on the noisy-or likelihood, both classes weighing alike.
 
     A row is (label, lengths of its sentences, features of all of them in turn). Without rows of both classes, the model says the one class there is (0 if none).
     """
     labels = np.array([y for y, _, _ in rows], float)
-    w, b = np.zeros(FEATURES), -6.0
+    w, b, slope = np.zeros(FEATURES), -6.0, 0.5
     if not len(rows) or labels.min() == labels.max():
         return Model(w.astype(np.float32), 2.0 if len(rows) and labels[0] == 1 else b)
     lengths = [x if len(x) else np.zeros(1, np.int32) for _, x, _ in rows]
@@ -89,21 +92,21 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 200, rate:
     used, feat = np.unique(feat, return_inverse=True)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(rows)
     v = np.zeros(len(used))
-    m1, m2, g1, g2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    several = np.log(np.bincount(doc))[doc]
+    m1, m2 = np.zeros(len(used) + 2), np.zeros(len(used) + 2)  # moments of v, b and slope
     for t in range(1, steps + 1):
-        z = np.bincount(sent, weights=v[feat], minlength=n) + b
+        z = np.bincount(sent, weights=v[feat], minlength=n) + b - slope * several
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         clean = np.bincount(doc, weights=-np.logaddexp(0, z), minlength=len(rows))  # log P(no sentence offends)
         dirty = -np.expm1(np.minimum(clean, -1e-12))
         # d loss / d z of a sentence: p for a clean document, -p (1 - P) / P for a toxic one
         dz = (weight * np.where(labels == 1, -np.exp(clean) / dirty, 1.0))[doc] * p
-        gv, gb = np.bincount(feat, weights=dz[sent], minlength=len(used)) + l2 * v, dz.sum()
-        m1, m2, g1, g2 = 0.9 * m1 + 0.1 * gv, 0.99 * m2 + 0.01 * gv * gv, 0.9 * g1 + 0.1 * gb, 0.99 * g2 + 0.01 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        v -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-9)
-        b -= rate * (g1 / c1) / (np.sqrt(g2 / c2) + 1e-9)
+        g = np.r_[np.bincount(feat, weights=dz[sent], minlength=len(used)) + l2 * v, dz.sum(), -(dz * several).sum()]
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        go = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
+        v, b, slope = v - go[:-2], b - go[-2], max(0.0, slope - go[-1])
     w[used] = v
-    return Model(w.astype(np.float32), float(b))
+    return Model(w.astype(np.float32), float(b), float(slope))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -131,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
 
     Ids that the split holds out, null ids and labels other than 0 and 1 aren't used; of repeated labels of an id
     the highest counts. The ids are chosen on labels alone, then that many documents are read out of docs by a
-    broadcast of those ids and written. Executors count the features of whole texts, of which those that tell the classes
+    broadcast of those ids and written, one row for each id. Executors count the features of whole texts, of which those that tell the classes
     apart are kept (a bounded table); what comes to the driver is those features of the sample's sentences.
     """
     spark = session(docs)
@@ -143,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     if not ids:
         return fit([])
     picked = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int"))  # as many rows as the sample at most
-    texts = written(docs.select(key.alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(picked, "doc_id"))
+    src = docs.select(key.alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    # of the rows of a sampled id one is used, the least by a hash, so there are as many texts as the sample at most
+    texts = written(src.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     rate = len(chosen[1]) / len(ids)
     told = texts.select("y", "text").mapInArrow(_frequencies, "f long, n long, toxic long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     beyond = F.col("toxic") - F.col("n") * rate >= SIGNIFICANT * F.sqrt(F.col("n") * rate * (1 - rate))

@@ -367,6 +367,42 @@ def test_toxicity(spark):
     said = toxicity.located(docs.where("doc_id is null"), model, ["doc_id"]).first().sentences
     assert len(said) == 1 and "moron" in said[0].text
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), marks.limit(0)), ["doc_id"]).count() == 0
+    # a plain noisy-or of the sentences' logits gives the same scores
+    text = dict(rows)
+    for r in got[:200]:
+        ss = [s for s in re.split(r"[.!?\n]+", text[r.doc_id] or "") if s.strip()] or [""]
+        clean = 1.0
+        for x in ss:
+            z = sum(float(model.weights[f]) for w in x.split() for f in toxicity.features(w)) + model.bias - model.slope * np.log(len(ss))
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(r.score - (1 - clean)) < 1e-6
+    # columns named as what is added are an error, not a mix-up; rows of one sampled id are one example
+    with pytest.raises(ValueError):
+        toxicity.score(docs.withColumn("score", F.lit(1)), model, ["doc_id", "score"])
+    assert toxicity.score(docs.withColumn("score", F.lit("x")).withColumn("predicted", F.lit(2)), model, ["doc_id"]).count() == len(rows)
+    again = toxicity.train(docs.unionByName(docs).repartition(5), marks.unionByName(marks))
+    assert abs(again.bias - model.bias) < 1e-9 and np.array_equal(again.weights, model.weights)
+
+
+def test_toxicity_of_long_documents():
+    # clean documents of any length are left alone, and one bad sentence in a long one is found
+    rng = random.Random(5)
+    words, bad = [f"w{i}" for i in range(300)], ["moron", "idiotic"]
+    vocab = {w: i for i, w in enumerate(words + bad)}
+
+    def document(n, toxic):
+        ss = [[rng.choice(words) for _ in range(6)] for _ in range(n)]
+        if toxic:
+            ss[rng.randrange(n)][0] = rng.choice(bad)
+        return int(toxic), np.full(n, 6, np.int32), np.array([vocab[w] for x in ss for w in x], np.int32)
+
+    model = toxicity.fit([document(rng.choice([1, 3, 10, 40]), i % 3 == 0) for i in range(900)])
+    assert model.slope > 0
+    for n in (1, 20, 400, 4000):
+        for toxic in (False, True):
+            _, lengths, found = document(n, toxic)
+            z = model.weights[found].reshape(n, 6).sum(axis=1) + model.bias - model.slope * np.log(n)
+            assert (-np.expm1(-np.logaddexp(0, z).sum()) >= 0.7) == toxic, (n, toxic)
 
 
 def test_embeddings(spark):
