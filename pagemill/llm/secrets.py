@@ -4,6 +4,7 @@ begin, inside or outside, decoded by Viterbi."""
 from __future__ import annotations
 
 import pickle
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_text, removed, session, written
-from .pretokens import CACHE_CHARS, CACHE_PIECES, Cache
+from .pretokens import Cache
 
 #: Kinds in their order with pattern, the group whose length counts, and the least length.
 BASE = (
@@ -23,14 +24,15 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),  # a run of fewer never grows into one of more
 )
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "api", "key", "auth", "bearer", "credential", "private")
-TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+|[^\sA-Za-z0-9+/_\-]")
-#: Tags; hashed feature space; labelled documents that a model is fitted on at most.
+#: A run of what keys are made of, a run of other letters, or a single mark.
+TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+|[^\x00-\x7f]+|[^\sA-Za-z0-9+/_\-]")
+#: Tags; hashed feature space; labelled documents that a model is fitted on at most, with and without a base match each.
 O, B, I = 0, 1, 2
-FEATURES, SAMPLE = 1 << 12, 800
-#: Words on either side of a seed that the dynamic programme covers.
-REACH = 6
+FEATURES, SAMPLE = 1 << 12, 500
 #: Bytes that weigh in the file's features.
 CODE = "={};()"
+#: Places whose tokens a token's features look at besides itself.
+NEAR = (-3, -2, -1, 1)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -44,17 +46,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(kind, a, b) for a, _, kind, b in sorted(found)]
 
 
+SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(97 + i): "a" for i in range(26)}, **{chr(65 + i): "A" for i in range(26)}, "/": "-", "+": "-", "_": "-"})
+HEX, PREFIX = "0123456789abcdefABCDEF", re.compile(r"[A-Za-z]{2,6}[_-](?:[a-z]{2,6}[_-])?[A-Za-z0-9]{12}")
+NO_VOWELS = {ord(c): None for c in "aeiouAEIOU"}
+
+
+def size_of(n: int) -> str:
+    return "1" if n == 1 else "s" if n < 8 else "m" if n < 12 else "M" if n < 16 else "l" if n < 24 else "x" if n < 40 else "X"
+
+
+def vowel_share(token: str, letters: int) -> str:
+    if letters < 6:
+        return "0"
+    vowels = len(token) - len(token.translate(NO_VOWELS))
+    return "l" if 8 * vowels < letters else "m" if 4 * vowels < letters else "h"
+
+
+def variety(token: str, n: int) -> str:
+    return "l" if 2 * len(set(token)) < min(n, 24) else "h"
+
+
 def shape(token: str) -> list[str]:
-    """What a token looks like: its character classes, length, changes between classes and variety."""
-    kinds = ["d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "-" for c in token]
-    n, digits = len(kinds), kinds.count("d")
-    size = "1" if n == 1 else "s" if n < 8 else "m" if n < 16 else "l" if n < 24 else "x"
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    """What a token looks like: its character classes, length, changes between classes, variety, and how word-like it is."""
+    n = len(token)
+    if ord(token[0]) > 127:
+        return ["other letters"]
+    kinds = token.translate(SHAPES)
+    digits, letters = kinds.count("d"), n - kinds.count("d") - kinds.count("-")
+    size, vowels, many = size_of(n), vowel_share(token, letters), variety(token, n)
+    turns = sum(map(str.__ne__, kinds, kinds[1:]))
     classes = "".join(sorted(set(kinds)))
-    mixed = "0" if not digits or digits == n else "l" if 5 * digits < n else "h"
-    hexa = not token.strip(HEX)
+    mixed = "0" if not digits or digits == n else "l" if 8 * digits < n else "h"
     turny = "0" if not turns else "1" if turns < 3 else "2" if 4 * turns < n else "3"
-    return [f"c{classes}", f"n{size}", f"m{mixed}{size}", f"t{turny}{size}", f"h{int(hexa)}{size}{mixed}", f"c{classes}{size}"]
+    hexa = bool(letters and digits and not token.strip(HEX) and "-" not in kinds)
+    out = [f"c{classes}", f"n{size}", f"m{mixed}{size}", f"t{turny}{size}", f"h{int(hexa)}{size}{mixed}", f"c{classes}{size}", f"v{vowels}{size}", f"u{many}{turny}{size}"]
+    return out + ["prefix"] * bool(PREFIX.match(token))
 
 
 def _hash(s: str) -> int:
@@ -66,22 +92,24 @@ def own_features(token: str) -> list[int]:
 
 
 def neighbour_features(token: str, at: int) -> list[int]:
-    """Of a token ``at`` places before (negative) or after the tagged one."""
+    """Of a token ``at`` places before (negative) or after the tagged one: a word that a secret often follows, a mark, or
+    that it looks like a part of a key."""
     word = said(token)
     mark = token if len(token) == 1 and not token.isalnum() and ord(token) < 128 else ""
-    return [_hash(f"{at} {word}")] * bool(word) + [_hash(f"{at} {mark}")] * bool(mark)
+    big = abs(at) == 1 and BIG(token) is not None
+    return [_hash(f"{at} {word}")] * bool(word) + [_hash(f"{at} {mark}")] * bool(mark) + [_hash(f"{at} big")] * big
+
+
+BIG = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_\-]{16,}").match
 
 
 def said(token: str) -> str:
-    """The first of the words that a secret often follows, in a token that isn't too long to be remembered."""
+    """The first of the words that a secret often follows."""
     low = token.lower()
-    return next((w for w in WORDS if w in low), "") if len(low) <= CACHE_CHARS else ""
+    return next((w for w in WORDS if w in low), "")
 
 
-#: Whether a word can hold a mark or one of the words; character classes of a shape; digits of a hexadecimal number.
-LENDS = re.compile(r"(?i)[!-*,.:-@\[-^`{-~]|" + "|".join(WORDS)).search
-SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(97 + i): "a" for i in range(26)}, **{chr(65 + i): "A" for i in range(26)}, "/": "-", "+": "-", "_": "-"})
-HEX = "0123456789abcdef"
+KEYED = re.compile("|".join(WORDS), re.I).search
 
 
 def file_feature(text: str) -> int:
@@ -90,9 +118,6 @@ def file_feature(text: str) -> int:
     return _hash(f"file {0 if 200 * n < len(text) else 1 if 50 * n < len(text) else 2}")
 
 
-NEAR = (-3, -2, -1, 1)
-
-
 def sequence_features(tokens: list[str], file: int) -> list[list[int]]:
     return [
         [file, *own_features(t), *(f for d in NEAR if 0 <= i + d < len(tokens) for f in neighbour_features(tokens[i + d], d))] for i, t in enumerate(tokens)
@@ -123,45 +148,54 @@ class Model:
 class Scanner:
     """spans(texts): what Viterbi tags in whole texts.
 
-    A tagged run of the best path gains over leaving all of it outside, so it holds a seed: a token whose own, file and
-    neighbour scores make up for one transition within a run (entering and leaving one gains nothing, or that is added).
-    Bounds of these scores are remembered by word (a run of visible characters), seeds are found over the whole
-    text with them, and the dynamic programme runs on the stretches within REACH words of a seed.
+    A tagged run of the best path gains over leaving all of it outside. What a token can gain has a bound: its own, file and
+    neighbour scores and the best transition within a run. Bounds are remembered by word (a run of visible characters). A
+    word through which no run's bounds sum to a gain is outside on the best path: such words are found over the whole text
+    by running sums, and the dynamic programme runs on all stretches between them, which gives the best path of the
+    whole text.
     """
 
     def __init__(self, model: Model):
         self.model, step = model, model.step
         self.over = model.emit[:, [B, I]].max(axis=1) - model.emit[:, O]
-        enter, leave = step[O, [B, I]].max() - step[O, O], step[[B, I], O].max() - step[O, O]
-        self.edge = float(max(0.0, step[1:, 1:].max() - step[O, O]) + max(0.0, enter + leave))
-        self.shapes, self.marks = {}, {}
-        self.bounds = Cache(lambda new: [complex(self._own(w), self._lent(w)) for w in new])  # own and lent in one number
-
-    def _own(self, word: str) -> float:
-        """The most that a token of the word gains by itself over outside."""
-        top = -1e9
+        self.inner = float(step[1:, 1:].max() - step[O, O])
+        self.least = -float(step[O, 1:].max() + step[1:, O].max() - 2 * step[O, O] - self.inner) - 1e-6
+        self.marks = {}
+        self.shapes: dict = {}
+        self.bounds = Cache(lambda new: [self._word(w) for w in new])
+
+    def _token(self, t: str) -> float:
+        """The most that a token gains by itself."""
+        rest, n = t[1:], len(t)
+        if n == 1:
+            key = t
+        elif rest.isascii() and rest.isalpha() and rest.islower() and t.isascii() and t.isalpha():  # all that shape() looks at
+            key = t[0].islower(), size_of(n), vowel_share(t, n), variety(t, n)
+        else:
+            key = None
+        if (v := self.shapes.get(key)) is None:
+            e = self.model.emit[own_features(t)].sum(axis=0)
+            v = float(max(e[B], e[I]) - e[O]) + self.inner
+            if key is not None:
+                self.shapes[key] = v
+        return v
+
+    def _word(self, word: str) -> complex:
+        """The most that a run of the word's tokens gains by itself, and the most that they add to what is near them."""
+        best = run = -1e9
+        lent, plain = 0.0, not KEYED(word)
         for t in TOKEN.findall(word):
-            key = t.translate(SHAPES), not t.strip(HEX)  # all that own_features looks at
-            if (v := self.shapes.get(key)) is None:
-                if len(self.shapes) > CACHE_PIECES:
-                    self.shapes.clear()
-                e = self.model.emit[own_features(t)].sum(axis=0)
-                v = self.shapes[key] = float(max(e[B], e[I]) - e[O])
-            top = max(top, v)
-        return top
-
-    def _lent(self, word: str) -> float:
-        """The most that the word's tokens add to what is near them."""
-        if not LENDS(word):
-            return 0.0
-        total = 0.0
-        for t in TOKEN.findall(word):
-            if len(t) > 1 or not t.isalnum():
-                key = t if len(t) == 1 else said(t)
-                if key not in self.marks:
-                    self.marks[key] = max([0.0] + [float(self.over[neighbour_features(t, d)].clip(0).sum()) for d in NEAR])
-                total += self.marks[key]
-        return total
+            run = max(run, 0.0) + self._token(t)
+            best = max(best, run)
+            if not (plain and t.isalpha()):
+                lent += self._lends(t)
+        return complex(best, lent)
+
+    def _lends(self, token: str) -> float:
+        key = token if len(token) == 1 else (said(token), BIG(token) is not None)
+        if key not in self.marks:
+            self.marks[key] = sum(max(0.0, float(self.over[neighbour_features(token, d)].clip(0).sum())) for d in NEAR)
+        return self.marks[key]
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -172,26 +206,27 @@ class Scanner:
         return out
 
     def _text(self, text: str, words: list[str], bounds: np.ndarray) -> list[tuple[int, int]]:
+        full = np.flatnonzero(bounds.real > -1e8)
+        if not len(full):
+            return []
         file = file_feature(text)
-        least = -self.edge - max(0.0, float(self.over[file]))
-        gain, near = bounds.real, bounds.imag
-        full = np.flatnonzero(gain > -1e8)
-        near = near[full]
-        around = np.convolve(near, np.ones(5))[1 : 1 + len(near)] if len(near) else near  # itself, 3 before, 1 after
-        seeds = full[gain[full] + around >= least]
-        if not len(seeds):
+        near = bounds.imag[full]
+        gain = bounds.real[full] + np.convolve(near, np.ones(5))[1 : 1 + len(near)] + max(0.0, float(self.over[file]))  # itself, 3 before, 1 after
+        sums = np.cumsum(gain)
+        before, after = sums - np.minimum.accumulate(np.r_[0.0, sums[:-1]]), np.maximum.accumulate(sums[::-1])[::-1] - sums + gain
+        live = np.flatnonzero(before + after - gain > self.least)  # the best sum of a run through each word
+        if not len(live):
             return []
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])
         out = []
-        first = np.flatnonzero(np.r_[True, np.diff(seeds) > 2 * REACH + 1])
-        for x, y in zip(seeds[first].tolist(), seeds[np.r_[first[1:] - 1, len(seeds) - 1]].tolist()):
-            lo, hi = max(0, x - REACH), min(len(words), y + REACH + 1)
-            got = list(TOKEN.finditer(text, int(starts[lo]), int(starts[hi]) - 1))
-            if not got:
-                continue
-            before = [m.group() for m in list(TOKEN.finditer(text, int(starts[max(0, lo - 6)]), int(starts[lo])))[-3:]]
-            after = TOKEN.findall(text, int(starts[hi]) - 1, int(starts[min(len(words), hi + 4)]))[:1]
-            fs = sequence_features([*before, *(m.group() for m in got), *after], file)[len(before) :]
+        cut = np.flatnonzero(np.diff(live) > 1)
+        for lo, hi in zip(live[np.r_[0, cut + 1]].tolist(), live[np.r_[cut, len(live) - 1]].tolist()):
+            at = lambda k: int(starts[full[k]])
+            end = int(starts[full[hi] + 1]) - 1
+            got = list(TOKEN.finditer(text, at(lo), end))
+            back = TOKEN.findall(text, at(max(0, lo - 3)), at(lo))[-3:]
+            more = TOKEN.findall(text, end, int(starts[full[hi + 1] + 1]) - 1)[:1] if hi + 1 < len(full) else []
+            fs = sequence_features([*back, *(m.group() for m in got), *more], file)[len(back) :]
             span = None
             for m, tag in zip(got, self.model.viterbi(np.array([self.model.emit[f].sum(axis=0) for f in fs[: len(got)]]))):
                 if tag == I and span:
@@ -205,25 +240,70 @@ class Scanner:
         return out
 
 
-def _examples(text: str, context: int = 12, apart: int = 1500) -> tuple[list[list[list[int]]], list[list[int]]]:
-    """Feature sequences and tags around each base match, and around places spread over the text, labelled by the base."""
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+B62 = LETTERS + LETTERS.upper() + "0123456789"
+
+
+def made_up(rng: random.Random, words: list[str]) -> tuple[list[tuple[str, bool]], ...]:
+    """Two short passages of (text, whether secret): a key of a common form where the base patterns miss it, and something that
+    looks a little like one but isn't, from words of the document."""
+    of = lambda letters, lo, hi=None: "".join(rng.choices(letters, k=rng.randint(lo, hi or lo)))
+    said = rng.choice(["client_secret", "secret", "the token", "auth", "access_token", "password", "private key", "credentials", "api key", "bearer"])
+    link = rng.choice([" ", " is ", " to be ", ": ", " = ", ' "', " -> ", " of ", "\n"])
+    forms = [
+        [(f"{said}{link}", False), (of(B62, 10, 44), True)],
+        [(f"{said}{link}", False), (of(B62 + "+/", 36, 64), True)],
+        [(f"aws_secret_access_key{rng.choice([' = ', '=', ': '])}", False), (of(B62 + "+/", 40), True)],
+        [(rng.choice(["Authorization: Bearer ", "bearer ", "", "jwt "]), False), (f"eyJ{of(B62 + '_-', 15, 40)}.eyJ{of(B62 + '_-', 20, 90)}.{of(B62 + '_-', 27, 60)}", True)],
+        [("", False), (f"{of(LETTERS, 2, 4)}{rng.choice('_-')}{rng.choice(['', 'live_', 'test_', 'proj-', 'pat_'])}{of(B62, 20, 40)}", True)],
+        [(rng.choice(["", f"{said}{link}"]), False), (of("0123456789ABCDEF", rng.choice([32, 40, 64])), True)],
+        [(rng.choice(["-----BEGIN PRIVATE KEY-----\n", "-----BEGIN RSA PRIVATE KEY-----\n"]), False), ("\n".join(of(B62 + "+/", 64) for _ in range(rng.randint(1, 4))), True), ("\n-----END", False)],
+        [("", False), (of(B62, 32, 64), True)],
+    ]
+    pick = lambda: rng.choice(words)
+    plain = [
+        f"{of('0123456789abcdef', 8)}-{of('0123456789abcdef', 4)}-4{of('0123456789abcdef', 3)}-a{of('0123456789abcdef', 3)}-{of('0123456789abcdef', 12)}",
+        "_".join(pick() for _ in range(rng.randint(2, 5))), "-".join(pick() for _ in range(rng.randint(2, 5))), "/".join(pick() for _ in range(rng.randint(2, 5))) + of("0123456789", 0, 4),
+        "".join(pick().capitalize() for _ in range(rng.randint(2, 5))) + of("0123456789", 0, 2), of("0123456789", 3, 20), "".join(pick() for _ in range(rng.randint(2, 4))),
+        f"20{of('0123456789', 2)}-0{of('123456789', 1)}-1{of('0123456789', 1)}T10:{of('012345', 1)}0:00", f"{pick()}{of('0123456789', 1, 4)}@{pick()}.example.com", ".".join(of("123456789", 1, 3) for _ in range(4)),
+        f"http://{pick()}.example.org/{pick()}/{of('0123456789', 1, 6)}?{pick()}={pick()}", pick().upper() * 2, f"/{pick()}/{pick()}{of('0123456789', 1)}.{of('0123456789', 2)}/{pick()}-{pick()}/{pick()}", f"v{of('0123456789', 1)}.{of('0123456789', 1, 2)}.{of('0123456789', 1)}{rng.choice(['', '-', '-' + pick() + '2'])}", f"the {said} of {pick()}.",
+    ]
+    return rng.choice(forms), [(rng.choice(plain), False)]
+
+
+def _examples(text: str, context: int = 12, spread: int = 3, odd: int = 5, most: int = 20, made: int = 2) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """Feature sequences and tags around ``most`` base matches, labelled by the base; around ``spread`` places and ``odd`` words
+    that aren't prose; and of made-up keys of other forms among words of the text, each with a counterpart that is none."""
     file, tokens = file_feature(text), list(TOKEN.finditer(text))
     tags = np.zeros(len(tokens), int)
     starts = np.array([m.start() for m in tokens])
     spans = [m.span(group) for _, pattern, group, least in BASE for m in pattern.finditer(text) if len(m.group(group)) >= least]
-    centres = list(range(context, len(tokens), apart))
+    rng = random.Random(zlib.crc32(text.encode()))
+    hits = []
     for a, b in sorted(spans):
         lo, hi = np.searchsorted(starts, [a, b])
         if hi > lo and not tags[lo:hi].any():
             tags[lo:hi] = I
             tags[lo] = B
-            centres.append(int(lo))
+            hits.append(int(lo))
+    strange = [i for i, m in enumerate(tokens) if len(m.group()) > 3 and not m.group()[1:].islower() and not tags[i] and not BIG(m.group())]
+    some = lambda xs, k: sorted(rng.sample(xs, min(k, len(xs))))
+    centres = some(range(len(tokens)), spread) + some(hits, most) + some(strange, odd)
     xs, ys = [], []
     for c in centres:
         lo, hi = max(0, c - context), min(len(tokens), c + context + 4)
         cut = max(0, lo - 3)
         xs.append(sequence_features([m.group() for m in tokens[cut : hi + 1]], file)[lo - cut : hi - cut])
         ys.append(tags[lo:hi].tolist())
+    words = [w for w in re.findall("[A-Za-z]{2,12}", text[:20_000])] or ["word"]
+    for passage in [x for _ in range(made) for x in made_up(rng, words)]:
+        ts, marked = [], []
+        for part, secret in [(" ".join(rng.choices(words, k=8)) + " ", False), *passage, (" " + " ".join(rng.choices(words, k=4)), False)]:
+            found = TOKEN.findall(part)
+            marked += [B, *[I] * (len(found) - 1)] if secret else [O] * len(found)
+            ts += found
+        xs.append(sequence_features(ts, file))
+        ys.append(marked)
     return xs, ys
 
 
@@ -233,37 +313,42 @@ def fit(xs: list[list[list[int]]], ys: list[list[int]], steps: int = 80, rate: f
     if not xs:
         return Model(emit - np.array([0, 3.0, 3.0]) / 8, step)
     n, length, width = len(xs), max(map(len, xs)), max(len(f) for x in xs for f in x)
-    f = np.full((n, length, width), FEATURES)
-    y, on = np.zeros((n, length), int), np.zeros((n, length), bool)
-    for k, (x, t) in enumerate(zip(xs, ys)):
-        for i, fs in enumerate(x):
-            f[k, i, : len(fs)] = fs
-        y[k, : len(t)], on[k, : len(t)] = t, True
+    on = np.arange(length) < np.array([len(x) for x in xs])[:, None]
+    f = np.full((int(on.sum()), width), FEATURES)  # a row for each token of the sequences, in turn
+    for k, fs in enumerate(fs for x in xs for fs in x):
+        f[k, : len(fs)] = fs
+    y = np.zeros((n, length), int)
+    y[on] = [t for ts in ys for t in ts]
+    f, kind = np.unique(f, axis=0, return_inverse=True)  # tokens alike in all features are scored once
+    kind = kind.ravel()
     used, f = np.unique(f, return_inverse=True)
-    f = f.reshape(n, length, width)
+    f = f.reshape(-1, width)
     pad = len(used) - 1 if used[-1] == FEATURES else len(used)
     v, tags = np.zeros((len(used) + 1, 3)), np.eye(3)[y] * on[..., None]
+    flat, true = f.ravel(), (tags[:, :-1] * on[:, 1:, None]).reshape(-1, 3).T @ tags[:, 1:].reshape(-1, 3)
+    whole = lambda x: (x[..., 0] + x[..., 1] + x[..., 2])[..., None]
     moments = [np.zeros_like(v), np.zeros_like(v), np.zeros((3, 3)), np.zeros((3, 3))]
     for t in range(1, steps + 1):
         v[pad] = 0
-        s = v[f].sum(axis=2)
-        fwd, bwd = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        fwd[:, 0] = s[:, 0]
+        s = np.zeros((n, length, 3))
+        s[on] = v[f].sum(axis=1)[kind]
+        es, e = np.exp(s - s.max(axis=2, keepdims=True)), np.exp(step - step.max())
+        fwd, bwd = np.ones((n, length, 3)), np.ones((n, length, 3))  # up to a factor for each place
+        fwd[:, 0] = es[:, 0]
         for i in range(1, length):
-            z = fwd[:, i - 1, :, None] + step
-            top = z.max(axis=1)
-            fwd[:, i] = np.where(on[:, i, None], np.log(np.exp(z - top[:, None]).sum(axis=1)) + top + s[:, i], fwd[:, i - 1])
+            z = (fwd[:, i - 1] @ e) * es[:, i]
+            fwd[:, i] = np.where(on[:, i, None], z / whole(z), fwd[:, i - 1])
         for i in range(length - 2, -1, -1):
-            z = step + (s[:, i + 1] + bwd[:, i + 1])[:, None, :]
-            top = z.max(axis=2)
-            bwd[:, i] = np.where(on[:, i + 1, None], np.log(np.exp(z - top[..., None]).sum(axis=2)) + top, 0)
-        total = fwd[:, -1].max(axis=1)
-        total = total + np.log(np.exp(fwd[:, -1] - total[:, None]).sum(axis=1))
-        p = np.exp(fwd + bwd - total[:, None, None]) * on[..., None]
-        both = np.exp(fwd[:, :-1, :, None] + step + (s + bwd)[:, 1:, None, :] - total[:, None, None, None]) * on[:, 1:, None, None]
-        true = np.einsum("nta,ntb->ab", tags[:, :-1] * on[:, 1:, None], tags[:, 1:])
-        dv = np.stack([np.bincount(f.ravel(), weights=np.repeat(((p - tags)[..., c]).ravel(), width), minlength=len(v)) for c in range(3)], axis=1) / n + l2 * v
-        ds = (both.sum(axis=(0, 1)) - true) / n + l2 * step
+            z = (es[:, i + 1] * bwd[:, i + 1]) @ e.T
+            bwd[:, i] = np.where(on[:, i + 1, None], z / whole(z), 1.0)
+        p = fwd * bwd
+        p *= on[..., None] / whole(p)
+        left, right = fwd[:, :-1], (es * bwd)[:, 1:]
+        left = left * (on[:, 1:, None] / whole((left @ e) * right))
+        both = e * (left.reshape(-1, 3).T @ right.reshape(-1, 3))
+        off = [np.bincount(kind, weights=(p - tags)[on][:, c], minlength=len(f)) for c in range(3)]
+        dv = np.stack([np.bincount(flat, weights=np.repeat(x, width), minlength=len(v)) for x in off], axis=1) / n + l2 * v
+        ds = (both - true) / n + l2 * step
         for k, (w, g) in enumerate(((v, dv), (step, ds))):
             m1, m2 = moments[2 * k], moments[2 * k + 1]
             m1 += 0.1 * (g - m1)
@@ -278,8 +363,10 @@ def fit(xs: list[list[list[int]]], ys: list[list[int]], steps: int = 80, rate: f
 def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits a model on at most ``sample`` documents with a base match and as many without, the first by a hash of id and text.
 
-    The base matches of the whole texts are the labels. Stretches of tokens around them and around places spread
-    over the texts are all that comes to the driver.
+    The base matches of the whole texts are labels, and so are made-up keys of other common forms in words of the texts,
+    so that shape and neighbours must tell. Stretches of tokens around them and a few other places of each text are all that
+    comes to the driver. Null texts are empty, rows of equal id and text count once, null ids are rows like any other; an
+    empty table gives a model that tags nothing much: its scores are fixed.
     """
     spark = session(docs)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -361,7 +448,11 @@ def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def redacted(docs: DataFrame, model: Model, keep: list[str], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``keep`` and redacted: each whole text with its spans, merged where they overlap, replaced by a mark."""
+    """``keep`` and redacted: each whole text with its spans, merged where they overlap, replaced by a mark.
+
+    A null text is an empty one; texts without spans stay as they are; repeated rows and null ids are kept each; an empty table
+    gives an empty one; other columns are dropped, and one named redacted can't be kept (ValueError).
+    """
     known = session(docs).sparkContext.broadcast(model)
 
     def make():
