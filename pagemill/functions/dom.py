@@ -1,8 +1,10 @@
 """From one page's HTML to rows of its node table: a small per-page helper on the standard library's tokenizer.
 
-Trees follow the public HTML Standard where the driver's and the tests' pages need it: implied html, head and body; void,
-raw-text and form elements; implied end tags and scopes; active formatting elements, rebuilt after a block
-closes around them; foster-parented table content. Scripts never run; fragments and frames' documents aren't parsed.
+Trees follow the public HTML Standard in: implied html, head and body; void, raw-text and form elements; implied end tags and
+scopes; active formatting elements with markers at cells and objects, and the adoption agency; foster-parented table
+content; selects, in tables too; framesets; quirks mode by name and absence of the doctype. Not in: template contents,
+attributes' case in foreign elements, the list of quirky public identifiers. Scripts never run; fragments and frames'
+documents aren't parsed.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ FORM_ASSOCIATED = set("button fieldset input keygen label object output select t
 INTEGRATION = {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
 TABLE_ONLY = {"caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"}
 TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
+#: Elements that a marker in the formatting list goes with; that bound the search for a furthest block besides BLOCKS.
+MARKED = {"td", "th", "caption", "applet", "marquee", "object"}
+SPECIAL = {"li", "td", "th", "dd", "dt", "tbody", "thead", "tfoot", "tr", "caption", "applet", "marquee", "object", "button", "select", "body", "html"}
+FRAMES = {"frameset", "frame", "noframes", "html"}
 #: What a start tag closes first, up to (not including) the nearest of the second names.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -63,9 +69,9 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.document = Node("document")
         self.stack: list[Node] = []
-        self.formatting: list[Node] = []
-        self.head = self.body = self.form = None
-        self.skip_newline = False
+        self.formatting: list[Node | None] = []  # None: a marker
+        self.head = self.body = self.form = self.frameset = None
+        self.skip_newline, self.closed = False, 0  # closed: 1 after </body>, 2 after </html>
 
     # -- stack
     def _top(self) -> Node:
@@ -81,8 +87,23 @@ class Tree(HTMLParser):
         return None
 
     def _pop_to(self, index: int) -> None:
+        for node in reversed(self.stack[index:]):
+            if node.name in MARKED and node.ns == "html" and None in self.formatting:
+                while self.formatting.pop() is not None:
+                    pass
         del self.stack[index:]
 
+    def _active(self) -> list[Node]:
+        """The formatting elements after the last marker."""
+        return self.formatting[len(self.formatting) - self.formatting[::-1].index(None) :] if None in self.formatting else self.formatting
+
+    def _select(self) -> int | None:
+        """Index of a select that nothing but options is open in."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].name not in ("option", "optgroup"):
+                return i if self.stack[i].name == "select" else None
+        return None
+
     def _push(self, name, attrs, ns="html") -> Node:
         node, top = Node("element", name, attrs, ns=ns), self._top()
         if top.ns == "html" and top.name in TABLE_PARTS and name not in TABLE_ONLY | {"script", "style", "form"} and not (
@@ -94,6 +115,8 @@ class Tree(HTMLParser):
         if name in FORM_ASSOCIATED and self.form is not None and "form" not in attrs:
             node.owner = self.form
         self.stack.append(node)
+        if name in MARKED and ns == "html":
+            self.formatting.append(None)
         return node
 
     def _foster(self, node: Node) -> None:
@@ -119,8 +142,10 @@ class Tree(HTMLParser):
             self.stack[1:] = [self.body]
 
     def _reopen(self) -> None:
-        """Opens again the formatting elements that were closed from outside."""
-        for i, node in enumerate(self.formatting):
+        """Opens again the formatting elements, after the last marker, that were closed from outside."""
+        at = len(self.formatting) - len(self._active())
+        for i in range(at, len(self.formatting)):
+            node = self.formatting[i]
             if node not in self.stack:
                 self.formatting[i] = self._push(node.name, dict(node.attrs))
 
@@ -134,7 +159,8 @@ class Tree(HTMLParser):
             self.document.add(Node("doctype", attrs=attrs))
 
     def handle_comment(self, data):
-        self._top().add(Node("comment", text=data))
+        where = self.document if self.closed == 2 else self.stack[0] if self.closed and self.stack else self._top()
+        where.add(Node("comment", text=data))
 
     def handle_data(self, data):
         data = data.replace("\0", "")
@@ -143,10 +169,17 @@ class Tree(HTMLParser):
         if self.skip_newline and data.startswith("\n"):
             data = data[1:]
         self.skip_newline = False
+        if self.frameset is not None and self._top().name != "noframes":
+            data = "".join(c for c in data if c in " \t\n\r\f") if self._top().name in ("frameset", "html") else ""
+            if data:
+                self._text(self._top(), data)
+            return
         if not data:
             return
         top = self._top()
-        if top.name not in {"title", "style", "script", "textarea", "noscript", "xmp", "noframes", "iframe", "noembed"}:
+        if self.closed and not data.isspace():
+            self.closed = 0
+        if top.name not in {"title", "style", "script", "textarea", "noscript", "xmp", "noframes", "iframe", "noembed", "plaintext"} and self._select() is None:
             if self.body is None:
                 if data.isspace():
                     if top.name == "head":
@@ -183,11 +216,38 @@ class Tree(HTMLParser):
             for k, v in given.items():
                 node.attrs.setdefault(k, v)
             return
+        if self.frameset is not None:
+            if tag in ("frame", "frameset", "noframes") and self._top().name in ("frameset", "html") and (self._top().name == "frameset" or tag == "noframes"):
+                self._push(tag, given)
+                if tag == "frame":
+                    self.stack.pop()
+                elif tag == "noframes":
+                    self.set_cdata_mode(tag)
+            return
         if tag == "head":
             if self.head is None:
                 self._html()
                 self.head = self._push("head", given)
             return
+        if tag == "frameset":
+            if self.body is None:
+                self._in_head()
+                self._pop_to(1)
+                self.frameset = self._push(tag, given)
+            return
+        if tag == "frame":
+            return
+        self.closed = 0
+        if (i := self._select()) is not None:
+            table = self._open({"table"}, set())
+            if tag in ("select", "input", "keygen", "textarea") or tag in TABLE_ONLY | {"table"} and table is not None and table < i:
+                self._pop_to(i)
+                if tag == "select":
+                    return
+            elif tag not in ("option", "optgroup", "script", "hr"):
+                return
+            elif tag == "hr":
+                self._pop_to(i + 1)
         if tag in HEAD and self.body is None:
             self._in_head()
             if self._top().name not in ("head", "noscript"):
@@ -206,7 +266,7 @@ class Tree(HTMLParser):
             names, stop = CLOSES[tag]
             while (i := self._open(names, stop | (SCOPE - names if tag not in ("tr", "td", "th", "tbody", "thead", "tfoot") else set()))) is not None:
                 self._pop_to(i)
-        if tag in BLOCKS | {"li", "dd", "dt"} and (i := self._open({"p"}, SCOPE | {"button"})) is not None:
+        if tag in BLOCKS | {"li", "dd", "dt"} and (i := self._open({"p"}, SCOPE | {"button"})) is not None and not (tag == "table" and self._quirks()):
             self._pop_to(i)
         if tag in HEADINGS and self._top().name in HEADINGS:
             self.stack.pop()
@@ -216,25 +276,23 @@ class Tree(HTMLParser):
             self._push("tr", {})
         if tag == "col" and self._top().name == "table":
             self._push("colgroup", {})
-        if tag in ("button", "select") and (i := self._open({tag})) is not None:
-            self._pop_to(i)
-            if tag == "select":
-                return
-        if tag in ("input", "textarea", "keygen") and (i := self._open({"select"})) is not None:
+        if tag == "button" and (i := self._open({tag})) is not None:
             self._pop_to(i)
         if tag == "form":
             if self.form is not None:
                 return
             self.form = self._push(tag, given)
             return
-        if tag in ("a", "nobr") and (old := next((n for n in self.formatting if n.name == tag), None)):
+        if tag in ("a", "nobr") and (old := next((n for n in self._active() if n.name == tag), None)):
             self.handle_endtag(tag)
             if old in self.formatting:
                 self.formatting.remove(old)
+            if old in self.stack:
+                self.stack.remove(old)
         if tag in FORMATTING:
             self._reopen()
             node = self._push(tag, given)
-            same = [n for n in self.formatting if n.name == tag and n.attrs == given]
+            same = [n for n in self._active() if n.name == tag and n.attrs == given]
             if len(same) >= 3:
                 self.formatting.remove(same[0])
             self.formatting.append(node)
@@ -246,6 +304,8 @@ class Tree(HTMLParser):
             self.stack.pop()
         if tag in ("title", "textarea", "xmp", "iframe", "noembed", "noframes"):
             self.set_cdata_mode(tag)
+        if tag == "plaintext":
+            self.set_cdata_mode("plaintext\0")  # which nothing ends
         self.skip_newline = tag in ("pre", "listing", "textarea")
 
     def handle_startendtag(self, tag, attrs):
@@ -255,6 +315,24 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         self.skip_newline = False
+        if tag in ("html", "body") and (self.body or self.frameset):
+            self.closed = max(self.closed, 1 if tag == "body" else 2)
+        if self.frameset is not None:
+            if tag == self._top().name and tag in ("frameset", "noframes"):
+                self.stack.pop()
+            return
+        if (i := self._select()) is not None:
+            if tag == "select":
+                self._pop_to(i)
+            elif tag in ("option", "optgroup") and self._top().name in ("option", "optgroup"):
+                if tag == "optgroup" and self._top().name == "option" and self.stack[-2].name == "optgroup":
+                    self.stack.pop()
+                if self._top().name == tag:
+                    self.stack.pop()
+            elif tag in TABLE_ONLY | {"table"} and self._open({tag}, set()) is not None:
+                self._pop_to(i)
+                self.handle_endtag(tag)
+            return
         if tag in ("html", "body") or tag in VOID - {"br"} or not self.stack and tag != "br":
             return
         if tag == "br":
@@ -266,14 +344,9 @@ class Tree(HTMLParser):
             self.handle_starttag("p", [])
             self.handle_endtag("p")
         elif tag in FORMATTING:
-            node = next((n for n in reversed(self.formatting) if n.name == tag), None)
-            if node is None:
-                return
-            self.formatting.remove(node)
-            if node in self.stack:
-                i = self.stack.index(node)
-                if not any(n.name in SCOPE for n in self.stack[i + 1 :]):
-                    self._adopt(i)
+            self._adopt(tag)
+        elif tag not in BLOCKS | SPECIAL | HEAD | TABLE_PARTS | {"colgroup"}:
+            self._close_any(tag)
         else:
             names = HEADINGS if tag in HEADINGS else {tag}
             i = self._open(names, {"table"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else set() if tag == "table" else SCOPE)
@@ -282,50 +355,102 @@ class Tree(HTMLParser):
             if i is not None and self.stack[i] not in (self.body, self.stack[0]):
                 self._pop_to(i)
 
-    def _adopt(self, i: int) -> None:
-        """Closes a formatting element; a block that was opened in it stays open outside it, its content so far in a copy."""
-        node = self.stack[i]
-        block = next((n for n in self.stack[i + 1 :] if n.name in BLOCKS | {"li", "td", "th", "dd", "dt"}), None)
-        if block is None:
-            self._pop_to(i)
-            return
-        block.parent.children.remove(block)
-        block.parent = None
-        parent = node.parent
-        parent.children.insert(parent.children.index(node) + 1, block)
-        block.parent = parent
-        copy = Node("element", node.name, dict(node.attrs))
-        for c in block.children:
-            c.parent = copy
-        copy.children, block.children = block.children, []
-        block.add(copy)
-        k = self.stack.index(block)
-        self.stack = self.stack[:i] + self.stack[k:]
+    def _adopt(self, tag: str) -> None:
+        """The adoption agency: closes a formatting element around blocks that stay open, each with its own copy inside."""
+        for _ in range(8):
+            node = next((n for n in reversed(self._active()) if n.name == tag), None)
+            if node is None:
+                self._close_any(tag)
+                return
+            if node not in self.stack:
+                self.formatting.remove(node)
+                return
+            i = self.stack.index(node)
+            if any(n.name in SCOPE and n.ns == "html" for n in self.stack[i + 1 :]):
+                return
+            k = next((k for k in range(i + 1, len(self.stack)) if self.stack[k].name in BLOCKS | SPECIAL), None)
+            if k is None:
+                self._pop_to(i)
+                self.formatting.remove(node)
+                return
+            block, last, mark, above = self.stack[k], self.stack[k], self.formatting.index(node), self.stack[i + 1 : k]
+            for count, inner in enumerate(reversed(above), 1):
+                if count > 3 and inner in self.formatting:
+                    mark -= self.formatting.index(inner) < mark
+                    self.formatting.remove(inner)
+                if inner not in self.formatting:
+                    self.stack.remove(inner)
+                    continue
+                copy = Node("element", inner.name, dict(inner.attrs))
+                at = self.formatting.index(inner)
+                self.formatting[at] = self.stack[self.stack.index(inner)] = copy
+                if last is block:
+                    mark = at + 1
+                self._move(last, copy)
+                last = copy
+            parent = self.stack[i - 1]
+            if parent.name in TABLE_PARTS:
+                self._move(last, None)
+                self._foster(last)
+            else:
+                self._move(last, parent)
+            copy = Node("element", tag, dict(node.attrs))
+            for c in list(block.children):
+                self._move(c, copy)
+            block.add(copy)
+            self.formatting.insert(mark, copy)
+            self.formatting.remove(node)
+            self.stack.remove(node)
+            self.stack.insert(self.stack.index(block) + 1, copy)
+
+    @staticmethod
+    def _move(node: Node, parent: Node | None) -> None:
+        """To the end of another parent, or away."""
+        if node.parent is not None:
+            node.parent.children.remove(node)
+        node.parent = None
+        if parent is not None:
+            parent.add(node)
+
+    def _close_any(self, tag: str) -> None:
+        """An end tag that nothing special is said about: up to its element, unless a special one is in the way."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].name == tag:
+                self._pop_to(i)
+                return
+            if self.stack[i].ns == "html" and self.stack[i].name in BLOCKS | SPECIAL:
+                return
+
+    def _quirks(self) -> bool:
+        first = next((c for c in self.document.children if c.kind == "doctype"), None)
+        return first is None or first.attrs["name"] != "html"
 
 
 def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    tree._in_body()
+    if tree.cdata_elem and tree.rawdata:  # text that its end tag never came for
+        tree.handle_data(tree.rawdata)
+    if tree.frameset is None:
+        tree._in_body()
+    tree.document.attrs["mode"] = "quirks" if tree._quirks() else "no-quirks"
     return tree.document
 
 
 def rows(html: str | None) -> list[tuple]:
-    """(node_id, parent_id, pre, last, depth, sib, kind, namespace, name, attrs, text, form_owner_id, n_children, path) in document
+    """(node_id, parent_id, pre, last, depth, sib, kind, namespace, name, attrs, text, form_owner_id, n_children) in document
     order. node_id is the rank in it; last the greatest rank in the subtree; n_children counts element children."""
     out: list[list] = []
     ids: dict[int, int] = {}
-    work = [(parse(html or ""), None, 0, 0, "")]
+    work = [(parse(html or ""), None, 0, 0)]
     while work:
-        node, parent, depth, sib, above = work.pop()
+        node, parent, depth, sib = work.pop()
         me = len(out)
         ids[id(node)] = me
-        path = f"{above}/{sib}.{node.name or '#' + node.kind}" if parent is not None else ""
-        attrs = list(node.attrs.items())
         count = sum(c.kind == "element" for c in node.children)
-        out.append([me, parent, me, me, depth, sib, node.kind, node.ns if node.kind == "element" else None, node.name, attrs, node.text, node.owner, count, path])
-        work.extend((c, me, depth + 1, i, path) for i, c in reversed(list(enumerate(node.children))))
+        out.append([me, parent, me, me, depth, sib, node.kind, node.ns if node.kind == "element" else None, node.name, list(node.attrs.items()), node.text, node.owner, count])
+        work.extend((c, me, depth + 1, i) for i, c in reversed(list(enumerate(node.children))))
     for r in reversed(out):
         if r[1] is not None:
             out[r[1]][3] = max(out[r[1]][3], r[3])
