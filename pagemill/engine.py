@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import forms as form_ops
 from .operators import nodes as node_ops
 from .operators import search as search_ops
-from .operators.crawl import harvest, next_page, reachable
+from .operators.crawl import harvest, next_page, reachable, walk
 from .plans.extract import extract
 from .sources import pages as page_source
 from .sources import sinks
@@ -28,33 +28,41 @@ class Engine:
         return Engine(self.pages.where(F.col("url") == url))
 
     def nodes(self) -> DataFrame:
-        return node_ops.parse_html(self.pages)
+        return node_ops.flat(self.parsed())
+
+    def parsed(self) -> DataFrame:
+        """A row for each page, its nodes in an array: what the other methods read, without a shuffle."""
+        return node_ops.parse_pages(self.pages)
 
     def links(self) -> DataFrame:
-        return node_ops.links(self.nodes())
+        return node_ops.links(self.parsed())
 
     def link(self, index: int, stored: DataFrame | None = None) -> DataFrame:
-        return node_ops.follow(node_ops.link_urls(self.nodes()), self.pages if stored is None else stored, index)
+        return node_ops.follow(node_ops.link_urls(self.parsed()), self.pages if stored is None else stored, index)
 
     def forms(self) -> DataFrame:
-        return node_ops.forms(self.nodes())
+        return node_ops.forms(self.parsed())
 
     def controls(self) -> DataFrame:
-        return form_ops.controls(self.nodes())
+        return form_ops.controls(self.parsed())
 
     def submit(self, values: dict[str, str] | None = None) -> DataFrame:
         """The request of every form, with these controls set, and the stored page it leads to."""
-        nodes = self.nodes()
+        nodes = self.parsed()
         found = form_ops.controls(nodes)
         for name, value in (values or {}).items():
             found = form_ops.set_control_value(found, name, value)
-        return form_ops.submit(form_ops.requests(node_ops.forms(nodes), form_ops.data_sets(found), self.pages), self.pages)
+        return form_ops.submit(form_ops.requests(node_ops.forms(nodes), form_ops.data_sets(found)), self.pages)
 
     def leaf_nodes(self, verbose: bool = False) -> DataFrame:
-        return node_ops.leaf_nodes(self.nodes(), verbose)
+        return node_ops.leaf_nodes(self.parsed(), verbose)
 
     def extract(self, template) -> DataFrame:
-        return extract(self.nodes(), template)
+        return extract(self.parsed(), template)
+
+    def walk(self, start: str, pattern: str, template) -> DataFrame:
+        """The paging flow from the page of a URL, by its first link that holds the pattern."""
+        return walk(self.pages, start, pattern, template)
 
     def search(self, records: DataFrame, term: str) -> DataFrame:
         return search_ops.search(records, term)

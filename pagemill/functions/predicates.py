@@ -12,74 +12,80 @@ SUBMITTABLE = ("button", "input", "keygen", "object", "select", "textarea")
 MATHML_TEXT = ("mi", "mo", "mn", "ms", "mtext")
 SVG_HTML = ("foreignObject", "foreignobject", "desc", "title")
 
+#: The attributes of a row; of a node within an array, ``node["attrs"]`` is given instead.
 ATTRS = "attrs"
 
 
-def has_attribute(name: str, attrs: str = ATTRS) -> Column:
+def _of(node: Column | None, field: str) -> Column:
+    """A field of a node of an array, or of the row."""
+    return F.col(field) if node is None else node[field]
+
+
+def has_attribute(name: str, attrs: Column | str = ATTRS) -> Column:
     return F.coalesce(F.map_contains_key(attrs, F.lit(name)), F.lit(False))
 
 
-def get_attribute(name: str, attrs: str = ATTRS) -> Column:
+def get_attribute(name: str, attrs: Column | str = ATTRS) -> Column:
     """Its value, or null."""
     return F.try_element_at(attrs, F.lit(name))
 
 
-def has_attribute_value(name: str, value: str, attrs: str = ATTRS) -> Column:
+def has_attribute_value(name: str, value: str, attrs: Column | str = ATTRS) -> Column:
     return F.coalesce(get_attribute(name, attrs) == value, F.lit(False))
 
 
-def attribute_equals(name: str, value: str | None, attrs: str = ATTRS) -> Column:
+def attribute_equals(name: str, value: str | None, attrs: Column | str = ATTRS) -> Column:
     """Case-sensitive; a missing attribute equals null only."""
     return get_attribute(name, attrs).eqNullSafe(F.lit(value))
 
 
-def attribute_count(attrs: str = ATTRS) -> Column:
+def attribute_count(attrs: Column | str = ATTRS) -> Column:
     return F.coalesce(F.size(attrs), F.lit(0))
 
 
-def attribute_missing_or_empty(name: str, attrs: str = ATTRS) -> Column:
+def attribute_missing_or_empty(name: str, attrs: Column | str = ATTRS) -> Column:
     return F.coalesce(get_attribute(name, attrs), F.lit("")) == ""
 
 
-def set_attribute(name: str, value: Column | str, attrs: str = ATTRS) -> Column:
+def set_attribute(name: str, value: Column | str, attrs: Column | str = ATTRS) -> Column:
     value = value if isinstance(value, Column) else F.lit(value)
     return F.map_concat(remove_attribute(name, attrs), F.create_map(F.lit(name), value.cast("string")))
 
 
-def remove_attribute(name: str, attrs: str = ATTRS) -> Column:
+def remove_attribute(name: str, attrs: Column | str = ATTRS) -> Column:
     return F.map_filter(attrs, lambda k, _: k != name)
 
 
-def is_disabled(attrs: str = ATTRS) -> Column:
+def is_disabled(attrs: Column | str = ATTRS) -> Column:
     """By its own attribute alone."""
     return has_attribute("disabled", attrs)
 
 
-def is_checked(attrs: str = ATTRS) -> Column:
+def is_checked(attrs: Column | str = ATTRS) -> Column:
     return has_attribute("checked", attrs)
 
 
-def has_element_name(name: str, namespace: str = "html") -> Column:
-    return (F.col("name") == name) & is_in_namespace(namespace)
+def has_element_name(name: str, namespace: str = "html", node: Column | None = None) -> Column:
+    return F.coalesce(_of(node, "name") == name, F.lit(False)) & is_in_namespace(namespace, node)
 
 
-def is_in_namespace(namespace: str) -> Column:
-    return F.coalesce(F.col("namespace") == namespace, F.lit(False))
+def is_in_namespace(namespace: str, node: Column | None = None) -> Column:
+    return F.coalesce(_of(node, "namespace") == namespace, F.lit(False))
 
 
-def is_formatting() -> Column:
-    return is_in_namespace("html") & F.col("name").isin(*sorted(FORMATTING))
+def is_formatting(node: Column | None = None) -> Column:
+    return is_in_namespace("html", node) & _of(node, "name").isin(*sorted(FORMATTING))
 
 
-def is_form_associated() -> Column:
-    return is_in_namespace("html") & F.col("name").isin(*sorted(FORM_ASSOCIATED))
+def is_form_associated(node: Column | None = None) -> Column:
+    return is_in_namespace("html", node) & _of(node, "name").isin(*sorted(FORM_ASSOCIATED))
 
 
 is_reassociateable = is_form_associated
 
 
-def is_submittable() -> Column:
-    return is_in_namespace("html") & F.col("name").isin(*SUBMITTABLE)
+def is_submittable(node: Column | None = None) -> Column:
+    return is_in_namespace("html", node) & _of(node, "name").isin(*SUBMITTABLE)
 
 
 def is_mathml_text_integration_point() -> Column:
@@ -92,12 +98,13 @@ def is_html_integration_point() -> Column:
     return math | (is_in_namespace("svg") & F.col("name").isin(*SVG_HTML))
 
 
-def element_tag(verbose: bool = True) -> Column:
+def element_tag(verbose: bool = True, node: Column | None = None) -> Column:
     """<name k="v" ...>, or <name/> without attributes; just the name where not verbose."""
+    name, attrs = _of(node, "name"), _of(node, ATTRS)
     if not verbose:
-        return F.col("name")
-    said = F.array_join(F.transform(F.map_entries(ATTRS), lambda e: F.concat(F.lit(" "), e.key, F.lit('="'), e.value, F.lit('"'))), "")
-    return F.when(F.size(ATTRS) > 0, F.concat(F.lit("<"), F.col("name"), said, F.lit(">"))).otherwise(F.concat(F.lit("<"), F.col("name"), F.lit("/>")))
+        return name
+    said = F.array_join(F.transform(F.map_entries(attrs), lambda e: F.concat(F.lit(" "), e.key, F.lit('="'), e.value, F.lit('"'))), "")
+    return F.when(F.size(attrs) > 0, F.concat(F.lit("<"), name, said, F.lit(">"))).otherwise(F.concat(F.lit("<"), name, F.lit("/>")))
 
 
 def with_ancestor(nodes: DataFrame, name: str, among: DataFrame | None = None) -> DataFrame:

@@ -5,31 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import append_segment, base_10, first_value, path_segments, query_pairs, url_part
+from ..functions.urls import append_segment, base_10, first_value, path_segments, query_pairs, resolve, url_part
+from ..plans.extract import extract
+from .nodes import by_url, find_link, links, parse_pages
 
 
 def reachable(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", depth: int | None = None) -> DataFrame:
     """(node, depth): every node reached from start (node) over edges, with the least number of links.
 
-    Breadth-first with an anti-join against what was seen, so cycles end. Each round is checkpointed to the shared
-    folder: plans stay short, and a lost executor costs no earlier round.
+    Breadth-first with an anti-join against what was seen, so cycles end. Edges and each round's new nodes are checkpointed
+    to the shared folder once: plans stay short, and a lost executor costs no earlier round.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages")
-    known = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node is not null and to is not null and node <> to").distinct()
-    seen = start.select(F.col(start.columns[0]).alias("node"), F.lit(0).alias("depth")).where("node is not null").distinct().checkpoint()
-    front, round_ = seen, 0
+    _checkpoints(edges.sparkSession)
+    known = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node is not null and to is not null and node <> to").distinct().checkpoint()
+    front = start.select(F.col(start.columns[0]).alias("node"), F.lit(0).alias("depth")).where("node is not null").distinct().checkpoint()
+    seen, round_ = front, 0
     while depth is None or round_ < depth:
         round_ += 1
         front = front.join(known, "node").select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
         front = front.withColumn("depth", F.lit(round_)).checkpoint()
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)  # of tables that are written already
+        if round_ % 16 == 0:
+            seen = seen.checkpoint()
     return seen
 
 
+def _checkpoints(spark) -> None:
+    """The shared folder of the session's settings; one in the warehouse only where none is set, as in tests."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages")
+
+
+def walk(pages: DataFrame, start: str, pattern: str, template) -> DataFrame:
+    """(page_id, url, depth, record): the paging flow. From the stored page ``start``, the first link of each page that holds the pattern
+    leads to the next, until one has none or leads to where the flow has been; each page on the way gives its record.
+
+    All pages are parsed once, for links and records together; the way is a search over (url, target) rows. Null and
+    unknown targets end it, and of a URL stored twice the least page counts.
+    """
+    parsed = parse_pages(pages)
+    records = extract(parsed, template)
+    link = find_link(links(parsed), pattern).withColumn("target", resolve("base", "url")).select("page_id", "base", "target")
+    way = reachable(link.select("base", "target"), pages.sparkSession.createDataFrame([(start,)], "url string"), "base", "target")
+    found = way.join(by_url(pages, "node", "page_id"), "node")
+    return found.join(records, "page_id").select("page_id", F.col("node").alias("url"), "depth", "record")
+
+
 def parameters(links: DataFrame, url: str = "url") -> DataFrame:
     """Adds pairs, the decoded query of each link that has one; other links go."""
     found = links.withColumn("query", F.coalesce(url_part(F.col(url), "QUERY"), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)))

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.urls import is_http, resolve, url_encode_pairs
+from .nodes import by_url, elements, paged, with_base
 
 
-def controls(nodes: DataFrame) -> DataFrame:
-    """(page_id, form_id, idx, pre, name, control, type, attrs, in_datalist): submittable elements with a form owner, in tree order."""
-    found = nodes.where(P.is_submittable() & F.col("form_owner_id").isNotNull())
-    found = P.with_ancestor(found, "datalist", nodes).withColumn("control", F.col("name"))
-    order = Window.partitionBy("page_id", "form_owner_id").orderBy("pre")
-    return found.select(
-        "page_id", F.col("form_owner_id").alias("form_id"), (F.row_number().over(order) - 1).alias("idx"), "pre", P.get_attribute("name").alias("name"), "control",
-        P.get_attribute("type").alias("type"), "attrs", F.col("has_ancestor").alias("in_datalist"),
-    )
+def controls(table: DataFrame) -> DataFrame:
+    """(page_id, form_id, idx, pre, name, control, type, attrs, in_datalist): submittable elements with a form owner, in tree order.
+
+    Of a flat table or parsed pages; each form's controls are counted within its page's array."""
+
+    def made(n: Column) -> Column:
+        lists = F.exists("nodes", lambda a: P.has_element_name("datalist", node=a) & (a["pre"] < n["pre"]) & (a["last"] >= n["pre"]))
+        name, kind = (P.get_attribute(k, n["attrs"]) for k in ("name", "type"))
+        return F.struct(n["pre"].alias("pre"), name.alias("name"), n["name"].alias("control"), kind.alias("type"), n["attrs"].alias("attrs"), lists.alias("in_datalist"))
+
+    own = lambda f: F.filter("nodes", lambda n: P.is_submittable(n) & (n["form_owner_id"] == f["node_id"]))
+    each = F.transform(elements("form"), lambda f: F.struct(f["node_id"].alias("form_id"), F.transform(own(f), made).alias("controls")))
+    found = paged(table).select("page_id", F.explode(each).alias("f"))
+    return found.select("page_id", "f.form_id", F.posexplode("f.controls").alias("idx", "c")).select("page_id", "form_id", "idx", "c.*")
 
 
 def find_control(found: DataFrame, name: str) -> DataFrame:
@@ -52,15 +58,15 @@ def data_sets(found: DataFrame) -> DataFrame:
     return kept.select("page_id", "form_id", F.transform("l", lambda x: x["e"]).alias("data"))
 
 
-def requests(forms: DataFrame, sets: DataFrame, pages: DataFrame) -> DataFrame:
+def requests(forms: DataFrame, sets: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(page_id, form_id, method, url, content_type, body, error): what submitting each form would send.
 
     An empty action is the document's URL; GET puts the data in the query, POST in the body as
     application/x-www-form-urlencoded. Anything else, and URLs that aren't HTTP, gives an error instead of a request.
+    pages gives the documents' URLs where they weren't parsed with the forms.
     """
     empty = F.expr("cast(array() as array<struct<name:string,value:string,type:string>>)")
-    df = forms.select("page_id", "form_id", "action", "method", "enctype").join(sets, ["page_id", "form_id"], "left")
-    df = df.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+    df = with_base(forms, pages).select("page_id", "form_id", "action", "method", "enctype", "base").join(sets, ["page_id", "form_id"], "left")
     df = df.withColumns(
         {
             "data": F.coalesce("data", empty),
@@ -85,8 +91,7 @@ def requests(forms: DataFrame, sets: DataFrame, pages: DataFrame) -> DataFrame:
 
 def submit(sent: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds target_page_id: the stored page of each request's URL, if there is one."""
-    known = pages.select("url", F.col("page_id").alias("target_page_id"))
-    return sent.join(known, "url", "left")
+    return sent.join(by_url(pages, "url", "target_page_id"), "url", "left")
 
 
 def describe(data: Column) -> Column:

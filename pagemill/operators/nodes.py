@@ -1,96 +1,192 @@
-"""Pages to a node table, and what is read off it: links, forms, leaf nodes, titles."""
+"""Pages to nodes, and what is read off them: links, forms, leaf nodes, titles.
+
+A parsed page is one row with all its nodes in an array, in document order: a node's rank ``pre`` is its place in it and
+``last`` the greatest rank in its subtree, so what is below a node is a slice. Everything that is read off a page is an
+expression over this array: each page is parsed once, and nothing is shuffled. The flat node table, a row for each node,
+is the same array unfolded; operators take either.
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.dom import rows
 from ..functions.urls import resolve
 
-SCHEMA = (
-    "page_id long, node_id int, parent_id int, pre int, last int, depth int, sib int, kind string, namespace string, name string, "
-    "attrs map<string,string>, text string, form_owner_id int, n_children int, path string"
+NODE = (
+    "node_id int, parent_id int, pre int, last int, depth int, sib int, kind string, namespace string, name string, "
+    "attrs map<string,string>, text string, form_owner_id int, n_children int"
 )
-_TYPES = [pa.int32()] * 6 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
-_NAMES = ["page_id", *[f.strip().split()[0] for f in SCHEMA.split(", ")[1:]]]
+_NAMES = [f.strip().split()[0] for f in NODE.split(", ")]
+_TYPES = [pa.int32()] * 6 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32()]
+#: Nodes that a batch of parsed pages is given out at. What is read at a time is bounded by spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH = 20_000
 
 
 def _parse(batches):
     for b in batches:
-        ids, out = [], []
-        for page, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found = rows(html)
-            ids += [page] * len(found)
-            out += found
-            if len(out) >= 20_000:  # bounds a batch whatever the pages hold
-                yield _batch(ids, out)
-                ids, out = [], []
-        if out:
-            yield _batch(ids, out)
-
-
-def _batch(ids, out):
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*out), _TYPES))], names=_NAMES)
+        html, start, ends, out = b.column(b.num_columns - 1), 0, [0], []
+        for i in range(b.num_rows):
+            out += rows(html[i].as_py())
+            ends.append(len(out))
+            if len(out) >= BATCH or i == b.num_rows - 1:  # bounds a batch whatever the pages hold
+                node = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), node)
+                head = b.slice(start, i + 1 - start).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*head, lists], names=[*b.schema.names[:-1], "nodes"])
+                start, ends, out = i + 1, [0], []
+
+
+def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """(page_id, url, nodes) of each page, in one narrow stage; null html is an empty page. Without a column ``url`` there is none."""
+    head = [F.col(page_id).cast("long").alias("page_id")] + [F.col(url).cast("string").alias("url")] * (url in pages.columns)
+    src = pages.select(*head, F.col(html).alias("html"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "html")
+    return src.mapInArrow(_parse, f"{kept}, nodes array<struct<{', '.join(f'{n}:{t}' for n, t in (x.strip().split(' ', 1) for x in NODE.split(', ')))}>>")
 
 
 def parse_html(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """A row for each node of each page, in one narrow stage; null html is an empty page.
+    """The flat node table: page_id and NODE, a row for each node of each page.
 
-    pre is the rank in document order and last the greatest rank in a node's subtree, so that d is in a's
-    subtree if d.page_id = a.page_id and a.pre < d.pre <= a.last.
+    d is in a's subtree if d.page_id = a.page_id and a.pre < d.pre <= a.last.
     """
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(_parse, SCHEMA)
+    return flat(parse_pages(pages, page_id, html))
+
+
+def flat(parsed: DataFrame) -> DataFrame:
+    """The flat node table of parsed pages."""
+    return parsed.select("page_id", F.inline("nodes"))
+
+
+def paged(table: DataFrame) -> DataFrame:
+    """Parsed pages of a node table: itself, or the rows of a whole flat table gathered by page, in one shuffle."""
+    if "nodes" in table.columns:
+        return table
+    every = F.array_sort(F.collect_list(F.struct(*_NAMES)), lambda a, b: a["pre"] - b["pre"])
+    return table.groupBy("page_id").agg(every.alias("nodes"))
+
+
+# -- expressions over the array ``nodes``; a node is a struct of it
+
+
+def below(node: Column) -> Column:
+    """The nodes below a node, in order."""
+    return F.slice("nodes", node["pre"] + 2, node["last"] - node["pre"])
+
+
+def texts(node: Column) -> Column:
+    """The text nodes of a node's subtree, itself included."""
+    return F.filter(F.slice("nodes", node["pre"] + 1, node["last"] - node["pre"] + 1), lambda x: x["kind"] == "text")
+
+
+def deep(node: Column) -> Column:
+    """All text of a node's subtree; null for no node."""
+    return F.array_join(F.transform(texts(node), lambda x: x["text"]), "")
+
+
+def first_of(nodes: Column) -> Column:
+    return F.try_element_at(nodes, F.lit(1))
+
+
+def bound(value: Column, to) -> Column:
+    """to(value), the value being computed once wherever it is used."""
+    return F.element_at(F.transform(F.array(value), to), 1)
+
 
+def path_of(node: Column) -> Column:
+    """The child ordinals and names from the document down to a node: /0.html/1.body/0.#text."""
+    step = lambda n: F.concat(F.lit("/"), n["sib"].cast("string"), F.lit("."), F.coalesce(n["name"], F.concat(F.lit("#"), n["kind"])))
+    up = lambda acc, _: bound(F.element_at("nodes", acc["at"] + 1), lambda n: F.struct(n["parent_id"].alias("at"), F.concat(step(n), acc["path"]).alias("path")))
+    start = F.struct(node["pre"].alias("at"), F.lit("").alias("path"))
+    levels = F.when(node["depth"] > 0, F.sequence(F.lit(1), node["depth"])).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(levels, start, up, lambda acc: acc["path"])
 
-def deep_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """Adds deep_text, all text below in order, to the rows ``of``, a part of nodes."""
-    texts = nodes.where("kind = 'text'").select("page_id", F.col("pre").alias("_t"), F.col("text").alias("_text"))
-    below = of.select("page_id", "pre", "last").join(texts, "page_id").where("_t > pre and _t <= last")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_text"))), lambda x: x["_text"]), "")
-    return of.join(below.groupBy("page_id", "pre").agg(joined.alias("deep_text")), ["page_id", "pre"], "left").withColumn(
-        "deep_text", F.coalesce("deep_text", F.lit(""))
-    )
 
+def elements(name: str) -> Column:
+    return F.filter("nodes", lambda n: P.has_element_name(name, node=n))
 
-def _ranked(df: DataFrame) -> Column:
-    return (F.row_number().over(Window.partitionBy("page_id").orderBy("pre")) - 1).alias("idx")
 
+# -- operators
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(page_id, idx, pre, text, url, is_iframe): a[href] and iframes in document order; text is trimmed deep text."""
-    found = nodes.where((P.has_element_name("a") & P.has_attribute("href")) | P.has_element_name("iframe"))
-    found = found.select("page_id", "pre", "last", F.coalesce(P.get_attribute("href"), P.get_attribute("src")).alias("url"), (F.col("name") == "iframe").alias("is_iframe"))
-    full = deep_text(nodes, found)
-    return full.select("page_id", _ranked(full), "pre", F.trim("deep_text").alias("text"), "url", "is_iframe")
 
+def _is_link(n: Column) -> Column:
+    return (P.has_element_name("a", node=n) & P.has_attribute("href", n["attrs"])) | P.has_element_name("iframe", node=n)
 
-def link_urls(nodes: DataFrame) -> DataFrame:
-    """links() without their texts: no join."""
-    found = nodes.where((P.has_element_name("a") & P.has_attribute("href")) | P.has_element_name("iframe"))
-    return found.select("page_id", _ranked(found), "pre", F.coalesce(P.get_attribute("href"), P.get_attribute("src")).alias("url"), (F.col("name") == "iframe").alias("is_iframe"))
 
+def links(table: DataFrame, text: bool = True) -> DataFrame:
+    """(page_id, idx, pre, text, url, is_iframe): a[href] and iframes in document order; text is trimmed deep text, if asked for.
 
-def forms(nodes: DataFrame) -> DataFrame:
-    """(page_id, idx, form_id, action, method, enctype, id, name, tag) in document order."""
-    found = nodes.where(P.has_element_name("form"))
-    attrs = [P.get_attribute(k).alias(k) for k in ("action", "method", "enctype", "id", "name")]
-    return found.select("page_id", _ranked(found), F.col("node_id").alias("form_id"), *attrs, P.element_tag().alias("tag"))
+    If the pages' own URLs are known, base is added."""
+    page = paged(table)
 
+    def made(n: Column) -> Column:
+        url = F.coalesce(P.get_attribute("href", n["attrs"]), P.get_attribute("src", n["attrs"]))
+        said = [F.trim(deep(n)).alias("text")] * text
+        return F.struct(n["pre"].alias("pre"), *said, url.alias("url"), (n["name"] == "iframe").alias("is_iframe"))
 
-def leaf_nodes(nodes: DataFrame, verbose: bool = False) -> DataFrame:
+    base = [F.col("url").alias("base")] * ("url" in page.columns)
+    found = page.select("page_id", *base, F.posexplode(F.transform(F.filter("nodes", _is_link), made)).alias("idx", "l"))
+    return found.select("page_id", "idx", "l.*", *(["base"] if base else []))
+
+
+def link_urls(table: DataFrame) -> DataFrame:
+    """links() without their texts."""
+    return links(table, text=False)
+
+
+def forms(table: DataFrame) -> DataFrame:
+    """(page_id, idx, form_id, action, method, enctype, id, name, tag) in document order, and base if the pages' URLs are known."""
+    page = paged(table)
+
+    def made(n: Column) -> Column:
+        attrs = [P.get_attribute(k, n["attrs"]).alias(k) for k in ("action", "method", "enctype", "id", "name")]
+        return F.struct(n["node_id"].alias("form_id"), *attrs, P.element_tag(node=n).alias("tag"))
+
+    base = [F.col("url").alias("base")] * ("url" in page.columns)
+    found = page.select("page_id", *base, F.posexplode(F.transform(elements("form"), made)).alias("idx", "f"))
+    return found.select("page_id", "idx", "f.*", *(["base"] if base else []))
+
+
+def leaf_nodes(table: DataFrame, verbose: bool = False) -> DataFrame:
     """(page_id, idx, pre, path, text) of nodes without children; verbose adds the rendered tag."""
-    found = nodes.where("pre = last and kind <> 'document'")
-    more = [F.coalesce(P.element_tag(), F.col("text")).alias("shown")] * verbose
-    return found.select("page_id", _ranked(found), "pre", "path", F.regexp_replace("text", r"\p{Cntrl}+", " ").alias("text"), *more)
+
+    def made(n: Column) -> Column:
+        more = [F.coalesce(P.element_tag(node=n), n["text"]).alias("shown")] * verbose
+        return F.struct(n["pre"].alias("pre"), path_of(n).alias("path"), F.regexp_replace(n["text"], r"\p{Cntrl}+", " ").alias("text"), *more)
+
+    leaves = F.filter("nodes", lambda n: (n["pre"] == n["last"]) & (n["kind"] != "document"))
+    found = paged(table).select("page_id", F.posexplode(F.transform(leaves, made)).alias("idx", "l"))
+    return found.select("page_id", "idx", "l.*")
 
 
-def titles(nodes: DataFrame) -> DataFrame:
+def titles(table: DataFrame) -> DataFrame:
     """(page_id, title) of the first title element; pages without one have no row."""
-    first = nodes.where(P.has_element_name("title")).groupBy("page_id").agg(F.min(F.struct("pre", "last")).alias("t")).select("page_id", "t.pre", "t.last")
-    return deep_text(nodes, first).select("page_id", F.col("deep_text").alias("title"))
+    title = bound(first_of(elements("title")), deep)
+    return paged(table).select("page_id", title.alias("title")).where("title is not null")
+
+
+def element_texts(table: DataFrame, name: str) -> DataFrame:
+    """(page_id, idx, pre, text): the deep text of each element of a name, in document order."""
+    made = lambda n: F.struct(n["pre"].alias("pre"), deep(n).alias("text"))
+    return paged(table).select("page_id", F.posexplode(F.transform(elements(name), made)).alias("idx", "e")).select("page_id", "idx", "e.*")
+
+
+def element_paths(table: DataFrame, name: str) -> DataFrame:
+    """(page_id, idx, path, depth) of each element of a name."""
+    made = lambda n: F.struct(path_of(n).alias("path"), n["depth"].alias("depth"))
+    return paged(table).select("page_id", F.posexplode(F.transform(elements(name), made)).alias("idx", "e")).select("page_id", "idx", "e.*")
+
+
+def documents_meta(table: DataFrame) -> DataFrame:
+    """(page_id, url, doctype, public_id, system_id, mode) of each page; null doctype fields where there is none."""
+    page = paged(table)
+    doctype = lambda k: bound(first_of(F.filter("nodes", lambda n: n["kind"] == "doctype")), lambda n: P.get_attribute(k, n["attrs"]))
+    url = [F.col("url")] if "url" in page.columns else [F.lit(None).cast("string").alias("url")]
+    mode = P.get_attribute("mode", first_of(F.col("nodes"))["attrs"])
+    return page.select("page_id", *url, doctype("name").alias("doctype"), doctype("publicId").alias("public_id"), doctype("systemId").alias("system_id"), mode.alias("mode"))
 
 
 def find_link(found: DataFrame, pattern: str) -> DataFrame:
@@ -109,10 +205,23 @@ def _first(found: DataFrame) -> DataFrame:
     return found.groupBy("page_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "page_id"]), "idx").alias("_f")).select("page_id", "_f.*")
 
 
-def resolved(found: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+def with_base(found: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """Adds base, the URL of each row's page, where it isn't there yet: a join, unless the pages were parsed with their URLs."""
+    if "base" in found.columns:
+        return found
+    if pages is None:
+        raise ValueError("the pages' URLs are neither with the rows nor given")
+    return found.join(pages.select("page_id", F.col("url").alias("base")), "page_id")
+
+
+def resolved(found: DataFrame, pages: DataFrame | None = None, url: str = "url") -> DataFrame:
     """Adds target: the link's URL against its page's."""
-    base = pages.select("page_id", F.col("url").alias("_base"))
-    return found.join(base, "page_id").withColumn("target", resolve("_base", url)).drop("_base")
+    return with_base(found, pages).withColumn("target", resolve("base", url)).drop("base")
+
+
+def by_url(pages: DataFrame, url: str, page_id: str) -> DataFrame:
+    """(url, page_id) of stored pages under other names; of a URL that is stored more than once the least page."""
+    return pages.where("url is not null").groupBy(F.col("url").alias(url)).agg(F.min("page_id").alias(page_id))
 
 
 def follow(found: DataFrame, pages: DataFrame, index: int) -> DataFrame:
@@ -120,5 +229,4 @@ def follow(found: DataFrame, pages: DataFrame, index: int) -> DataFrame:
     if not 0 <= index <= 255:
         raise ValueError("a link's index is a byte")
     to = resolved(found.where(F.col("idx") == index), pages)
-    known = pages.select(F.col("url").alias("target"), F.col("page_id").alias("target_page_id"))
-    return to.join(known, "target", "left").select("page_id", "target", "target_page_id", "is_iframe")
+    return to.join(by_url(pages, "target", "target_page_id"), "target", "left").select("page_id", "target", "target_page_id", "is_iframe")

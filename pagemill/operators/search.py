@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_text import write_json
 
-#: Letters of the suffixes' keys, by which a suffix table is partitioned and pruned.
-KEY = 3
+#: Letters of the suffixes' keys, and of the suffixes themselves.
+KEY, LONGEST = 3, 32
 
 
 def search(records: DataFrame, term: str, column: str = "title") -> DataFrame:
@@ -17,26 +19,51 @@ def search(records: DataFrame, term: str, column: str = "title") -> DataFrame:
 
 
 def as_json_array(records: DataFrame, order: str) -> DataFrame:
-    """One row, json: the records as a JSON array, in the order of a column. For short results only."""
+    """One row, json: the records as a JSON array, in the order of a column. All of them meet in one row, so this is for what a
+    search prints; sinks.write_json_lines() writes a result of any size."""
     rec = F.struct(F.col(order).alias("_o"), write_json(F.struct(*records.columns)).alias("j"))
     every = F.transform(F.array_sort(F.collect_list(rec)), lambda x: x.j)
     return records.agg(F.concat(F.lit("["), F.array_join(every, ","), F.lit("]")).alias("json"))
 
 
-def suffixes(records: DataFrame, id_column: str, column: str = "title", longest: int = 32) -> DataFrame:
-    """(key, suffix, id): each suffix of a title up to ``longest`` letters, lower case; key is its first letters.
-
-    Written partitioned by key (or sorted by suffix), a search reads one key's files.
-    """
-    low = F.lower(column)
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1))))
-    cut = records.where(F.length(column) > 0).select(F.col(id_column).alias("id"), low.alias("t"), at.alias("at"))
+def suffixes(records: DataFrame, id_column: str, column: str = "title", longest: int = LONGEST) -> DataFrame:
+    """(key, suffix, at, id): each suffix of a title, its first ``longest`` letters in lower case, and where it begins; key is its
+    first letters. Written in order of suffixes, a search reads the row groups of its term."""
+    cut = records.where(F.length(column) > 0).select(F.col(id_column).alias("id"), F.lower(column).alias("t"))
+    cut = cut.select("id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("at"))
     suffix = F.substring(F.col("t"), F.col("at"), F.lit(longest))
-    return cut.select(F.substring(suffix, 1, KEY).alias("key"), suffix.alias("suffix"), "id").distinct()
+    return cut.select(F.substring(suffix, 1, KEY).alias("key"), suffix.alias("suffix"), "at", "id")
+
+
+def search_suffixes(table: DataFrame, term: str, longest: int = LONGEST) -> DataFrame:
+    """(id): of the titles that hold the term, in any case. A term longer than the suffixes is looked up in parts, which must
+    follow each other in the title."""
+    low, found = term.lower(), None
+    for k in range(0, max(1, len(low)), longest):
+        part = low[k : k + longest]
+        key: Column = F.col("key") == part[:KEY] if len(part) >= KEY else F.col("key").startswith(part)
+        hits = table.where(key & F.col("suffix").startswith(part)).select("id", (F.col("at") - k).alias("at"))
+        found = hits if found is None else found.join(hits, ["id", "at"], "left_semi")
+    return found.select("id").distinct()
+
+
+class Index:
+    """Records of a title, as of and source, and the suffixes of their titles, both stored."""
+
+    def __init__(self, spark: SparkSession, path: str, id_column: str, longest: int = LONGEST):
+        self.records, self.table = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/suffixes")
+        self.id_column, self.longest = id_column, longest
 
+    @classmethod
+    def write(cls, spark: SparkSession, records: DataFrame, id_column: str, path: str | None = None, longest: int = LONGEST) -> Index:
+        """Stores an index at a path, or in a new folder of the shared one; records hold the id, title, as_of and source."""
+        path = path or f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/index-{uuid.uuid4().hex}"
+        records.select(id_column, "title", "as_of", "source").write.parquet(f"{path}/records")
+        stored = spark.read.parquet(f"{path}/records")
+        suffixes(stored, id_column, longest=longest).repartitionByRange("suffix").sortWithinPartitions("suffix").write.parquet(f"{path}/suffixes")
+        return cls(spark, path, id_column, longest)
 
-def search_suffixes(table: DataFrame, term: str, longest: int = 32) -> DataFrame:
-    """(id): of the titles that hold the term; a term longer than the suffixes finds a superset by its start."""
-    low = term.lower()[:longest]
-    key: Column = F.col("key") == low[:KEY] if len(low) >= KEY else F.col("key").startswith(low)
-    return table.where(key & F.col("suffix").startswith(low)).select("id").distinct()
+    def search(self, term: str) -> DataFrame:
+        """The records whose title holds the term, in any case."""
+        found = search_suffixes(self.table, term, self.longest)
+        return self.records.join(found.withColumnRenamed("id", self.id_column), self.id_column)

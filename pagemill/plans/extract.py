@@ -1,4 +1,4 @@
-"""Templates of nested records over a node table, compiled to set-at-a-time joins.
+"""Templates of nested records over parsed pages, compiled to one expression.
 
 A template is plain Python: dicts and lists of constants, selectors and terminals.
 
@@ -11,8 +11,9 @@ A template is plain Python: dicts and lists of constants, selectors and terminal
 - ``each(selector, element)`` in a list gives one element for every match, none where there is none.
 - ``root(selector, template)`` narrows the whole page to the first match, if there is one.
 
-Every object costs a few joins for all its members and all pages at once; all of them join on page_id with a range of
-ranks. Lists come in document order whatever the shuffle does.
+A page's nodes are an array in document order, in which what is below a node is a slice; selectors filter slices, iteration
+maps over them. So a template is one projection over parsed pages, without a join or a shuffle, and lists come in
+document order.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators.nodes import deep_text as with_deep_text
+from ..operators.nodes import below, bound, deep, first_of, paged, texts
 
 
 @dataclass(frozen=True)
@@ -54,18 +55,21 @@ class Selector:
     def attr(self, name: str) -> Terminal:
         return Terminal(self, "attr", name)
 
-    def matches(self) -> Column:
-        """Over node columns."""
-        out = (F.col("kind") == "element") & (F.col("name") == self.name)
+    def matches(self, node: Column) -> Column:
+        out = (node["kind"] == "element") & (node["name"] == self.name)
         for kind, a, b in self.tests:
             out &= {
-                "equals": lambda: P.has_attribute_value(a, b),
-                "starts": lambda: F.coalesce(P.get_attribute(a).startswith(b), F.lit(False)),
-                "children": lambda: F.col("n_children") == a,
-                "text": lambda: F.coalesce(F.col("deep_text") == a, F.lit(False)),
+                "equals": lambda: P.has_attribute_value(a, b, node["attrs"]),
+                "starts": lambda: F.coalesce(P.get_attribute(a, node["attrs"]).startswith(b), F.lit(False)),
+                "children": lambda: node["n_children"] == a,
+                "text": lambda: deep(node) == a,
             }[kind]()
         return out
 
+    def among(self, domain: Column) -> Column:
+        """All matches below a domain."""
+        return F.filter(below(domain), self.matches)
+
 
 @dataclass(frozen=True)
 class Terminal:
@@ -176,145 +180,54 @@ def _check(t, in_array: bool = False) -> None:
         raise ValueError(f"{t!r} can't be in a template")
 
 
-def _selectors(t) -> list[Selector]:
-    if isinstance(t, Root):
-        return [t.selector, *_selectors(t.template)]
-    if isinstance(t, Each):
-        return [t.selector, *_selectors(t.element)]
+def _literal(t) -> Column:
+    return F.lit(t).cast("string") if t is None else F.lit(t)
+
+
+def _terminal(t: Terminal, node: Column) -> Column:
+    if t.kind == "attr":
+        return P.get_attribute(t.arg, node["attrs"])
+    return deep(node) if t.kind == "deep_text" else first_of(texts(node))["text"]
+
+
+def _object(parts: list, domain: Column) -> Column:
+    """The members, each under its scope; a scope's domain is found once for all of its members."""
+    scopes = list(dict.fromkeys(s for s, _, _ in parts if s is not None))
+
+    def within(left: list, own: dict) -> Column:
+        if not left:
+            return F.struct(*[value(t, own[s]).alias(n) for s, n, t in parts])
+        s = left[0]
+        return bound(F.coalesce(first_of(s.among(domain)), domain), lambda d: within(left[1:], {**own, s: d}))
+
+    return within(scopes, {None: domain})
+
+
+def _each(t: Each, domain: Column) -> Column:
+    return F.transform(t.selector.among(domain), lambda n: value(t.element, n))
+
+
+def value(t, domain: Column) -> Column:
+    """The value of a template's part over a domain, a node."""
+    if _is_literal(t):
+        return _literal(t)
     if isinstance(t, list):
-        return [s for x in t for s in _selectors(x)]
+        return F.concat(*[_each(x, domain) if isinstance(x, Each) else F.array(value(x, domain)) for x in t])
     if isinstance(t, (dict, Obj)):
-        return [s for sc, _, v in members(t) for s in ([sc] if sc else []) + _selectors(v)]
-    return [t.selector] if isinstance(t, Terminal) and t.selector.name else []
-
+        return _object(members(t), domain)
+    return _terminal(t, domain) if t.selector.name is None else bound(first_of(t.selector.among(domain)), lambda n: _terminal(t, n))
 
-def _literal(t) -> Column:
-    return F.lit(t).cast("string") if t is None else F.lit(t)
 
+def extract(table: DataFrame, template) -> DataFrame:
+    """(page_id, record) of each page: the template's value over its document. ValueError where the template is malformed.
 
-def _first(table: DataFrame, nodes: DataFrame, keys: list[str], wanted: dict[str, tuple[Selector, str, str]]) -> DataFrame:
-    """Adds name_p and name_l for each wanted (selector, domain's first rank, its last): the first match, or nulls."""
-    lo, hi = F.least(*[F.col(a) for _, a, _ in wanted.values()], F.lit(2**31 - 1)), F.greatest(*[F.col(b) for _, _, b in wanted.values()], F.lit(-1))
-    any_of = None
-    for s, _, _ in wanted.values():
-        any_of = s.matches() if any_of is None else any_of | s.matches()
-    hit = nodes.where(any_of)
-    joined = table.join(hit.withColumnRenamed("page_id", "_page"), (F.col("page_id") == F.col("_page")) & (F.col("pre") > lo) & (F.col("pre") <= hi), "left")
-    found = [F.min(F.when(s.matches() & (F.col("pre") > F.col(a)) & (F.col("pre") <= F.col(b)), F.struct("pre", "last"))).alias(n) for n, (s, a, b) in wanted.items()]
-    out = joined.groupBy(*table.columns).agg(*found)
-    return out.select(*table.columns, *[c for n in wanted for c in (F.col(f"{n}.pre").alias(f"{n}_p"), F.col(f"{n}.last").alias(f"{n}_l"))])
-
-
-class _Compiler:
-    def __init__(self, nodes: DataFrame):
-        self.nodes, self.count = nodes, 0
-
-    def fresh(self, what: str) -> str:
-        self.count += 1
-        return f"_{what}{self.count}"
-
-    def value(self, t, domain: DataFrame, keys: list[str]) -> DataFrame:
-        """keys and v for each row of domain (keys, _dp, _dl)."""
-        if _is_literal(t):
-            return domain.select(*keys, _literal(t).alias("v"))
-        if isinstance(t, list):
-            return self.array(t, domain, keys)
-        if isinstance(t, (dict, Obj)):
-            return self.object(members(t), domain, keys)
-        return self.object([(None, "v", t)], domain, keys).select(*keys, F.col("v.v").alias("v"))
-
-    def object(self, parts, domain: DataFrame, keys: list[str]) -> DataFrame:
-        own = {None: ("_dp", "_dl")}
-        wanted = {}
-        for s in dict.fromkeys(s for s, _, _ in parts if s is not None):
-            n = self.fresh("s")
-            wanted[n], own[s] = (s, "_dp", "_dl"), (f"{n}_p", f"{n}_l")
-        table = domain
-        if wanted:
-            table = _first(table, self.nodes, keys, wanted)
-            table = table.withColumns({c: F.coalesce(c, F.lit(None).cast("int"), F.col(d)) for n in wanted for c, d in ((f"{n}_p", "_dp"), (f"{n}_l", "_dl"))})
-        targets = {}
-        for s, name, t in parts:
-            if isinstance(t, Terminal) and t.selector.name is not None:
-                targets[name] = (self.fresh("t"), t, own[s])
-        if targets:
-            table = _first(table, self.nodes, keys, {n: (t.selector, *dom) for n, t, dom in targets.values()})
-        texts, columns = {}, {}
-        for s, name, t in parts:
-            if isinstance(t, Terminal):
-                lo, hi = (f"{targets[name][0]}_p", f"{targets[name][0]}_l") if name in targets else own[s]
-                texts[name] = (t, lo, hi)
-            elif _is_literal(t):
-                columns[name] = _literal(t)
-        if texts:
-            table = self.terminals(table, texts)
-        out = table
-        for s, name, t in parts:
-            if name in texts:
-                columns[name] = F.col(f"_v_{name}")
-            elif name not in columns:
-                lo, hi = own[s]
-                inner = self.value(t, table.select(*keys, F.col(lo).alias("_dp"), F.col(hi).alias("_dl")), keys)
-                out = out.join(inner.withColumnRenamed("v", f"_v_{name}"), keys)
-                columns[name] = F.col(f"_v_{name}")
-        return out.select(*keys, F.struct(*[columns[n].alias(n) for _, n, _ in parts]).alias("v"))
-
-    def terminals(self, table: DataFrame, texts: dict) -> DataFrame:
-        lo = F.least(*[F.col(a) for _, a, _ in texts.values()], F.lit(2**31 - 1))
-        hi = F.greatest(*[F.col(b) for _, _, b in texts.values()], F.lit(-1))
-        useful = self.nodes.where("kind = 'text'" if all(t.kind != "attr" for t, _, _ in texts.values()) else "kind in ('text', 'element')")
-        useful = useful.select(F.col("page_id").alias("_page"), "pre", "kind", "text", "attrs")
-        joined = table.join(useful, (F.col("page_id") == F.col("_page")) & (F.col("pre") >= lo) & (F.col("pre") <= hi), "left")
-        found = []
-        for name, (t, a, b) in texts.items():
-            inside = (F.col("kind") == "text") & (F.col("pre") >= F.col(a)) & (F.col("pre") <= F.col(b))
-            if t.kind == "attr":
-                v = F.min(F.when((F.col("kind") == "element") & (F.col("pre") == F.col(a)), P.get_attribute(t.arg)))
-            elif t.kind == "first_text":
-                v = F.min(F.when(inside, F.struct("pre", "text"))).getField("text")
-            else:
-                every = F.array_sort(F.collect_list(F.when(inside, F.struct("pre", "text"))))
-                v = F.when(F.first(F.col(a)).isNotNull(), F.array_join(F.transform(every, lambda x: x["text"]), ""))
-            found.append(v.alias(f"_v_{name}"))
-        return joined.groupBy(*table.columns).agg(*found)
-
-    def array(self, parts: list, domain: DataFrame, keys: list[str]) -> DataFrame:
-        out, made = domain, []
-        for t in parts:
-            n = self.fresh("a")
-            if isinstance(t, Each):
-                item = self.fresh("i")
-                hit = self.nodes.where(t.selector.matches()).select(F.col("page_id").alias("_page"), F.col("pre").alias(item), F.col("last").alias("_last"))
-                items = domain.join(hit, (F.col("page_id") == F.col("_page")) & (F.col(item) > F.col("_dp")) & (F.col(item) <= F.col("_dl")))
-                items = items.select(*keys, item, F.col(item).alias("_dp"), F.col("_last").alias("_dl"))
-                values = self.value(t.element, items, [*keys, item])
-                rows = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("at"), "v")), lambda x, y: x["at"] - y["at"]).alias("l"))
-                rows = rows.select(*keys, F.transform("l", lambda x: x["v"]).alias(n))
-                kind = rows.schema[n].dataType
-                out = out.join(rows, keys, "left")
-                made.append(F.coalesce(F.col(n), F.array().cast(kind)))
-            else:
-                rows = self.value(t, domain, keys).select(*keys, F.array("v").alias(n))
-                out = out.join(rows, keys)
-                made.append(F.col(n))
-        return out.select(*keys, F.concat(*made).alias("v"))
-
-
-def extract(nodes: DataFrame, template) -> DataFrame:
-    """(page_id, record) of each page: the template's value over its document. ValueError where the template is malformed."""
+    ``table`` is of parsed pages, or a whole flat node table.
+    """
     base = template.template if isinstance(template, Root) else template
     if not isinstance(base, (dict, list, Obj)):
         raise ValueError("a template is an object or a list")
     _check(base)
-    texts = {s.name for s in _selectors(template) if any(k == "text" for k, _, _ in s.tests)}
-    cols = ["page_id", "pre", "last", "kind", "name", "attrs", "text", "n_children"]
-    used = nodes.select(*cols)
-    if texts:
-        named = with_deep_text(nodes, used.where((F.col("kind") == "element") & F.col("name").isin(*sorted(texts))))
-        others = used.where(~((F.col("kind") == "element") & F.col("name").isin(*sorted(texts)))).withColumn("deep_text", F.lit(None).cast("string"))
-        used = others.unionByName(named)
-    domain = used.where("pre = 0").select("page_id", F.col("pre").alias("_dp"), F.col("last").alias("_dl"))
+    document = F.col("nodes")[0]
     if isinstance(template, Root):
-        found = _first(domain, used, ["page_id"], {"_r": (template.selector, "_dp", "_dl")})
-        domain = found.select("page_id", F.coalesce("_r_p", "_dp").alias("_dp"), F.coalesce("_r_l", "_dl").alias("_dl"))
-    return _Compiler(used).value(base, domain, ["page_id"]).select("page_id", F.col("v").alias("record"))
+        document = F.coalesce(first_of(template.selector.among(document)), document)
+    return paged(table).select("page_id", bound(document, lambda d: value(base, d)).alias("record"))

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
-from .functions.urls import append_segment, encode_value, query_pairs, strict_split, url_part
-from .operators import crawl, nodes, search
-from .operators.nodes import parse_html
+from .functions.json_text import canonical_json
+from .functions.urls import append_segment, decode_value, encode_value, query_pairs, strict_split, url_part
+from .operators import crawl, forms, nodes, search
+from .operators.nodes import parse_html, parse_pages
 from .plans.extract import deep_text, each, el, extract, obj, scope
+from .plans.flows import LISTING_SOURCE, MOVIE_SOURCE, listing_records, movie_records
+from .sources import pages as sources
+from .sources import sinks
 from .sources.pages import read_pages
 
 
@@ -17,25 +21,34 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def _parsed(spark, sf_dir) -> DataFrame:
+    return parse_pages(_pages(spark, sf_dir))
+
+
 def _nodes(spark, sf_dir) -> DataFrame:
     return parse_html(_pages(spark, sf_dir))
 
 
+def _made(spark, sf_dir, *html) -> DataFrame:
+    """The pages with other html, put together from strings and columns of theirs."""
+    parts = [F.lit(x) if isinstance(x, str) else x.cast("string") for x in html]
+    return _pages(spark, sf_dir).withColumn("html", F.concat(*parts))
+
+
 def page_titles(spark, sf_dir):
-    return nodes.titles(_nodes(spark, sf_dir))
+    return nodes.titles(_parsed(spark, sf_dir))
 
 
 def page_links(spark, sf_dir):
-    return nodes.links(_nodes(spark, sf_dir)).select("page_id", "idx", "text", "url", "is_iframe")
+    return nodes.links(_parsed(spark, sf_dir)).select("page_id", "idx", "text", "url", "is_iframe")
 
 
 def links_resolved(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return nodes.resolved(nodes.link_urls(parse_html(pages)), pages).select("page_id", "idx", "target")
+    return nodes.resolved(nodes.link_urls(_parsed(spark, sf_dir))).select("page_id", "idx", "target")
 
 
 def link_first_match(spark, sf_dir):
-    return nodes.find_link(nodes.links(_nodes(spark, sf_dir)), "TION").select("page_id", "idx", "text", "url")
+    return nodes.find_link(nodes.links(_parsed(spark, sf_dir)), "TION").select("page_id", "idx", "text", "url")
 
 
 def tag_counts(spark, sf_dir):
@@ -43,6 +56,12 @@ def tag_counts(spark, sf_dir):
     return found.groupBy("name").agg(F.count("*").alias("n"))
 
 
+def element_counts(spark, sf_dir):
+    """All elements by name. Of b there are more than tags: an unclosed one is opened again in every paragraph after it."""
+    found = _nodes(spark, sf_dir).where("kind = 'element'")
+    return found.groupBy("namespace", "name").agg(F.count("*").alias("n"))
+
+
 def comment_nodes(spark, sf_dir):
     return _nodes(spark, sf_dir).where("kind = 'comment'").groupBy("page_id").agg(F.count("*").alias("n"), F.min("text").alias("first_text"))
 
@@ -57,36 +76,167 @@ def attr_filter(spark, sf_dir):
 
 
 def leaf_counts(spark, sf_dir):
-    """Leaves by kind; elements here are metas and breaks, without children."""
-    return nodes.leaf_nodes(_nodes(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("leaves"))
+    """Leaves of each page by kind."""
+    found = _nodes(spark, sf_dir).where("pre = last and kind <> 'document'")
+    return found.groupBy("page_id").agg(F.count("*").alias("leaves"), *[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("element", "comment", "doctype")])
 
 
 def node_paths(spark, sf_dir):
-    found = _nodes(spark, sf_dir).where(P.has_element_name("title"))
-    return found.select("page_id", "path", "depth")
+    return nodes.element_paths(_parsed(spark, sf_dir), "title").select("page_id", "path", "depth")
 
 
 def paragraph_texts(spark, sf_dir):
-    table = _nodes(spark, sf_dir)
-    found = table.where(P.has_element_name("p")).select("page_id", "pre", "last")
-    return nodes.deep_text(table, found).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("deep_text")).alias("chars"))
+    """Each page's paragraphs: their number, and a digest of their texts in order."""
+    found = nodes.element_texts(_parsed(spark, sf_dir), "p").groupBy("page_id")
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")
+    return found.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.md5(every.cast("binary")).alias("texts"))
 
 
 def articles_json(spark, sf_dir):
-    """A record of each article: its heading and its paragraphs' number."""
+    """A record of each article: its heading and its paragraphs."""
     template = [each(el("article"), {"title": el("h1").first_text(), "paras": [each(el("p"), {"text": deep_text()})]})]
-    got = extract(_nodes(spark, sf_dir), template).select("page_id", F.explode("record").alias("r"))
-    return got.select("page_id", "r.title", F.size("r.paras").alias("n_paras"))
+    got = extract(_parsed(spark, sf_dir), template).select("page_id", F.explode("record").alias("r"))
+    said = F.array_join(F.transform("r.paras", lambda x: x["text"]), "\n")
+    return got.select("page_id", "r.title", F.size("r.paras").alias("n_paras"), F.md5(said.cast("binary")).alias("paras"))
 
 
 def nav_links_by_ad(spark, sf_dir):
     """Scoped members: the ad's text, then the navigation's links under their own scope."""
     links = [each(el("a"), obj(("text", deep_text()), scope(), ("list", "nav")))]
     template = obj(scope(el("div").equals("class", "ad")), ("ad", deep_text()), scope(el("nav")), ("links", links), ("first", el("a").attr("href")))
-    got = extract(_nodes(spark, sf_dir), template)
+    got = extract(_parsed(spark, sf_dir), template)
     return got.select("page_id", "record.ad", "record.first", F.size("record.links").alias("n_links"), F.array_join(F.transform("record.links", lambda x: x.text), "|").alias("texts"))
 
 
+def page_meta(spark, sf_dir):
+    return nodes.documents_meta(_parsed(spark, sf_dir)).select("page_id", "url", "doctype", "mode")
+
+
+# -- operators that the pages have nothing for: over html made of the pages' own columns
+
+
+def listing_template(spark, sf_dir):
+    """The first production template over listing pages of two results, one with offers."""
+    n = F.col("page_id")
+    offer = '<tr><td class="clabel">{}</td><td>-</td><td class="cpriceR">${}</td></tr>'
+    first = '<div id="btfResults"><ul><li id="result_1"><span class="lrg bold">T<b>', n, '</b></span><span class="med reg subt">', n % 50 + 1970, '</span><img src="/i/', n
+    rest = '.png"><table>' + offer.format("Rent <i>HD</i>", 3) + "<tr><td>none</td></tr>" + offer.format("Buy", 9) + '</table></li><li id="result_2">plain ', n
+    got = listing_records(_made(spark, sf_dir, '<li id="result_0">no</li>', *first, *rest, "</li><li>other</li></ul></div>"))
+    offers = F.array_join(F.transform("offers", lambda o: F.concat_ws("=", o["label"], o["price"])), ";")
+    return got.select("page_id", "title", "date", "img", "source", offers.alias("offers"))
+
+
+def movie_template(spark, sf_dir):
+    """The second production template over a page of one movie."""
+    n = F.col("page_id")
+    html = '<h2 class="title">no</h2><div id="mdp-overview"><h2 class="title">Film ', n, '</h2><span class="year">', n % 50 + 1970, '</span><div id="mdp-boxshot"><img src="/b/', n
+    more = '.png"></div><div id="mdp-metadata-content"><a>streaming</a> <a>D', F.when(n % 2 == 0, "VD").otherwise("vd"), "</a><a>stream<b>ing</b></a></div></div>"
+    got = movie_records(_made(spark, sf_dir, *html, *more))
+    return got.select("page_id", "title", "date", "img", "source", F.array_join(F.transform("offers", lambda o: o["label"]), ";").alias("offers"))
+
+
+def form_requests(spark, sf_dir):
+    """What submitting three forms of each page sends: one by GET with many controls, one by POST, one that can't be sent."""
+    n, u = F.col("page_id"), F.col("url")
+    get = '<form action="/go?old=1" id=F><input name=a value="x y"><input type=checkbox name=c checked><input type=checkbox name=d value=1><input name=off disabled value=1>', '<button name=b>B</button><input name="u" value="', u
+    post = '"><select name=s><option>o</select><datalist><input name=l value=1></datalist></form><form method=post><input type=hidden name=n value="', n, '"><textarea name=t value="a&amp;b">x</textarea></form><form method=put><input name=z></form>'
+    pages = _made(spark, sf_dir, *get, *post)
+    table = parse_pages(pages)
+    sent = forms.requests(nodes.forms(table), forms.data_sets(forms.set_control_value(forms.controls(table), "A", "p q")))
+    return forms.submit(sent, pages).select("page_id", "form_id", "method", "url", "body", "error", F.col("target_page_id").cast("string").alias("stored"))
+
+
+def form_controls(spark, sf_dir):
+    """The controls of each page's form, and the first named q in any case."""
+    n = F.col("page_id")
+    html = '<form id=F><input name=Q value="', n, '"><table><tr><td><input type=radio name=r></table><label>x</label><input name=q></form><input name=out><form id=G><input name=g></form>'
+    table = parse_pages(_made(spark, sf_dir, *html))
+    found = forms.controls(table)
+    first = forms.find_control(found, "q").select("page_id", "form_id", P.get_attribute("value").alias("q"))
+    named = nodes.find_form(nodes.forms(table), "f").select("page_id", "form_id", F.col("id").alias("form"))
+    every = found.groupBy("page_id", "form_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",").alias("names"))
+    return every.join(named, ["page_id", "form_id"]).join(first, ["page_id", "form_id"]).select("page_id", "form", "names", "q")
+
+
+def followed_links(spark, sf_dir):
+    """Each page's second link, to the url of the page ten before it, followed to the stored page."""
+    pages = _pages(spark, sf_dir)
+    to = pages.select((F.col("page_id") + 10).alias("page_id"), F.col("url").alias("to"))
+    html = F.concat(F.lit('<a href="#top">top</a><a href="'), F.coalesce(F.regexp_replace("to", "&", "&amp;"), F.lit("/none")), F.lit('">before</a>'))
+    made = pages.join(to, "page_id", "left").withColumn("html", html).select("page_id", "url", "html")
+    return nodes.follow(nodes.link_urls(parse_pages(made)), pages, 1).select("page_id", "target", F.col("target_page_id").cast("string").alias("stored"), "is_iframe")
+
+
+def next_pages(spark, sf_dir):
+    """Paging by rows: the last link to the search path whose row is above the current one; and harvested movie ids, last first."""
+    n = F.col("page_id")
+    html = '<a href="/search?row=', n * 10, '&movieid=7">a</a><a href="/Search?row=', n * 10 + 20, "&x=", n, '&movieid=m+', n, '">b</a><a href="/search?row=', n * 10 + 5, '">c</a><a href="/other?row=999999999">d</a>'
+    links = nodes.resolved(nodes.link_urls(parse_pages(_made(spark, sf_dir, *html)))).withColumnRenamed("url", "href").withColumnRenamed("target", "url")
+    page = crawl.next_page(links, "search", current=F.col("page_id") * 10 + 5)
+    ids = crawl.harvest(links, "movieid").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("idx"), "value"))), lambda x: x["value"]), "|").alias("ids"))
+    return page.join(ids, "page_id").select("page_id", "row", F.regexp_extract("url", "^[^/]*//[^/]*(/.*)$", 1).alias("path"), "ids")
+
+
+def paged_listing(spark, sf_dir):
+    """The listing flow over stored pages: from page 0, whatever a page's "next page" link leads to, until there is none; titles of all."""
+    n = F.col("page_id")
+    html = '<span class="t">title ', n, "</span>", F.when(n < 40, F.concat(F.lit('<a href="/list/'), (n + 4).cast("string"), F.lit('">Next page</a>'))).otherwise("")
+    pages = _made(spark, sf_dir, *html).withColumn("url", F.concat(F.lit("http://shop.example/list/"), n))
+    return crawl.walk(pages, "http://shop.example/list/0", "next page", {"title": el("span").equals("class", "t").first_text()}).select("page_id", "depth", "record.title")
+
+
+def responses(spark, sf_dir):
+    """Stored responses by status and media type, their bytes decoded by the charset that they name."""
+    n, html = F.col("page_id"), F.col("html")
+    kind = F.when(n % 4 == 0, "Text/HTML; charset=utf-8").when(n % 4 == 1, "text/html; charset=UTF-16LE").when(n % 4 == 2, "text/plain").otherwise("image/png")
+    body = F.when(n % 4 == 1, F.encode(html, "UTF-16LE")).otherwise(F.encode(html, "UTF-8"))
+    got = _pages(spark, sf_dir).select("page_id", F.when(n % 7 == 0, 404).otherwise(200).alias("status"), kind.alias("content_type"), body.alias("body"))
+    ok, _ = sources.by_status(got)
+    kinds = sources.dispatch(ok)
+    of = lambda k, c: kinds[k].select("page_id", F.lit(k).alias("kind"), F.md5(F.col(c).cast("binary")).alias("text"))
+    return of("html", "html").unionByName(of("text", "text"))
+
+
+def byte_counts(spark, sf_dir):
+    """Bytes of pages by the scheme of their url."""
+    return _pages(spark, sf_dir).groupBy(url_part(F.col("url"), "PROTOCOL").alias("scheme")).agg(sinks.byte_count("html").alias("bytes"), F.count("*").alias("pages"))
+
+
+def recent_pages(spark, sf_dir):
+    """The last ten entries, the latest first: a feature, not a cut of the input."""
+    return sinks.recent(_pages(spark, sf_dir).select("page_id", "url"), 10, "page_id")
+
+
+def json_texts(spark, sf_dir):
+    """JSON texts of each page, of which the first of repeated names counts, and which aren't texts if their root is no array or object."""
+    n = F.col("page_id").cast("string")
+    text = F.when(F.col("page_id") % 5 == 4, n).otherwise(F.concat(F.lit('{"id": '), n, F.lit(', "x": [null, true, "é"], "id": 0}')))
+    return _pages(spark, sf_dir).select("page_id", canonical_json(text).alias("json"))
+
+
+def escaped_pairs(spark, sf_dir):
+    """Decoded queries with escapes, bad escapes, repeated names and a change of charset."""
+    n = F.col("page_id").cast("string")
+    query = F.concat(F.lit("q=a+b%2B"), n, F.lit("&q=2&bad=%zz%4&e=%C3%A9&_charset_=iso-8859-1&e=%E9&&last="))
+    got = _pages(spark, sf_dir).select("page_id", F.posexplode(query_pairs(query)).alias("idx", "p"), decode_value(query).alias("whole"))
+    return got.select("page_id", "idx", "p.name", "p.value", F.when(F.col("idx") == 0, F.substring("whole", 1, 6)).alias("whole"))
+
+
+def element_predicates(spark, sf_dir):
+    """How many elements of a page each predicate holds for."""
+    n = F.col("page_id")
+    html = '<p id="', n, '" class="">x<b disabled checked>y</b><svg><desc>d</desc></svg><math><mi>m</mi></math><datalist><option>o</datalist><input name=i><textarea></textarea><object></object>'
+    of = P.with_ancestor(parse_html(_made(spark, sf_dir, *html)), "datalist").where("kind = 'element'")
+    count = {
+        "disabled": P.is_disabled(), "checked": P.is_checked(), "formatting": P.is_formatting(), "form_associated": P.is_form_associated(), "submittable": P.is_submittable(),
+        "math_text": P.is_mathml_text_integration_point(), "html_point": P.is_html_integration_point(), "no_class": P.attribute_missing_or_empty("class"),
+        "two_attributes": P.attribute_count() == 2, "equals": P.attribute_equals("class", ""), "in_datalist": F.col("has_ancestor"),
+    }
+    tag = F.max(F.when(F.col("name") == "p", P.element_tag()))
+    changed = F.max(F.when(F.col("name") == "p", P.get_attribute("id", P.set_attribute("id", "new"))))
+    return of.groupBy("page_id").agg(*[F.count_if(c).alias(k) for k, c in count.items()], tag.alias("tag"), changed.alias("id_set"))
+
+
 def url_query_pairs(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     got = pages.select("page_id", F.posexplode(query_pairs(url_part(F.col("url"), "QUERY"))).alias("idx", "p"))
@@ -109,14 +259,21 @@ def visit_urls(spark, sf_dir):
 
 
 def title_search(spark, sf_dir):
-    return search.search(nodes.titles(_nodes(spark, sf_dir)), "THAN").select("page_id", "title")
+    return search.search(nodes.titles(_parsed(spark, sf_dir)), "THAN").select("page_id", "title")
 
 
 def title_suffix_search(spark, sf_dir):
-    table = search.suffixes(nodes.titles(_nodes(spark, sf_dir)), "page_id")
+    table = search.suffixes(nodes.titles(_parsed(spark, sf_dir)), "page_id")
     return search.search_suffixes(table, "THAN").select(F.col("id").alias("page_id"))
 
 
+def stored_index_search(spark, sf_dir):
+    """An index of titles, stored and opened again, searched for a word and for one longer than the suffixes it holds."""
+    of = nodes.titles(_parsed(spark, sf_dir)).select("page_id", "title", F.lit("2026-01-01").alias("as_of"), F.lit("pages").alias("source"))
+    index = search.Index.write(spark, of, "page_id", longest=4)
+    return index.search("THAN").withColumn("term", F.lit("than")).unionByName(index.search("and th").withColumn("term", F.lit("and th"))).select("page_id", "title", "as_of", "source", "term")
+
+
 def crawl_reachability(spark, sf_dir):
     """Pages' hosts linked along first labels: from each host to the one of the page after it, from the least host."""
     hosts = _pages(spark, sf_dir).select("page_id", url_part(F.col("url"), "HOST").alias("host"))
@@ -127,8 +284,10 @@ def crawl_reachability(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_titles, page_links, links_resolved, link_first_match, tag_counts, comment_nodes, attr_filter, leaf_counts, node_paths, paragraph_texts,
-        articles_json, nav_links_by_ad, url_query_pairs, url_parts, url_encode_text, visit_urls, title_search, title_suffix_search, crawl_reachability,
+        page_titles, page_links, links_resolved, link_first_match, tag_counts, element_counts, comment_nodes, attr_filter, leaf_counts, node_paths,
+        paragraph_texts, articles_json, nav_links_by_ad, page_meta, listing_template, movie_template, form_requests, form_controls, followed_links,
+        next_pages, paged_listing, responses, byte_counts, recent_pages, json_texts, escaped_pairs, element_predicates, url_query_pairs, url_parts,
+        url_encode_text, visit_urls, title_search, title_suffix_search, stored_index_search, crawl_reachability,
     )
 }
 
@@ -146,6 +305,11 @@ _LINKS = """(SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"'
 _TITLE = _text("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 _COUNT = "len(regexp_extract_all(html, '<{}[ >]'))"
 
+#: The paragraphs of the article: what follows a <p> up to the next one, without tags.
+_PARAS = f"""(SELECT page_id, html, list_transform(string_split(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '<p>')[2:],
+  lambda x: {_text("regexp_replace(x, '<[^>]*>', '', 'g')")}) AS paras FROM pages)"""
+_ENCODED = "replace(replace(replace(url_encode({}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
 ORACLE_SQL = {
     "page_titles": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "page_links": f"SELECT page_id, CAST(idx AS INT) AS idx, trim({_text('text')}) AS text, {_text('url')} AS url, false AS is_iframe FROM {_LINKS}",
@@ -155,8 +319,48 @@ ORACLE_SQL = {
     "tag_counts": "SELECT name, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, {_COUNT.format(t)} AS n FROM pages" for t in ("a", "li", "h1", "p", "title", "article")) + ") GROUP BY name",
     "comment_nodes": "SELECT page_id, len(regexp_extract_all(html, '<!--.*?-->')) AS n, regexp_extract(html, '<!--(.*?)-->', 1) AS first_text FROM pages",
     "attr_filter": """SELECT page_id, len(regexp_extract_all(html, '<div class="ad">')) AS ads, len(regexp_extract_all(html, '<a href="/th')) AS th_links FROM pages""",
-    "articles_json": f"""SELECT page_id, {_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title,
-      CAST(len(regexp_extract_all(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '<p>')) AS INT) AS n_paras FROM pages""",
+    "element_counts": "SELECT 'html' AS namespace, name, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS name, {_COUNT.format(t)} AS n FROM pages" for t in "html head meta title style script body nav ul li a div article h1 p br footer".split()
+    ) + " UNION ALL SELECT 'b', c + least(3, coalesce(sum(c) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))"
+    " FROM (SELECT page_id, unnest(range(len(s))) AS k, unnest(list_transform(s, lambda x: len(regexp_extract_all(x, '<b>')))) AS c FROM"
+    " (SELECT page_id, list_append(string_split(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '<p>')[2:], 'footer') AS s FROM pages))) GROUP BY name",
+    "leaf_counts": """SELECT page_id, 3 + len(regexp_extract_all(html, '<br>')) + len(regexp_extract_all(replace(html, 'var t="</p>";', 'var'), '>[^<]+<')) + CAST(regexp_matches(html, '>[^<]+$') AS INT) AS leaves,
+      1 + len(regexp_extract_all(html, '<br>')) AS elements, 1::BIGINT AS comments, 1::BIGINT AS doctypes FROM pages""",
+    "node_paths": "SELECT page_id, '/1.html/0.head/1.title' AS path, 3 AS depth FROM pages",
+    "paragraph_texts": f"""SELECT page_id, len(paras)::BIGINT AS n, list_sum(list_transform(paras, lambda x: length(x)))::BIGINT AS chars,
+      md5(array_to_string(paras, chr(10))) AS texts FROM {_PARAS}""",
+    "articles_json": f"""SELECT page_id, {_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title, CAST(len(paras) AS INT) AS n_paras,
+      md5(array_to_string(paras, chr(10))) AS paras FROM {_PARAS}""",
+    "nav_links_by_ad": f"""SELECT page_id, {_text("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS ad, {_text("regexp_extract(nav, '<a href=.([^<>]*).>', 1)")} AS first,
+      CAST(len(regexp_extract_all(nav, '<a ')) AS INT) AS n_links, {_text("array_to_string(regexp_extract_all(nav, '<a [^>]*>([^<]*)</a>', 1), '|')")} AS texts
+      FROM (SELECT page_id, html, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages)""",
+    "page_meta": "SELECT page_id, url, 'html' AS doctype, 'no-quirks' AS mode FROM pages",
+    "listing_template": f"""SELECT page_id, t AS title, CASE i WHEN 1 THEN CAST(page_id % 50 + 1970 AS VARCHAR) ELSE t END AS date, CASE i WHEN 1 THEN '/i/' || page_id || '.png' END AS img,
+      '{LISTING_SOURCE}' AS source, CASE i WHEN 1 THEN 'Rent HD=$3;Buy=$9' ELSE '' END AS offers
+      FROM (SELECT page_id, i, CASE i WHEN 1 THEN 'T' ELSE 'plain ' || page_id END AS t FROM pages, (VALUES (1), (2)) v(i))""",
+    "movie_template": f"""SELECT page_id, 'Film ' || page_id AS title, CAST(page_id % 50 + 1970 AS VARCHAR) AS date, '/b/' || page_id || '.png' AS img, '{MOVIE_SOURCE}' AS source,
+      CASE WHEN page_id % 2 = 0 THEN 'DVD;' ELSE '' END || 'streaming;streaming' AS offers FROM pages""",
+    "form_requests": f"""SELECT page_id, 4 AS form_id, 'GET' AS method, regexp_extract(url, '^[^/]*//[^/]*') || '/go?a=p+q&c=on&u=' || {_ENCODED.format("url")} AS url,
+      NULL::VARCHAR AS body, NULL::VARCHAR AS error, NULL::VARCHAR AS stored FROM pages
+      UNION ALL SELECT page_id, 17, 'POST', url, 'n=' || page_id || '&t=a%26b', NULL, CAST(min(page_id) OVER (PARTITION BY url) AS VARCHAR) FROM pages
+      UNION ALL SELECT page_id, 21, NULL, NULL, NULL, 'method isn''t supported', NULL FROM pages""",
+    "form_controls": "SELECT page_id, 'F' AS form, 'Q,r,q' AS names, CAST(page_id AS VARCHAR) AS q FROM pages",
+    "followed_links": """SELECT a.page_id, coalesce(b.url, regexp_extract(a.url, '^[^/]*//[^/]*') || '/none') AS target,
+      CAST((SELECT min(page_id) FROM pages p WHERE p.url = b.url) AS VARCHAR) AS stored, false AS is_iframe FROM pages a LEFT JOIN pages b ON a.page_id = b.page_id + 10""",
+    "next_pages": """SELECT page_id, page_id * 10 + 20 AS row, '/Search?row=' || (page_id * 10 + 20) || '&x=' || page_id || '&movieid=m+' || page_id AS path,
+      'm ' || page_id || '|7' AS ids FROM pages""",
+    "paged_listing": "SELECT page_id, CAST(page_id // 4 AS INT) AS depth, 'title ' || page_id AS title FROM pages WHERE page_id % 4 = 0 AND page_id <= 40",
+    "responses": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'text' ELSE 'html' END AS kind, md5(html) AS text FROM pages WHERE page_id % 7 <> 0 AND page_id % 4 <> 3",
+    "byte_counts": "SELECT regexp_extract(url, '^([^:]*):', 1) AS scheme, sum(strlen(html))::BIGINT AS bytes, count(*) AS pages FROM pages GROUP BY 1",
+    "recent_pages": "SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 10",
+    "json_texts": """SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN '{"id":' || page_id || ',"x":[null,true,"é"]}' END AS json FROM pages""",
+    "escaped_pairs": """SELECT page_id, idx, name, value, CASE idx WHEN 0 THEN 'q=a b+' END AS whole FROM (SELECT page_id, CAST(i AS INT) AS idx, name, coalesce(value, 'a b+' || page_id) AS value
+      FROM pages, (VALUES (0, 'q', NULL), (1, 'q', '2'), (2, 'bad', '%zz%4'), (3, 'e', 'é'), (4, '_charset_', 'iso-8859-1'), (5, 'e', 'é'), (6, '', ''), (7, 'last', '')) v(i, name, value))""",
+    "element_predicates": "SELECT page_id, " + ", ".join(f"{n}::BIGINT AS {k}" for k, n in (
+        ("disabled", 1), ("checked", 1), ("formatting", 1), ("form_associated", 3), ("submittable", 3), ("math_text", 1), ("html_point", 1), ("no_class", 14),
+        ("two_attributes", 2), ("equals", 1), ("in_datalist", 1))) + """, '<p id="' || page_id || '" class="">' AS tag, 'new' AS id_set FROM pages""",
+    "stored_index_search": f"""SELECT page_id, {_TITLE} AS title, '2026-01-01' AS as_of, 'pages' AS source, term FROM pages, (VALUES ('than'), ('and th')) v(term)
+      WHERE contains(lower({_TITLE}), term)""",
     "url_query_pairs": """WITH q AS (SELECT page_id, regexp_extract(url, '[?]([^#]*)', 1) AS q FROM pages WHERE contains(url, '?')),
       p AS (SELECT page_id, unnest(string_split(q, '&')) AS p, unnest(range(len(string_split(q, '&')))) AS idx FROM q)
       SELECT page_id, CAST(idx AS INT) AS idx, split_part(p, '=', 1) AS name, split_part(p, '=', 2) AS value FROM p""",
@@ -167,7 +371,7 @@ ORACLE_SQL = {
       'http://example.com/list/' || regexp_extract(url, '[?&]page=([^&#]*)', 1) AS url FROM pages WHERE regexp_matches(url, '[?&]page=')""",
     "title_search": f"SELECT page_id, {_TITLE} AS title FROM pages WHERE contains(lower({_TITLE}), 'than')",
     "title_suffix_search": f"SELECT page_id FROM pages WHERE contains(lower({_TITLE}), 'than')",
-    "url_encode_text": r"""SELECT doc_id, md5(replace(replace(replace(url_encode(text), '%20', '+'), '%2A', '*'), '~', '%7E')) AS encoded FROM documents""",
+    "url_encode_text": f"SELECT doc_id, md5({_ENCODED.format('text')}) AS encoded FROM documents",
     "crawl_reachability": """WITH RECURSIVE h AS (SELECT page_id, regexp_extract(url, '//([^/?#]*)', 1) AS host FROM pages),
       e AS (SELECT DISTINCT a.host AS src, b.host AS dst FROM h a JOIN h b ON b.page_id = a.page_id + 1),
       r(node, depth) AS (SELECT min(host), 0 FROM h UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 60)

@@ -125,6 +125,28 @@ def test_structural_joins_keep_to_pages(table, capsys):
     assert "Cartesian" not in (plan := capsys.readouterr().out) and "NestedLoop" not in plan
 
 
+def plan_of(df, capsys):
+    df.explain()
+    return capsys.readouterr().out
+
+
+@pytest.mark.parametrize("template", TEMPLATES, ids=range(len(TEMPLATES)))
+def test_parsed_pages_give_what_flat_tables_give(pages, table, template):
+    assert {r.page_id: plain(r.record) for r in extract(nodes.parse_pages(pages), template).collect()} == {r.page_id: plain(r.record) for r in extract(table, template).collect()}
+
+
+def test_pages_are_parsed_once_and_nothing_is_shuffled(pages, capsys):
+    parsed = nodes.parse_pages(pages)
+    articles = [each(el("article"), {"title": el("h1").first_text(), "paras": [each(el("p"), {"text": deep_text()})]})]
+    for df in (
+        extract(parsed, articles), extract(parsed, LISTING), extract(parsed, MOVIE), nodes.links(parsed), nodes.resolved(nodes.links(parsed)), nodes.titles(parsed), nodes.forms(parsed),
+        nodes.leaf_nodes(parsed, True), nodes.element_texts(parsed, "p"), nodes.element_paths(parsed, "p"), nodes.documents_meta(parsed), forms.controls(parsed),
+    ):
+        plan = plan_of(df, capsys)
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert plan_of(forms.requests(nodes.forms(parsed), forms.data_sets(forms.controls(parsed))), capsys).count("Exchange") <= 3
+
+
 # -- forms
 
 
@@ -202,11 +224,37 @@ def test_links_and_leaves(spark):
     assert Engine(pages).only("http://h/i").leaf_nodes(True).count() == 2
 
 
+def test_deep_pages_and_urls_stored_twice(spark):
+    deep = "<div>" * 1500 + '<p>x</p><a href="/b">y</a>'
+    pages = spark.createDataFrame([(1, "http://h/a", deep), (2, "http://h/b", None), (3, "http://h/b", ""), (4, None, "<a href='/b'>z</a>")], "page_id long, url string, html string")
+    parsed = nodes.parse_pages(pages)
+    paths = nodes.element_paths(parsed, "p").collect()
+    assert [r.page_id for r in paths] == [1] and paths[0].path.count("/") == 1503 and paths[0].path.endswith("/0.div/0.p")
+    got = sorted((r.page_id, r.target, r.target_page_id) for r in nodes.follow(nodes.link_urls(parsed), pages, 0).collect())
+    assert got == [(1, "http://h/b", 2), (4, "/b", None)]  # one row a link, to the least page
+
+
+def test_walks_end(spark):
+    def page(n, to):
+        return n, f"http://h/{n}", f'<h1>t{n}</h1><a href="/x">other</a>' + (f'<a href="{to}">Next Page</a><a href="/9">next page 2</a>' if to is not None else "")
+
+    rows = [page(0, "1"), page(1, "/2"), page(2, "0"), page(5, "6"), page(6, None), page(7, "/none"), page(9, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def way(n):
+        return [(r.page_id, r.depth, r.record.t) for r in crawl.walk(pages, f"http://h/{n}", "next page", {"t": el("h1").first_text()}).orderBy("depth").collect()]
+
+    assert way(0) == [(0, 0, "t0"), (1, 1, "t1"), (2, 2, "t2")] and way(5) == [(5, 0, "t5"), (6, 1, "t6")]
+    assert way(7) == [(7, 0, "t7")] and way(8) == [] and Engine(pages).walk("http://h/6", "next page", {"t": el("h1").first_text()}).count() == 1
+
+
 def test_reachable_ends_on_cycles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(8, 0), (20, 21), (3, 3), (None, 1)], "src long, dst long")
     got = dict(crawl.reachable(edges, spark.createDataFrame([(2,)], "node long")).collect())
     assert got == {(2 + i) % 9: i for i in range(9)}
     assert dict(crawl.reachable(edges, spark.createDataFrame([(2,)], "node long"), depth=1).collect()) == {2: 0, 3: 1}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    assert dict(crawl.reachable(chain, spark.createDataFrame([(0,)], "node long")).collect()) == {i: i for i in range(21)}
 
 
 def test_predicates(spark):
@@ -243,6 +291,12 @@ def test_search(spark):
     for term in ["ban", "ana", "a", "ND", "zz", "banana", *("".join(rng.choice("bands") for _ in range(3)) for _ in range(5))]:
         want = sorted(r.id for r in search.search(df, term).collect())
         assert sorted(r.id for r in search.search_suffixes(table, term).collect()) == want
+    long = spark.createDataFrame([(1, "x" * 50 + "abcdef"), (2, "x" * 50 + "abcdeg"), (3, "İstanbul STRASSE"), (4, "abcx abcy")], "id long, title string")
+    table = search.suffixes(long, "id", longest=5)
+    for term in ["xxxxxxxxxxabcdef", "xxxxxxxxxxabcdeg", "xxxxxxxxxxabcdez", "abcx abcy", "abcx abcx", "stanbul str", "x" * 51, "bc", ""]:
+        assert sorted(r.id for r in search.search_suffixes(table, term, 5).collect()) == sorted(r.id for r in search.search(long, term).collect()), term
+    index = search.Index.write(spark, df.withColumns({"as_of": F.lit("d"), "source": F.lit("s")}), "id")
+    assert [tuple(r) for r in index.search("ANA").collect()] == [(1, "Banana", "d", "s")] and index.search("zz").count() == 0
     assert json.loads(search.as_json_array(search.search(df, "ban"), "id").first().json) == [{"id": 1, "title": "Banana"}, {"id": 2, "title": "band"}]
 
 
