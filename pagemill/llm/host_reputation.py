@@ -17,6 +17,13 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
+#: Public suffixes of two labels, under which the registered domain has three; others are of one label.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "org.uk", "com.au", "edu.au", "net.au", "org.au", "co.nz", "org.nz", "ac.jp", "co.jp", "ne.jp", "or.jp",
+    "co.kr", "or.kr", "com.br", "net.br", "org.br", "com.cn", "net.cn", "org.cn", "com.hk", "com.tw", "com.sg", "com.mx", "com.ar", "com.co", "com.tr", "com.ua",
+    "co.in", "net.in", "org.in", "co.id", "co.il", "co.th", "co.za", "com.my", "com.ph", "com.vn", "com.pl", "com.es", "com.pt",
+)
+ADDRESS = r"^[0-9]+(\.[0-9]+){3}$"
 #: A page is blocked where its host's block rate is above LIMIT with the one-sided confidence of Z deviations.
 LIMIT, Z = 0.5, 1.645
 #: Bounds of the correlation of outcomes within a group: 1 / (1 + a prior's strength).
@@ -42,13 +49,23 @@ def rule_fit(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain under suffixes of one label: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host without user, port and a dot at its end: what domains and suffixes are cut from."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _last_labels(host: Column, n: Column) -> Column:
+    site = site_of(host)
+    return F.when(site.rlike(ADDRESS), site).otherwise(F.array_join(F.slice(F.split(site, r"\."), -F.least(n, F.size(F.split(site, r"\."))), n), "."))
+
+
+def domain_of(host: Column, suffixes=SUFFIXES) -> Column:
+    """The registered domain: a label more than the public suffix. Addresses are their own."""
+    return _last_labels(host, F.when(F.substring_index(site_of(host), ".", -2).isin(*suffixes), 3).otherwise(2))
+
+
+def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
+    return _last_labels(host, F.when(F.substring_index(site_of(host), ".", -2).isin(*suffixes), 2).otherwise(1))
 
 
 def _strength(groups: DataFrame) -> float:
@@ -67,16 +84,17 @@ def _posterior(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"a": F.col("mean") * s + F.col("bad"), "b": (1 - F.col("mean")) * s + F.col("n") - F.col("bad")})
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """(host, n, bad, rate, low) of each host of (host, bad), where bad is 1, 0 or null (a page without a label).
 
     Counts are summed by host before anything else, so a hot host costs one row a task; domains and suffixes are
     summed from hosts. Each level's posterior mean is the prior mean of the level below. low is the posterior's
-    lower bound (normal approximation). Only three strengths and a total come to the driver.
+    lower bound, its mean less Z deviations: the normal approximation to the beta's quantile at 0.05, which for posteriors of
+    strength a + b over 10 and means from 0.2 to 0.8 is within 0.04 of it. Only three strengths and a total come to the driver.
     """
     count = [F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")]
     again = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    hosts = written(outcomes.groupBy("host").agg(*count).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = written(outcomes.groupBy("host").agg(*count).withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))
     domains = hosts.groupBy("domain", "suffix").agg(*again)
     suffixes = domains.groupBy("suffix").agg(*again)
     total = hosts.agg(*again).first()
@@ -89,8 +107,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "bad", rate.alias("rate"), (rate - Z * F.sqrt(F.col("a") * F.col("b") / (n * n * (n + 1)))).alias("low"))
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, limit: float = LIMIT, suffixes=SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, rate, low) of every page; a page that a rule fits is a labelled outcome.
+    There are no other labels than the rules' own verdicts: what a host's other pages get follows from them.
 
     Null urls or urls without :// have an empty host and path, a host like any other. Repeated rows and null ids are
     judged each; an empty table gives an empty one; other columns are dropped. The join to hosts is one that
@@ -100,7 +119,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     rule, verdict = rule_fit(F.col("host"), F.col("path"), rules)
     seen = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
     seen = seen.withColumns({"rule": rule, "ruled": verdict})
-    known = reputation(seen.select("host", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).alias("bad")))
+    known = reputation(seen.select("host", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0).alias("bad")), suffixes)
     by_host = F.when(F.col("low") > limit, "block").otherwise("allow")
     return seen.join(known, "host").select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "rate", "low")
 
@@ -122,9 +141,12 @@ ORACLE = (
   part AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
   seen AS (SELECT *, {_case(0)} AS rule, {_case(1)} AS ruled FROM part),
+  site AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS site FROM seen),
+  cutup AS (SELECT *, CASE WHEN array_to_string(string_split(site, '.')[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN 2 ELSE 1 END AS k,
+    regexp_matches(site, '{ADDRESS}') AS numeric FROM site),
   host0 AS (SELECT host, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad,
-    array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-    string_split(host, '.')[-1] AS suffix FROM seen GROUP BY host),
+    any_value(CASE WHEN numeric THEN site ELSE array_to_string(string_split(site, '.')[-(k + 1):], '.') END) AS domain,
+    any_value(CASE WHEN numeric THEN site ELSE array_to_string(string_split(site, '.')[-k:], '.') END) AS suffix FROM cutup GROUP BY host),
   dom0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM host0 GROUP BY ALL),
   suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1.0) / (sum(n) + 2) FROM host0) AS mean FROM dom0 GROUP BY suffix)"""
     + _LEVEL.format(name="suf")

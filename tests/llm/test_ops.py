@@ -528,6 +528,15 @@ def test_host_reputation(spark):
     ]
     assert all(r.verdict in ("allow", "block") for r in got.values()) and got[1].verdict == "allow" and got[0].verdict == "block"
     assert host_reputation.judge(df.limit(0)).count() == 0
+    hosts = ["www.a.co.uk", "a.co.uk", "co.uk", "uk", "x.b.example.com", "user:pw@b.example.com:8080", "example.com.", "10.1.2.3", "10.1.2.3:80", "", "localhost", "[::1]"]
+    cut = spark.createDataFrame([(h,) for h in hosts], "host string").select(host_reputation.domain_of(F.col("host")), host_reputation.suffix_of(F.col("host"))).collect()
+    assert [tuple(r) for r in cut] == [
+        ("a.co.uk", "co.uk"), ("a.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("example.com", "com"), ("example.com", "com"), ("example.com", "com"),
+        ("10.1.2.3", "10.1.2.3"), ("10.1.2.3", "10.1.2.3"), ("", ""), ("localhost", "localhost"), ("[::1]", "[::1]"),
+    ]
+    odd = [(None, "http://a.com/x"), (1, "http://b.com/en/" + "y" * 100_000), (1, "http://b.com/en/" + "y" * 100_000), (2, "http://b.com:80/")]
+    odd = host_reputation.judge(spark.createDataFrame(odd, "page_id long, url string").withColumns({c: F.lit(1) for c in ("rule", "verdict", "low", "rate", "n", "bad", "domain", "suffix", "mean")}))
+    assert sorted((r.page_id or 0, r.host, r.rule or "") for r in odd.collect()) == [(0, "a.com", ""), (1, "b.com", "com/en/"), (1, "b.com", "com/en/"), (2, "b.com:80", "")]
     # a host with many bad pages is blocked, one with a single bad page is shrunk to its domain
     many = [(i, "bad.x.org", 1) for i in range(50)] + [(100 + i, f"g{i % 60}.x.org", int(i // 60 < 2 + i % 3)) for i in range(600)] + [(9999, "one.x.org", 1)]
     rate = {r.host: r for r in host_reputation.reputation(spark.createDataFrame(many, "page_id long, host string, bad int")).collect()}
