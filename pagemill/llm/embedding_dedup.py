@@ -164,6 +164,14 @@ def _tile_counts(cosine: float):
     return count
 
 
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """Adds node, a number of each distinct vector: the least id of its rows, or a number below all ids where vectors share that."""
+    shared = nodes.groupBy("least_id").agg(F.count("*").alias("n")).where("n > 1").select("least_id", F.lit(True).alias("shared"))
+    lowest = nodes.agg(F.min("least_id")).first()[0]
+    below = F.lit(lowest or 0) - 1 - F.monotonically_increasing_id()
+    return written(nodes.join(shared, "least_id", "left").withColumn("node", F.when(F.col("shared"), below).otherwise(F.col("least_id"))).drop("shared"))
+
+
 def near_duplicates(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, passes: int | None = None, window: int = WINDOW
 ) -> DataFrame:
@@ -175,7 +183,8 @@ def near_duplicates(
     chunks. So n_links counts every link of a component. A link between components is one that no pass found; ``passes`` follow
     the number of nodes (``passes_for``) unless given.
     Null or zero vectors, vectors with null or non-finite components, and null ids link with nothing; vectors of
-    different lengths don't link. Rows that repeat an id are one node if their vectors are equal or link; each is kept.
+    different lengths don't link. Rows that repeat an id are nodes by their vectors: equal ones are one, others
+    are as vectors of different ids; a row is given for each.
     An empty table gives an empty one; other columns are dropped.
     """
     session(df)
@@ -185,15 +194,18 @@ def near_duplicates(
     src = src.withColumn("fine", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
     rows = written(src.withColumn("same", F.when(F.col("fine"), F.xxhash64("v"))))
     nodes = written(
-        rows.where("fine").groupBy("same", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
+        rows.where("fine").groupBy("same", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
     )
+    nodes = _numbered(nodes)
     # nodes of one hash but different vectors are told apart by the vector itself
     of_row = written(rows.where("fine").join(nodes.select("same", "v", "node"), ["same", "v"]).select("vec_id", "node"))
     parts = connected_components(window_links(nodes, cosine, passes, window))
-    inside = nodes.join(parts, "node").select("node", "component", "copies", "v")
-    least = inside.where("node = component").select("component", F.col("v").alias("c"))
+    inside = nodes.join(parts, "node").withColumn("most", F.array_max(F.transform("v", F.abs)))
+    # scaled to components of 1 at most, so that no square overflows or vanishes
+    inside = inside.select("node", "component", "copies", "v", F.transform("v", lambda x: x / F.col("most")).alias("u"))
+    least = inside.where("node = component").select("component", F.col("u").alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    angle = F.acos(F.least(F.lit(1.0), dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("v"), F.col("v"))) / F.sqrt(dot(F.col("c"), F.col("c")))))
+    angle = F.acos(F.least(F.lit(1.0), dot(F.col("u"), F.col("c")) / F.sqrt(dot(F.col("u"), F.col("u"))) / F.sqrt(dot(F.col("c"), F.col("c")))))
     half = float(np.arccos(cosine)) / 2 - 1e-9
     placed = written(inside.join(least, "component").withColumn("far", angle > half).select("node", "component", "copies", "v", "far"))
     near = placed.where("not far").groupBy("component").agg(F.sum("copies").alias("near"))
@@ -214,8 +226,9 @@ def near_duplicates(
         "node", "component",
         (F.when(F.col("far"), F.lit(0)).otherwise(F.col("near") - F.col("copies")) + F.coalesce("more", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    known = nodes.select("node", "copies").join(links, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component_id"), F.coalesce("n_links", F.col("copies") - 1).cast("long").alias("n_links")
+    lowest = nodes.join(parts, "node").groupBy("component").agg(F.min("least_id").alias("lowest"))
+    known = nodes.select("node", "least_id", "copies").join(links, "node", "left").join(lowest, "component", "left").select(
+        "node", F.coalesce("lowest", "least_id").alias("component_id"), F.coalesce("n_links", F.col("copies") - 1).cast("long").alias("n_links")
     )
     good = of_row.join(known, "node").select("vec_id", "n_links", "component_id")
     bad = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

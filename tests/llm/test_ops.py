@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, with the awkward rows of every table."""
 
+import base64
 import hashlib
 import random
 import re
@@ -255,6 +256,15 @@ def test_mixing_meets_the_targets_of_small_sources(spark):
             assert abs(sum(x == k for _, x, _ in slots[:n]) - n * r.blocks / len(slots)) < 6
 
 
+def plain_print(x, k=12, window=20):
+    """The fingerprint by a loop over windows, rightmost of equal hashes, from hashes of one gram at a time."""
+    v = [int(winnowing.gram_hashes(x[i : i + k], k)[0]) >> 32 for i in range(max(1, len(x) - k + 1))] if x else []
+    w = min(window, len(v))
+    at = sorted({max(j for j in range(i, i + w) if v[j] == min(v[i : i + w])) for i in range(len(v) - w + 1)}) if v else []
+    out = b"".join(v[p].to_bytes(4, "big") + bytes([p - q]) for p, q in zip(at, [0, *at]))
+    return base64.b64encode(out).decode()
+
+
 def test_winnowing(docs, empty):
     rng = random.Random(1)
     for _ in range(200):
@@ -277,10 +287,15 @@ def test_winnowing(docs, empty):
         half = len(x) // 2
         edited = x[: len(x) - half] + y[:half]
         assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[d].n_chars == len(x)
-        assert got[d].fingerprint == winnowing.packed(*winnowing.winnow(x)) and 0 <= got[d].near_edited <= 1
+        assert got[d].fingerprint == plain_print(x) and got[d].edited_fingerprint == plain_print(edited)
+        a, b, c = (set(winnowing.unpacked(plain_print(z))[0].tolist()) for z in (x, edited, y))
+        assert abs(got[d].near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+        assert abs(got[d].near_next - (len(a & c) / len(a | c) if a | c else 1.0)) < 1e-12
     assert winnowing.edited_likeness(docs).count() == docs.count() and winnowing.edited_likeness(empty).count() == 0
     links = winnowing.matches(winnowing.fingerprint(one, ["doc_id"]))
     assert links.where("doc_a = doc_b").count() == 0 and links.count() > 0
+    some = winnowing.fingerprint(docs.where("doc_id is null or doc_id in (8, 9)").withColumn("doc_id", F.when(F.col("doc_id") != 9, F.col("doc_id"))), ["doc_id"])
+    assert winnowing.matches(some).count() == 0  # null ids link with nothing
 
 
 def test_secrets(docs, empty):
@@ -483,6 +498,14 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_repeated_ids_and_other_columns(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [-1.0, 0.2]), (4, [-1.0, 0.2]), (5, [1e308, 1e308]), (6, [1e-300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("node", "v", "same", "fine", "copies", "dim", "component", "a", "b")})
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert [r for r in got if r[0] > 3] == [(4, 1, 4, True), (4, 1, 4, True), (5, 1, 5, True), (6, 1, 5, False)]
+    assert len(got) == len(rows) and [r[2] for r in got if r[0] == 2] == [1] and [r[2] for r in got if r[0] == 3] == [1]
+
+
 def test_embedding_passes_follow_the_vectors(spark):
     for n in (10**4, 10**5, 10**6, 10**7, 10**8):
         one = (1 - np.arccos(0.9) / np.pi) ** np.log2(n / embedding_dedup.WINDOW)
