@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text
-from .piece_table import ByteEncoder, PieceTable, joined
+from .piece_table import ByteEncoder, of_parts
 from .pretokens import byte_letters, load_vocabulary, pre_tokenizer
 
 NONE = np.int64(1 << 40)
@@ -104,15 +104,11 @@ class Codec:
         for token, i in [*v["vocab"].items(), *v["specials"].items()]:
             self.bytes_of[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
         self.cut, self.byte_of = pre_tokenizer(path), byte_of
-        self.known = PieceTable(self.words)
         self.encode = ByteEncoder(self.of_pieces, v["specials"])
 
     def of_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in turn, how many each has), from those of their pre-tokens."""
-        found = [[bytes(map(self.byte_of.__getitem__, w)) for w in self.cut(p.decode())] for p in pieces]
-        ids, length = self.known(*joined([w for ws in found for w in ws]))
-        owner = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, found), np.int64, len(found)))
-        return ids, np.bincount(owner, weights=length, minlength=len(pieces)).astype(np.int64)
+        """(ids of all pieces in turn, how many each has), from those of their pre-tokens, each distinct one merged once."""
+        return of_parts([[bytes(map(self.byte_of.__getitem__, w)) for w in self.cut(p.decode())] for p in pieces], self.words)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, how many each has)."""

@@ -18,6 +18,10 @@ ENTRIES, SHORT, LONGEST, LONG_ENTRIES = 1 << 20, 16, 48, 1 << 17
 #: White space outside ASCII begins with these pairs of UTF-8 bytes (others begin with them too, which costs a cut only).
 ODD_PAIRS = np.zeros(1 << 16, bool)
 ODD_PAIRS[[0xC285, 0xC2A0, 0xE19A, 0xE1A0, 0xE280, 0xE281, 0xE380]] = True
+#: Bytes of ASCII letters, and of ASCII marks.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 #: Bits of the first 0 to 8 bytes of a little-endian number.
 FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -92,13 +96,16 @@ class PieceTable:
         which = np.fromiter((fresh.setdefault(raw[a:b], len(fresh)) for a, b in zip(starts[lost].tolist(), ends[lost].tolist())), np.int64, len(lost))
         base = np.where(found >= 0, self.start[found], 0)
         length = np.where(found >= 0, self.length[found], 0).astype(np.int64)
-        pool = self.values[: self.size]
+        pool = self.values
         if fresh:
             values, lengths = self.fill(list(fresh))
             values, lengths = values.astype(np.uint32), lengths.astype(np.int64)
             begins = np.cumsum(lengths) - lengths
-            base[lost], length[lost] = len(pool) + begins[which], lengths[which]
-            pool = np.concatenate([pool, values])
+            base[lost], length[lost] = self.size + begins[which], lengths[which]
+            if self.size + len(values) <= len(pool):
+                pool[self.size : self.size + len(values)] = values  # room that no entry uses yet
+            else:
+                pool = np.concatenate([pool[: self.size], values])
         total = np.cumsum(length)
         at = np.repeat(base - (total - length), length)
         at += np.arange(len(at))
@@ -121,7 +128,7 @@ class PieceTable:
         begins, lengths, sizes = begins[keep], lengths[keep], sizes[keep]
         total = int(lengths.sum())
         if self.size + total > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros(max(total, len(self.values) // 2), np.uint32)])
+            self.values = np.concatenate([self.values[: self.size], np.zeros(2 * total + len(self.values) // 2, np.uint32)])
         ends = np.cumsum(lengths)
         self.values[self.size : self.size + total] = values[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]
         self.start[entries], self.length[entries] = self.size + ends - lengths, lengths
@@ -131,9 +138,18 @@ class PieceTable:
         self._put(entries[sizes <= SHORT])
 
 
+def mark_starts(buffer: np.ndarray) -> np.ndarray:
+    """Whether each byte is an ASCII mark after an ASCII letter: there a pre-token ends, in any pattern that keeps letters apart."""
+    out = MARK[buffer]
+    out[1:] &= LETTER[buffer[:-1]]
+    out[:1] = False
+    return out
+
+
 def cuts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Starts of pieces in a buffer of UTF-8 texts that begin at bounds: the bounds, and every single space between visible
-    characters. No pre-token of a byte-level pattern spans such a space, which begins the one after it."""
+    """Starts of pieces in a buffer of UTF-8 texts that begin at bounds: the bounds, every single space between visible
+    characters, and every mark after a letter. No pre-token of a byte-level pattern spans such a space, which begins the
+    one after it, nor such a mark."""
     n = len(buffer)
     space = np.flatnonzero(buffer == 32)
     space = space[(space > 0) & (space < n - 1)]
@@ -143,7 +159,7 @@ def cuts(buffer: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         at = space[wide]
         pair = lambda i: ODD_PAIRS[(buffer[np.clip(i, 0, n - 1)].astype(np.uint16) << 8) | buffer[np.clip(i + 1, 0, n - 1)]]
         fine[wide] = ~(pair(at - 2) | pair(at - 3) | pair(at + 1))
-    marks = np.zeros(n + 1, bool)
+    marks = np.r_[mark_starts(buffer), False]
     marks[space[fine]] = True
     marks[bounds] = True
     return np.flatnonzero(marks[:n])
@@ -181,6 +197,18 @@ class ByteEncoder:
         return out
 
 
+def of_parts(parts: list[list[bytes]], fill: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists of parts in turn, how many each list has), each distinct part being filled once."""
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(w, len(number)) for ws in parts for w in ws], np.int64)
+    values, length = fill(list(number))
+    own = length[which]
+    ends = np.cumsum(own)
+    at = np.repeat((np.cumsum(length) - length)[which] - (ends - own), own) + np.arange(own.sum())
+    before = np.r_[0, ends][np.cumsum([0, *map(len, parts)])]
+    return values[at], np.diff(before)
+
+
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buffer, starts, ends) of byte strings laid end to end."""
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))

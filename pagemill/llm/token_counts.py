@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text
-from .piece_table import PieceTable, joined
+from .piece_table import PieceTable, joined, mark_starts
 from .pretokens import load_vocabulary, pre_tokenizer
 
 
@@ -25,7 +25,7 @@ class Counter:
         self.cut = pre_tokenizer(path)
         self.specials = sorted(v["specials"])
         self.split = re.compile("|".join(map(re.escape, self.specials))).split
-        self.words, self.pieces = PieceTable(self._words), PieceTable(self._pieces)
+        self.words, self.pieces = PieceTable(self._words, 1 << 19), PieceTable(self._pieces)
 
     def word(self, word: str) -> int:
         """Initial symbols less merges: pops the lowest rank, leftmost first, until no pair is left."""
@@ -59,11 +59,11 @@ class Counter:
         return np.fromiter((self.word(w.decode()) for w in new), np.uint32, len(new)), np.ones(len(new), np.int64)
 
     def _pieces(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of pieces between white space, from those of their words."""
+        """The counts of pieces that begin at white space or at a mark after a letter, from those of their words."""
         found = [self.cut(p.decode()) for p in new]
         counts, _ = self.words(*joined([w.encode() for ws in found for w in ws]))
-        owner = np.repeat(np.arange(len(new)), np.fromiter(map(len, found), np.int64, len(found)))
-        return np.bincount(owner, weights=counts, minlength=len(new)).astype(np.uint32), np.ones(len(new), np.int64)
+        before = np.r_[0, np.cumsum(counts, dtype=np.int64)][np.cumsum([0, *map(len, found)])]
+        return np.diff(before).astype(np.uint32), np.ones(len(new), np.int64)
 
     def __call__(self, texts: list[str]) -> list[int]:
         # special strings count one each, and part what is around them as white space does
@@ -72,7 +72,7 @@ class Counter:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         bounds = np.cumsum(sizes) - sizes
         buffer = np.frombuffer(b"".join(raw), np.uint8)
-        marks = np.r_[(buffer == 32) | (buffer == 10), False]
+        marks = np.r_[(buffer == 32) | (buffer == 10) | mark_starts(buffer), False]
         marks[bounds] = True
         starts = np.flatnonzero(marks[:-1])
         counts, _ = self.pieces(buffer, starts, np.r_[starts[1:], len(buffer)][: len(starts)])

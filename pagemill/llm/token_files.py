@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_ranges, removed, session, shared_dir, written
-from .piece_table import ByteEncoder
+from .piece_table import ByteEncoder, cuts, joined
 from .pretokens import load_vocabulary
 
 SCALE, LOW = 20, 31
 MASK = np.uint64((1 << SCALE) - 1)
-LANES, STRIDE, BLOCK = 512, 256, 1 << 19
+LANES, STRIDE, BLOCK = 2048, 64, 1 << 19
+#: Pieces that the library encodes as one text at most; pieces that a worker remembers.
+RUN, ENTRIES = 2000, 1 << 21
 HEAD, MAGIC = struct.Struct("<4sIQIIIIII"), b"PMR1"
 
 
@@ -133,18 +135,22 @@ def unpack(coder: Coder, blob: bytes) -> tuple[list[int | None], np.ndarray, np.
     return [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist())], lengths, ids
 
 
+def id_top(path: str) -> int:
+    v = load_vocabulary(path)
+    return max([*v["vocab"].values(), *v["specials"].values()])
+
+
 def id_width(path: str):
     """The integer type that ids of a vocabulary fit."""
-    v = load_vocabulary(path)
-    return np.uint16 if max([*v["vocab"].values(), *v["specials"].values()]) < 1 << 16 else np.uint32
+    return np.uint16 if id_top(path) < 1 << 16 else np.uint32
 
 
 _encoders: dict[str, ByteEncoder] = {}
 
 
 def library_encoder(path: str) -> ByteEncoder:
-    """Ids of whole texts by the tokenizers library, which encodes each distinct piece between single spaces once while it is
-    remembered: no pre-token of a byte-level vocabulary spans such a space, so the ids are those of the whole text."""
+    """Ids of whole texts by the tokenizers library, which encodes each distinct piece of cuts() once while it is remembered: no
+    pre-token of a byte-level vocabulary spans a cut, so the ids are those of the whole text."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -155,11 +161,25 @@ def library_encoder(path: str) -> ByteEncoder:
         specials = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
         t.encode_special_tokens = True  # special strings are cut out before
 
-        def pieces(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        size_of = np.zeros(id_top(path) + 1, np.int64)
+        for token, i in t.get_vocab(with_added_tokens=False).items():
+            size_of[i] = len(token)  # a letter for each byte
 
-        _encoders[path] = ByteEncoder(pieces, specials)
+        def pieces(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            # pieces whose edges are cuts in what they make together are encoded as one text, and told apart by the bytes of their ids
+            buffer, starts, ends = joined(new)
+            fine = np.zeros(len(buffer) + 1, bool)
+            fine[cuts(buffer, starts[:1])] = True
+            heads = np.flatnonzero(~fine[starts] | (np.arange(len(new)) % RUN == 0))
+            texts = [b"".join(new[i:j]).decode() for i, j in zip(heads.tolist(), np.r_[heads[1:], len(new)].tolist())]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+            before = np.r_[0, np.cumsum(size_of[ids])]
+            at = np.searchsorted(before, np.r_[starts, len(buffer)])
+            if not np.array_equal(before[at], np.r_[starts, len(buffer)]):
+                raise ValueError("the vocabulary isn't byte-level")
+            return ids, np.diff(at)
+
+        _encoders[path] = ByteEncoder(pieces, specials, ENTRIES)
     return _encoders[path]
 
 
