@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, embedding_dedup, host_reputation, mixing, secrets, simhash, token_counts, token_files, toxicity, winnowing
 from .common import table
 
-#: Vocabulary files; other paths can be given to the operators.
-BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+#: Vocabulary files of the queries; the operators take paths.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file. Only the queries that need one need its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = token_files.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
+    read = token_files.token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -30,7 +36,7 @@ def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, ["doc_id"])
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), ["doc_id"])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, ["doc_id"])
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), ["doc_id"])
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

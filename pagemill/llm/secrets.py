@@ -439,7 +439,8 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "crf": 3}
 
 
 def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end joined by commas) of scanned rows."""
+    """``keep``, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end joined by commas) of scanned rows.
+    A row without spans has counts of 0 and the digest of an empty string; rows are kept each, an empty table gives an empty one."""
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("spans", lambda s: s.kind != "crf")
     of = lambda kind: F.filter("spans", lambda s: s.kind == kind)

@@ -201,7 +201,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", cu
 
 
 def located(docs: DataFrame, model: Model, keep: list[str], text: str = "text", cut: float = 0.5) -> DataFrame:
-    """``keep`` and sentences array<struct<text, score>>: the sentences whose own score is at least cut, in their order."""
+    """``keep`` and sentences array<struct<text, score>>: the sentences whose own score is at least cut, in their order.
+
+    Null, empty and clean texts have none; repeated rows and null ids are kept each, an empty table gives an empty one, other
+    columns are dropped, and one named sentences can't be kept (ValueError)."""
     known = session(docs).sparkContext.broadcast(model)
 
     def make():

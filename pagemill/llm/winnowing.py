@@ -92,8 +92,9 @@ def fingerprint(docs: DataFrame, keep: list[str], text: str = "text", k: int = K
 
 def matches(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(hash, doc_a, at_a, doc_b, at_b): each place of a hash linked to the first document that has it, so a hash that
-    very many share makes one row a place and not all pairs."""
-    at = prints.select(F.col(doc_id).alias("doc"), F.explode(F.arrays_zip("hashes", "positions")).alias("x")).select("doc", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("at"))
+    very many share makes one row a place and not all pairs. Rows that repeat an id are one document, null ids one of their own
+    that nothing links to; documents without hashes and empty tables give no rows; other columns are dropped."""
+    at = prints.where(F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc"), F.explode(F.arrays_zip("hashes", "positions")).alias("x")).select("doc", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("at"))
     first = at.groupBy("hash").agg(F.min(F.struct("doc", "at")).alias("f"), F.count_distinct("doc").alias("n")).where("n > 1")
     return at.join(first, "hash").where("doc <> f.doc").select("hash", F.col("f.doc").alias("doc_a"), F.col("f.at").alias("at_a"), F.col("doc").alias("doc_b"), F.col("at").alias("at_b"))
 
