@@ -2,8 +2,8 @@
 
 Trees follow the public HTML Standard in: implied html, head and body; void, raw-text and form elements; implied end tags and
 scopes; active formatting elements with markers at cells and objects, and the adoption agency; foster-parented table
-content; selects, in tables too; framesets; quirks mode by name and absence of the doctype. Not in: template contents,
-attributes' case in foreign elements, the list of quirky public identifiers. Scripts never run; fragments and frames'
+content; selects, in tables too; framesets; names' case within svg; quirks mode by name and absence of the doctype. Parse
+errors are noted. Not in: template contents, the list of quirky public identifiers. Scripts never run; fragments and frames'
 documents aren't parsed.
 """
 
@@ -24,7 +24,26 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 IMPLIED_END = {"dd", "dt", "li", "option", "optgroup", "p", "rp", "rt"}
 SCOPE = set("applet caption html table td th marquee object template".split())
 FORM_ASSOCIATED = set("button fieldset input keygen label object output select textarea".split())
-INTEGRATION = {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
+INTEGRATION = {"foreignObject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
+#: Names within svg that aren't lower case: elements, attributes.
+SVG_NAMES = {
+    x.lower(): x
+    for x in (
+        "altGlyph altGlyphDef altGlyphItem animateColor animateMotion animateTransform clipPath feBlend feColorMatrix feComponentTransfer feComposite feConvolveMatrix "
+        "feDiffuseLighting feDisplacementMap feDistantLight feDropShadow feFlood feFuncA feFuncB feFuncG feFuncR feGaussianBlur feImage feMerge feMergeNode feMorphology "
+        "feOffset fePointLight feSpecularLighting feSpotLight feTile feTurbulence foreignObject glyphRef linearGradient radialGradient textPath"
+    ).split()
+}
+SVG_ATTRS = {
+    x.lower(): x
+    for x in (
+        "attributeName attributeType baseFrequency baseProfile calcMode clipPathUnits diffuseConstant edgeMode filterUnits glyphRef gradientTransform gradientUnits "
+        "kernelMatrix kernelUnitLength keyPoints keySplines keyTimes lengthAdjust limitingConeAngle markerHeight markerUnits markerWidth maskContentUnits maskUnits "
+        "numOctaves pathLength patternContentUnits patternTransform patternUnits pointsAtX pointsAtY pointsAtZ preserveAlpha preserveAspectRatio primitiveUnits refX refY "
+        "repeatCount repeatDur requiredExtensions requiredFeatures specularConstant specularExponent spreadMethod startOffset stdDeviation stitchTiles surfaceScale "
+        "systemLanguage tableValues targetX targetY textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan"
+    ).split()
+}
 TABLE_ONLY = {"caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"}
 TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
 #: Elements that a marker in the formatting list goes with; that bound the search for a furthest block besides BLOCKS.
@@ -71,6 +90,7 @@ class Tree(HTMLParser):
         self.stack: list[Node] = []
         self.formatting: list[Node | None] = []  # None: a marker
         self.head = self.body = self.form = self.frameset = None
+        self.errors: list[str] = []
         self.skip_newline, self.closed = False, 0  # closed: 1 after </body>, 2 after </html>
 
     # -- stack
@@ -104,11 +124,20 @@ class Tree(HTMLParser):
                 return i if self.stack[i].name == "select" else None
         return None
 
+    def _error(self, what: str, tag: str = "") -> None:
+        """Parse errors are noted, never fatal."""
+        self.errors.append(f"{what}\t{tag}")
+
     def _push(self, name, attrs, ns="html") -> Node:
+        if ns == "svg":
+            name, attrs = SVG_NAMES.get(name, name), {SVG_ATTRS.get(k, k): v for k, v in attrs.items()}
+        elif ns == "math":
+            attrs = {"definitionURL" if k == "definitionurl" else k: v for k, v in attrs.items()}
         node, top = Node("element", name, attrs, ns=ns), self._top()
         if top.ns == "html" and top.name in TABLE_PARTS and name not in TABLE_ONLY | {"script", "style", "form"} and not (
             name == "input" and attrs.get("type", "").lower() == "hidden"
         ):
+            self._error("in table", name)
             self._foster(node)
         else:
             top.add(node)
@@ -190,6 +219,7 @@ class Tree(HTMLParser):
                 self._in_body()
             if top.ns == "html" and top.name in TABLE_PARTS and not data.isspace():
                 table = next(n for n in reversed(self.stack) if n.name == "table")
+                self._error("in table", "#text")
                 self._text(table.parent or self.document, data, before=table)
                 return
             if not data.isspace():
@@ -280,6 +310,7 @@ class Tree(HTMLParser):
             self._pop_to(i)
         if tag == "form":
             if self.form is not None:
+                self._error("form in form")
                 return
             self.form = self._push(tag, given)
             return
@@ -310,7 +341,7 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if self.stack and self._top().name == tag and self._top().ns in ("svg", "math"):
+        if self.stack and self._top().name.lower() == tag and self._top().ns in ("svg", "math"):
             self.stack.pop()
 
     def handle_endtag(self, tag):
@@ -353,7 +384,11 @@ class Tree(HTMLParser):
             if tag == "form":
                 self.form = None
             if i is not None and self.stack[i] not in (self.body, self.stack[0]):
+                if any(n.name not in IMPLIED_END | TABLE_ONLY for n in self.stack[i + 1 :]):
+                    self._error("misnested", tag)
                 self._pop_to(i)
+            elif i is None:
+                self._error("stray end", tag)
 
     def _adopt(self, tag: str) -> None:
         """The adoption agency: closes a formatting element around blocks that stay open, each with its own copy inside."""
@@ -369,6 +404,8 @@ class Tree(HTMLParser):
             if any(n.name in SCOPE and n.ns == "html" for n in self.stack[i + 1 :]):
                 return
             k = next((k for k in range(i + 1, len(self.stack)) if self.stack[k].name in BLOCKS | SPECIAL), None)
+            if node is not self._top():
+                self._error("misnested", tag)
             if k is None:
                 self._pop_to(i)
                 self.formatting.remove(node)
@@ -415,11 +452,14 @@ class Tree(HTMLParser):
     def _close_any(self, tag: str) -> None:
         """An end tag that nothing special is said about: up to its element, unless a special one is in the way."""
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == tag:
+            if self.stack[i].name.lower() == tag:
+                if i < len(self.stack) - 1:
+                    self._error("misnested", tag)
                 self._pop_to(i)
                 return
             if self.stack[i].ns == "html" and self.stack[i].name in BLOCKS | SPECIAL:
-                return
+                break
+        self._error("stray end", tag)
 
     def _quirks(self) -> bool:
         first = next((c for c in self.document.children if c.kind == "doctype"), None)
@@ -434,7 +474,13 @@ def parse(html: str) -> Node:
         tree.handle_data(tree.rawdata)
     if tree.frameset is None:
         tree._in_body()
-    tree.document.attrs["mode"] = "quirks" if tree._quirks() else "no-quirks"
+    for node in tree.stack[1:]:
+        if node.name not in IMPLIED_END | {"body", "tbody", "td", "tfoot", "th", "thead", "tr"}:
+            tree._error("unclosed", node.name)
+    doctype = next((c for c in tree.document.children if c.kind == "doctype"), None)
+    if doctype is None or doctype.attrs["name"] != "html" or doctype.attrs["publicId"] or doctype.attrs["systemId"] not in ("", "about:legacy-compat"):
+        tree.errors.insert(0, "no doctype\t" if doctype is None else "odd doctype\t")
+    tree.document.attrs = {"mode": "quirks" if tree._quirks() else "no-quirks", "errors": "\n".join(tree.errors)}
     return tree.document
 
 

@@ -189,6 +189,14 @@ def documents_meta(table: DataFrame) -> DataFrame:
     return page.select("page_id", *url, doctype("name").alias("doctype"), doctype("publicId").alias("public_id"), doctype("systemId").alias("system_id"), mode.alias("mode"))
 
 
+def parse_errors(table: DataFrame) -> DataFrame:
+    """(page_id, idx, error, tag) of what is wrong with each page's markup, in order: a log, which stops nothing."""
+    noted = F.split(P.get_attribute("errors", first_of(F.col("nodes"))["attrs"]), "\n")
+    found = paged(table).select("page_id", F.posexplode(F.filter(noted, lambda e: e != "")).alias("idx", "e"))
+    parts = F.split("e", "\t")
+    return found.select("page_id", "idx", parts[0].alias("error"), F.nullif(parts[1], F.lit("")).alias("tag"))
+
+
 def find_link(found: DataFrame, pattern: str) -> DataFrame:
     """The first link of each page whose text or url holds the pattern, in any case."""
     said = F.lower(F.concat_ws("\n", "text", "url"))

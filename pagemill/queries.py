@@ -112,6 +112,11 @@ def page_meta(spark, sf_dir):
     return nodes.documents_meta(_parsed(spark, sf_dir)).select("page_id", "url", "doctype", "mode")
 
 
+def error_counts(spark, sf_dir):
+    """Parse errors of all pages by kind and tag."""
+    return nodes.parse_errors(_parsed(spark, sf_dir)).groupBy("error", "tag").agg(F.count("*").alias("n"))
+
+
 # -- operators that the pages have nothing for: over html made of the pages' own columns
 
 
@@ -285,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_titles, page_links, links_resolved, link_first_match, tag_counts, element_counts, comment_nodes, attr_filter, leaf_counts, node_paths,
-        paragraph_texts, articles_json, nav_links_by_ad, page_meta, listing_template, movie_template, form_requests, form_controls, followed_links,
+        paragraph_texts, articles_json, nav_links_by_ad, page_meta, error_counts, listing_template, movie_template, form_requests, form_controls, followed_links,
         next_pages, paged_listing, responses, byte_counts, recent_pages, json_texts, escaped_pairs, element_predicates, url_query_pairs, url_parts,
         url_encode_text, visit_urls, title_search, title_suffix_search, stored_index_search, crawl_reachability,
     )
