@@ -94,23 +94,51 @@ def of_row(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
-def id_ranges(df: DataFrame, doc_id: str) -> tuple[int, Column]:
-    """(parts, code): ranges of ids about equal in rows, as many as shuffle partitions at most, and a column that is twice
-    the number of a row's range, plus 1 for the greatest id of the range, which occurs. Null ids are in range 0.
+#: Rows of each range that its bounds are chosen by, about: a random sample that comes to the driver.
+SAMPLED = 100
+LAST = np.iinfo(np.int64).max
 
-    Bounds are ids that occur, found by a job on the ids alone; they are as few as the ranges.
+
+def id_ranges(df: DataFrame, doc_id: str, order: str) -> tuple[int, Column]:
+    """(parts, code): ranges of (id, order) about equal in rows, as many as shuffle partitions at most, and a column that is twice the
+    number of a row's range, plus 1 for the greatest of the range, which occurs. Null ids come first.
+
+    Bounds are ids, or where one id (or none) fills several ranges, ids with an ``order``, a column of longs; all of
+    them occur. They are chosen from a sample of SAMPLED rows a range: of ids alone, and of orders too only if an id is that hot. Rows
+    equal in both stay together.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5))
-    got = df.agg(F.percentile_approx(doc_id, steps, F.lit(max(10000, 20 * n))).alias("cuts"), F.max(doc_id).alias("top")).first()
-    heads = np.array(sorted({x for x in got.cuts or () if x < got.top}) + ([got.top] if got.top is not None else []), dtype=np.int64)
-    parts = max(1, len(heads))
+    rows, top = df.agg(F.count("*"), F.max(doc_id)).first()
+    share = min(1.0, SAMPLED * n / max(1, rows))
+
+    def cuts(*by: str) -> list[tuple]:
+        some = sorted((r[0] is not None, r[0] or 0, *r[1:]) for r in df.select(*by).sample(share, 1).collect())
+        return [some[len(some) * i // n] for i in range(1, n)] if some else []
+
+    chosen = cuts(doc_id)
+    if len(set(chosen)) == len(chosen) or rows <= 16 * n:  # of so few rows no range is large
+        bounds = {(known, i, LAST) for known, i in chosen if known and i < top} | ({(True, top, LAST)} if top is not None else set())
+    else:
+        known, i, g = df.agg(F.max(F.struct(F.col(doc_id).isNotNull(), doc_id, order))).first()[0]
+        bounds = {b for b in cuts(doc_id, order) if b < (known, i or 0, g)} | {(known, i or 0, g)}
+    none = np.array(sorted(g for known, _, g in bounds if not known), np.int64)
+    ids, tops = (np.array([b[k] for b in sorted(bounds) if b[0]], np.int64) for k in (1, 2))
+    parts = max(1, len(bounds))
 
     @F.pandas_udf(T.IntegerType())
-    def code(ids: pd.Series) -> pd.Series:
-        at, known = ids.fillna(0).astype("int64").to_numpy(), ids.notna().to_numpy()
-        part = np.minimum(np.searchsorted(heads, at), parts - 1)
-        head = known & (heads[part] == at) if len(heads) else np.zeros(len(at), bool)
-        return pd.Series((np.where(known, 2 * part, 0) + head).astype("int32"))
-
-    return parts, code(doc_id)
+    def code(doc: pd.Series, known: pd.Series, g: pd.Series) -> pd.Series:
+        at, known, g = doc.to_numpy(), known.to_numpy(), g.to_numpy()
+        part, after = np.searchsorted(ids, at), np.searchsorted(ids, at, "right")
+        for x in np.unique(at[known & (after > part)]).tolist():  # ids that bounds have
+            own, lo, hi = known & (at == x), np.searchsorted(ids, x), np.searchsorted(ids, x, "right")
+            part[own] = lo + np.searchsorted(tops[lo:hi], g[own])
+        part = np.where(known, len(none) + part, np.searchsorted(none, g))
+        is_id, is_none = np.clip(part - len(none), 0, max(0, len(ids) - 1)), np.clip(part, 0, max(0, len(none) - 1))
+        head = np.zeros(len(at), bool)
+        if len(ids):
+            head |= known & (ids[is_id] == at) & ((tops[is_id] == g) | (tops[is_id] == LAST))
+        if len(none):
+            head |= ~known & (none[is_none] == g)
+        return pd.Series((2 * np.minimum(part, parts - 1) + head).astype("int32"))
+
+    return parts, code(F.coalesce(doc_id, F.lit(0).cast("long")), F.col(doc_id).isNotNull(), order)

@@ -191,9 +191,10 @@ def ordered_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
     session(docs)
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    parts, code = id_ranges(src, "doc_id")
+    src = src.withColumn("g", F.xxhash64("text"))
+    parts, code = id_ranges(src, "doc_id", "g")
     rows = src.withColumn("part", F.shiftright(code, 1)).repartitionById(parts, "part")
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).select("part", "doc_id", "text")
+    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "g").select("part", "doc_id", "text")
 
     width = id_width(path)
 

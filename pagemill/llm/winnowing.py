@@ -156,14 +156,15 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     session(docs)
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    parts, code = id_ranges(src, "doc_id")
+    src = src.withColumn("g", F.bitwise_not(F.xxhash64("text")))
+    parts, code = id_ranges(src, "doc_id", "g")
     sent = F.array(F.struct("part", F.lit(0).alias("context")))
     also = F.array(F.struct("part", F.lit(0).alias("context")), F.struct(((F.col("part") + 1) % parts).alias("part"), F.lit(1).alias("context")))
     rows = src.withColumn("range", code).withColumn("part", F.shiftright("range", 1))
     if parts > 1:
-        rows = rows.withColumn("to", F.explode(F.when(F.col("range") % 2 == 1, also).otherwise(sent))).select("doc_id", "text", F.col("to.context").alias("context"), F.col("to.part").alias("part"))
+        rows = rows.withColumn("to", F.explode(F.when(F.col("range") % 2 == 1, also).otherwise(sent))).select("doc_id", "text", "g", F.col("to.context").alias("context"), F.col("to.part").alias("part"))
     else:
         rows = rows.withColumn("context", F.lit(0))
-    rows = rows.repartitionById(parts, "part").sortWithinPartitions("context", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("context", F.col("doc_id").desc_nulls_last(), F.col("g").desc())
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.select("doc_id", "text", "context").mapInArrow(_compare(k, window), schema)

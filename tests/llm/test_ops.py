@@ -128,6 +128,27 @@ def test_token_files(docs, empty, tmp_path, spark):
     assert token_files.token_files(empty, BYTE).count() == 0
 
 
+def test_hot_ids_are_split_over_ranges(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x"]) for _ in range(rng.randint(1, 12)))
+    rows = [(2**60 + 7, text()) for _ in range(500)] + [(None, text()) for _ in range(400)] + [(i, text()) for i in range(600)] + [(2**60 + 8, text()), (-5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        parts = token_files.ordered_ids(df, BYTE).groupBy("part").count().collect()
+        assert len(parts) >= 9 and max(r["count"] for r in parts) < 300
+        files = token_files.token_files(df, BYTE).orderBy("start").collect()
+        got = winnowing.edited_likeness(df).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = token_files.token_files(df, BYTE).orderBy("start").collect()
+        want = winnowing.edited_likeness(df).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert files == one and len(files) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(rows)
+
+
 def test_blocks_decode_from_any_checkpoint_and_tell_damage():
     rng = np.random.default_rng(0)
     ids = rng.zipf(1.3, 30_000).clip(1, 900).astype(np.uint32)
