@@ -29,6 +29,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+|[^\x00-\x7f]+|[^\sA-Za-z0-9+/_\-]")
 #: Tags; hashed feature space; labelled documents that a model is fitted on at most, with and without a base match each.
 O, B, I = 0, 1, 2
 FEATURES, SAMPLE = 1 << 12, 500
+#: Documents that base matches to fit on are looked for in, about; words whose bounds a worker remembers.
+LOOKED, KNOWN = 20_000, 800_000
 #: Bytes that weigh in the file's features.
 CODE = "={};()"
 #: Places whose tokens a token's features look at besides itself.
@@ -67,13 +69,15 @@ def variety(token: str, n: int) -> str:
 
 
 def shape(token: str) -> list[str]:
-    """What a token looks like: its character classes, length, changes between classes, variety, and how word-like it is."""
+    """What a token looks like: its character classes, length, changes between classes, and, unless it is a plain word, its
+    variety and share of vowels."""
     n = len(token)
     if ord(token[0]) > 127:
         return ["other letters"]
     kinds = token.translate(SHAPES)
     digits, letters = kinds.count("d"), n - kinds.count("d") - kinds.count("-")
-    size, vowels, many = size_of(n), vowel_share(token, letters), variety(token, n)
+    size = size_of(n)
+    vowels, many = ("0", "h") if letters == n and (n == 1 or token[1:].islower()) else (vowel_share(token, letters), variety(token, n))
     turns = sum(map(str.__ne__, kinds, kinds[1:]))
     classes = "".join(sorted(set(kinds)))
     mixed = "0" if not digits or digits == n else "l" if 8 * digits < n else "h"
@@ -162,7 +166,7 @@ class Scanner:
         self.least = -float(step[O, 1:].max() + step[1:, O].max() - 2 * step[O, O] - self.inner) - 1e-6
         self.marks = {}
         self.shapes: dict = {}
-        self.bounds = Cache(lambda new: [self._word(w) for w in new])
+        self.bounds = Cache(lambda new: [self._word(w) for w in new], KNOWN)
 
     def _token(self, t: str) -> float:
         """The most that a token gains by itself."""
@@ -170,7 +174,7 @@ class Scanner:
         if n == 1:
             key = t
         elif rest.isascii() and rest.isalpha() and rest.islower() and t.isascii() and t.isalpha():  # all that shape() looks at
-            key = t[0].islower(), size_of(n), vowel_share(t, n), variety(t, n)
+            key = t[0].islower(), size_of(n)
         else:
             key = None
         if (v := self.shapes.get(key)) is None:
@@ -361,7 +365,8 @@ def fit(xs: list[list[list[int]]], ys: list[list[int]], steps: int = 80, rate: f
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fits a model on at most ``sample`` documents with a base match and as many without, the first by a hash of id and text.
+    """Fits a model on at most ``sample`` documents with a base match and as many without, the first by a hash of id and text, out
+    of about LOOKED documents (all of a smaller table) that the hash picks.
 
     The base matches of the whole texts are labels, and so are made-up keys of other common forms in words of the texts,
     so that shape and neighbours must tell. Stretches of tokens around them and a few other places of each text are all that
@@ -372,19 +377,23 @@ def train(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: s
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     order = F.xxhash64(F.col(f"`{doc_id}`"), F.xxhash64(t))
     like = r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}"
-    seen = written(docs.select(order.alias("h"), t.rlike(like).alias("hit")))
-    chosen = [r.h for hit in (True, False) for r in seen.where(F.col("hit") == hit).select("h").distinct().orderBy("h").limit(sample).collect()]
-    removed(seen)
+    cells = 1 << 20
+    share = int(cells * min(1.0, LOOKED / max(1, docs.count())))
+    looked = docs.select(order.alias("h"), t.alias("text")).where(F.pmod("h", F.lit(cells)) <= share)
+    seen = written(looked.groupBy("h").agg(F.first("text").alias("text")).withColumn("hit", F.col("text").rlike(like)))
+    chosen = [r.h for hit in (True, False) for r in seen.where(F.col("hit") == hit).select("h").orderBy("h").limit(sample).collect()]
     if not chosen:
         return fit([], [])
     picked = F.broadcast(spark.createDataFrame([(h,) for h in chosen], "h long"))  # 2 * sample rows at most
-    texts = docs.select(t.alias("text"), order.alias("h")).join(picked, "h").dropDuplicates(["h"])
+    texts = seen.select("h", "text").join(picked, "h")
 
     def make():
         return lambda texts: [[pickle.dumps(_examples(t)) for t in texts]]
 
     xs, ys = [], []
-    for r in sorted(map_text(texts, ["h"], [T.StructField("x", T.BinaryType())], make).collect()):
+    found = sorted(map_text(texts, ["h"], [T.StructField("x", T.BinaryType())], make).collect())
+    removed(seen)
+    for r in found:
         x, y = pickle.loads(r.x)
         xs += x
         ys += y
