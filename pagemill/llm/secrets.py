@@ -159,14 +159,14 @@ class Scanner:
     whole text.
     """
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, known: int = KNOWN):
         self.model, step = model, model.step
         self.over = model.emit[:, [B, I]].max(axis=1) - model.emit[:, O]
         self.inner = float(step[1:, 1:].max() - step[O, O])
         self.least = -float(step[O, 1:].max() + step[1:, O].max() - 2 * step[O, O] - self.inner) - 1e-6
         self.marks = {}
         self.shapes: dict = {}
-        self.bounds = Cache(lambda new: [self._word(w) for w in new], KNOWN)
+        self.bounds = Cache(lambda new: [self._word(w) for w in new], known)
 
     def _token(self, t: str) -> float:
         """The most that a token gains by itself."""
@@ -457,16 +457,17 @@ def digest(scanned: DataFrame, keep: list[str]) -> DataFrame:
     return scanned.select(*keep, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, model: Model, keep: list[str], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, model: Model, keep: list[str], text: str = "text", mark: str = "[SECRET]", remember: int = KNOWN // 2) -> DataFrame:
     """``keep`` and redacted: each whole text with its spans, merged where they overlap, replaced by a mark.
 
     A null text is an empty one; texts without spans stay as they are; repeated rows and null ids are kept each; an empty table
-    gives an empty one; other columns are dropped, and one named redacted can't be kept (ValueError).
+    gives an empty one; other columns are dropped, and one named redacted can't be kept (ValueError). ``remember`` bounds the words a
+    worker holds: half of scan()'s, as workers of a pipeline hold tables of its other stages too.
     """
     known = session(docs).sparkContext.broadcast(model)
 
     def make():
-        scanner = Scanner(known.value)
+        scanner = Scanner(known.value, remember)
 
         def of(texts):
             out = []
