@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, fill_in_middle, host_reputation, mixing, secrets, sharding, simhash, token_counts, token_files, toxicity, winnowing
+from . import bpe_codec, conversation_trie, embedding_dedup, fill_in_middle, host_reputation, mixing, secrets, sharding, simhash, token_counts, token_files, toxicity, winnowing
 from .common import table
 
 #: Vocabulary files of the queries; the operators take paths.
@@ -64,6 +64,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs, secrets.train(docs), ["doc_id"]), ["doc_id"])
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), ["doc_id"])
     sha = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256")
@@ -79,7 +83,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_files, op3_host_reputation, op4_bpe_codec, op5_mixing, op6_token_counts, op7_embedding_dedup, op8_simhash,
-        op9_winnowing, op10_secrets, op12_fill_in_middle, op13_sharding,
+        op9_winnowing, op10_secrets, op11_conversation_trie, op12_fill_in_middle, op13_sharding,
     )
 }
-ORACLE_SQL = {"op3_host_reputation": host_reputation.ORACLE, "op5_mixing": mixing.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE}
+ORACLE_SQL = {
+    "op3_host_reputation": host_reputation.ORACLE, "op5_mixing": mixing.ORACLE, "op11_conversation_trie": conversation_trie.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE,
+}
