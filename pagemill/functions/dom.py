@@ -1,31 +1,47 @@
-"""From one page's HTML to rows of its node table: a small per-page helper on the standard library's tokenizer.
+"""From one page's HTML to rows of its node table: a per-page helper, as a page's tree is sequential state.
 
-Trees follow the public HTML Standard in: implied html, head and body; void, raw-text and form elements; implied end tags and
-scopes; active formatting elements with markers at cells and objects, and the adoption agency; foster-parented table
-content; selects, in tables too; framesets; names' case within svg; quirks mode by name and absence of the doctype. Parse
-errors are noted. Not in: template contents, the list of quirky public identifiers. Scripts never run; fragments and frames'
-documents aren't parsed.
+Trees follow the public HTML Standard: its tokenizer states, insertion modes and tree-construction algorithms, scripts off.
+Not in: template contents, fragments, frames' documents. Parse errors are noted with their place, mode and open elements.
+
+Work is linear in a page: names are counted between the borders of scopes instead of looked for on the stack, formatting
+elements that are open end the look back at once, and siblings are looked for from the end.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from html import unescape
-from html.parser import HTMLParser
-
-#: Sets of element names from the HTML Standard.
-VOID = set("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-HEAD = set("base basefont bgsound link meta title style script noscript noframes".split())
-FORMATTING = set("a b big code em font i nobr s small strike strong tt u".split())
-BLOCKS = set(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer header hgroup main menu nav ol p "
-    "section summary ul h1 h2 h3 h4 h5 h6 pre listing form table hr xmp plaintext".split()
-)
+from html.entities import html5
+
+# Names, attributes and identifiers of the HTML Standard.
+BLOCKS = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer header hgroup main menu nav ol p search section summary ul".split())
+ENDED = BLOCKS - {"p"} | {"button", "listing", "pre"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-IMPLIED_END = {"dd", "dt", "li", "option", "optgroup", "p", "rp", "rt"}
-SCOPE = set("applet caption html table td th marquee object template".split())
+FORMATTING = set("b big code em font i s small strike strong tt u".split())
+RAW = {"style": "raw", "xmp": "raw", "iframe": "raw", "noembed": "raw", "noframes": "raw", "title": "rcdata", "textarea": "rcdata", "script": "script", "plaintext": "plain"}
+IN_HEAD = set("base basefont bgsound link meta noframes script style title".split())
+IMPLIED_END = {"dd", "dt", "li", "optgroup", "option", "p", "rb", "rp", "rt", "rtc"}
+MAY_STAY_OPEN = {"dd", "dt", "li", "optgroup", "option", "p", "rb", "rp", "rt", "rtc", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 FORM_ASSOCIATED = set("button fieldset input keygen label object output select textarea".split())
-INTEGRATION = {"foreignObject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
-#: Names within svg that aren't lower case: elements, attributes.
+SPECIAL = set(
+    "address applet area article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dir div dl dt embed fieldset "
+    "figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img input keygen li link listing main marquee menu "
+    "meta nav noembed noframes noscript object ol p param plaintext pre script search section select source style summary table tbody td template "
+    "textarea tfoot th thead title tr track ul wbr xmp".split()
+)
+FOREIGN_SPECIAL = {("math", n) for n in ("mi", "mo", "mn", "ms", "mtext", "annotation-xml")} | {("svg", n) for n in ("foreignObject", "desc", "title")}
+BREAKS_OUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split()
+)
+TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
+BODIES, CELLS = {"tbody", "thead", "tfoot"}, {"td", "th"}
+IN_TABLE = BODIES | CELLS | {"caption", "col", "colgroup", "tr"}
+BORDERS = {"applet", "caption", "html", "table", "td", "th", "marquee", "object", "template"}
+#: What hides elements further out, by kind of scope; those of other namespaces hide them in the first three.
+SCOPES = (BORDERS, BORDERS | {"ol", "ul"}, BORDERS | {"button"}, {"html", "table", "template"})
+DEFAULT, LIST, BUTTON, TABLE = range(4)
 SVG_NAMES = {
     x.lower(): x
     for x in (
@@ -44,444 +60,1284 @@ SVG_ATTRS = {
         "systemLanguage tableValues targetX targetY textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan"
     ).split()
 }
-TABLE_ONLY = {"caption", "colgroup", "col", "tbody", "thead", "tfoot", "tr", "td", "th"}
-TABLE_PARTS = {"table", "tbody", "thead", "tfoot", "tr"}
-#: Elements that a marker in the formatting list goes with; that bound the search for a furthest block besides BLOCKS.
-MARKED = {"td", "th", "caption", "applet", "marquee", "object"}
-SPECIAL = {"li", "td", "th", "dd", "dt", "tbody", "thead", "tfoot", "tr", "caption", "applet", "marquee", "object", "button", "select", "body", "html"}
-FRAMES = {"frameset", "frame", "noframes", "html"}
-#: What a start tag closes first, up to (not including) the nearest of the second names.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dd": ({"dd", "dt"}, {"dl"}),
-    "dt": ({"dd", "dt"}, {"dl"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
-    "rt": ({"rt", "rp"}, {"ruby"}),
-    "rp": ({"rt", "rp"}, {"ruby"}),
-}
+#: Public identifiers (or their beginnings) that make a document quirky.
+QUIRKY = tuple(
+    """+//silmaril//dtd html pro v0r11 19970101//|-//advasoft ltd//dtd html 3.0 aswedit + extensions//|-//as//dtd html 3.0 aswedit + extensions//|-//ietf//dtd html 2.0 level 1//|\
+-//ietf//dtd html 2.0 level 2//|-//ietf//dtd html 2.0 strict level 1//|-//ietf//dtd html 2.0 strict level 2//|-//ietf//dtd html 2.0 strict//|-//ietf//dtd html 2.0//|\
+-//ietf//dtd html 2.1e//|-//ietf//dtd html 3.0//|-//ietf//dtd html 3.2 final//|-//ietf//dtd html 3.2//|-//ietf//dtd html 3//|-//ietf//dtd html level 0//|\
+-//ietf//dtd html level 1//|-//ietf//dtd html level 2//|-//ietf//dtd html level 3//|-//ietf//dtd html strict level 0//|-//ietf//dtd html strict level 1//|\
+-//ietf//dtd html strict level 2//|-//ietf//dtd html strict level 3//|-//ietf//dtd html strict//|-//ietf//dtd html//|-//metrius//dtd metrius presentational//|\
+-//microsoft//dtd internet explorer 2.0 html strict//|-//microsoft//dtd internet explorer 2.0 html//|-//microsoft//dtd internet explorer 2.0 tables//|\
+-//microsoft//dtd internet explorer 3.0 html strict//|-//microsoft//dtd internet explorer 3.0 html//|-//microsoft//dtd internet explorer 3.0 tables//|\
+-//netscape comm. corp.//dtd html//|-//netscape comm. corp.//dtd strict html//|-//o'reilly and associates//dtd html 2.0//|\
+-//o'reilly and associates//dtd html extended 1.0//|-//o'reilly and associates//dtd html extended relaxed 1.0//|\
+-//softquad software//dtd hotmetal pro 6.0::19990601::extensions to html 4.0//|-//softquad//dtd hotmetal pro 4.0::19971010::extensions to html 4.0//|\
+-//spyglass//dtd html 2.0 extended//|-//sq//dtd html 2.0 hotmetal + extensions//|-//sun microsystems corp.//dtd hotjava html//|\
+-//sun microsystems corp.//dtd hotjava strict html//|-//w3c//dtd html 3 1995-03-24//|-//w3c//dtd html 3.2 draft//|-//w3c//dtd html 3.2 final//|\
+-//w3c//dtd html 3.2//|-//w3c//dtd html 3.2s draft//|-//w3c//dtd html 4.0 frameset//|-//w3c//dtd html 4.0 transitional//|-//w3c//dtd html experimental 19960712//|\
+-//w3c//dtd html experimental 970421//|-//w3c//dtd w3 html//|-//w3o//dtd w3 html 3.0//|-//webtechs//dtd mozilla html 2.0//|-//webtechs//dtd mozilla html//""".split("|")
+)
+QUIRKY_WHOLE = {"-//w3o//dtd w3 html strict 3.0//en//", "-/w3c/dtd html 4.0 transitional/en", "html"}
+QUIRKY_SYSTEM = "http://www.ibm.com/data/dtd/v11/ibmxhtml1-transitional.dtd"
+HTML_401 = ("-//w3c//dtd html 4.01 frameset//", "-//w3c//dtd html 4.01 transitional//")
+XHTML_10 = ("-//w3c//dtd xhtml 1.0 frameset//", "-//w3c//dtd xhtml 1.0 transitional//")
+
+SPACE = " \t\n\f\r"
+NAME, GAP, ATTRIBUTE = re.compile(r"[^ \t\n\f\r/>]+"), re.compile(r"[ \t\n\f\r/]*"), re.compile(r"=?[^ \t\n\f\r/>=]*")
+EQUALS, UNQUOTED = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*"), re.compile(r"[^ \t\n\f\r>]*")
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z0-9]+;?)")
+COMMENT_END, LEADING = re.compile(r"--!?>"), re.compile(r"[ \t\n\f\r]*")
+SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[ \t\n\f\r/>])", re.I)
+DOCTYPE = re.compile(r"\s*([^\s>]*)\s*(?:(public|system)\s*(\"[^\">]*\"?|'[^'>]*'?)?\s*(\"[^\">]*\"?|'[^'>]*'?)?)?", re.I)
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Innermost names that an error's path has; more are left out of it.
+PATH = 16
 
 
 class Node:
-    __slots__ = ("attrs", "children", "kind", "name", "ns", "owner", "parent", "text")
+    __slots__ = ("attrs", "children", "counts", "kind", "name", "ns", "open", "owner", "parent", "text")
 
     def __init__(self, kind, name=None, attrs=None, text=None, ns="html"):
         self.kind, self.name, self.attrs, self.text, self.ns = kind, name, attrs or {}, text, ns
-        self.children, self.parent, self.owner = [], None, None
+        self.children, self.parent, self.owner, self.counts, self.open = [], None, None, (), False
 
-    def add(self, child: Node, before: Node | None = None) -> Node:
+    def place(self, child: Node) -> int:
+        at = len(self.children) - 1
+        while self.children[at] is not child:
+            at -= 1
+        return at
+
+    def add(self, child: Node, before: Node | None = None) -> None:
         child.parent = self
-        self.children.insert(self.children.index(before) if before is not None else len(self.children), child)
-        return child
+        self.children.insert(self.place(before) if before is not None else len(self.children), child)
+
+    def away(self) -> None:
+        if self.parent is not None:
+            del self.parent.children[self.parent.place(self)]
+            self.parent = None
+
+
+def _value(text: str) -> str:
+    """An attribute's value: names of references without a semicolon count only where no letter, digit or = follows."""
+
+    def of(m):
+        s = m.group()[1:]
+        if s[0] == "#" or s.endswith(";") and s in html5:
+            return unescape(m.group())
+        return html5[s] if s in html5 and text[m.end() : m.end() + 1] != "=" else m.group()
 
+    return REFERENCE.sub(of, text) if "&" in text else text
 
-class Tree(HTMLParser):
-    """Builds the document of one page."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
+class Tree:
+    """Builds the document of one page: run() reads tokens, and a method for each insertion mode places them."""
+
+    def __init__(self, html: str):
+        self.html = html.replace("\r\n", "\n").replace("\r", "\n") if "\r" in html else html
         self.document = Node("document")
         self.stack: list[Node] = []
         self.formatting: list[Node | None] = []  # None: a marker
-        self.head = self.body = self.form = self.frameset = None
-        self.errors: list[str] = []
-        self.skip_newline, self.closed = False, 0  # closed: 1 after </body>, 2 after </html>
-
-    # -- stack
-    def _top(self) -> Node:
-        return self.stack[-1] if self.stack else self.document
-
-    def _open(self, names, stop=SCOPE) -> int | None:
-        """Index of the nearest open element of these names that no stop element hides."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].name in names:
-                return i
-            if self.stack[i].name in stop:
-                return None
-        return None
+        self.same: list[dict] = [{}]  # formatting elements after each marker, by name and attributes
+        self.scopes: list[list[dict]] = [[{}] for _ in SCOPES]
+        self.head = self.form = None
+        self.mode, self.original, self.model = "initial", None, None
+        self.pending: list[str] | None = None
+        self.skip_newline, self.fostering, self.frameset_ok, self.quirks = False, False, True, "no-quirks"
+        self.at, self.errors = 0, []
 
-    def _pop_to(self, index: int) -> None:
-        for node in reversed(self.stack[index:]):
-            if node.name in MARKED and node.ns == "html" and None in self.formatting:
-                while self.formatting.pop() is not None:
-                    pass
-        del self.stack[index:]
+    # -- tokens
 
-    def _active(self) -> list[Node]:
-        """The formatting elements after the last marker."""
-        return self.formatting[len(self.formatting) - self.formatting[::-1].index(None) :] if None in self.formatting else self.formatting
+    def run(self) -> Node:
+        html, n, i = self.html, len(self.html), 0
+        while i < n:
+            self.at = i
+            if self.model:
+                i = self._raw(i)
+                continue
+            j = html.find("<", i)
+            if j != i:
+                j = n if j < 0 else j
+                self.text(unescape(html[i:j]) if "&" in html[i:j] else html[i:j])
+                i = j
+                continue
+            c = html[i + 1 : i + 2]
+            if c.isascii() and c.isalpha():
+                i = self._tag(i + 1, False)
+            elif c == "/" and html[i + 2 : i + 3].isascii() and html[i + 2 : i + 3].isalpha():
+                i = self._tag(i + 2, True)
+            elif c == "!" or c == "?" or c == "/" and i + 2 < n:
+                i = self._declared(i)
+            else:
+                self.text("<")
+                i += 1
+        self.at = n
+        self._end_of_file()
+        return self.document
 
-    def _select(self) -> int | None:
-        """Index of a select that nothing but options is open in."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name not in ("option", "optgroup"):
-                return i if self.stack[i].name == "select" else None
-        return None
+    def _raw(self, i: int) -> int:
+        """The text of an element that holds no markup, up to its end tag."""
+        html, name, model = self.html, self.stack[-1].name if self.stack else "", self.model
+        self.model = None
+        if model == "plain":
+            j = len(html)
+        elif model == "script":  # what looks like its end within a comment that opens a script isn't
+            j, state, at = len(html), 0, i
+            while m := SCRIPT.search(html, at):
+                at = m.end()
+                if m.group() == "<!--":
+                    state, at = max(state, 1), m.start() + 2
+                elif m.group() == "-->":
+                    state = 0
+                elif not m.group(1):
+                    state = 2 if state else 0
+                elif state == 2:
+                    state = 1
+                else:
+                    j = m.start()
+                    break
+        else:
+            m = re.compile(rf"</{name}(?=[ \t\n\f\r/>])", re.I).search(html, i)
+            j = m.start() if m else len(html)
+        if j > i:
+            said = html[i:j]
+            self.text((unescape(said) if model == "rcdata" and "&" in said else said).replace("\0", "�"))
+        if j == len(html):
+            return j
+        self.at = j
+        return self._tag(j + 2, True)
+
+    def _tag(self, i: int, ends: bool) -> int:
+        html, n = self.html, len(self.html)
+        m = NAME.match(html, i)
+        name, attrs, i = m.group().translate(UPPER), {}, m.end()
+        while True:
+            m = GAP.match(html, i)
+            i = m.end()
+            if i >= n:
+                self._error("end of file in tag", name)
+                return n
+            if html[i] == ">":
+                break
+            m = ATTRIBUTE.match(html, i)
+            key, value, i = m.group().translate(UPPER), "", m.end()
+            if m := EQUALS.match(html, i):
+                i = m.end()
+                quote = html[i : i + 1]
+                if quote and quote in "\"'":
+                    j = html.find(quote, i + 1)
+                    if j < 0:
+                        self._error("end of file in tag", name)
+                        return n
+                    value, i = html[i + 1 : j], j + 1
+                else:
+                    m = UNQUOTED.match(html, i)
+                    value, i = m.group(), m.end()
+            if key in attrs:
+                self._error("repeated attribute", key)
+            else:
+                attrs[key] = _value(value).replace("\0", "�")
+        name = name.replace("\0", "�")
+        if ends:
+            self.end(name)
+        else:
+            self.start(name, attrs, m.group().endswith("/"))
+        return i + 1
+
+    def _declared(self, i: int) -> int:
+        html, n = self.html, len(self.html)
+        if html.startswith("<!--", i):
+            if html.startswith(">", i + 4) or html.startswith("->", i + 4):
+                self.comment("")
+                return html.index(">", i) + 1
+            m = COMMENT_END.search(html, i + 4)
+            if m is None:
+                self._error("end of file in comment")
+            self.comment(html[i + 4 : m.start() if m else n])
+            return m.end() if m else n
+        end = html.find(">", i)
+        end = n if end < 0 else end
+        if html[i : i + 9].lower() == "<!doctype":
+            self.doctype(html[i + 9 : end], end == n)
+        elif html.startswith("<![CDATA[", i) and self.stack and self.stack[-1].ns != "html":
+            end = html.find("]]>", i)
+            if said := html[i + 9 : n if end < 0 else end]:
+                self.text(said)
+            return n if end < 0 else end + 3
+        elif html.startswith("</>", i):
+            self._error("empty end tag")
+        else:
+            self._error("odd comment")
+            self.comment(html[i + (1 if html[i + 1] == "?" else 2) : end])
+        return end + 1
+
+    # -- what is noted
 
     def _error(self, what: str, tag: str = "") -> None:
         """Parse errors are noted, never fatal."""
-        self.errors.append(f"{what}\t{tag}")
+        names = [x.name for x in self.stack[-PATH:]]
+        self.errors.append((what, tag, self.at, self.mode, ("…" if len(self.stack) > PATH else "") + "/" + "/".join(names)))
 
-    def _push(self, name, attrs, ns="html") -> Node:
-        if ns == "svg":
-            name, attrs = SVG_NAMES.get(name, name), {SVG_ATTRS.get(k, k): v for k, v in attrs.items()}
-        elif ns == "math":
-            attrs = {"definitionURL" if k == "definitionurl" else k: v for k, v in attrs.items()}
-        node, top = Node("element", name, attrs, ns=ns), self._top()
-        if top.ns == "html" and top.name in TABLE_PARTS and name not in TABLE_ONLY | {"script", "style", "form"} and not (
-            name == "input" and attrs.get("type", "").lower() == "hidden"
-        ):
-            self._error("in table", name)
-            self._foster(node)
-        else:
-            top.add(node)
-        if name in FORM_ASSOCIATED and self.form is not None and "form" not in attrs:
-            node.owner = self.form
+    # -- the stack, its scopes, and the list of formatting elements
+
+    def _push(self, node: Node) -> None:
+        node.open = True
         self.stack.append(node)
-        if name in MARKED and ns == "html":
-            self.formatting.append(None)
+        if node.ns == "html":
+            for kind, border in enumerate(SCOPES):
+                if node.name in border:
+                    self.scopes[kind].append({})
+        elif (node.ns, node.name) in FOREIGN_SPECIAL:
+            for kind in (DEFAULT, LIST, BUTTON):
+                self.scopes[kind].append({})
+        node.counts = tuple(s[-1] for s in self.scopes)
+        self._count(node, 1)
+
+    @staticmethod
+    def _count(node: Node, by: int) -> None:
+        if node.ns == "html":
+            for c in node.counts:
+                c[node.name] = c.get(node.name, 0) + by
+
+    def _pop(self) -> Node:
+        node = self.stack.pop()
+        node.open = False
+        self._count(node, -1)
+        if node.ns == "html":
+            for kind, border in enumerate(SCOPES):
+                if node.name in border:
+                    self.scopes[kind].pop()
+        elif (node.ns, node.name) in FOREIGN_SPECIAL:
+            for kind in (DEFAULT, LIST, BUTTON):
+                self.scopes[kind].pop()
         return node
 
-    def _foster(self, node: Node) -> None:
-        table = next(n for n in reversed(self.stack) if n.name == "table")
-        (table.parent or self.document).add(node, before=table)
+    def _taken_out(self, node: Node) -> None:
+        """Off the stack, wherever it is; such elements are no borders of scopes."""
+        at = self._index(node)
+        del self.stack[at]
+        node.open = False
+        self._count(node, -1)
+
+    def _put_after(self, below: Node, node: Node) -> None:
+        self.stack.insert(self._index(below) + 1, node)
+        node.open, node.counts = True, below.counts
+        self._count(node, 1)
+
+    def _index(self, node: Node) -> int:
+        at = len(self.stack) - 1
+        while self.stack[at] is not node:
+            at -= 1
+        return at
+
+    def _has(self, name: str, kind: int = DEFAULT) -> bool:
+        return self.scopes[kind][-1].get(name, 0) > 0
 
-    def _html(self) -> Node:
-        if not self.stack:
-            self.stack.append(self.document.add(Node("element", "html")))
-        return self.stack[0]
+    def _pop_until(self, *names: str) -> None:
+        while True:
+            node = self._pop()
+            if node.ns == "html" and node.name in names:
+                return
+
+    def _implied(self, but: str | None = None) -> None:
+        while self.stack[-1].name in IMPLIED_END and self.stack[-1].name != but and self.stack[-1].ns == "html":
+            self._pop()
+
+    def _clear_to(self, names: set[str]) -> None:
+        while self.stack[-1].name not in names or self.stack[-1].ns != "html":
+            self._pop()
+
+    def _close_p(self) -> None:
+        if self._has("p", BUTTON):
+            self._implied("p")
+            if self.stack[-1].name != "p":
+                self._error("misnested", "p")
+            self._pop_until("p")
+
+    def _marker(self) -> None:
+        self.formatting.append(None)
+        self.same.append({})
+
+    def _to_marker(self) -> None:
+        while self.formatting and self.formatting.pop() is not None:
+            pass
+        if len(self.same) > 1:
+            self.same.pop()
+
+    def _listed(self, node: Node) -> None:
+        """Into the list; of more than three alike after a marker the first goes."""
+        alike = self.same[-1].setdefault(self._key(node), [])
+        if len(alike) == 3:
+            del self.formatting[self._listing(alike.pop(0))]
+        alike.append(node)
+        self.formatting.append(node)
 
-    def _in_head(self) -> None:
-        self._html()
-        if self.head is None:
-            self.head = self._push("head", {})
+    @staticmethod
+    def _key(node: Node):
+        return node.name, frozenset(node.attrs.items())
+
+    def _listing(self, node: Node) -> int:
+        """The place of an element in the list, -1 if it isn't there."""
+        for at in range(len(self.formatting) - 1, -1, -1):
+            if self.formatting[at] is node:
+                return at
+        return -1
+
+    def _unlisted(self, node: Node) -> None:
+        at = self._listing(node)
+        if at >= 0:
+            del self.formatting[at]
+            for same in reversed(self.same):
+                if node in (alike := same.get(self._key(node), [])):
+                    alike.remove(node)
+                    return
 
-    def _in_body(self) -> None:
-        self._in_head()
-        if self.body is None:
-            self._pop_to(1)
-            self.body = self._push("body", {})
-        elif len(self.stack) < 2:  # content after </body> goes on in it
-            self.stack[1:] = [self.body]
+    def _active(self, name: str) -> Node | None:
+        for node in reversed(self.formatting):
+            if node is None:
+                return None
+            if node.name == name:
+                return node
+        return None
 
     def _reopen(self) -> None:
         """Opens again the formatting elements, after the last marker, that were closed from outside."""
-        at = len(self.formatting) - len(self._active())
+        at = len(self.formatting)
+        while at and self.formatting[at - 1] is not None and not self.formatting[at - 1].open:
+            at -= 1
         for i in range(at, len(self.formatting)):
-            node = self.formatting[i]
-            if node not in self.stack:
-                self.formatting[i] = self._push(node.name, dict(node.attrs))
+            old = self.formatting[i]
+            node = self._insert(old.name, dict(old.attrs))
+            alike = self.same[-1][self._key(old)]
+            self.formatting[i] = alike[next(k for k, x in enumerate(alike) if x is old)] = node
 
-    # -- tokens
-    def handle_decl(self, decl):
-        words = decl.split()
-        if words and words[0].lower() == "doctype" and not self.stack:
-            ids = [s for s in decl.split('"')[1::2]]
-            public = len(words) > 2 and words[2].lower() == "public"
-            attrs = {"name": words[1].lower() if len(words) > 1 else "", "publicId": ids[0] if public and ids else "", "systemId": ids[-1] if ids and (not public or len(ids) > 1) else ""}
-            self.document.add(Node("doctype", attrs=attrs))
-
-    def handle_comment(self, data):
-        where = self.document if self.closed == 2 else self.stack[0] if self.closed and self.stack else self._top()
-        where.add(Node("comment", text=data))
-
-    def handle_data(self, data):
-        data = data.replace("\0", "")
-        if self._top().name in ("title", "textarea"):
-            data = unescape(data)
-        if self.skip_newline and data.startswith("\n"):
-            data = data[1:]
-        self.skip_newline = False
-        if self.frameset is not None and self._top().name != "noframes":
-            data = "".join(c for c in data if c in " \t\n\r\f") if self._top().name in ("frameset", "html") else ""
-            if data:
-                self._text(self._top(), data)
-            return
-        if not data:
-            return
-        top = self._top()
-        if self.closed and not data.isspace():
-            self.closed = 0
-        if top.name not in {"title", "style", "script", "textarea", "noscript", "xmp", "noframes", "iframe", "noembed", "plaintext"} and self._select() is None:
-            if self.body is None:
-                if data.isspace():
-                    if top.name == "head":
-                        self._text(top, data)
-                    return
-                self._in_body()
-            elif len(self.stack) < 2:
-                self._in_body()
-            if top.ns == "html" and top.name in TABLE_PARTS and not data.isspace():
-                table = next(n for n in reversed(self.stack) if n.name == "table")
-                self._error("in table", "#text")
-                self._text(table.parent or self.document, data, before=table)
-                return
-            if not data.isspace():
-                self._reopen()
-            top = self._top()
-        self._text(top, data)
+    # -- insertion
+
+    def _where(self, over: Node | None = None) -> tuple[Node, Node | None]:
+        """The parent for a new node, and the sibling before which it goes."""
+        top = over or self.stack[-1]
+        if self.fostering and top.ns == "html" and top.name in TABLE_PARTS:
+            at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].name == "table" or i == 0)
+            table = self.stack[at]
+            if at and table.parent is not None and table.parent.kind == "element":
+                return table.parent, table
+            return self.stack[max(0, at - 1)], None
+        return top, None
+
+    def _insert(self, name: str, attrs: dict | None = None, ns: str = "html") -> Node:
+        node = Node("element", name, attrs, ns=ns)
+        parent, before = self._where()
+        parent.add(node, before)
+        if name in FORM_ASSOCIATED and self.form is not None and ns == "html" and "form" not in node.attrs:
+            node.owner = self.form
+        self._push(node)
+        return node
+
+    def _foreign(self, name: str, attrs: dict, ns: str, closed: bool) -> None:
+        if ns == "svg":
+            name, attrs = SVG_NAMES.get(name, name), {SVG_ATTRS.get(k, k): v for k, v in attrs.items()}
+        else:
+            attrs = {"definitionURL" if k == "definitionurl" else k: v for k, v in attrs.items()}
+        self._insert(name, attrs, ns)
+        if closed:
+            self._pop()
 
-    def _text(self, parent: Node, data: str, before: Node | None = None) -> None:
-        at = parent.children.index(before) if before is not None else len(parent.children)
+    def _void(self, name: str, attrs: dict | None = None) -> None:
+        self._insert(name, attrs)
+        self._pop()
+
+    def _said(self, data: str) -> None:
+        parent, before = self._where()
+        at = parent.place(before) if before is not None else len(parent.children)
         if at and parent.children[at - 1].kind == "text":
             parent.children[at - 1].text += data
         else:
-            parent.add(Node("text", text=data), before=before)
+            parent.add(Node("text", text=data), before)
+
+    def _raw_element(self, name: str, attrs: dict) -> None:
+        self._insert(name, attrs)
+        self.model = RAW[name]
+        self.original, self.mode = self.mode, "text"
+
+    # -- dispatch
 
-    def handle_starttag(self, tag, attrs):
+    def _is_foreign(self, start: str | None = None, text: bool = False) -> bool:
+        top = self.stack[-1] if self.stack else None
+        if top is None or top.ns == "html":
+            return False
+        if start is None and not text:
+            return True
+        if top.ns == "math" and top.name in ("mi", "mo", "mn", "ms", "mtext") and start not in ("mglyph", "malignmark"):
+            return False
+        return not (top.ns == "math" and top.name == "annotation-xml" and start == "svg" or self._integrates(top))
+
+    @staticmethod
+    def _integrates(node: Node) -> bool:
+        if node.ns == "math":
+            return node.name == "annotation-xml" and node.attrs.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+        return node.ns == "svg" and node.name in ("foreignObject", "desc", "title")
+
+    def start(self, name: str, attrs: dict, closed: bool = False) -> None:
+        self._flush()
         self.skip_newline = False
-        given: dict[str, str] = {}
-        for k, v in attrs:
-            given.setdefault(k, v or "")
-        if tag == "image":
-            tag = "img"
-        if tag in ("html", "body"):
-            node = self._html() if tag == "html" else (self._in_body(), self.body)[1]
-            for k, v in given.items():
-                node.attrs.setdefault(k, v)
-            return
-        if self.frameset is not None:
-            if tag in ("frame", "frameset", "noframes") and self._top().name in ("frameset", "html") and (self._top().name == "frameset" or tag == "noframes"):
-                self._push(tag, given)
-                if tag == "frame":
-                    self.stack.pop()
-                elif tag == "noframes":
-                    self.set_cdata_mode(tag)
-            return
-        if tag == "head":
-            if self.head is None:
-                self._html()
-                self.head = self._push("head", given)
-            return
-        if tag == "frameset":
-            if self.body is None:
-                self._in_head()
-                self._pop_to(1)
-                self.frameset = self._push(tag, given)
-            return
-        if tag == "frame":
-            return
-        self.closed = 0
-        if (i := self._select()) is not None:
-            table = self._open({"table"}, set())
-            if tag in ("select", "input", "keygen", "textarea") or tag in TABLE_ONLY | {"table"} and table is not None and table < i:
-                self._pop_to(i)
-                if tag == "select":
-                    return
-            elif tag not in ("option", "optgroup", "script", "hr"):
-                return
-            elif tag == "hr":
-                self._pop_to(i + 1)
-        if tag in HEAD and self.body is None:
-            self._in_head()
-            if self._top().name not in ("head", "noscript"):
-                self.stack[1:] = [self.head]
+        if self._is_foreign(name):
+            self._foreign_start(name, attrs, closed)
         else:
-            self._in_body()
-        if self._top().ns in ("svg", "math") and self._top().name not in INTEGRATION:
-            if tag not in BLOCKS | {"li", "dd", "dt", "b", "i", "body", "br", "img", "span"}:
-                self._push(tag, given, ns=self._top().ns)
-                return
-            while self._top().ns != "html" and self._top().name not in INTEGRATION:  # such a tag breaks out
-                self.stack.pop()
-        if tag in TABLE_ONLY and self._open({"table"}, set()) is None:
+            STARTS[self.mode](self, name, attrs, closed)
+
+    def end(self, name: str) -> None:
+        self._flush()
+        self.skip_newline = False
+        if self._is_foreign():
+            self._foreign_end(name)
+        else:
+            ENDS[self.mode](self, name)
+
+    def text(self, data: str) -> None:
+        if self.skip_newline:
+            self.skip_newline = False
+            data = data[1:] if data.startswith("\n") else data
+        if data:
+            if self._is_foreign(text=True):
+                data = data.replace("\0", "�")
+                self.frameset_ok &= not data.strip(SPACE)
+                self._said(data)
+            else:
+                TEXTS[self.mode](self, data)
+
+    def comment(self, data: str) -> None:
+        self._flush()
+        data = data.replace("\0", "�")
+        if self.mode in ("initial", "before html", "after after body", "after after frameset"):
+            self.document.add(Node("comment", text=data))
+        else:
+            (self.stack[0] if self.mode == "after body" else self.stack[-1]).add(Node("comment", text=data))
+
+    def doctype(self, said: str, force: bool) -> None:
+        self._flush()
+        if self.mode != "initial":
+            self._error("stray doctype")
             return
-        if tag in CLOSES:
-            names, stop = CLOSES[tag]
-            while (i := self._open(names, stop | (SCOPE - names if tag not in ("tr", "td", "th", "tbody", "thead", "tfoot") else set()))) is not None:
-                self._pop_to(i)
-        if tag in BLOCKS | {"li", "dd", "dt"} and (i := self._open({"p"}, SCOPE | {"button"})) is not None and not (tag == "table" and self._quirks()):
-            self._pop_to(i)
-        if tag in HEADINGS and self._top().name in HEADINGS:
-            self.stack.pop()
-        if tag in ("tr", "td", "th") and self._top().name == "table":
-            self._push("tbody", {})
-        if tag in ("td", "th") and self._top().name in ("tbody", "thead", "tfoot"):
-            self._push("tr", {})
-        if tag == "col" and self._top().name == "table":
-            self._push("colgroup", {})
-        if tag == "button" and (i := self._open({tag})) is not None:
-            self._pop_to(i)
-        if tag == "form":
+        m = DOCTYPE.match(said)
+        name, kind, ids = m.group(1).translate(UPPER), (m.group(2) or "").lower(), [x for x in m.groups()[2:] if x]
+        force |= not name or kind != "" and (not ids or any(len(x) < 2 or x[-1] != x[0] for x in ids))
+        ids = [x.strip(x[0]) for x in ids]
+        public = ids[0] if kind == "public" and ids else None
+        system = ids[-1] if ids and (kind == "system" or len(ids) > 1) else None
+        self.document.add(Node("doctype", attrs={"name": name, "publicId": public or "", "systemId": system or ""}))
+        p, s = (public or "").lower(), (system or "").lower()
+        if force or name != "html" or p in QUIRKY_WHOLE or p.startswith(QUIRKY) or s == QUIRKY_SYSTEM or system is None and p.startswith(HTML_401):
+            self.quirks = "quirks"
+        elif p.startswith(XHTML_10) or p.startswith(HTML_401):
+            self.quirks = "limited-quirks"
+        if name != "html" or public is not None or system not in (None, "about:legacy-compat"):
+            self._error("odd doctype")
+        self.mode = "before html"
+
+    def _end_of_file(self) -> None:
+        self._flush()
+        if self.mode == "text":
+            self._error("unclosed", self._pop().name)
+            self.mode = self.original
+        while self.mode in EARLY:
+            self._advance()
+        for node in self.stack:
+            if node.name not in MAY_STAY_OPEN and node.name != "frameset":
+                self._error("unclosed", node.name)
+
+    # -- modes before the body
+
+    def _advance(self) -> None:
+        """What stands where something else was due: the implied elements, up to the next mode."""
+        if self.mode == "initial":
+            self._error("no doctype")
+            self.quirks, self.mode = "quirks", "before html"
+        elif self.mode == "before html":
+            self._root({})
+        elif self.mode == "before head":
+            self.head, self.mode = self._insert("head"), "in head"
+        elif self.mode == "in head":
+            self._pop()
+            self.mode = "after head"
+        elif self.mode == "in head noscript":
+            self._error("misplaced in noscript")
+            self._pop()
+            self.mode = "in head"
+        else:
+            self._insert("body")
+            self.mode = "in body"
+
+    def _root(self, attrs: dict) -> None:
+        html = Node("element", "html", attrs)
+        self.document.add(html)
+        self._push(html)
+        self.mode = "before head"
+
+    def _early_start(self, name, attrs, closed):
+        mode = self.mode
+        if name == "html" and mode == "before html":
+            self._root(attrs)
+        elif name == "html" and mode != "initial":
+            self._body_start(name, attrs, closed)
+        elif name == "head" and mode == "before head":
+            self.head, self.mode = self._insert(name, attrs), "in head"
+        elif name == "head" and mode not in ("initial", "before html"):
+            self._error("stray", name)
+        elif mode == "in head" and name in IN_HEAD | {"noscript"}:
+            self._head_start(name, attrs)
+        elif mode == "in head noscript" and name in IN_HEAD - {"base", "script", "title"}:
+            self._head_start(name, attrs)
+        elif mode == "in head noscript" and name == "noscript":
+            self._error("stray", name)
+        elif mode == "after head" and name == "body":
+            self._insert(name, attrs)
+            self.frameset_ok, self.mode = False, "in body"
+        elif mode == "after head" and name == "frameset":
+            self._insert(name, attrs)
+            self.mode = "in frameset"
+        elif mode == "after head" and name in IN_HEAD:
+            self._error("after head", name)
+            self._push(self.head)
+            self._head_start(name, attrs)
+            self._taken_out(self.head)
+        else:
+            self._advance()
+            self.start(name, attrs, closed)
+
+    def _early_end(self, name):
+        if self.mode == "in head" and name == "head":
+            self._advance()
+        elif self.mode == "in head noscript" and name == "noscript":
+            self._pop()
+            self.mode = "in head"
+        elif self.mode == "initial" or name in IMPLYING.get(self.mode, ("body", "html", "br")):
+            self._advance()
+            self.end(name)
+        else:
+            self._error("stray end", name)
+
+    def _early_text(self, data):
+        space = LEADING.match(data).group()
+        if space and self.mode in ("in head", "in head noscript", "after head"):
+            self._said(space)
+        if rest := data[len(space) :]:
+            self._advance()
+            self.text(rest)
+
+    def _head_start(self, name, attrs):
+        if name in RAW:
+            self._raw_element(name, attrs)
+        elif name == "noscript":
+            self._insert(name, attrs)
+            self.mode = "in head noscript"
+        else:
+            self._void(name, attrs)
+
+    # -- in body
+
+    def _body_text(self, data):
+        data = data.replace("\0", "")
+        if data:
+            self._reopen()
+            self._said(data)
+            self.frameset_ok &= not data.strip(SPACE)
+
+    def _body_start(self, name, attrs, closed):
+        if name in BLOCKS:
+            self._close_p()
+            self._insert(name, attrs)
+        elif name in FORMATTING:
+            self._reopen()
+            self._listed(self._insert(name, attrs))
+        elif name == "a":
+            if old := self._active("a"):
+                self._error("misnested", "a")
+                self._adopt("a")
+                self._unlisted(old)
+                if old.open:
+                    self._taken_out(old)
+            self._reopen()
+            self._listed(self._insert(name, attrs))
+        elif name in ("area", "br", "embed", "img", "keygen", "wbr", "input"):
+            self._reopen()
+            self._void(name, attrs)
+            self.frameset_ok &= name == "input" and attrs.get("type", "").lower() == "hidden"
+        elif name == "li" or name in ("dd", "dt"):
+            self._item(name, attrs)
+        elif name in HEADINGS:
+            self._close_p()
+            if self.stack[-1].name in HEADINGS:
+                self._error("misnested", self.stack[-1].name)
+                self._pop()
+            self._insert(name, attrs)
+        elif name in IN_HEAD:
+            self._head_start(name, attrs)
+        elif name in ("html", "body"):
+            self._error("stray", name)
+            node = self.stack[0] if name == "html" else self.stack[1] if len(self.stack) > 1 and self.stack[1].name == "body" else None
+            if node is not None:
+                self.frameset_ok &= name == "html"
+                for k, v in attrs.items():
+                    node.attrs.setdefault(k, v)
+        elif name == "frameset":
+            self._error("stray", name)
+            if len(self.stack) > 1 and self.stack[1].name == "body" and self.frameset_ok:
+                self.stack[1].away()
+                while len(self.stack) > 1:
+                    self._pop()
+                self._insert(name, attrs)
+                self.mode = "in frameset"
+        elif name in ("pre", "listing"):
+            self._close_p()
+            self._insert(name, attrs)
+            self.skip_newline, self.frameset_ok = True, False
+        elif name == "form":
             if self.form is not None:
                 self._error("form in form")
                 return
-            self.form = self._push(tag, given)
-            return
-        if tag in ("a", "nobr") and (old := next((n for n in self._active() if n.name == tag), None)):
-            self.handle_endtag(tag)
-            if old in self.formatting:
-                self.formatting.remove(old)
-            if old in self.stack:
-                self.stack.remove(old)
-        if tag in FORMATTING:
+            self._close_p()
+            self.form = self._insert(name, attrs)
+        elif name == "plaintext":
+            self._close_p()
+            self._insert(name, attrs)
+            self.model = "plain"
+        elif name == "button":
+            if self._has("button"):
+                self._error("misnested", name)
+                self._implied()
+                self._pop_until("button")
             self._reopen()
-            node = self._push(tag, given)
-            same = [n for n in self._active() if n.name == tag and n.attrs == given]
-            if len(same) >= 3:
-                self.formatting.remove(same[0])
-            self.formatting.append(node)
-            return
-        if tag not in BLOCKS and tag not in HEAD and tag not in CLOSES and tag not in TABLE_PARTS:
+            self._insert(name, attrs)
+            self.frameset_ok = False
+        elif name == "nobr":
             self._reopen()
-        node = self._push(tag, given, ns={"svg": "svg", "math": "math"}.get(tag, "html"))
-        if tag in VOID:
-            self.stack.pop()
-        if tag in ("title", "textarea", "xmp", "iframe", "noembed", "noframes"):
-            self.set_cdata_mode(tag)
-        if tag == "plaintext":
-            self.set_cdata_mode("plaintext\0")  # which nothing ends
-        self.skip_newline = tag in ("pre", "listing", "textarea")
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.stack and self._top().name.lower() == tag and self._top().ns in ("svg", "math"):
-            self.stack.pop()
-
-    def handle_endtag(self, tag):
-        self.skip_newline = False
-        if tag in ("html", "body") and (self.body or self.frameset):
-            self.closed = max(self.closed, 1 if tag == "body" else 2)
-        if self.frameset is not None:
-            if tag == self._top().name and tag in ("frameset", "noframes"):
-                self.stack.pop()
-            return
-        if (i := self._select()) is not None:
-            if tag == "select":
-                self._pop_to(i)
-            elif tag in ("option", "optgroup") and self._top().name in ("option", "optgroup"):
-                if tag == "optgroup" and self._top().name == "option" and self.stack[-2].name == "optgroup":
-                    self.stack.pop()
-                if self._top().name == tag:
-                    self.stack.pop()
-            elif tag in TABLE_ONLY | {"table"} and self._open({tag}, set()) is not None:
-                self._pop_to(i)
-                self.handle_endtag(tag)
-            return
-        if tag in ("html", "body") or tag in VOID - {"br"} or not self.stack and tag != "br":
-            return
-        if tag == "br":
-            self.handle_starttag("br", [])
-        elif tag == "head":
-            if self._top().name == "head":
-                self.stack.pop()
-        elif tag == "p" and self._open({"p"}, SCOPE | {"button"}) is None:
-            self.handle_starttag("p", [])
-            self.handle_endtag("p")
-        elif tag in FORMATTING:
-            self._adopt(tag)
-        elif tag not in BLOCKS | SPECIAL | HEAD | TABLE_PARTS | {"colgroup"}:
-            self._close_any(tag)
+            if self._has("nobr"):
+                self._error("misnested", name)
+                self._adopt("nobr")
+                self._reopen()
+            self._listed(self._insert(name, attrs))
+        elif name in ("applet", "marquee", "object"):
+            self._reopen()
+            self._insert(name, attrs)
+            self._marker()
+            self.frameset_ok = False
+        elif name == "table":
+            if self.quirks != "quirks":
+                self._close_p()
+            self._insert(name, attrs)
+            self.frameset_ok, self.mode = False, "in table"
+        elif name in ("param", "source", "track"):
+            self._void(name, attrs)
+        elif name == "hr":
+            self._close_p()
+            self._void(name, attrs)
+            self.frameset_ok = False
+        elif name == "image":
+            self._error("stray", name)
+            self.start("img", attrs, closed)
+        elif name in ("textarea", "xmp", "iframe", "noembed"):
+            if name == "xmp":
+                self._close_p()
+                self._reopen()
+            self.frameset_ok &= name == "noembed"
+            self._raw_element(name, attrs)
+            self.skip_newline = name == "textarea"
+        elif name == "select":
+            self._reopen()
+            self._insert(name, attrs)
+            self.frameset_ok = False
+            self.mode = "in select in table" if self.mode in ("in table", "in caption", "in table body", "in row", "in cell") else "in select"
+        elif name in ("option", "optgroup"):
+            if self.stack[-1].name == "option":
+                self._pop()
+            self._reopen()
+            self._insert(name, attrs)
+        elif name in ("rb", "rtc", "rp", "rt"):
+            if self._has("ruby"):
+                self._implied("rtc" if name in ("rp", "rt") else None)
+            self._insert(name, attrs)
+        elif name in ("math", "svg"):
+            self._reopen()
+            self._foreign(name, attrs, name, closed)
+        elif name in IN_TABLE or name in ("frame", "head"):
+            self._error("stray", name)
+        else:
+            self._reopen()
+            self._insert(name, attrs)
+
+    def _item(self, name, attrs):
+        """A list item ends the one that is open, unless a special element other than these three stands between."""
+        self.frameset_ok = False
+        ends = ("li",) if name == "li" else ("dd", "dt")
+        if any(self._has(x) for x in ends):
+            for node in reversed(self.stack):
+                if node.name in ends and node.ns == "html":
+                    self._implied(node.name)
+                    if self.stack[-1].name != node.name:
+                        self._error("misnested", node.name)
+                    self._pop_until(node.name)
+                    break
+                if self._special(node) and node.name not in ("address", "div", "p"):
+                    break
+        self._close_p()
+        self._insert(name, attrs)
+
+    @staticmethod
+    def _special(node: Node) -> bool:
+        return node.name in SPECIAL if node.ns == "html" else (node.ns, node.name) in FOREIGN_SPECIAL
+
+    def _body_end(self, name):
+        if name in ("body", "html"):
+            if not self._has("body"):
+                self._error("stray end", name)
+                return
+            self.mode = "after body"
+            if name == "html":
+                self.end(name)
+        elif name in FORMATTING or name in ("a", "nobr"):
+            self._adopt(name)
+        elif name == "p":
+            if not self._has("p", BUTTON):
+                self._error("stray end", name)
+                self._insert("p")
+            self._close_p()
+        elif name in ENDED or name in ("li", "dd", "dt", "applet", "marquee", "object"):
+            if not self._has(name, LIST if name == "li" else DEFAULT):
+                self._error("stray end", name)
+                return
+            self._implied(name if name in ("li", "dd", "dt") else None)
+            if self.stack[-1].name != name:
+                self._error("misnested", name)
+            self._pop_until(name)
+            if name in ("applet", "marquee", "object"):
+                self._to_marker()
+        elif name in HEADINGS:
+            if not any(self._has(h) for h in HEADINGS):
+                self._error("stray end", name)
+                return
+            self._implied()
+            if self.stack[-1].name != name:
+                self._error("misnested", name)
+            self._pop_until(*HEADINGS)
+        elif name == "form":
+            node, self.form = self.form, None
+            if node is None or not node.open or node.counts[DEFAULT] is not self.scopes[DEFAULT][-1]:
+                self._error("stray end", name)
+                return
+            self._implied()
+            if self.stack[-1] is not node:
+                self._error("misnested", name)
+            self._taken_out(node)
+        elif name == "br":
+            self._error("stray end", name)
+            self.start("br", {})
         else:
-            names = HEADINGS if tag in HEADINGS else {tag}
-            i = self._open(names, {"table"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else set() if tag == "table" else SCOPE)
-            if tag == "form":
-                self.form = None
-            if i is not None and self.stack[i] not in (self.body, self.stack[0]):
-                if any(n.name not in IMPLIED_END | TABLE_ONLY for n in self.stack[i + 1 :]):
-                    self._error("misnested", tag)
-                self._pop_to(i)
-            elif i is None:
-                self._error("stray end", tag)
-
-    def _adopt(self, tag: str) -> None:
+            self._other_end(name)
+
+    def _other_end(self, name):
+        """Up to the element of this name, unless a special one is in the way."""
+        for node in reversed(self.stack if self._has(name) else ()):
+            if node.name == name and node.ns == "html":
+                self._implied(name)
+                if self.stack[-1] is not node:
+                    self._error("misnested", name)
+                while self._pop() is not node:
+                    pass
+                return
+            if self._special(node):
+                break
+        self._error("stray end", name)
+
+    def _adopt(self, name):
         """The adoption agency: closes a formatting element around blocks that stay open, each with its own copy inside."""
+        top = self.stack[-1]
+        if top.name == name and top.ns == "html" and self._listing(top) < 0:
+            self._pop()
+            return
         for _ in range(8):
-            node = next((n for n in reversed(self._active()) if n.name == tag), None)
+            node = self._active(name)
             if node is None:
-                self._close_any(tag)
+                self._other_end(name)
                 return
-            if node not in self.stack:
-                self.formatting.remove(node)
+            if not node.open:
+                self._error("misnested", name)
+                self._unlisted(node)
                 return
-            i = self.stack.index(node)
-            if any(n.name in SCOPE and n.ns == "html" for n in self.stack[i + 1 :]):
+            if node.counts[DEFAULT] is not self.scopes[DEFAULT][-1]:  # a border of scopes is in the way
+                self._error("misnested", name)
                 return
-            k = next((k for k in range(i + 1, len(self.stack)) if self.stack[k].name in BLOCKS | SPECIAL), None)
-            if node is not self._top():
-                self._error("misnested", tag)
+            if node is not self.stack[-1]:
+                self._error("misnested", name)
+            i = self._index(node)
+            k = next((k for k in range(i + 1, len(self.stack)) if self._special(self.stack[k])), None)
             if k is None:
-                self._pop_to(i)
-                self.formatting.remove(node)
+                while self._pop() is not node:
+                    pass
+                self._unlisted(node)
                 return
-            block, last, mark, above = self.stack[k], self.stack[k], self.formatting.index(node), self.stack[i + 1 : k]
+            block, last, mark, above = self.stack[k], self.stack[k], self._listing(node), self.stack[i + 1 : k]
+            parent = self.stack[i - 1]
             for count, inner in enumerate(reversed(above), 1):
-                if count > 3 and inner in self.formatting:
-                    mark -= self.formatting.index(inner) < mark
-                    self.formatting.remove(inner)
-                if inner not in self.formatting:
-                    self.stack.remove(inner)
+                at = self._listing(inner)
+                if count > 3 and at >= 0:
+                    self._unlisted(inner)
+                    mark -= at < mark
+                    at = -1
+                if at < 0:
+                    self._taken_out(inner)
                     continue
-                copy = Node("element", inner.name, dict(inner.attrs))
-                at = self.formatting.index(inner)
-                self.formatting[at] = self.stack[self.stack.index(inner)] = copy
+                copy = self._replaced(inner, at)
                 if last is block:
                     mark = at + 1
-                self._move(last, copy)
+                last.away()
+                copy.add(last)
                 last = copy
-            parent = self.stack[i - 1]
-            if parent.name in TABLE_PARTS:
-                self._move(last, None)
-                self._foster(last)
-            else:
-                self._move(last, parent)
-            copy = Node("element", tag, dict(node.attrs))
-            for c in list(block.children):
-                self._move(c, copy)
+            last.away()
+            fostering, self.fostering = self.fostering, True
+            place, before = self._where(parent)
+            self.fostering = fostering
+            place.add(last, before)
+            copy = Node("element", name, dict(node.attrs))
+            for c in block.children:
+                copy.add(c)
+            block.children = []
             block.add(copy)
             self.formatting.insert(mark, copy)
-            self.formatting.remove(node)
-            self.stack.remove(node)
-            self.stack.insert(self.stack.index(block) + 1, copy)
+            self.same[-1].setdefault(self._key(copy), []).append(copy)
+            self._unlisted(node)
+            self._taken_out(node)
+            self._put_after(block, copy)
 
-    @staticmethod
-    def _move(node: Node, parent: Node | None) -> None:
-        """To the end of another parent, or away."""
-        if node.parent is not None:
-            node.parent.children.remove(node)
-        node.parent = None
-        if parent is not None:
-            parent.add(node)
-
-    def _close_any(self, tag: str) -> None:
-        """An end tag that nothing special is said about: up to its element, unless a special one is in the way."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name.lower() == tag:
-                if i < len(self.stack) - 1:
-                    self._error("misnested", tag)
-                self._pop_to(i)
+    def _replaced(self, old: Node, at: int) -> Node:
+        """A copy of a formatting element in its places on the stack and in the list."""
+        copy = Node("element", old.name, dict(old.attrs))
+        copy.open, copy.counts, old.open = True, old.counts, False
+        self.stack[self._index(old)] = self.formatting[at] = copy
+        alike = self.same[-1][self._key(old)]
+        alike[next(k for k, x in enumerate(alike) if x is old)] = copy
+        return copy
+
+    # -- raw text
+
+    def _text_end(self, name):
+        self._pop()
+        self.mode = self.original
+
+    # -- tables
+
+    def _table_text(self, data):
+        if self.stack[-1].name in TABLE_PARTS and self.stack[-1].ns == "html":
+            self.pending = self.pending or []
+            self.pending.append(data.replace("\0", ""))
+        else:
+            self._in_body_fostered(lambda: self._body_text(data))
+
+    def _flush(self):
+        """What the table text gathered: space stays in the table, all of it goes before the table if anything else is in it."""
+        if self.pending is not None:
+            data, self.pending = "".join(self.pending), None
+            if data.strip(SPACE):
+                self._error("in table", "#text")
+                self._in_body_fostered(lambda: self._body_text(data))
+            elif data:
+                self._said(data)
+
+    def _in_body_fostered(self, act):
+        was, self.fostering = self.fostering, True
+        act()
+        self.fostering = was
+
+    def _reset_mode(self):
+        for at in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[at].name
+            if name == "select":
+                tables = any(n.name == "table" for n in self.stack[:at])
+                self.mode = "in select in table" if tables else "in select"
                 return
-            if self.stack[i].ns == "html" and self.stack[i].name in BLOCKS | SPECIAL:
-                break
-        self._error("stray end", tag)
+            mode = "in cell" if name in CELLS else "in table body" if name in BODIES else RESET.get(name)
+            if mode:
+                self.mode = mode
+                return
+        self.mode = "before head" if self.head is None else "after head"
+
+    def _table_start(self, name, attrs, closed):
+        if name in BODIES | {"caption", "colgroup"}:
+            self._clear_to({"table", "html"})
+            if name == "caption":
+                self._marker()
+            self._insert(name, attrs)
+            self.mode = "in caption" if name == "caption" else "in column group" if name == "colgroup" else "in table body"
+        elif name in CELLS | {"tr", "col"}:
+            self._clear_to({"table", "html"})
+            self._insert("colgroup" if name == "col" else "tbody")
+            self.mode = "in column group" if name == "col" else "in table body"
+            self.start(name, attrs, closed)
+        elif name == "table":
+            self._error("misnested", name)
+            if self._has("table", TABLE):
+                self._pop_until("table")
+                self._reset_mode()
+                self.start(name, attrs, closed)
+        elif name in ("style", "script"):
+            self._head_start(name, attrs)
+        elif name == "input" and attrs.get("type", "").lower() == "hidden":
+            self._error("in table", name)
+            self._void(name, attrs)
+        elif name == "form":
+            self._error("in table", name)
+            if self.form is None:
+                self.form = self._insert(name, attrs)
+                self._pop()
+        else:
+            self._error("in table", name)
+            self._in_body_fostered(lambda: self._body_start(name, attrs, closed))
+
+    def _table_end(self, name):
+        if name == "table":
+            if not self._has("table", TABLE):
+                self._error("stray end", name)
+                return
+            self._pop_until("table")
+            self._reset_mode()
+        elif name in IN_TABLE or name in ("body", "html"):
+            self._error("stray end", name)
+        else:
+            self._error("in table", name)
+            self._in_body_fostered(lambda: self._body_end(name))
+
+    def _caption_start(self, name, attrs, closed):
+        if name not in IN_TABLE:
+            self._body_start(name, attrs, closed)
+        elif self._caption_ends(name):
+            self.start(name, attrs, closed)
+
+    def _caption_end(self, name):
+        if name == "caption":
+            self._caption_ends(name)
+        elif name == "table":
+            if self._caption_ends(name):
+                self.end(name)
+        elif name in IN_TABLE or name in ("body", "html"):
+            self._error("stray end", name)
+        else:
+            self._body_end(name)
+
+    def _caption_ends(self, name) -> bool:
+        if not self._has("caption", TABLE):
+            self._error("stray", name)
+            return False
+        self._implied()
+        if self.stack[-1].name != "caption":
+            self._error("misnested", "caption")
+        self._pop_until("caption")
+        self._to_marker()
+        self.mode = "in table"
+        return True
+
+    def _columns_start(self, name, attrs, closed):
+        if name == "html":
+            self._body_start(name, attrs, closed)
+        elif name == "col":
+            self._void(name, attrs)
+        elif self._columns_end_here(name):
+            self.start(name, attrs, closed)
+
+    def _columns_end(self, name):
+        if name == "col":
+            self._error("stray end", name)
+        elif self._columns_end_here(name) and name != "colgroup":
+            self.end(name)
+
+    def _columns_text(self, data):
+        space = LEADING.match(data).group()
+        if space:
+            self._said(space)
+        if (rest := data[len(space) :]) and self._columns_end_here("#text"):
+            self.text(rest)
+
+    def _columns_end_here(self, name) -> bool:
+        if self.stack[-1].name != "colgroup":
+            self._error("stray", name)
+            return False
+        self._pop()
+        self.mode = "in table"
+        return True
+
+    def _rows_start(self, name, attrs, closed):
+        if name == "tr" or name in CELLS:
+            self._clear_to(BODIES | {"html"})
+            if name != "tr":
+                self._error("cell without row", name)
+            self._insert("tr", attrs if name == "tr" else None)
+            self.mode = "in row"
+            if name != "tr":
+                self.start(name, attrs, closed)
+        elif name in BODIES | {"caption", "col", "colgroup"}:
+            if self._rows_end_here(name):
+                self.start(name, attrs, closed)
+        else:
+            self._table_start(name, attrs, closed)
+
+    def _rows_end(self, name):
+        if name in BODIES:
+            if not self._has(name, TABLE):
+                self._error("stray end", name)
+            else:
+                self._rows_end_here(name)
+        elif name == "table":
+            if self._rows_end_here(name):
+                self.end(name)
+        elif name in IN_TABLE or name in ("body", "html"):
+            self._error("stray end", name)
+        else:
+            self._table_end(name)
+
+    def _rows_end_here(self, name) -> bool:
+        if not any(self._has(b, TABLE) for b in BODIES):
+            self._error("stray", name)
+            return False
+        self._clear_to(BODIES | {"html"})
+        self._pop()
+        self.mode = "in table"
+        return True
+
+    def _row_start(self, name, attrs, closed):
+        if name in CELLS:
+            self._clear_to({"tr", "html"})
+            self._insert(name, attrs)
+            self.mode = "in cell"
+            self._marker()
+        elif name in IN_TABLE:
+            if self._row_ends(name):
+                self.start(name, attrs, closed)
+        else:
+            self._table_start(name, attrs, closed)
+
+    def _row_end(self, name):
+        if name == "tr":
+            self._row_ends(name)
+        elif name == "table" or name in BODIES:
+            if name != "table" and not self._has(name, TABLE):
+                self._error("stray end", name)
+            elif self._row_ends(name):
+                self.end(name)
+        elif name in IN_TABLE or name in ("body", "html"):
+            self._error("stray end", name)
+        else:
+            self._table_end(name)
+
+    def _row_ends(self, name) -> bool:
+        if not self._has("tr", TABLE):
+            self._error("stray", name)
+            return False
+        self._clear_to({"tr", "html"})
+        self._pop()
+        self.mode = "in table body"
+        return True
+
+    def _cell_start(self, name, attrs, closed):
+        if name not in IN_TABLE:
+            self._body_start(name, attrs, closed)
+        elif self._has("td", TABLE) or self._has("th", TABLE):
+            self._close_cell()
+            self.start(name, attrs, closed)
+        else:
+            self._error("stray", name)
+
+    def _cell_end(self, name):
+        if name in CELLS:
+            if self._has(name, TABLE):
+                self._close_cell(name)
+            else:
+                self._error("stray end", name)
+        elif name in ("body", "html", "caption", "col", "colgroup") or name in TABLE_PARTS and not self._has(name, TABLE):
+            self._error("stray end", name)
+        elif name in TABLE_PARTS:
+            self._close_cell()
+            self.end(name)
+        else:
+            self._body_end(name)
+
+    def _close_cell(self, *names):
+        self._implied()
+        if self.stack[-1].name not in (names or CELLS):
+            self._error("misnested", names[0] if names else "td")
+        self._pop_until(*(names or CELLS))
+        self._to_marker()
+        self.mode = "in row"
+
+    # -- selects
+
+    def _select_text(self, data):
+        if data := data.replace("\0", ""):
+            self._said(data)
 
-    def _quirks(self) -> bool:
-        first = next((c for c in self.document.children if c.kind == "doctype"), None)
-        return first is None or first.attrs["name"] != "html"
+    def _select_start(self, name, attrs, closed):
+        in_table = self.mode == "in select in table" and (name in IN_TABLE - {"col", "colgroup"} or name == "table")
+        if name in ("option", "optgroup", "hr"):
+            if self.stack[-1].name == "option":
+                self._pop()
+            if name != "option" and self.stack[-1].name == "optgroup":
+                self._pop()
+            self._insert(name, attrs)
+            if name == "hr":
+                self._pop()
+        elif name in ("select", "input", "keygen", "textarea") or in_table:
+            self._error("in select", name)
+            self._pop_until("select")
+            self._reset_mode()
+            if name != "select":
+                self.start(name, attrs, closed)
+        elif name == "script":
+            self._head_start(name, attrs)
+        elif name == "html":
+            self._body_start(name, attrs, closed)
+        else:
+            self._error("in select", name)
+
+    def _select_end(self, name):
+        if name == "select":
+            self._pop_until("select")
+            self._reset_mode()
+        elif name in ("option", "optgroup"):
+            if name == "optgroup" and self.stack[-1].name == "option" and self.stack[-2].name == "optgroup":
+                self._pop()
+            if self.stack[-1].name == name:
+                self._pop()
+            else:
+                self._error("stray end", name)
+        elif self.mode == "in select in table" and (name in IN_TABLE - {"col", "colgroup"} or name == "table"):
+            self._error("in select", name)
+            inside = next(n.counts[TABLE] for n in reversed(self.stack) if n.name == "select")
+            if inside.get(name, 0) > 0:
+                self._pop_until("select")
+                self._reset_mode()
+                self.end(name)
+        else:
+            self._error("stray end", name)
+
+    # -- after the body, framesets
+
+    def _after_start(self, name, attrs, closed):
+        if name == "html":
+            self._body_start(name, attrs, closed)
+        else:
+            self._error("after body", name)
+            self.mode = "in body"
+            self.start(name, attrs, closed)
+
+    def _after_end(self, name):
+        if name == "html" and self.mode == "after body":
+            self.mode = "after after body"
+        else:
+            self._error("after body", name)
+            self.mode = "in body"
+            self.end(name)
+
+    def _after_text(self, data):
+        if data.strip(SPACE):
+            self._error("after body", "#text")
+            self.mode = "in body"
+        self._body_text(data)
+
+    def _frames_start(self, name, attrs, closed):
+        inside = self.mode == "in frameset"
+        if name == "html":
+            self._body_start(name, attrs, closed)
+        elif name == "frameset" and inside:
+            self._insert(name, attrs)
+        elif name == "frame" and inside:
+            self._void(name, attrs)
+        elif name == "noframes":
+            self._head_start(name, attrs)
+        else:
+            self._error("in frameset", name)
+
+    def _frames_end(self, name):
+        if name == "frameset" and self.mode == "in frameset" and len(self.stack) > 1:
+            self._pop()
+            if self.stack[-1].name != "frameset":
+                self.mode = "after frameset"
+        elif name == "html" and self.mode == "after frameset":
+            self.mode = "after after frameset"
+        else:
+            self._error("stray end", name)
+
+    def _frames_text(self, data):
+        if data.strip(SPACE):
+            self._error("in frameset", "#text")
+        if space := "".join(c for c in data if c in SPACE):
+            self._said(space)
+
+    # -- foreign content
+
+    def _foreign_start(self, name, attrs, closed):
+        if name in BREAKS_OUT or name == "font" and {"color", "face", "size"} & set(attrs):
+            self._error("breaks out", name)
+            self._break_out()
+            STARTS[self.mode](self, name, attrs, closed)
+        else:
+            self._foreign(name, attrs, self.stack[-1].ns, closed)
+
+    def _break_out(self):
+        while True:
+            self._pop()
+            top = self.stack[-1]
+            if top.ns == "html" or self._integrates(top) or top.ns == "math" and top.name in ("mi", "mo", "mn", "ms", "mtext"):
+                return
+
+    def _foreign_end(self, name):
+        if name in ("br", "p"):
+            self._error("breaks out", name)
+            self._break_out()
+            ENDS[self.mode](self, name)
+            return
+        if self.stack[-1].name.lower() != name:
+            self._error("misnested", name)
+        for node in reversed(self.stack):
+            if node.ns == "html":
+                ENDS[self.mode](self, name)
+                return
+            if node.name.lower() == name:
+                while self._pop() is not node:
+                    pass
+                return
+
+
+T = Tree
+EARLY = ("initial", "before html", "before head", "in head", "in head noscript", "after head")
+#: End tags that imply what comes next, where they aren't those of the body.
+IMPLYING = {**{mode: ("head", "body", "html", "br") for mode in ("before html", "before head")}, "in head noscript": ("br",)}
+RESET = {"tr": "in row", "caption": "in caption", "colgroup": "in column group", "table": "in table", "head": "in head", "body": "in body", "frameset": "in frameset"}
+#: What each insertion mode does with start tags, end tags and text.
+MODES = {
+    **{mode: (T._early_start, T._early_end, T._early_text) for mode in EARLY},
+    "in body": (T._body_start, T._body_end, T._body_text),
+    "text": (None, T._text_end, T._said),
+    "in table": (T._table_start, T._table_end, T._table_text),
+    "in caption": (T._caption_start, T._caption_end, T._body_text),
+    "in column group": (T._columns_start, T._columns_end, T._columns_text),
+    "in table body": (T._rows_start, T._rows_end, T._table_text),
+    "in row": (T._row_start, T._row_end, T._table_text),
+    "in cell": (T._cell_start, T._cell_end, T._body_text),
+    "in select": (T._select_start, T._select_end, T._select_text),
+    "in select in table": (T._select_start, T._select_end, T._select_text),
+    **{mode: (T._after_start, T._after_end, T._after_text) for mode in ("after body", "after after body")},
+    **{mode: (T._frames_start, T._frames_end, T._frames_text) for mode in ("in frameset", "after frameset", "after after frameset")},
+}
+STARTS, ENDS, TEXTS = ({mode: acts[i] for mode, acts in MODES.items()} for i in range(3))
 
 
 def parse(html: str) -> Node:
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    if tree.cdata_elem and tree.rawdata:  # text that its end tag never came for
-        tree.handle_data(tree.rawdata)
-    if tree.frameset is None:
-        tree._in_body()
-    for node in tree.stack[1:]:
-        if node.name not in IMPLIED_END | {"body", "tbody", "td", "tfoot", "th", "thead", "tr"}:
-            tree._error("unclosed", node.name)
-    doctype = next((c for c in tree.document.children if c.kind == "doctype"), None)
-    if doctype is None or doctype.attrs["name"] != "html" or doctype.attrs["publicId"] or doctype.attrs["systemId"] not in ("", "about:legacy-compat"):
-        tree.errors.insert(0, "no doctype\t" if doctype is None else "odd doctype\t")
-    tree.document.attrs = {"mode": "quirks" if tree._quirks() else "no-quirks", "errors": "\n".join(tree.errors)}
-    return tree.document
+    """The document; its attributes are its mode and its errors, a line each: error, tag, line, column, insertion mode, open elements."""
+    tree = Tree(html)
+    document = tree.run()
+    lines = [i for i, c in enumerate(tree.html) if c == "\n"] if tree.errors else []
+    noted = []
+    for what, tag, at, mode, path in tree.errors:
+        line = bisect_right(lines, at - 1)
+        noted.append(f"{what}\t{tag}\t{line + 1}\t{at - (lines[line - 1] + 1 if line else 0) + 1}\t{mode}\t{path}")
+    document.attrs = {"mode": tree.quirks, "errors": "\n".join(noted)}
+    return document
 
 
 def rows(html: str | None) -> list[tuple]:

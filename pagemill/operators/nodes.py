@@ -190,11 +190,14 @@ def documents_meta(table: DataFrame) -> DataFrame:
 
 
 def parse_errors(table: DataFrame) -> DataFrame:
-    """(page_id, idx, error, tag) of what is wrong with each page's markup, in order: a log, which stops nothing."""
+    """(page_id, idx, error, tag, line, col, mode, path) of what is wrong with each page's markup, in order: a log, which stops nothing.
+
+    line and col, from 1, are where the token begins; mode is the insertion mode; path has the innermost open elements."""
     noted = F.split(P.get_attribute("errors", first_of(F.col("nodes"))["attrs"]), "\n")
     found = paged(table).select("page_id", F.posexplode(F.filter(noted, lambda e: e != "")).alias("idx", "e"))
-    parts = F.split("e", "\t")
-    return found.select("page_id", "idx", parts[0].alias("error"), F.nullif(parts[1], F.lit("")).alias("tag"))
+    part = F.split("e", "\t")
+    place = [part[i + 2].cast("int").alias(c) for i, c in enumerate(("line", "col"))]
+    return found.select("page_id", "idx", part[0].alias("error"), F.nullif(part[1], F.lit("")).alias("tag"), *place, part[4].alias("mode"), part[5].alias("path"))
 
 
 def find_link(found: DataFrame, pattern: str) -> DataFrame:

@@ -331,7 +331,9 @@ ORACLE_SQL = {
     " (SELECT page_id, list_append(string_split(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '<p>')[2:], 'footer') AS s FROM pages))) GROUP BY name",
     "leaf_counts": """SELECT page_id, 3 + len(regexp_extract_all(html, '<br>')) + len(regexp_extract_all(replace(html, 'var t="</p>";', 'var'), '>[^<]+<')) + CAST(regexp_matches(html, '>[^<]+$') AS INT) AS leaves,
       1 + len(regexp_extract_all(html, '<br>')) AS elements, 1::BIGINT AS comments, 1::BIGINT AS doctypes FROM pages""",
-    "error_counts": """SELECT 'misnested' AS error, tag, sum(n)::BIGINT AS n FROM (SELECT 'p' AS tag, len(regexp_extract_all(html, '</p>')) - 1 AS n FROM pages
+    # each paragraph but the last is closed with a <b> open, by its end tag or by the next paragraph; the last by its end tag, if it has one
+    "error_counts": """SELECT 'misnested' AS error, tag, sum(n)::BIGINT AS n FROM (
+      SELECT 'p' AS tag, len(s) - 1 + CAST(contains(s[-1], '</p>') AS INT) AS n FROM (SELECT string_split(regexp_extract(html, '<article>(.*?)(</article>|<footer|$)', 1, 's'), '<p>')[2:] AS s FROM pages)
       UNION ALL SELECT 'footer', 1 FROM pages UNION ALL SELECT 'article', CAST(NOT contains(string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>')[-1], '</p>') AS INT)
       FROM pages WHERE contains(html, '</article>')) GROUP BY tag HAVING sum(n) > 0""",
     "node_paths": "SELECT page_id, '/1.html/0.head/1.title' AS path, 3 AS depth FROM pages",
