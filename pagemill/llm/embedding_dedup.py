@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from .common import session, written
 from .components import connected_components
 
-#: Least cosine of a link; least passes; neighbours compared on either side of a vector in a pass; bits of the sort key.
-COSINE, PASSES, WINDOW, BITS = 0.9, 16, 48, 63
-#: Chance that the passes find a link right at the least cosine, where vectors lie evenly; links above it are found more surely.
-RECALL = 0.99
+#: Least cosine of a link; least passes; neighbours compared on either side of a vector in a pass.
+COSINE, PASSES, WINDOW = 0.9, 16, 48
+#: A sort key's hashes, and the random directions of each: a hash is the direction, either way, that a vector points along most.
+HASHES, DIRECTIONS = 8, 16
+#: Chance that the passes find a link right at the least cosine, as estimated from the sample; links above it are found more surely.
+RECALL = 0.97
+#: Vectors, and numbers in them, of the sample that keys and passes are fitted on; passes that the estimate looks at.
+SAMPLE, NUMBERS, TRIED = 1024, 1 << 20, 12
 #: A vector's row in a pass.
 KEYED = "pass int, dim int, key long, node long, v array<double>"
 #: Vectors of a chunk where links of loose components are counted pair by pair.
@@ -32,14 +36,51 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def passes_for(n: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes over n vectors such that a link of ``cosine`` is found with a chance of ``recall`` at least, PASSES at least.
+def _hashes(x: np.ndarray, first: int, passes: int, seed: int) -> np.ndarray:
+    """[row, pass, hash] of vectors x: each hash projects them to DIRECTIONS random directions and numbers the one, either way, with
+    the greatest projection. Vectors at a small angle share it more often, for as many values of a hash, than they share signs."""
+    n, d = x.shape
+    out = np.empty((n, passes, HASHES), np.int64)
+    for p in range(passes):
+        planes = np.random.default_rng([seed, d, first + p]).standard_normal((d, HASHES * DIRECTIONS))
+        on = (x @ planes).reshape(n, HASHES, DIRECTIONS)
+        at = np.abs(on).argmax(axis=2)
+        out[:, p] = 2 * at + (np.take_along_axis(on, at[:, :, None], 2)[:, :, 0] > 0)
+    return out
 
-    Two vectors at an angle share a hash bit with p = 1 - angle / pi; those that share the first log2(n / window) bits
-    are about ``window`` places apart. The passes grow as a power of n, at cosine 0.9 as n ** 0.22.
+
+def fitted(nodes: DataFrame, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL, seed: int = 7) -> tuple[dict[int, np.ndarray], int]:
+    """(centre of each length of vectors, passes), from a sample of at most SAMPLE distinct vectors, chosen by a hash.
+
+    Keys are of vectors less the centre, the mean of the sample's: vectors with a common direction would share most hashes without. The
+    sample also tells how many passes there have to be: each of its vectors gets a neighbour at the least cosine, in a random direction. From
+    the hashes that both share, and how frequent these are, follows how many of all vectors stand between them in a pass.
     """
-    one = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
-    return PASSES if one >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-one)))
+    count, widest = nodes.agg(F.count("*"), F.max("dim")).first()
+    some = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(max(64, min(SAMPLE, NUMBERS // max(1, widest or 1)))).select("dim", "v").collect()
+    by: dict[int, list] = {}
+    for dim, v in some:
+        by.setdefault(dim, []).append(v)
+    units = {d: _unit(np.asarray(v, np.float64)) for d, v in by.items()}
+    centres = {d: u.mean(axis=0) for d, u in units.items() if len(u) >= 64}
+    if not centres:
+        return {}, PASSES
+    d, u = max(((d, units[d]) for d in centres), key=lambda x: len(x[1]))
+    away = np.random.default_rng([seed, d]).standard_normal(u.shape)
+    away -= (away * u).sum(axis=1, keepdims=True) * u
+    near = cosine * u + math.sqrt(1 - cosine * cosine) * _unit(away) if d > 1 else u
+    a, b = (_hashes(x - centres[d], 0, TRIED, seed) for x in (u, near))
+    share = np.stack([[np.bincount(a[:, p, h], minlength=2 * DIRECTIONS) for h in range(HASHES)] for p in range(TRIED)]) / len(u)
+    middle = np.cumsum(share, axis=2) - share / 2
+    p, h = np.arange(TRIED)[None, :, None], np.arange(HASHES)[None, None, :]
+    shared = np.cumprod(a == b, axis=2)  # 1 up to the first hash in which they differ
+    group = np.where(shared, share[p, h, a], 1.0).prod(axis=2)
+    first = np.minimum(shared.sum(axis=2), HASHES - 1)
+    differ = np.take_along_axis(np.abs(middle[p, h, a] - middle[p, h, b]), first[:, :, None], 2)[:, :, 0]
+    found = float((count * group * np.where(shared.all(axis=2), 0.5, differ) <= window).mean())
+    if found >= 1:
+        return centres, PASSES
+    return centres, max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-max(found, 1 / a.shape[0] / TRIED))))
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -48,24 +89,21 @@ def _stack(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _keys(passes: int, bits: int, seed: int):
-    """Over (node, dim, v): a row for each pass with the vector's key, its concatenated hash bits being the key's, first bit highest."""
+def _keys(centres: dict[int, np.ndarray], passes: int, seed: int):
+    """Over (node, dim, v): a row for each pass with the vector's key, its hashes after each other, the first one highest."""
+    shifts = (2 * DIRECTIONS - 1).bit_length() * np.arange(HASHES - 1, -1, -1, dtype=np.int64)
 
     def run(batches):
-        planes: dict[int, np.ndarray] = {}
         for b in batches:
-            node, dims = b.column(0), b.column(1).to_numpy()
+            dims = b.column(1).to_numpy()
             for d in np.unique(dims).tolist():
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
                 at = np.flatnonzero(dims == d)
                 rows = b.take(pa.array(at))
-                on = (_stack(rows.column(2)) @ planes[d] > 0).reshape(len(at), passes, bits)
-                key = (on * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=2)
+                x = _unit(_stack(rows.column(2))) - centres.get(d, 0.0)
                 for p in range(passes):
+                    key = (_hashes(x, p, 1, seed)[:, 0] << shifts).sum(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), p, np.int32)), rows.column(1), pa.array(key[:, p]), rows.column(0), rows.column(2)],
-                        names=["pass", "dim", "key", "node", "v"],
+                        [pa.array(np.full(len(at), p, np.int32)), rows.column(1), pa.array(key), rows.column(0), rows.column(2)], names=["pass", "dim", "key", "node", "v"]
                     )
 
     return run
@@ -135,11 +173,11 @@ def window_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None
 
     Every pass sorts all vectors by its key in ranges. Each range also gives its first and last ``window`` rows; those of
     a pass are sorted once more, where the end of a range comes just before the beginning of the next. So no edge of a
-    range divides a pair, and what is found doesn't depend on the ranges. ``passes`` follow the number of vectors unless given.
+    range divides a pair, and what is found doesn't depend on the ranges. ``passes`` are as fitted() says unless given.
     """
     session(vectors)
-    passes = passes or passes_for(vectors.count(), cosine, window)
-    keys = vectors.select("node", "dim", "v").mapInArrow(_keys(passes, BITS, seed), KEYED)
+    centres, enough = fitted(vectors, cosine, window, seed=seed)
+    keys = vectors.select("node", "dim", "v").mapInArrow(_keys(centres, passes or enough, seed), KEYED)
     order = keys.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
     found = written(order.mapInArrow(_windows(cosine, window), "a long, b long, " + KEYED))
     edges = found.where("a is null").drop("a", "b").repartition("pass", "dim").sortWithinPartitions("pass", "dim", "key", "node")
@@ -180,8 +218,8 @@ def near_duplicates(
     Equal vectors are one node with a count, linked to each other. Links found in the passes give the components.
     In a component, the vectors within half the links' angle of its least node all link to each other (the angle is a
     metric), so they are counted and not compared; every other vector of it is compared to all of the component in
-    chunks. So n_links counts every link of a component. A link between components is one that no pass found; ``passes`` follow
-    the number of nodes (``passes_for``) unless given.
+    chunks. So n_links counts every link of a component. A link between components is one that no pass found; ``passes`` are
+    fitted on a sample of the vectors (``fitted``) unless given.
     Null or zero vectors, vectors with null or non-finite components, and null ids link with nothing; vectors of
     different lengths don't link. Rows that repeat an id are nodes by their vectors: equal ones are one, others
     are as vectors of different ids; a row is given for each.

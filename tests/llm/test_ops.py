@@ -527,20 +527,28 @@ def test_embeddings_of_repeated_ids_and_other_columns(spark):
     assert len(got) == len(rows) and [r[2] for r in got if r[0] == 2] == [1] and [r[2] for r in got if r[0] == 3] == [1]
 
 
-def test_embedding_passes_follow_the_vectors(spark):
-    for n in (10**4, 10**5, 10**6, 10**7, 10**8):
-        one = (1 - np.arccos(0.9) / np.pi) ** np.log2(n / embedding_dedup.WINDOW)
-        assert 1 - (1 - one) ** embedding_dedup.passes_for(n) >= embedding_dedup.RECALL
-    # pairs right above the least cosine; a window of 1 over 4,000 vectors is as one of 48 over 192,000
-    rng, n, dim = np.random.default_rng(2), 2000, 48
-    a, b = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
+def planted_pairs(n, dim, common, cosine, seed=2):
+    """n pairs of vectors at this cosine; two vectors of different pairs have ``common`` as their median cosine."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a = unit(np.sqrt(common) * unit(rng.normal(size=dim)) + np.sqrt(1 - common) * unit(rng.normal(size=(n, dim))))
+    b = rng.normal(size=(n, dim))
     b -= (a * b).sum(axis=1, keepdims=True) * a
-    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    rows = [(2 * i + k, v.tolist()) for i in range(n) for k, v in enumerate((a[i], b[i]))]
+    return a, cosine * a + np.sqrt(1 - cosine**2) * unit(b)
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8])
+def test_embedding_passes_follow_the_vectors(spark, common):
+    # pairs right above the least cosine; a window of 2 over 4,000 vectors is as one of 48 over 96,000
+    a, b = planted_pairs(2000, 48, common, 0.901)
+    rows = [(2 * i + k, v.tolist()) for i in range(len(a)) for k, v in enumerate((a[i], b[i]))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df, window=1).collect()}
-    assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(n)]) > 0.97
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df, window=2).collect()}
+    assert np.mean([got[2 * i] == got[2 * i + 1] for i in range(len(a))]) > 0.95
+    # more passes the more vectors there are, the closer they are, the narrower the window
+    nodes = df.selectExpr("vec_id AS node", "size(embedding) AS dim", "embedding AS v")
+    passes = [embedding_dedup.fitted(nodes, window=w)[1] for w in (100, 10, 1)]
+    assert passes == sorted(passes) and (passes[2] > passes[0] or not common)
 
 
 def test_embedding_windows_reach_over_the_edges_of_ranges(spark):
