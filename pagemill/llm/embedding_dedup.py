@@ -17,8 +17,8 @@ from .components import connected_components
 COSINE, PASSES, WINDOW = 0.9, 16, 48
 #: A sort key's hashes, and the random directions of each: a hash is the direction, either way, that a vector points along most.
 HASHES, DIRECTIONS = 8, 16
-#: Chance that the passes find a link right at the least cosine, as estimated from the sample; links above it are found more surely.
-RECALL = 0.97
+#: Chance that the passes find a link right at the least cosine, as estimated from the mean of the sample; measured, it is 0.93 at least.
+RECALL = 0.99
 #: Vectors, and numbers in them, of the sample that keys and passes are fitted on; passes that the estimate looks at.
 SAMPLE, NUMBERS, TRIED = 1024, 1 << 20, 12
 #: A vector's row in a pass.
@@ -77,7 +77,7 @@ def fitted(nodes: DataFrame, cosine: float = COSINE, window: int = WINDOW, recal
     group = np.where(shared, share[p, h, a], 1.0).prod(axis=2)
     first = np.minimum(shared.sum(axis=2), HASHES - 1)
     differ = np.take_along_axis(np.abs(middle[p, h, a] - middle[p, h, b]), first[:, :, None], 2)[:, :, 0]
-    found = float((count * group * np.where(shared.all(axis=2), 0.5, differ) <= window).mean())
+    found = float((count * group * np.where(shared.all(axis=2), 0.5, differ) <= max(window - 1, 0.5)).mean())
     if found >= 1:
         return centres, PASSES
     return centres, max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-max(found, 1 / a.shape[0] / TRIED))))

@@ -16,6 +16,8 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK, BLOCKS = 4096, 64
 #: Documents of a source in a task's running sum, about; digits of the hash that deal them out are chosen by it.
 ROWS = 1 << 16
+#: Words of a partition of the mix in order, about.
+PART_WORDS = 1 << 20
 GOLDEN = 0.6180339887498949
 
 
@@ -95,11 +97,12 @@ def mix(
     docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
 ) -> DataFrame:
-    """``keep`` with size, source_size, target and taken, a row for each document.
+    """``keep`` with size, source_size, target, taken and slots, a row for each document.
 
     Each source's documents are shuffled by a hash of their id and text and laid end to end, again and again. The line
     is cut into blocks of equal words up to the source's target, the last block being what is left. The schedule's slots are
-    joined to the blocks of their source and turn; taken is what a document's words in these blocks sum to. So a source's
+    joined to the blocks of their source and turn; taken is what a document's words in these blocks sum to, and slots (ascending,
+    at most ``most``) are those of the blocks that it begins in, each time that it is taken: the place of its copies in the mix. So a source's
     taken sum to its target, rounded, whatever the sizes of the others, and no document takes more than ``most`` times its
     size (a whole number).
     Null or blank texts have size 0 and take 0. Null sources are one source, the last; sources of size 0 have target 0.
@@ -107,7 +110,7 @@ def mix(
     Texts are written once and meet what they take in one join; all else is done on keys and sizes.
     """
     spark = session(docs)
-    clash = {"size", "source_size", "target", "taken"} & set(keep)
+    clash = {"size", "source_size", "target", "taken", "slots"} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are in the input already")
     said = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
@@ -139,13 +142,26 @@ def mix(
     turn = F.explode(F.sequence(F.floor(F.col("a") / F.col("block")), F.floor((F.col("b") - 1) / F.col("block"))))
     placed = placed.select("key", "rank", "a", "b", "block", turn.alias("turn"))
     words = F.least("b", (F.col("turn") + 1) * F.col("block")) - F.greatest("a", F.col("turn") * F.col("block"))
-    read = placed.join(schedule(spark, sources).select("rank", "turn"), ["rank", "turn"])
-    taken = read.groupBy("key").agg(F.sum(words).alias("taken"))
-    known = at.join(taken, "key", "left").select("key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    return rows.select("key", "row").join(known, "key").select("row.*", "size", "source_size", "target", "taken")
-
-
-#: Sums and takes as the schedule leaves them: every block of a source's line up to its target, which is a prefix of it.
+    begins = F.col("turn") == F.floor(F.col("a") / F.col("block"))
+    read = placed.join(schedule(spark, sources), ["rank", "turn"])
+    taken = read.groupBy("key").agg(F.sum(words).alias("taken"), F.array_sort(F.collect_list(F.when(begins, F.col("slot")))).alias("slots"))
+    none = F.array().cast("array<bigint>")
+    known = at.join(taken, "key", "left").select("key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("slots", none).alias("slots"))
+    return rows.select("key", "row").join(known, "key").select("row.*", "size", "source_size", "target", "taken", "slots")
+
+
+def in_order(mixed: DataFrame, slot: str = "slot", words: str = "size") -> DataFrame:
+    """Rows of a mix in the order of their slots: partitions are ranges of slots of about PART_WORDS words, and so are the files of what is
+    written, by name; any run of files has the shares of the targets, but for a few blocks. Slots are even, so no sample is taken."""
+    top, total = mixed.agg(F.max(slot), F.sum(words)).first()
+    parts = max(1, math.ceil((total or 0) / PART_WORDS))
+    part = F.least(F.floor(F.col(slot) * parts / float((top or 0) + 1)), F.lit(parts - 1)).cast("int")
+    ties = [c for c in mixed.columns if c != slot]
+    return mixed.withColumn("_part", part).repartitionById(parts, "_part").drop("_part").sortWithinPartitions(slot, F.xxhash64(*ties))
+
+
+#: Sums and takes as the schedule leaves them, every block of a source's line up to its target; and the slot of the block that each document
+#: begins in: golden-ratio points through the shares, numbered within their source, missing turns after the last.
 ORACLE = f"""WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents),
   sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
@@ -153,8 +169,19 @@ ORACLE = f"""WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extr
   filled AS (SELECT *, (sum({SHARE} * source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
     FROM caps WINDOW w AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   aimed AS (SELECT *, coalesce(least(cap, weight * max(level) FILTER (cap / weight >= level) OVER ()), cap) AS target FROM filled),
-  laid AS (SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS goal,
+  whole AS (SELECT *, CAST(round(target) AS BIGINT) AS goal FROM aimed),
+  cut AS (SELECT *, greatest((goal + {BLOCK - 1}) // {BLOCK}, least(goal, {BLOCKS})) AS blocks FROM whole),
+  shares AS (SELECT *, CASE WHEN blocks > 0 THEN (goal + blocks - 1) // blocks END AS block, sum(blocks) OVER () AS total,
+    CAST(sum(blocks) OVER (ORDER BY rank) AS DOUBLE) / sum(blocks) OVER () AS high, CAST(sum(blocks) OVER (ORDER BY rank) - blocks AS DOUBLE) / sum(blocks) OVER () AS low,
+    max(rank) FILTER (blocks > 0) OVER () AS last, count(*) OVER () AS ranks FROM cut),
+  points AS (SELECT i AS slot, (CAST(0.5 AS DOUBLE) + i * CAST({GOLDEN} AS DOUBLE)) % CAST(1 AS DOUBLE) AS point FROM range(CAST((SELECT max(total) FROM shares) AS BIGINT)) r(i)),
+  hits AS (SELECT slot, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn FROM points JOIN shares ON blocks > 0 AND point >= low AND (point < high OR rank = last)),
+  got AS (SELECT s.rank, s.total, s.ranks, s.blocks, count(h.slot) AS n FROM shares s LEFT JOIN hits h USING (rank) GROUP BY ALL),
+  slots AS (SELECT slot, rank, turn FROM hits JOIN shares USING (rank) WHERE turn < blocks
+    UNION ALL SELECT total + (t - n) * ranks + rank, rank, t FROM (SELECT *, unnest(range(CAST(n AS BIGINT), CAST(blocks AS BIGINT))) AS t FROM got)),
+  laid AS (SELECT doc_id, size, source_size, target, goal, rank, block,
     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source)
+    FROM sized s JOIN shares a ON s.source IS NOT DISTINCT FROM a.source)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(CASE WHEN size = 0 THEN 0
-  ELSE goal // source_size * size + greatest(0, least(size, goal - goal // source_size * source_size - start)) END AS BIGINT) AS taken FROM laid"""
+  ELSE goal // source_size * size + greatest(0, least(size, goal - goal // source_size * source_size - start)) END AS BIGINT) AS taken, CAST(slot AS BIGINT) AS first_slot
+  FROM laid LEFT JOIN slots ON size > 0 AND start < goal AND slots.rank = laid.rank AND turn = start // block"""
