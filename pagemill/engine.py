@@ -48,11 +48,7 @@ class Engine:
 
     def submit(self, values: dict[str, str] | None = None) -> DataFrame:
         """The request of every form, with these controls set, and the stored page it leads to."""
-        nodes = self.parsed()
-        found = form_ops.controls(nodes)
-        for name, value in (values or {}).items():
-            found = form_ops.set_control_value(found, name, value)
-        return form_ops.submit(form_ops.requests(node_ops.forms(nodes), form_ops.data_sets(found)), self.pages)
+        return form_ops.submit(form_ops.submitted(self.parsed(), values), self.pages)
 
     def leaf_nodes(self, verbose: bool = False) -> DataFrame:
         return node_ops.leaf_nodes(self.parsed(), verbose)

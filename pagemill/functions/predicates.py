@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dom import FORM_ASSOCIATED, FORMATTING
@@ -108,8 +108,12 @@ def element_tag(verbose: bool = True, node: Column | None = None) -> Column:
 
 
 def with_ancestor(nodes: DataFrame, name: str, among: DataFrame | None = None) -> DataFrame:
-    """Adds has_ancestor: whether an element of this name holds the node. A join on page_id with a range of ranks, which
-    is a sort-merge join by page and never a product. among: the table of all nodes, if nodes is a part of it."""
-    of = (nodes if among is None else among).where(has_element_name(name)).select("page_id", F.col("pre").alias("_a"), F.col("last").alias("_z"))
-    inside = nodes.select("page_id", "pre").join(of, "page_id").where("pre > _a and pre <= _z").select("page_id", "pre").distinct().withColumn("has_ancestor", F.lit(True))
-    return nodes.join(inside, ["page_id", "pre"], "left").withColumn("has_ancestor", F.coalesce("has_ancestor", F.lit(False)))
+    """Adds has_ancestor: whether an element of this name holds the node. Elements are nested or apart, so one holds a node if the
+    greatest last rank of those before it reaches it: a running maximum over a page's nodes, in one shuffle, without pairs.
+
+    among: the table of all nodes, if nodes is a part of it; it is joined then by its rows' ranks."""
+    every = nodes if among is None else among
+    before = Window.partitionBy("page_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(has_element_name(name), F.col("last"))).over(before)
+    held = every.withColumn("has_ancestor", F.coalesce(reach >= F.col("pre"), F.lit(False)))
+    return held if among is None else nodes.join(held.select("page_id", "pre", "has_ancestor"), ["page_id", "pre"], "left")

@@ -7,25 +7,96 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.urls import is_http, resolve, url_encode_pairs
-from .nodes import by_url, elements, paged, with_base
+from .nodes import bound, by_url, deep, elements, first_of, paged, with_base
 
 
-def controls(table: DataFrame) -> DataFrame:
-    """(page_id, form_id, idx, pre, name, control, type, attrs, in_datalist): submittable elements with a form owner, in tree order.
+def page_forms(table: DataFrame, text: bool = False) -> DataFrame:
+    """(page_id, forms), and base if the pages' URLs are known: every form of a page in tree order, with its controls within.
 
-    Of a flat table or parsed pages; each form's controls are counted within its page's array."""
+    A form is (idx, form_id, action, method, enctype, id, name, tag, controls); a control, a submittable element with that form as its owner, is
+    (pre, name, control, type, attrs, in_datalist), and its deep text if asked for. All of it is one expression over the page's nodes."""
+    page = paged(table)
 
-    def made(n: Column) -> Column:
-        lists = F.exists("nodes", lambda a: P.has_element_name("datalist", node=a) & (a["pre"] < n["pre"]) & (a["last"] >= n["pre"]))
+    def control(n: Column, lists: Column) -> Column:
         name, kind = (P.get_attribute(k, n["attrs"]) for k in ("name", "type"))
-        return F.struct(n["pre"].alias("pre"), name.alias("name"), n["name"].alias("control"), kind.alias("type"), n["attrs"].alias("attrs"), lists.alias("in_datalist"))
+        inside = F.exists(lists, lambda a: (a["pre"] < n["pre"]) & (a["last"] >= n["pre"]))
+        said = [deep(n).alias("text")] * text
+        return F.struct(n["pre"].alias("pre"), name.alias("name"), n["name"].alias("control"), kind.alias("type"), n["attrs"].alias("attrs"), inside.alias("in_datalist"), *said)
+
+    def form(f: Column, idx: Column, fields: Column) -> Column:
+        attrs = [P.get_attribute(k, f["attrs"]).alias(k) for k in ("action", "method", "enctype", "id", "name")]
+        own = F.transform(F.filter(fields, lambda c: c["owner"] == f["node_id"]), lambda c: c["control"])
+        return F.struct(idx.alias("idx"), f["node_id"].alias("form_id"), *attrs, P.element_tag(node=f).alias("tag"), own.alias("controls"))
+
+    owned = F.filter("nodes", lambda n: P.is_submittable(n) & n["form_owner_id"].isNotNull())
+    fields = bound(elements("datalist"), lambda lists: F.transform(owned, lambda n: F.struct(n["form_owner_id"].alias("owner"), control(n, lists).alias("control"))))
+    every = bound(fields, lambda found: F.transform(elements("form"), lambda f, i: form(f, i, found)))
+    base = [F.col("url").alias("base")] * ("url" in page.columns)
+    return page.select("page_id", *base, every.alias("forms"))
+
 
-    own = lambda f: F.filter("nodes", lambda n: P.is_submittable(n) & (n["form_owner_id"] == f["node_id"]))
-    each = F.transform(elements("form"), lambda f: F.struct(f["node_id"].alias("form_id"), F.transform(own(f), made).alias("controls")))
-    found = paged(table).select("page_id", F.explode(each).alias("f"))
+def controls(table: DataFrame) -> DataFrame:
+    """(page_id, form_id, idx, pre, name, control, type, attrs, in_datalist) of page_forms(), a row for each control."""
+    found = page_forms(table).select("page_id", F.explode("forms").alias("f"))
     return found.select("page_id", "f.form_id", F.posexplode("f.controls").alias("idx", "c")).select("page_id", "form_id", "idx", "c.*")
 
 
+def first_form(forms: Column, pattern: str) -> Column:
+    """The first of a page's forms whose id, name or action holds the pattern, in any case; null if there is none."""
+    said = lambda f: F.lower(F.concat_ws("\n", f["id"], f["name"], f["action"]))
+    return first_of(F.filter(forms, lambda f: F.contains(said(f), F.lit(pattern.lower()))))
+
+
+def first_control(of: Column, name: str) -> Column:
+    """The first of a form's controls with this name, in any case; null if there is none."""
+    return first_of(F.filter(of, lambda c: F.lower(c["name"]) == name.lower()))
+
+
+def with_value(of: Column, name: str, value: str) -> Column:
+    """A form's controls with the value attribute of the first one of this name set."""
+    at = F.array_position(F.transform(of, lambda c: F.coalesce(F.lower(c["name"]), F.lit(""))), name.lower())
+    changed = lambda c: c.withField("attrs", P.set_attribute("value", value, c["attrs"]))
+    return bound(at, lambda first: F.transform(of, lambda c, i: F.when(i + 1 == first, changed(c)).otherwise(c)))
+
+
+def data_set(of: Column, standard: bool = False) -> Column:
+    """array<struct<name,value,type>>: what a form's controls send, in tree order.
+
+    Left out: controls in a datalist, disabled ones, buttons, unchecked boxes and radios, those without a name, objects,
+    images, selects and files. A box or radio without a value is "on". A textarea gives its value attribute and types are compared as
+    they are written; ``standard``, over page_forms(text=True), takes a textarea's text and types in any case.
+    """
+
+    def fits(c: Column) -> Column:
+        is_input, kind = c["control"] == "input", _kind(c, standard)
+        box = is_input & kind.isin("checkbox", "radio")
+        skip = c["in_datalist"] | P.is_disabled(c["attrs"]) | c["control"].isin("button", "object", "select") | (box & ~P.is_checked(c["attrs"]))
+        return ~(skip | (is_input & kind.isin("image", "file", "object")) | P.attribute_missing_or_empty("name", c["attrs"]))
+
+    def entry(c: Column) -> Column:
+        box = (c["control"] == "input") & _kind(c, standard).isin("checkbox", "radio")
+        value = F.when(box & P.attribute_missing_or_empty("value", c["attrs"]), F.lit("on"))
+        if standard:
+            value = value.when(c["control"] == "textarea", c["text"])
+        return F.struct(c["name"].alias("name"), value.otherwise(P.get_attribute("value", c["attrs"])).alias("value"), c["type"].alias("type"))
+
+    return F.transform(F.filter(of, fits), entry)
+
+
+def _kind(c: Column, standard: bool) -> Column:
+    return F.lower(F.coalesce(c["type"], F.lit(""))) if standard else F.coalesce(c["type"], F.lit(""))
+
+
+def submitted(table: DataFrame, values: dict[str, str] | None = None, standard: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    """requests() of every form with these controls set: one projection over parsed pages, nothing is joined or shuffled unless URLs come from ``pages``."""
+    found = page_forms(table, text=standard)
+    found = found.select("page_id", *(c for c in found.columns if c == "base"), F.explode("forms").alias("f"))
+    of = F.col("f.controls")
+    for name, value in (values or {}).items():
+        of = with_value(of, name, value)
+    return _requests(with_base(found, pages).select("page_id", "f.form_id", "f.action", "f.method", "f.enctype", "base", data_set(of, standard).alias("data")))
+
+
 def find_control(found: DataFrame, name: str) -> DataFrame:
     """The first control of each form with this name, in any case."""
     rest = [c for c in found.columns if c not in ("page_id", "form_id")]
@@ -40,22 +111,10 @@ def set_control_value(found: DataFrame, name: str, value: str) -> DataFrame:
     return joined.withColumn("attrs", F.when(F.col("pre") == F.col("_p"), P.set_attribute("value", value)).otherwise(F.col("attrs"))).drop("_p")
 
 
-def data_sets(found: DataFrame) -> DataFrame:
-    """(page_id, form_id, data array<struct<name,value,type>>) in tree order.
-
-    Left out: controls in a datalist, disabled ones, buttons, unchecked boxes and radios, those without a name, objects,
-    images, selects and files. A box or radio without a value is "on". A textarea gives its value attribute.
-    """
-    is_input, kind = F.col("control") == "input", F.coalesce("type", F.lit(""))
-    box = is_input & kind.isin("checkbox", "radio")
-    skip = (
-        F.col("in_datalist") | P.is_disabled() | F.col("control").isin("button", "object", "select") | (box & ~P.is_checked())
-        | (is_input & kind.isin("image", "file", "object")) | P.attribute_missing_or_empty("name")
-    )
-    value = F.when(box & P.attribute_missing_or_empty("value"), F.lit("on")).otherwise(P.get_attribute("value"))
-    entry = F.struct("pre", F.struct("name", value.alias("value"), "type").alias("e"))
-    kept = found.groupBy("page_id", "form_id").agg(F.array_sort(F.collect_list(F.when(~skip, entry))).alias("l"))
-    return kept.select("page_id", "form_id", F.transform("l", lambda x: x["e"]).alias("data"))
+def data_sets(found: DataFrame, standard: bool = False) -> DataFrame:
+    """(page_id, form_id, data) of rows of controls(), gathered by form: data as data_set() gives it."""
+    rows = F.array_sort(F.collect_list(F.struct(*[c for c in ("pre", "name", "control", "type", "attrs", "in_datalist", "text") if c in found.columns])), lambda a, b: a["pre"] - b["pre"])
+    return found.groupBy("page_id", "form_id").agg(rows.alias("of")).select("page_id", "form_id", data_set(F.col("of"), standard).alias("data"))
 
 
 def requests(forms: DataFrame, sets: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -65,8 +124,11 @@ def requests(forms: DataFrame, sets: DataFrame, pages: DataFrame | None = None)
     application/x-www-form-urlencoded. Anything else, and URLs that aren't HTTP, gives an error instead of a request.
     pages gives the documents' URLs where they weren't parsed with the forms.
     """
+    return _requests(with_base(forms, pages).select("page_id", "form_id", "action", "method", "enctype", "base").join(sets, ["page_id", "form_id"], "left"))
+
+
+def _requests(df: DataFrame) -> DataFrame:
     empty = F.expr("cast(array() as array<struct<name:string,value:string,type:string>>)")
-    df = with_base(forms, pages).select("page_id", "form_id", "action", "method", "enctype", "base").join(sets, ["page_id", "form_id"], "left")
     df = df.withColumns(
         {
             "data": F.coalesce("data", empty),

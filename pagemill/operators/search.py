@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_text import write_json
+from ..sources.sinks import shared_folder
 
 #: Letters of the suffixes' keys, and of the suffixes themselves.
 KEY, LONGEST = 3, 32
@@ -57,7 +58,7 @@ class Index:
     @classmethod
     def write(cls, spark: SparkSession, records: DataFrame, id_column: str, path: str | None = None, longest: int = LONGEST) -> Index:
         """Stores an index at a path, or in a new folder of the shared one; records hold the id, title, as_of and source."""
-        path = path or f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/index-{uuid.uuid4().hex}"
+        path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         records.select(id_column, "title", "as_of", "source").write.parquet(f"{path}/records")
         stored = spark.read.parquet(f"{path}/records")
         suffixes(stored, id_column, longest=longest).repartitionByRange("suffix").sortWithinPartitions("suffix").write.parquet(f"{path}/suffixes")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import predicates as P
 from .functions.json_text import canonical_json
 from .functions.urls import append_segment, decode_value, encode_value, query_pairs, strict_split, url_part
-from .operators import crawl, forms, nodes, search
+from .operators import crawl, forms, nodes, search, structure
 from .operators.nodes import parse_html, parse_pages
 from .plans.extract import deep_text, each, el, extract, obj, scope
 from .plans.flows import LISTING_SOURCE, MOVIE_SOURCE, listing_records, movie_records
@@ -35,6 +37,10 @@ def _made(spark, sf_dir, *html) -> DataFrame:
     return _pages(spark, sf_dir).withColumn("html", F.concat(*parts))
 
 
+def _parsed_of(spark, sf_dir, *html) -> DataFrame:
+    return parse_pages(_made(spark, sf_dir, *html))
+
+
 def page_titles(spark, sf_dir):
     return nodes.titles(_parsed(spark, sf_dir))
 
@@ -141,26 +147,35 @@ def movie_template(spark, sf_dir):
 
 
 def form_requests(spark, sf_dir):
-    """What submitting three forms of each page sends: one by GET with many controls, one by POST, one that can't be sent."""
+    """What submitting the forms of each page sends: one by GET with many controls, which not all pages have, one by POST, one that can't be sent."""
     n, u = F.col("page_id"), F.col("url")
-    get = '<form action="/go?old=1" id=F><input name=a value="x y"><input type=checkbox name=c checked><input type=checkbox name=d value=1><input name=off disabled value=1>', '<button name=b>B</button><input name="u" value="', u
-    post = '"><select name=s><option>o</select><datalist><input name=l value=1></datalist></form><form method=post><input type=hidden name=n value="', n, '"><textarea name=t value="a&amp;b">x</textarea></form><form method=put><input name=z></form>'
-    pages = _made(spark, sf_dir, *get, *post)
-    table = parse_pages(pages)
-    sent = forms.requests(nodes.forms(table), forms.data_sets(forms.set_control_value(forms.controls(table), "A", "p q")))
+    box = F.when(n % 3 == 0, "checked").otherwise("")
+    get = '<form action="/go?old=1" id=F><input name=', F.when(n % 4 == 3, "z").otherwise("a"), ' value="x y"><input type=checkbox name=c ', box, "><input type=checkbox name=d value=1><input name=off disabled value=1>"
+    rest = '<button name=b>B</button><input name="u" value="', u, '"><select name=s><option>o</select><datalist><input name=l value=1></datalist></form>'
+    post = F.when(n % 5 != 4, F.concat(F.lit('<form method=post><input type=hidden name=n value="'), n, F.lit('"><textarea name=t value="a&amp;b">x</textarea></form>'))).otherwise("")
+    pages = _made(spark, sf_dir, *get, *rest, post, "<form method=put><input name=z></form>")
+    sent = forms.submitted(parse_pages(pages), {"A": "p q"})
     return forms.submit(sent, pages).select("page_id", "form_id", "method", "url", "body", "error", F.col("target_page_id").cast("string").alias("stored"))
 
 
+def form_texts(spark, sf_dir):
+    """The data sets of each page's form by the public standard: a textarea's text, types in any case."""
+    n = F.col("page_id")
+    html = '<form><textarea name=t value=v>text ', n, "</textarea><input type=", F.when(n % 2 == 0, "CHECKBOX").otherwise("Text"), " name=c></form>"
+    found = forms.page_forms(_parsed_of(spark, sf_dir, *html), text=True).select("page_id", F.inline("forms"))
+    said = [forms.describe(forms.data_set(F.col("controls"), standard)).alias(name) for name, standard in (("as_attributes", False), ("as_texts", True))]
+    return found.select("page_id", *said)
+
+
 def form_controls(spark, sf_dir):
-    """The controls of each page's form, and the first named q in any case."""
+    """The controls of each page's first form whose name holds f, if it has one, and its first control named q in any case."""
     n = F.col("page_id")
-    html = '<form id=F><input name=Q value="', n, '"><table><tr><td><input type=radio name=r></table><label>x</label><input name=q></form><input name=out><form id=G><input name=g></form>'
-    table = parse_pages(_made(spark, sf_dir, *html))
-    found = forms.controls(table)
-    first = forms.find_control(found, "q").select("page_id", "form_id", P.get_attribute("value").alias("q"))
-    named = nodes.find_form(nodes.forms(table), "f").select("page_id", "form_id", F.col("id").alias("form"))
-    every = found.groupBy("page_id", "form_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",").alias("names"))
-    return every.join(named, ["page_id", "form_id"]).join(first, ["page_id", "form_id"]).select("page_id", "form", "names", "q")
+    html = "<form id=", F.when(n % 4 == 1, "none").when(n % 4 == 2, "Of").otherwise("F"), "><input name=", F.when(n % 3 == 0, "x").otherwise("Q"), ' value="', n
+    rest = '"><table><tr><td><input type=radio name=r></table><label>x</label>', F.when(n % 2 == 0, "<input name=q>").otherwise(""), "</form><input name=out><form id=G><input name=g></form>"
+    found = forms.page_forms(_parsed_of(spark, sf_dir, *html, *rest)).select("page_id", forms.first_form(F.col("forms"), "f").alias("f")).where("f is not null")
+    names = F.array_join(F.transform("f.controls", lambda c: c["name"]), ",")
+    q = P.get_attribute("value", forms.first_control(F.col("f.controls"), "q")["attrs"])
+    return found.select("page_id", F.col("f.id").alias("form"), names.alias("names"), q.alias("q"))
 
 
 def followed_links(spark, sf_dir):
@@ -173,23 +188,75 @@ def followed_links(spark, sf_dir):
 
 
 def next_pages(spark, sf_dir):
-    """Paging by rows: the last link to the search path whose row is above the current one; and harvested movie ids, last first."""
+    """Paging by rows: the last link to the search path whose row is above the current one, if there is one; and harvested movie ids, last first."""
     n = F.col("page_id")
-    html = '<a href="/search?row=', n * 10, '&movieid=7">a</a><a href="/Search?row=', n * 10 + 20, "&x=", n, '&movieid=m+', n, '">b</a><a href="/search?row=', n * 10 + 5, '">c</a><a href="/other?row=999999999">d</a>'
-    links = nodes.resolved(nodes.link_urls(parse_pages(_made(spark, sf_dir, *html)))).withColumnRenamed("url", "href").withColumnRenamed("target", "url")
-    page = crawl.next_page(links, "search", current=F.col("page_id") * 10 + 5)
-    ids = crawl.harvest(links, "movieid").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("idx"), "value"))), lambda x: x["value"]), "|").alias("ids"))
-    return page.join(ids, "page_id").select("page_id", "row", F.regexp_extract("url", "^[^/]*//[^/]*(/.*)$", 1).alias("path"), "ids")
+    later = F.when(n % 3 == 0, n * 10 + 1).otherwise(n * 10 + 20)
+    html = '<a href="/search?row=', n * 10, '&movieid=7">a</a><a href="/Search?row=', later, "&x=", n, '&movieid=m+', n, '">b</a>', F.when(n % 5 == 0, F.concat(F.lit('<a href="/search?row='), n * 10 + 9, F.lit('">c</a>'))).otherwise(""), '<a href="/other?row=999999999">d</a>'
+    links = nodes.resolved(nodes.link_urls(_parsed_of(spark, sf_dir, *html))).withColumnRenamed("url", "href").withColumnRenamed("target", "url")
+    page = crawl.results(links, "search", "movieid", current=F.col("page_id") * 10 + 5)
+    return page.select("page_id", "row", F.regexp_extract("url", "^[^/]*//[^/]*(/.*)$", 1).alias("path"), F.array_join("values", "|").alias("ids"))
 
 
 def paged_listing(spark, sf_dir):
-    """The listing flow over stored pages: from page 0, whatever a page's "next page" link leads to, until there is none; titles of all."""
+    """The listing flow over stored pages: from page 0, whatever a page's first "next page" link leads to, until there is none; titles of all. Pages
+    whose number ends with 8 or 9 share a url, of which the lesser counts, and links are written in several ways."""
     n = F.col("page_id")
-    html = '<span class="t">title ', n, "</span>", F.when(n < 40, F.concat(F.lit('<a href="/list/'), (n + 4).cast("string"), F.lit('">Next page</a>'))).otherwise("")
-    pages = _made(spark, sf_dir, *html).withColumn("url", F.concat(F.lit("http://shop.example/list/"), n))
+    to = F.when(n % 10 == 7, n + 1).when(n % 10 == 8, n + 2).otherwise(n + 1).cast("string")
+    link = F.when(n % 3 == 0, F.concat(F.lit('<a href="/list/'), to, F.lit('">Next page</a><a href="/list/0">next page</a>'))).when(n % 3 == 1, F.concat(F.lit('<a href="'), to, F.lit('">the NEXT PAGE</a>')))
+    html = '<a href="/list/3">back</a><span class="t">title ', n, "</span>", link.otherwise(F.concat(F.lit('<a href="http://shop.example/list/'), to, F.lit('"><b>next</b> page</a>')))
+    pages = _made(spark, sf_dir, *html).withColumn("url", F.concat(F.lit("http://shop.example/list/"), F.when(n % 10 == 9, n - 1).otherwise(n)))
     return crawl.walk(pages, "http://shop.example/list/0", "next page", {"title": el("span").equals("class", "t").first_text()}).select("page_id", "depth", "record.title")
 
 
+def link_holders(spark, sf_dir):
+    """How many elements of each name stand right within which list, navigation or article: a structural join of the flat node table."""
+    table = _nodes(spark, sf_dir).select("page_id", "pre", "last", "kind", "name")
+    kinds = ("nav", "ul", "li", "article")
+    found = structure.held(table.where("kind = 'element'"), F.col("name").isin(*kinds), depth=1)
+    named = found.select("page_id", "name", F.try_element_at("holders", F.lit(1)).alias("holder")).where(F.col("name").isin("a", "li", "ul", "h1"))
+    above = table.where(F.col("name").isin(*kinds)).select("page_id", F.col("pre").alias("holder"), F.col("name").alias("within"))
+    return named.join(above, ["page_id", "holder"], "left").groupBy("name", "within").agg(F.count("*").alias("n"))
+
+
+def own_charsets(spark, sf_dir):
+    """Pages whose bytes name their charset themselves: by a meta element, one in a comment before it, or a byte order mark; or not at all."""
+    n, k = F.col("page_id"), F.col("page_id") % 6
+    text = F.regexp_replace("html", "[^\\x{0}-\\x{FF}]", "?")
+    headed = (k == 0) & (n % 4 == 0)  # the header goes before what the document says
+    meta = F.when(headed, "<meta charset=utf-8>").when(k == 0, '<meta charset="ISO-8859-1">').when(k == 1, "<!--<meta charset=utf-8>--><META http-equiv=Content-Type content='text/html; charset=latin1'>").when(k == 2, "<meta name=x content='charset=latin1'>").when(k == 3, "<meta charset=utf-16>").otherwise("")
+    whole = F.concat(meta, text)
+    body = F.when(k < 2, F.encode(whole, "ISO-8859-1")).when(k == 4, F.encode(F.concat(F.lit("\ufeff"), whole), "UTF-16LE")).when(k == 5, F.encode(F.concat(F.lit("\ufeff"), whole), "UTF-8")).otherwise(F.encode(whole, "UTF-8"))
+    kind = F.when(headed, "text/html;charset=windows-1252").otherwise("Text/HTML")
+    got = _pages(spark, sf_dir).select("page_id", kind.alias("content_type"), body.alias("body"), F.length(meta).alias("skip"))
+    return sources.dispatch(got)["html"].select("page_id", F.md5(F.expr("substring(html, skip + 1)").cast("binary")).alias("text"))
+
+
+def page_files(spark, sf_dir):
+    """Pages written as gzip files and read back whole: bytes of all of them."""
+    path = f"{sinks.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    pages = _pages(spark, sf_dir).select(F.regexp_replace("html", "[\r\n]", " ").alias("value"))
+    pages.write.option("compression", "gzip").text(path)
+    return sources.read_files(spark, path, "*.gz").agg(F.sum(F.octet_length("content")).alias("bytes"), F.count_if(F.col("content").isNull()).alias("damaged"))
+
+
+def stored_records(spark, sf_dir):
+    """Titles stored under two sources and as JSON lines in one pass, read back by source."""
+    path = f"{sinks.shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    of = nodes.titles(_parsed(spark, sf_dir))
+    even, odd = of.where("page_id % 2 = 0"), of.where("page_id % 2 = 1")
+    sinks.store(even, f"{path}/store", "even")
+    sinks.tee(odd, lambda df: sinks.store(df, f"{path}/store", "odd"), lambda df: sinks.write_json_lines(df, f"{path}/lines"))
+    lines = spark.read.json(f"{path}/lines", schema="page_id long, title string").withColumn("source", F.lit("lines"))
+    return sinks.stored(spark, f"{path}/store", "even").unionByName(sinks.stored(spark, f"{path}/store", "odd")).unionByName(lines).select("page_id", "title", "source")
+
+
+def leaf_texts(spark, sf_dir):
+    """The leaf nodes of each page's list, by their paths."""
+    n = F.col("page_id")
+    html = "<!doctype html><ul><li>a ", n, "<li>b<br>", F.when(n % 3 == 0, "<!--c-->").when(n % 3 == 1, "d<i></i>").otherwise(""), "</ul>"
+    return nodes.leaf_nodes(_parsed_of(spark, sf_dir, *html), verbose=True).where("path like '%.ul%'").select("page_id", "idx", "path", "text", "shown")
+
+
 def responses(spark, sf_dir):
     """Stored responses by status and media type, their bytes decoded by the charset that they name."""
     n, html = F.col("page_id"), F.col("html")
@@ -291,7 +358,7 @@ QUERIES = {
     for f in (
         page_titles, page_links, links_resolved, link_first_match, tag_counts, element_counts, comment_nodes, attr_filter, leaf_counts, node_paths,
         paragraph_texts, articles_json, nav_links_by_ad, page_meta, error_counts, listing_template, movie_template, form_requests, form_controls, followed_links,
-        next_pages, paged_listing, responses, byte_counts, recent_pages, json_texts, escaped_pairs, element_predicates, url_query_pairs, url_parts,
+        next_pages, paged_listing, link_holders, own_charsets, page_files, stored_records, leaf_texts, form_texts, responses, byte_counts, recent_pages, json_texts, escaped_pairs, element_predicates, url_query_pairs, url_parts,
         url_encode_text, visit_urls, title_search, title_suffix_search, stored_index_search, crawl_reachability,
     )
 }
@@ -350,16 +417,34 @@ ORACLE_SQL = {
       FROM (SELECT page_id, i, CASE i WHEN 1 THEN 'T' ELSE 'plain ' || page_id END AS t FROM pages, (VALUES (1), (2)) v(i))""",
     "movie_template": f"""SELECT page_id, 'Film ' || page_id AS title, CAST(page_id % 50 + 1970 AS VARCHAR) AS date, '/b/' || page_id || '.png' AS img, '{MOVIE_SOURCE}' AS source,
       CASE WHEN page_id % 2 = 0 THEN 'DVD;' ELSE '' END || 'streaming;streaming' AS offers FROM pages""",
-    "form_requests": f"""SELECT page_id, 4 AS form_id, 'GET' AS method, regexp_extract(url, '^[^/]*//[^/]*') || '/go?a=p+q&c=on&u=' || {_ENCODED.format("url")} AS url,
-      NULL::VARCHAR AS body, NULL::VARCHAR AS error, NULL::VARCHAR AS stored FROM pages
-      UNION ALL SELECT page_id, 17, 'POST', url, 'n=' || page_id || '&t=a%26b', NULL, CAST(min(page_id) OVER (PARTITION BY url) AS VARCHAR) FROM pages
-      UNION ALL SELECT page_id, 21, NULL, NULL, NULL, 'method isn''t supported', NULL FROM pages""",
-    "form_controls": "SELECT page_id, 'F' AS form, 'Q,r,q' AS names, CAST(page_id AS VARCHAR) AS q FROM pages",
+    "form_requests": f"""SELECT page_id, 4 AS form_id, 'GET' AS method, regexp_extract(url, '^[^/]*//[^/]*') || '/go?' || CASE WHEN page_id % 4 = 3 THEN 'z=x+y' ELSE 'a=p+q' END
+        || CASE WHEN page_id % 3 = 0 THEN '&c=on' ELSE '' END || '&u=' || {_ENCODED.format("url")} AS url, NULL::VARCHAR AS body, NULL::VARCHAR AS error, NULL::VARCHAR AS stored FROM pages
+      UNION ALL SELECT page_id, 17, 'POST', url, 'n=' || page_id || '&t=a%26b', NULL, CAST(low AS VARCHAR) FROM (SELECT *, min(page_id) OVER (PARTITION BY url) AS low FROM pages) WHERE page_id % 5 <> 4
+      UNION ALL SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN 21 ELSE 17 END, NULL, NULL, NULL, 'method isn''t supported', NULL FROM pages""",
+    "form_texts": """SELECT page_id, 't=v' || CASE WHEN page_id % 2 = 0 THEN chr(10) || 'c=' ELSE chr(10) || 'c=' END AS as_attributes,
+      't=text ' || page_id || CASE WHEN page_id % 2 = 0 THEN '' ELSE chr(10) || 'c=' END AS as_texts FROM pages""",
+    "form_controls": """SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'Of' ELSE 'F' END AS form, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE 'Q' END || ',r' || CASE WHEN page_id % 2 = 0 THEN ',q' ELSE '' END AS names,
+      CASE WHEN page_id % 3 <> 0 THEN CAST(page_id AS VARCHAR) END AS q FROM pages WHERE page_id % 4 <> 1""",
     "followed_links": """SELECT a.page_id, coalesce(b.url, regexp_extract(a.url, '^[^/]*//[^/]*') || '/none') AS target,
       CAST((SELECT min(page_id) FROM pages p WHERE p.url = b.url) AS VARCHAR) AS stored, false AS is_iframe FROM pages a LEFT JOIN pages b ON a.page_id = b.page_id + 10""",
-    "next_pages": """SELECT page_id, page_id * 10 + 20 AS row, '/Search?row=' || (page_id * 10 + 20) || '&x=' || page_id || '&movieid=m+' || page_id AS path,
+    "next_pages": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN page_id * 10 + 9 WHEN page_id % 3 <> 0 THEN page_id * 10 + 20 END AS row,
+      CASE WHEN page_id % 5 = 0 THEN '/search?row=' || (page_id * 10 + 9) WHEN page_id % 3 <> 0 THEN '/Search?row=' || (page_id * 10 + 20) || '&x=' || page_id || '&movieid=m+' || page_id END AS path,
       'm ' || page_id || '|7' AS ids FROM pages""",
-    "paged_listing": "SELECT page_id, CAST(page_id // 4 AS INT) AS depth, 'title ' || page_id AS title FROM pages WHERE page_id % 4 = 0 AND page_id <= 40",
+    "paged_listing": """WITH RECURSIVE p AS (SELECT page_id, CASE WHEN page_id % 10 = 9 THEN page_id - 1 ELSE page_id END AS address,
+        CASE WHEN page_id % 10 = 8 THEN page_id + 2 ELSE page_id + 1 END AS target FROM pages),
+      known AS (SELECT address, min(page_id) AS page_id FROM p GROUP BY address),
+      way(page_id, depth) AS (SELECT page_id, 0 FROM known WHERE address = 0
+        UNION ALL SELECT k.page_id, w.depth + 1 FROM way w JOIN p ON p.page_id = w.page_id JOIN known k ON k.address = p.target)
+      SELECT page_id, depth, 'title ' || page_id AS title FROM way""",
+    "link_holders": f"""SELECT name, within, sum(n)::BIGINT AS n FROM (SELECT 'a' AS name, 'li' AS within, {_COUNT.format('a')} AS n FROM pages UNION ALL SELECT 'li', 'ul', {_COUNT.format('li')} FROM pages
+      UNION ALL SELECT 'ul', 'nav', {_COUNT.format('ul')} FROM pages UNION ALL SELECT 'h1', 'article', {_COUNT.format('h1')} FROM pages) GROUP BY ALL""",
+    "own_charsets": "SELECT page_id, md5(regexp_replace(html, '[^\\x00-\\xFF]', '?', 'g')) AS text FROM pages",
+    "page_files": "SELECT CAST(sum(strlen(regexp_replace(html, '[\\r\\n]', ' ', 'g')) + 1) AS BIGINT) AS bytes, 0::BIGINT AS damaged FROM pages",
+    "stored_records": f"""SELECT page_id, {_TITLE} AS title, s AS source FROM pages, (VALUES ('even'), ('odd'), ('lines')) v(s) WHERE page_id % 2 = CASE s WHEN 'even' THEN 0 ELSE 1 END""",
+    "leaf_texts": """SELECT page_id, CAST(i + 2 AS INT) AS idx, '/1.html/1.body/0.ul' || path AS path, text, shown FROM (SELECT page_id, unnest(range(len(l))) AS i, unnest(l, recursive := true) FROM (SELECT page_id,
+      list_concat([{'path': '/0.li/0.#text', 'text': 'a ' || page_id, 'shown': 'a ' || page_id}, {'path': '/1.li/0.#text', 'text': 'b', 'shown': 'b'}, {'path': '/1.li/1.br', 'text': NULL, 'shown': '<br/>'}],
+      CASE page_id % 3 WHEN 0 THEN [{'path': '/1.li/2.#comment', 'text': 'c', 'shown': 'c'}]
+        WHEN 1 THEN [{'path': '/1.li/2.#text', 'text': 'd', 'shown': 'd'}, {'path': '/1.li/3.i', 'text': NULL, 'shown': '<i/>'}] ELSE [] END) AS l FROM pages))""",
     "responses": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'text' ELSE 'html' END AS kind, md5(html) AS text FROM pages WHERE page_id % 7 <> 0 AND page_id % 4 <> 3",
     "byte_counts": "SELECT regexp_extract(url, '^([^:]*):', 1) AS scheme, sum(strlen(html))::BIGINT AS bytes, count(*) AS pages FROM pages GROUP BY 1",
     "recent_pages": "SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 10",

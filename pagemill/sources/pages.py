@@ -30,6 +30,8 @@ def _inflate(x: bytes | None) -> bytes | None:
         while x[:2] == b"\x1f\x8b":  # members follow each other
             d = zlib.decompressobj(31)
             out += d.decompress(x) + d.flush()
+            if not d.eof:  # cut off
+                return None
             x = d.unused_data
     except zlib.error:
         return None
@@ -66,10 +68,41 @@ def charset_of(content_type: Column, otherwise: str = "utf-8") -> Column:
     return F.when(found != "", found).otherwise(otherwise)
 
 
+#: A tag with its attributes; the bytes that are looked through for one that names the charset.
+_TAG, PRESCAN = r"""<[a-zA-Z/](?:"[^"]*"|'[^']*'|[^'">])*>""", 1024
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, empty if it has none."""
+    pattern = rf"(?i)^(?:\s*[^\s=>/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?[\s/]+)*?{name}\s*=\s*{_VALUE}"
+    rest = F.regexp_replace(tag, r"(?i)^<meta[\s/]*", "")
+    return F.concat(*[F.regexp_extract(rest, pattern, i) for i in (1, 2, 3)])
+
+
+def prescanned(body: Column) -> Column:
+    """The charset that an HTML document names itself: by its byte order mark, or by the first meta element within its first 1,024 bytes that
+    names one; null if neither does. UTF-16 in a meta element can't be, so it is UTF-8; comments don't count."""
+    mark = F.hex(F.substring(body, 1, 3))
+    head = F.regexp_replace(F.decode(F.substring(body, 1, PRESCAN), "ISO-8859-1"), r"(?s)<!--.*?(-->|$)", "")
+    metas = F.filter(F.regexp_extract_all(head, F.lit(_TAG), F.lit(0)), lambda t: t.rlike(r"(?i)^<meta[\s/]"))
+    pragma = lambda t: F.when(F.lower(_attribute(t, "http-equiv")) == "content-type", charset_of(_attribute(t, "content"), ""))
+    named = F.transform(metas, lambda t: F.lower(F.trim(F.coalesce(F.nullif(_attribute(t, "charset"), F.lit("")), pragma(t), F.lit("")))))
+    first = F.try_element_at(F.filter(named, lambda c: c != ""), F.lit(1))
+    said = F.when(first.startswith("utf-16"), "utf-8").when(first == "x-user-defined", "windows-1252").otherwise(first)
+    return F.when(mark == "EFBBBF", "utf-8").when(mark.startswith("FEFF"), "utf-16be").when(mark.startswith("FFFE"), "utf-16le").otherwise(said)
+
+
 def dispatch(responses: DataFrame, content_type: str = "content_type", body: str = "body") -> dict[str, DataFrame]:
-    """html and text tables of responses by media type, case-insensitive, bodies decoded; others are dropped."""
-    kind = media_type(F.col(content_type))
-    read = responses.withColumn("text", decode_legacy(F.col(body), charset_of(F.col(content_type)))).where("text is not null")
+    """html and text tables of responses by media type, case-insensitive, bodies decoded; others are dropped.
+
+    The charset is that of the byte order mark, which goes from the text, else of the header, else, in HTML, of the document itself, else UTF-8; null bodies and
+    unknown charsets are left out."""
+    kind, said = media_type(F.col(content_type)), charset_of(F.col(content_type), "")
+    own = prescanned(F.col(body))
+    marked = F.hex(F.substring(body, 1, 3)).rlike("^(EFBBBF|FEFF|FFFE)")
+    charset = F.when(marked, own).when(said != "", said).when(kind == "text/html", F.coalesce(own, F.lit("utf-8"))).otherwise("utf-8")
+    read = responses.withColumn("text", F.regexp_replace(decode_legacy(F.col(body), charset), "^\ufeff", "")).where("text is not null")
     return {"html": read.where(kind == "text/html").withColumnRenamed("text", "html"), "text": read.where(kind == "text/plain")}
 
 

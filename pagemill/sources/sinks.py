@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.json_text import write_json
 
 
+def shared_folder(spark: SparkSession, name: str = "_stages") -> str:
+    """The folder in spark.checkpoint.dir that the driver and all executors share. Where it is unset, as in tests, one of the warehouse serves a
+    local session; a cluster would write to each machine's own disk, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/{name}"
+
+
 def store(records: DataFrame, path: str, source: str) -> None:
     """Appends records under their source's partition."""
     records.withColumn("source", F.lit(source)).write.mode("append").partitionBy("source").parquet(path)

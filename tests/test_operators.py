@@ -237,7 +237,7 @@ def test_deep_pages_and_urls_stored_twice(spark):
 def test_what_pages_are(spark):
     rows = [(1, "u", "<!doctype html><b>x<p>y</b></i>"), (2, None, '<!DOCTYPE foo PUBLIC "p" "s">'), (3, "v", None)]
     parsed = nodes.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    assert sorted(tuple(r) for r in nodes.parse_errors(parsed).collect()) == [(1, 0, "misnested", "b"), (1, 1, "stray end", "i"), (2, 0, "odd doctype", None), (3, 0, "no doctype", None)]
+    assert sorted(tuple(r)[:4] for r in nodes.parse_errors(parsed).collect()) == [(1, 0, "misnested", "b"), (1, 1, "stray end", "i"), (2, 0, "odd doctype", None), (3, 0, "no doctype", None)]
     assert [tuple(r) for r in nodes.documents_meta(parsed).orderBy("page_id").collect()] == [
         (1, "u", "html", "", "", "no-quirks"), (2, None, "foo", "p", "s", "quirks"), (3, "v", None, None, None, "quirks"),
     ]
