@@ -11,11 +11,17 @@ from .nodes import bound, by_url, deep, elements, first_of, paged, with_base
 
 
 def page_forms(table: DataFrame, text: bool = False) -> DataFrame:
-    """(page_id, forms), and base if the pages' URLs are known: every form of a page in tree order, with its controls within.
+    """(page_id, forms), and base if the pages' URLs are known: every form of a page in tree order, with its controls within."""
+    page = paged(table)
+    base = [F.col("url").alias("base")] * ("url" in page.columns)
+    return with_forms(page, text).select("page_id", *base, "forms")
+
+
+def with_forms(page: DataFrame, text: bool = False) -> DataFrame:
+    """Adds forms to parsed pages: every form of a page in tree order, with its controls within.
 
     A form is (idx, form_id, action, method, enctype, id, name, tag, controls); a control, a submittable element with that form as its owner, is
     (pre, name, control, type, attrs, in_datalist), and its deep text if asked for. All of it is one expression over the page's nodes."""
-    page = paged(table)
 
     def control(n: Column, lists: Column) -> Column:
         name, kind = (P.get_attribute(k, n["attrs"]) for k in ("name", "type"))
@@ -31,8 +37,7 @@ def page_forms(table: DataFrame, text: bool = False) -> DataFrame:
     owned = F.filter("nodes", lambda n: P.is_submittable(n) & n["form_owner_id"].isNotNull())
     fields = bound(elements("datalist"), lambda lists: F.transform(owned, lambda n: F.struct(n["form_owner_id"].alias("owner"), control(n, lists).alias("control"))))
     every = bound(fields, lambda found: F.transform(elements("form"), lambda f, i: form(f, i, found)))
-    base = [F.col("url").alias("base")] * ("url" in page.columns)
-    return page.select("page_id", *base, every.alias("forms"))
+    return page.withColumn("forms", every)
 
 
 def controls(table: DataFrame) -> DataFrame:
@@ -127,28 +132,33 @@ def requests(forms: DataFrame, sets: DataFrame, pages: DataFrame | None = None)
     return _requests(with_base(forms, pages).select("page_id", "form_id", "action", "method", "enctype", "base").join(sets, ["page_id", "form_id"], "left"))
 
 
-def _requests(df: DataFrame) -> DataFrame:
+def request(action: Column, method: Column, enctype: Column, base: Column, data: Column) -> Column:
+    """struct<method, url, content_type, body, error>: what a form sends, as requests() says."""
     empty = F.expr("cast(array() as array<struct<name:string,value:string,type:string>>)")
-    df = df.withColumns(
-        {
-            "data": F.coalesce("data", empty),
-            "verb": F.upper(F.when(F.coalesce("method", F.lit("")) == "", "get").otherwise(F.col("method"))),
-            "url": F.when(F.coalesce("action", F.lit("")) == "", F.col("base")).otherwise(resolve("base", "action")),
-            "kind": F.when(F.coalesce("enctype", F.lit("")) == "", "application/x-www-form-urlencoded").otherwise(F.lower("enctype")),
-        }
-    ).withColumn("payload", url_encode_pairs(F.col("data")))
-    post, get = F.col("verb") == "POST", F.col("verb") == "GET"
-    error = (
-        F.when(F.col("url").isNull(), "action can't be resolved").when(~is_http(F.col("url")), "scheme isn't http")
-        .when(~(post | get), "method isn't supported").when(post & (F.col("kind") != "application/x-www-form-urlencoded"), "enctype isn't supported")
-    )
-    ok = error.isNull()
-    bare = F.regexp_replace("url", r"[?#].*$", "")
-    return df.select(
-        "page_id", "form_id", F.when(ok, F.col("verb")).alias("method"),
-        F.when(ok & get, F.concat(bare, F.lit("?"), F.col("payload"))).when(ok, F.col("url")).alias("url"),
-        F.when(ok & post, F.col("kind")).alias("content_type"), F.when(ok & post, F.col("payload")).alias("body"), error.alias("error"),
-    )
+    verb = F.upper(F.when(F.coalesce(method, F.lit("")) == "", "get").otherwise(method))
+    url = F.when(F.coalesce(action, F.lit("")) == "", base).otherwise(resolve(base, action))
+    kind = F.when(F.coalesce(enctype, F.lit("")) == "", "application/x-www-form-urlencoded").otherwise(F.lower(enctype))
+    given = F.struct(verb.alias("verb"), url.alias("url"), kind.alias("kind"), url_encode_pairs(F.coalesce(data, empty)).alias("payload"))
+
+    def said(x: Column) -> Column:
+        post, get = x["verb"] == "POST", x["verb"] == "GET"
+        error = (
+            F.when(x["url"].isNull(), "action can't be resolved").when(~is_http(x["url"]), "scheme isn't http")
+            .when(~(post | get), "method isn't supported").when(post & (x["kind"] != "application/x-www-form-urlencoded"), "enctype isn't supported")
+        )
+        ok = error.isNull()
+        query = F.concat(F.regexp_replace(x["url"], r"[?#].*$", ""), F.lit("?"), x["payload"])
+        return F.struct(
+            F.when(ok, x["verb"]).alias("method"), F.when(ok & get, query).when(ok, x["url"]).alias("url"),
+            F.when(ok & post, x["kind"]).alias("content_type"), F.when(ok & post, x["payload"]).alias("body"), error.alias("error"),
+        )
+
+    return bound(given, said)
+
+
+def _requests(df: DataFrame) -> DataFrame:
+    sent = request(F.col("action"), F.col("method"), F.col("enctype"), F.col("base"), F.col("data"))
+    return df.withColumn("_sent", sent).select("page_id", "form_id", "_sent.*")
 
 
 def submit(sent: DataFrame, pages: DataFrame) -> DataFrame:

@@ -116,19 +116,24 @@ def _is_link(n: Column) -> Column:
     return (P.has_element_name("a", node=n) & P.has_attribute("href", n["attrs"])) | P.has_element_name("iframe", node=n)
 
 
-def links(table: DataFrame, text: bool = True) -> DataFrame:
-    """(page_id, idx, pre, text, url, is_iframe): a[href] and iframes in document order; text is trimmed deep text, if asked for.
-
-    If the pages' own URLs are known, base is added."""
-    page = paged(table)
+def link_array(text: bool = True) -> Column:
+    """array<struct<pre, text, url, is_iframe>> of a parsed page's links, in document order."""
 
     def made(n: Column) -> Column:
         url = F.coalesce(P.get_attribute("href", n["attrs"]), P.get_attribute("src", n["attrs"]))
         said = [F.trim(deep(n)).alias("text")] * text
         return F.struct(n["pre"].alias("pre"), *said, url.alias("url"), (n["name"] == "iframe").alias("is_iframe"))
 
+    return F.transform(F.filter("nodes", _is_link), made)
+
+
+def links(table: DataFrame, text: bool = True) -> DataFrame:
+    """(page_id, idx, pre, text, url, is_iframe): a[href] and iframes in document order; text is trimmed deep text, if asked for.
+
+    If the pages' own URLs are known, base is added."""
+    page = paged(table)
     base = [F.col("url").alias("base")] * ("url" in page.columns)
-    found = page.select("page_id", *base, F.posexplode(F.transform(F.filter("nodes", _is_link), made)).alias("idx", "l"))
+    found = page.select("page_id", *base, F.posexplode(link_array(text)).alias("idx", "l"))
     return found.select("page_id", "idx", "l.*", *(["base"] if base else []))
 
 

@@ -12,8 +12,10 @@ from .functions.json_text import canonical_json
 from .functions.urls import append_segment, decode_value, encode_value, query_pairs, strict_split, url_part
 from .operators import crawl, forms, nodes, search, structure
 from .operators.nodes import parse_html, parse_pages
+from .operators.suffix_array import SuffixArray
 from .plans.extract import deep_text, each, el, extract, obj, scope
-from .plans.flows import LISTING_SOURCE, MOVIE_SOURCE, listing_records, movie_records
+from .plans.flows import LISTING_SOURCE, MOVIE, MOVIE_SOURCE, listing_records, movie_records
+from .plans.steps import Paged, Submit, Visit, flow
 from .sources import pages as sources
 from .sources import sinks
 from .sources.pages import read_pages
@@ -257,6 +259,30 @@ def leaf_texts(spark, sf_dir):
     return nodes.leaf_nodes(_parsed_of(spark, sf_dir, *html), verbose=True).where("path like '%.ul%'").select("page_id", "idx", "path", "text", "shown")
 
 
+def movie_flow(spark, sf_dir):
+    """The movie flow over stored pages, from the home page of every eight: search, page through the results, visit each movie, read its record. Some
+    home pages have no form or one that can't be sent, some searches lead nowhere, some movies aren't stored."""
+    g, i = F.floor(F.col("page_id") / 8), F.col("page_id") % 8
+    shop = F.concat(F.lit("http://m"), g)
+    form = F.when(g % 5 == 1, "<p>no form").otherwise(F.concat(F.lit("<form action='/search' method="), F.when(g % 5 == 2, "put").otherwise("get"), F.lit("><input name=v1 value=old></form>")))
+    more = F.concat(F.lit('<a href="/search?row=10">other</a><a href="/Search?row='), i * 10, F.lit('&v1=x">next</a><a href="/search/x?row=99">no</a>'))
+    ids = F.concat(F.lit('<a href="/movie?movieid='), g, F.lit("-"), i + 3, F.lit('">m</a>'))
+    film = F.concat(F.lit('<div id="mdp-overview"><h2 class="title">Film '), g, F.lit("-"), i, F.lit("</h2></div>"))
+    html = F.when(i == 0, form).when(i.isin(1, 2), F.concat(ids, more)).otherwise(film)
+    url = F.when(i == 0, shop).when((i == 1) & (g % 3 != 2), F.concat(shop, F.lit("/search?v1=a+b"))).when((i == 2) & (g % 4 != 3), F.concat(shop, F.lit("/Search?row=10&v1=x"))).when(i.isin(4, 5) & (g % 7 != 3), F.concat(F.lit("http://films/"), g, F.lit("-"), i)).otherwise(F.concat(shop, F.lit("/"), i))
+    pages = _pages(spark, sf_dir).withColumns({"html": html, "url": url})
+    steps = [Submit("search", {"V1": "a b"}), Paged("search"), Visit("movieid", "http://films/")]
+    found = flow(pages, pages.where("page_id % 8 = 0").select("url"), steps, MOVIE)
+    return found.select("start", "step", "page_id", "error", F.col("record.title").alias("title"))
+
+
+def title_array(spark, sf_dir):
+    """A stored suffix array of titles: the titles that hold a term, and the length of the longest passage that is repeated."""
+    index = SuffixArray.write(nodes.titles(_parsed(spark, sf_dir)), "page_id")
+    held = index.search("THAN").select("id").distinct().select(F.col("id").alias("page_id"), F.lit("than").alias("what"), F.lit(None).cast("int").alias("length"))
+    return held.unionByName(index.longest_repeat().select(F.lit(None).cast("long").alias("page_id"), F.lit("repeat").alias("what"), "length"))
+
+
 def responses(spark, sf_dir):
     """Stored responses by status and media type, their bytes decoded by the charset that they name."""
     n, html = F.col("page_id"), F.col("html")
@@ -358,7 +384,7 @@ QUERIES = {
     for f in (
         page_titles, page_links, links_resolved, link_first_match, tag_counts, element_counts, comment_nodes, attr_filter, leaf_counts, node_paths,
         paragraph_texts, articles_json, nav_links_by_ad, page_meta, error_counts, listing_template, movie_template, form_requests, form_controls, followed_links,
-        next_pages, paged_listing, link_holders, own_charsets, page_files, stored_records, leaf_texts, form_texts, responses, byte_counts, recent_pages, json_texts, escaped_pairs, element_predicates, url_query_pairs, url_parts,
+        next_pages, paged_listing, link_holders, own_charsets, page_files, stored_records, leaf_texts, form_texts, movie_flow, title_array, responses, byte_counts, recent_pages, json_texts, escaped_pairs, element_predicates, url_query_pairs, url_parts,
         url_encode_text, visit_urls, title_search, title_suffix_search, stored_index_search, crawl_reachability,
     )
 }
@@ -445,6 +471,16 @@ ORACLE_SQL = {
       list_concat([{'path': '/0.li/0.#text', 'text': 'a ' || page_id, 'shown': 'a ' || page_id}, {'path': '/1.li/0.#text', 'text': 'b', 'shown': 'b'}, {'path': '/1.li/1.br', 'text': NULL, 'shown': '<br/>'}],
       CASE page_id % 3 WHEN 0 THEN [{'path': '/1.li/2.#comment', 'text': 'c', 'shown': 'c'}]
         WHEN 1 THEN [{'path': '/1.li/2.#text', 'text': 'd', 'shown': 'd'}, {'path': '/1.li/3.i', 'text': NULL, 'shown': '<i/>'}] ELSE [] END) AS l FROM pages))""",
+    "movie_flow": """WITH g AS (SELECT DISTINCT page_id // 8 AS g FROM pages), n AS (SELECT g, 'http://m' || g AS start, g * 8 AS home FROM g),
+      f AS (SELECT *, CASE WHEN g % 5 = 1 THEN 'no such form' WHEN g % 5 = 2 THEN 'method isn''t supported' WHEN g % 3 = 2 OR NOT EXISTS (FROM pages WHERE page_id = home + 1) THEN 'page isn''t stored' END AS error FROM n)
+      SELECT start, 1 AS step, home AS page_id, error, NULL::VARCHAR AS title FROM f WHERE error IS NOT NULL
+      UNION ALL SELECT start, 3, CASE WHEN ok THEN home + i ELSE home + i - 3 END, CASE WHEN NOT ok THEN 'page isn''t stored' END, CASE WHEN ok THEN 'Film ' || g || '-' || i END
+      FROM (SELECT *, g % 7 <> 3 AND EXISTS (FROM pages WHERE page_id = home + i) AS ok FROM f, (VALUES (4), (5)) v(i)
+        WHERE error IS NULL AND (i = 4 OR g % 4 <> 3 AND EXISTS (FROM pages WHERE page_id = home + 2)))""",
+    "title_array": f"""WITH t AS (SELECT page_id, lower({_TITLE}) AS t FROM pages), s AS (SELECT substr(t, i) AS s, page_id, i FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM t)),
+      n AS (SELECT s, lag(s) OVER (ORDER BY encode(s), page_id, i) AS b FROM s)
+      SELECT page_id, 'than' AS what, NULL::INT AS length FROM t WHERE contains(t, 'than')
+      UNION ALL SELECT NULL, 'repeat', CAST(max(list_max(list_filter(range(0, least(len(s), len(b)) + 1), lambda k: left(s, k) = left(b, k)))) AS INT) FROM n""",
     "responses": "SELECT page_id, CASE WHEN page_id % 4 = 2 THEN 'text' ELSE 'html' END AS kind, md5(html) AS text FROM pages WHERE page_id % 7 <> 0 AND page_id % 4 <> 3",
     "byte_counts": "SELECT regexp_extract(url, '^([^:]*):', 1) AS scheme, sum(strlen(html))::BIGINT AS bytes, count(*) AS pages FROM pages GROUP BY 1",
     "recent_pages": "SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 10",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,13 @@ def shared_folder(spark: SparkSession, name: str = "_stages") -> str:
     return f"{warehouse}/{name}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: written to the shared folder and read back, so that no later action computes it again and no lost executor costs it."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def store(records: DataFrame, path: str, source: str) -> None:
     """Appends records under their source's partition."""
     records.withColumn("source", F.lit(source)).write.mode("append").partitionBy("source").parquet(path)
