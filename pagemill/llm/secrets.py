@@ -24,6 +24,8 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),  # a run of fewer never grows into one of more
 )
 WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "api", "key", "auth", "bearer", "credential", "private")
+#: Whole tokens that stand before passwords, and before what looks like a key but is public.
+TOLD = frozenset("pass pwd pw login ssh-rsa ssh-ed25519 ssh-dss base64 integrity watch checksum digest http https".split())
 #: A run of what keys are made of, a run of other letters, or a single mark.
 TOKEN = re.compile(r"[A-Za-z0-9+/_\-]+|[^\x00-\x7f]+|[^\sA-Za-z0-9+/_\-]")
 #: Tags; hashed feature space; labelled documents that a model is fitted on at most, with and without a base match each.
@@ -50,6 +52,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 SHAPES = str.maketrans({**{c: "d" for c in "0123456789"}, **{chr(97 + i): "a" for i in range(26)}, **{chr(65 + i): "A" for i in range(26)}, "/": "-", "+": "-", "_": "-"})
 HEX, PREFIX = "0123456789abcdefABCDEF", re.compile(r"[A-Za-z]{2,6}[_-](?:[a-z]{2,6}[_-])?[A-Za-z0-9]{12}")
+DIGEST = re.compile(r"(?i)sha(?:1|256|384|512)[-_]").match
 NO_VOWELS = {ord(c): None for c in "aeiouAEIOU"}
 
 
@@ -84,7 +87,7 @@ def shape(token: str) -> list[str]:
     turny = "0" if not turns else "1" if turns < 3 else "2" if 4 * turns < n else "3"
     hexa = bool(letters and digits and not token.strip(HEX) and "-" not in kinds)
     out = [f"c{classes}", f"n{size}", f"m{mixed}{size}", f"t{turny}{size}", f"h{int(hexa)}{size}{mixed}", f"c{classes}{size}", f"v{vowels}{size}", f"u{many}{turny}{size}"]
-    return out + ["prefix"] * bool(PREFIX.match(token))
+    return out + ["prefix"] * bool(PREFIX.match(token)) + ["digest"] * bool(n > 20 and DIGEST(token)) + ["blob"] * token.startswith("AAAA")
 
 
 def _hash(s: str) -> int:
@@ -108,12 +111,12 @@ BIG = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_\-]{16,}")
 
 
 def said(token: str) -> str:
-    """The first of the words that a secret often follows."""
+    """The first of the words that a secret often follows, or the token itself where it tells as a whole."""
     low = token.lower()
-    return next((w for w in WORDS if w in low), "")
+    return next((w for w in WORDS if w in low), low if low in TOLD else "")
 
 
-KEYED = re.compile("|".join(WORDS), re.I).search
+KEYED = re.compile("|".join(WORDS) + r"|(?<![a-z0-9+/_\-])(?:" + "|".join(sorted(TOLD)) + r")(?![a-z0-9+/_\-])", re.I).search
 
 
 def file_feature(text: str) -> int:
@@ -249,10 +252,11 @@ B62 = LETTERS + LETTERS.upper() + "0123456789"
 
 
 def made_up(rng: random.Random, words: list[str]) -> tuple[list[tuple[str, bool]], ...]:
-    """Two short passages of (text, whether secret): a key of a common form where the base patterns miss it, and something that
-    looks a little like one but isn't, from words of the document."""
+    """Three short passages of (text, whether secret): a key of a common form where the base patterns miss it, something that
+    looks a little like one but isn't, from words of the document, and a key, number or digest that is public where it stands."""
     of = lambda letters, lo, hi=None: "".join(rng.choices(letters, k=rng.randint(lo, hi or lo)))
     said = rng.choice(["client_secret", "secret", "the token", "auth", "access_token", "password", "private key", "credentials", "api key", "bearer"])
+    pick = lambda: rng.choice(words)
     link = rng.choice([" ", " is ", " to be ", ": ", " = ", ' "', " -> ", " of ", "\n"])
     forms = [
         [(f"{said}{link}", False), (of(B62, 10, 44), True)],
@@ -263,21 +267,32 @@ def made_up(rng: random.Random, words: list[str]) -> tuple[list[tuple[str, bool]
         [(rng.choice(["", f"{said}{link}"]), False), (of("0123456789ABCDEF", rng.choice([32, 40, 64])), True)],
         [(rng.choice(["-----BEGIN PRIVATE KEY-----\n", "-----BEGIN RSA PRIVATE KEY-----\n"]), False), ("\n".join(of(B62 + "+/", 64) for _ in range(rng.randint(1, 4))), True), ("\n-----END", False)],
         [("", False), (of(B62, 32, 64), True)],
+        [(f"{pick()}://{pick()}:", False), (of(B62, 8, 20), True), (f"@{pick()}.{rng.choice(['example.com', 'internal', 'local'])}{rng.choice(['', ':5432'])}/{pick()}", False)],
+        [(f"{rng.choice(['', pick() + ' '])}{rng.choice(['pass', 'pwd', 'pw', 'login'])}{rng.choice([': ', '=', ' = ', ' is '])}", False), (of(B62, 8, 16), True)],
     ]
-    pick = lambda: rng.choice(words)
     plain = [
         f"{of('0123456789abcdef', 8)}-{of('0123456789abcdef', 4)}-4{of('0123456789abcdef', 3)}-a{of('0123456789abcdef', 3)}-{of('0123456789abcdef', 12)}",
         "_".join(pick() for _ in range(rng.randint(2, 5))), "-".join(pick() for _ in range(rng.randint(2, 5))), "/".join(pick() for _ in range(rng.randint(2, 5))) + of("0123456789", 0, 4),
-        "".join(pick().capitalize() for _ in range(rng.randint(2, 5))) + of("0123456789", 0, 2), of("0123456789", 3, 20), "".join(pick() for _ in range(rng.randint(2, 4))),
-        f"20{of('0123456789', 2)}-0{of('123456789', 1)}-1{of('0123456789', 1)}T10:{of('012345', 1)}0:00", f"{pick()}{of('0123456789', 1, 4)}@{pick()}.example.com", ".".join(of("123456789", 1, 3) for _ in range(4)),
+        *(first + "".join(pick().capitalize() for _ in range(rng.randint(2, 5))) + of("0123456789", 0, 2) for first in ("", pick().lower())), of("0123456789", 3, 20), "".join(pick() for _ in range(rng.randint(2, 4))),
+        f"20{of('0123456789', 2)}-0{of('123456789', 1)}-1{of('0123456789', 1)}{rng.choice('T ')}{of('01', 1)}{of('0123456789', 1)}:{of('012345', 1)}{of('0123456789', 1)}:{of('012345', 1)}{of('0123456789', 1)}{rng.choice(['', 'Z', '+01:00', '.123Z'])}",
+        f"{rng.choice([pick(), 'localhost'])}:{of('0123456789', 2, 5)}", f"{pick()}: {pick()}{of('0123456789', 1, 3)}", f"{pick()}{of('0123456789', 1, 4)}@{pick()}.example.com", ".".join(of("123456789", 1, 3) for _ in range(4)),
         f"http://{pick()}.example.org/{pick()}/{of('0123456789', 1, 6)}?{pick()}={pick()}", pick().upper() * 2, f"/{pick()}/{pick()}{of('0123456789', 1)}.{of('0123456789', 2)}/{pick()}-{pick()}/{pick()}", f"v{of('0123456789', 1)}.{of('0123456789', 1, 2)}.{of('0123456789', 1)}{rng.choice(['', '-', '-' + pick() + '2'])}", f"the {said} of {pick()}.",
     ]
-    return rng.choice(forms), [(rng.choice(plain), False)]
+    marks = [rng.choice("!$%#&*?.:") * rng.randint(1, 3) for _ in range(4)]
+    loud = f"{pick().capitalize()}{marks[0]} {pick()}{marks[1]} {pick().upper()}{marks[2]}{rng.choice([' ', ''])}{pick()}{marks[3]}"
+    public = [
+        f"http{rng.choice(['', 's'])}://{rng.choice(['www.', ''])}{pick()}.com/{rng.choice(['watch', pick()])}?{rng.choice(['v', 'id', pick()])}={of(B62 + '_-', 8, 14)}&{rng.choice(['list', pick()])}={of(B62 + '_-', 12, 34)}",
+        f"https://{pick()}.com/{pick()}/{of(B62, 10, 22)}/{pick()}", f"{rng.choice(['ssh-rsa', 'ssh-ed25519'])} AAAA{of(B62 + '+/', 60, 200)}{rng.choice(['', '=='])} {pick()}@{pick()}",
+        f'{rng.choice(["integrity=", ""])}"sha{rng.choice([256, 384, 512])}-{of(B62 + "+/", 43, 86)}{rng.choice(["", "="])}"', f"data:image/{rng.choice(['png', 'gif', 'svg+xml'])};base64,{of(B62 + '+/', 40, 300)}{rng.choice(['', '=='])}",
+        f"{pick()}-{of('0123456789', 1, 3)}.{of('0123456789', 1)}.{of('0123456789', 1)}-{pick()}-{rng.choice(['x86_64', 'arm64', 'amd64'])}-{of('0123456789', 8)}-{of('0123456789abcdef', 7, 8)}.tar.gz", f"{pick()}.{of('0123456789abcdef', 8)}.min.js",
+        f"{pick()}-{pick()}-{of('0123456789abcdef', 8, 10)}-{of(LETTERS + '0123456789', 5)}",
+    ]
+    return rng.choice(forms), [(rng.choice([*plain, loud, loud]), False)], [(rng.choice(public), False)]
 
 
 def _examples(text: str, context: int = 12, spread: int = 3, odd: int = 5, most: int = 20, made: int = 2) -> tuple[list[list[list[int]]], list[list[int]]]:
     """Feature sequences and tags around ``most`` base matches, labelled by the base; around ``spread`` places and ``odd`` words
-    that aren't prose; and of made-up keys of other forms among words of the text, each with a counterpart that is none."""
+    that aren't prose; and of made-up keys of other forms among words of the text, each with two counterparts that are none."""
     file, tokens = file_feature(text), list(TOKEN.finditer(text))
     tags = np.zeros(len(tokens), int)
     starts = np.array([m.start() for m in tokens])
