@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.sinks import shared_folder
+
 #: Rows and bytes of an Arrow batch at most (but for one longer row): they bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
@@ -28,9 +30,8 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which all executors share; in the warehouse where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    path = f"{base.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share: spark.checkpoint.dir, or a local session's warehouse where it is unset."""
+    path = f"{shared_folder(spark)}/pagemill-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
@@ -96,19 +97,21 @@ def of_row(df: DataFrame, *cols: str) -> DataFrame:
 
 #: Rows of each range that its bounds are chosen by, about: a random sample that comes to the driver.
 SAMPLED = 100
+#: Rows of a range of ids, about, and ranges at most: the sample and the bounds stay below a hundred times as many.
+RANGE_ROWS, RANGES = 1 << 15, 1 << 14
 LAST = np.iinfo(np.int64).max
 
 
 def id_ranges(df: DataFrame, doc_id: str, order: str) -> tuple[int, Column]:
-    """(parts, code): ranges of (id, order) about equal in rows, as many as shuffle partitions at most, and a column that is twice the
+    """(parts, code): ranges of (id, order) about equal in rows, of RANGE_ROWS rows but at least as many as shuffle partitions, and a column that is twice the
     number of a row's range, plus 1 for the greatest of the range, which occurs. Null ids come first.
 
     Bounds are ids, or where one id (or none) fills several ranges, ids with an ``order``, a column of longs; all of
     them occur. They are chosen from a sample of SAMPLED rows a range: of ids alone, and of orders too only if an id is that hot. Rows
     equal in both stay together.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, top = df.agg(F.count("*"), F.max(doc_id)).first()
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, rows // RANGE_ROWS))
     share = min(1.0, SAMPLED * n / max(1, rows))
 
     def cuts(*by: str) -> list[tuple]:
