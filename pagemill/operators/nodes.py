@@ -40,9 +40,9 @@ def _parse(batches):
                 start, ends, out = i + 1, [0], []
 
 
-def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """(page_id, url, nodes) of each page, in one narrow stage; null html is an empty page. Without a column ``url`` there is none."""
-    head = [F.col(page_id).cast("long").alias("page_id")] + [F.col(url).cast("string").alias("url")] * (url in pages.columns)
+def parse_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
+    """(page_id, url, nodes) of each page, in one narrow stage; null html is an empty page. Without a column ``url`` there is none; other columns go but for ``keep``."""
+    head = [F.col(page_id).cast("long").alias("page_id")] + [F.col(url).cast("string").alias("url")] * (url in pages.columns) + [F.col(f"`{c}`") for c in keep or []]
     src = pages.select(*head, F.col(html).alias("html"))
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "html")
     return src.mapInArrow(_parse, f"{kept}, nodes array<struct<{', '.join(f'{n}:{t}' for n, t in (x.strip().split(' ', 1) for x in NODE.split(', ')))}>>")
