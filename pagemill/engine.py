@@ -9,7 +9,9 @@ from .operators import forms as form_ops
 from .operators import nodes as node_ops
 from .operators import search as search_ops
 from .operators.crawl import harvest, next_page, reachable, walk
+from .operators.suffix_array import SuffixArray
 from .plans.extract import extract
+from .plans.steps import flow
 from .sources import pages as page_source
 from .sources import sinks
 
@@ -60,6 +62,17 @@ class Engine:
         """The paging flow from the page of a URL, by its first link that holds the pattern."""
         return walk(self.pages, start, pattern, template)
 
+    def flow(self, starts: DataFrame, steps: list, template=None) -> DataFrame:
+        """Where a flow of steps leads from each of these URLs, with the records at its ends and the errors on the way."""
+        return flow(self.pages, starts, steps, template)
+
+    def errors(self) -> DataFrame:
+        return node_ops.parse_errors(self.parsed())
+
+    def index(self, title: str = "title") -> SuffixArray:
+        """A stored suffix array of the pages' titles."""
+        return SuffixArray.write(node_ops.titles(self.parsed()).select("page_id", F.col("title").alias(title)), "page_id", title)
+
     def search(self, records: DataFrame, term: str) -> DataFrame:
         return search_ops.search(records, term)
 

@@ -19,12 +19,14 @@ def search(records: DataFrame, term: str, column: str = "title") -> DataFrame:
     return records.where(F.contains(F.lower(column), F.lit(term.lower())))
 
 
-def as_json_array(records: DataFrame, order: str) -> DataFrame:
+def as_json_array(records: DataFrame, order: str, most: int = 10_000) -> DataFrame:
     """One row, json: the records as a JSON array, in the order of a column. All of them meet in one row, so this is for what a
-    search prints; sinks.write_json_lines() writes a result of any size."""
+    search prints, and more than ``most`` are an error; sinks.write_json_lines() writes a result of any size."""
+    records = records.limit(most + 1)
     rec = F.struct(F.col(order).alias("_o"), write_json(F.struct(*records.columns)).alias("j"))
     every = F.transform(F.array_sort(F.collect_list(rec)), lambda x: x.j)
-    return records.agg(F.concat(F.lit("["), F.array_join(every, ","), F.lit("]")).alias("json"))
+    fits = F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} records: write JSON lines"))).otherwise("[")
+    return records.agg(F.concat(fits, F.array_join(every, ","), F.lit("]")).alias("json"))
 
 
 def suffixes(records: DataFrame, id_column: str, column: str = "title", longest: int = LONGEST) -> DataFrame:

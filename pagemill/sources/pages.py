@@ -110,3 +110,18 @@ def by_status(responses: DataFrame, status: str = "status") -> tuple[DataFrame,
     """(accepted, rejected): status 200 and all else, null included."""
     ok = F.coalesce(F.col(status) == 200, F.lit(False))
     return responses.where(ok), responses.where(~ok)
+
+
+def store_responses(responses: DataFrame, path: str, status: str = "status", content_type: str = "content_type") -> None:
+    """Appends responses under partitions of status_is and kind (the media type), so that readers of some skip the files of the others. Null ones
+    have partitions of their own; columns of these names raise an error of Spark's."""
+    keyed = responses.withColumns({"status_is": F.col(status).cast("int"), "kind": media_type(F.col(content_type))})
+    keyed.repartition("status_is", "kind", F.pmod(F.monotonically_increasing_id(), F.lit(16))).write.mode("append").partitionBy("status_is", "kind").parquet(path)
+
+
+def read_responses(spark: SparkSession, path: str, kinds: tuple = ("text/html", "text/plain"), stream: bool = False, schema: str | None = None) -> DataFrame:
+    """Stored responses of status 200 and these media types: only the files of their partitions are read. As a stream, whose offsets
+    are the files that came, it needs the schema with the partitions' columns."""
+    reader = spark.readStream if stream else spark.read
+    found = (reader.schema(schema) if schema else reader).parquet(path)
+    return found.where((F.col("status_is") == 200) & F.col("kind").isin(*kinds)).drop("status_is", "kind")

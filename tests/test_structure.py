@@ -155,3 +155,35 @@ def test_damaged_gzip_files_are_null(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = {r.path.rsplit("/")[-1]: None if r.content is None else len(r.content) for r in sources.read_files(spark, str(tmp_path)).collect()}
     assert got == {"cut": None, "no_trailer": None, "half_trailer": None, "whole": 5000, "two": 10_000, "tail": 5000}
+
+
+def test_stored_responses_are_read_by_partition(spark, tmp_path, capsys):
+    made = [(1, 200, "Text/HTML; charset=x", b"a"), (2, 404, "text/html", b"b"), (3, 200, "image/png", b"c"), (4, None, None, None), (5, 200, "text/plain", b"d"), (6, 200, None, b"e")]
+    responses = spark.createDataFrame(made, "page_id long, status int, content_type string, body binary")
+    sources.store_responses(responses, str(tmp_path / "r"))
+    found = sources.read_responses(spark, str(tmp_path / "r"))
+    assert sorted(r.page_id for r in found.collect()) == [1, 5] and found.columns == responses.columns
+    found.explain()
+    assert "PartitionFilters: [isnotnull(status_is" in capsys.readouterr().out and len(found.inputFiles()) >= 2
+    schema = "page_id long, status int, content_type string, body binary, status_is int, kind string"
+    got = []
+    stream = sources.read_responses(spark, str(tmp_path / "r"), ("text/html",), True, schema)
+    run = lambda: stream.writeStream.foreachBatch(lambda df, n: got.extend(r.page_id for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    run()
+    sources.store_responses(responses.where("page_id = 1").withColumn("page_id", F.lit(9).cast("long")), str(tmp_path / "r"))
+    run()
+    assert got == [1, 9]
+
+
+def test_the_engine_leads_to_all_operators(spark):
+    from pagemill.engine import Engine
+    from pagemill.plans.steps import Link, Submit
+
+    made = [(1, "http://h/", "<title>Home page</title><a href=b>to b</a><form id=f action=/b></form>"), (2, "http://h/b", "<title>A page</title><h1>B</h1></i>"), (3, "http://h/b?", "<h1>C</h1>")]
+    e = Engine(spark.createDataFrame(made, "page_id long, url string, html string"))
+    start = spark.createDataFrame([("http://h/",)], "u string")
+    assert [r.record.t for r in e.flow(start, [Link("to b")], {"t": el("h1").first_text()}).collect()] == ["B"]
+    assert e.flow(start, [Submit("f")]).first().page_id == 3
+    assert ("stray end", "i", 1, 32) in {(r.error, r.tag, r.line, r.col) for r in e.errors().collect()}
+    assert sorted(r.id for r in e.index().search("PAGE").collect()) == [1, 2] and e.index().longest_repeat().first().passage == " page"
+    assert e.only("http://h/b").links().count() == 0 and e.nodes().where("name = 'h1'").count() == 2
