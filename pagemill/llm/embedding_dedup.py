@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import session, written
 from .components import connected_components
@@ -21,8 +22,8 @@ HASHES, DIRECTIONS = 8, 16
 RECALL = 0.99
 #: Vectors, and numbers in them, of the sample that keys and passes are fitted on; passes that the estimate looks at.
 SAMPLE, NUMBERS, TRIED = 1024, 1 << 20, 12
-#: A vector's row in a pass.
-KEYED = "pass int, dim int, key long, node long, v array<double>"
+#: A vector's row in a pass; passes of a job, so that no more copies of the vectors than these are on disk at a time.
+KEYED, TOGETHER = "pass int, dim int, key long, node long, v array<{}>", 32
 #: Vectors of a chunk where links of loose components are counted pair by pair.
 CHUNK = 512
 
@@ -84,12 +85,12 @@ def fitted(nodes: DataFrame, cosine: float = COSINE, window: int = WINDOW, recal
 
 
 def _stack(column: pa.Array) -> np.ndarray:
-    """Rows of one length; the values of a list column of doubles as a matrix."""
+    """Rows of one length; the values of a list column as a matrix of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
-def _keys(centres: dict[int, np.ndarray], passes: int, seed: int):
+def _keys(centres: dict[int, np.ndarray], passes: range, seed: int, number: pa.DataType):
     """Over (node, dim, v): a row for each pass with the vector's key, its hashes after each other, the first one highest."""
     shifts = (2 * DIRECTIONS - 1).bit_length() * np.arange(HASHES - 1, -1, -1, dtype=np.int64)
 
@@ -99,11 +100,11 @@ def _keys(centres: dict[int, np.ndarray], passes: int, seed: int):
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 rows = b.take(pa.array(at))
-                x = _unit(_stack(rows.column(2))) - centres.get(d, 0.0)
-                for p in range(passes):
+                x, v = _unit(_stack(rows.column(2))) - centres.get(d, 0.0), rows.column(2).cast(pa.list_(number))
+                for p in passes:
                     key = (_hashes(x, p, 1, seed)[:, 0] << shifts).sum(axis=1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), p, np.int32)), rows.column(1), pa.array(key), rows.column(0), rows.column(2)], names=["pass", "dim", "key", "node", "v"]
+                        [pa.array(np.full(len(at), p, np.int32)), rows.column(1), pa.array(key), rows.column(0), v], names=["pass", "dim", "key", "node", "v"]
                     )
 
     return run
@@ -168,20 +169,30 @@ def _windows(cosine: float, window: int):
     return run
 
 
-def window_links(vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, seed: int = 7) -> DataFrame:
+def window_links(
+    vectors: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, seed: int = 7, single: bool = False, together: int = TOGETHER
+) -> DataFrame:
     """(a, b): links of at least ``cosine`` found in the passes, as spanning forests, over rows (node, dim, v).
 
     Every pass sorts all vectors by its key in ranges. Each range also gives its first and last ``window`` rows; those of
     a pass are sorted once more, where the end of a range comes just before the beginning of the next. So no edge of a
-    range divides a pair, and what is found doesn't depend on the ranges. ``passes`` are as fitted() says unless given.
+    range divides a pair, and what is found doesn't depend on the ranges. ``passes`` are as fitted() says unless given; jobs take
+    ``together`` of them. ``single`` says that all numbers are of single precision: half of the bytes are moved, and cosines are the same.
     """
     session(vectors)
     centres, enough = fitted(vectors, cosine, window, seed=seed)
-    keys = vectors.select("node", "dim", "v").mapInArrow(_keys(centres, passes or enough, seed), KEYED)
-    order = keys.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
-    found = written(order.mapInArrow(_windows(cosine, window), "a long, b long, " + KEYED))
+    kind = KEYED.format("float" if single else "double")
+    every = []
+    for first in range(0, passes or enough, together):
+        some = range(first, min(first + together, passes or enough))
+        keys = vectors.select("node", "dim", "v").mapInArrow(_keys(centres, some, seed, pa.float32() if single else pa.float64()), kind)
+        order = keys.repartitionByRange("pass", "dim", "key", "node").sortWithinPartitions("pass", "dim", "key", "node")
+        every.append(written(order.mapInArrow(_windows(cosine, window), "a long, b long, " + kind)))
+    found = every[0]
+    for more in every[1:]:
+        found = found.unionByName(more)
     edges = found.where("a is null").drop("a", "b").repartition("pass", "dim").sortWithinPartitions("pass", "dim", "key", "node")
-    over = edges.mapInArrow(_windows(cosine, window), "a long, b long, " + KEYED).where("a is not null")
+    over = edges.mapInArrow(_windows(cosine, window), "a long, b long, " + kind).where("a is not null")
     return found.where("a is not null").select("a", "b").unionByName(over.select("a", "b"))
 
 
@@ -237,7 +248,8 @@ def near_duplicates(
     nodes = _numbered(nodes)
     # nodes of one hash but different vectors are told apart by the vector itself
     of_row = written(rows.where("fine").join(nodes.select("same", "v", "node"), ["same", "v"]).select("vec_id", "node"))
-    parts = connected_components(window_links(nodes, cosine, passes, window))
+    single = isinstance(getattr(df.schema[embedding].dataType, "elementType", None), T.FloatType)
+    parts = connected_components(window_links(nodes, cosine, passes, window, single=single))
     inside = nodes.join(parts, "node").withColumn("most", F.array_max(F.transform("v", F.abs)))
     # scaled to components of 1 at most, so that no square overflows or vanishes
     inside = inside.select("node", "component", "copies", "v", F.transform("v", lambda x: x / F.col("most")).alias("u"))

@@ -593,6 +593,12 @@ def test_embedding_windows_reach_over_the_edges_of_ranges(spark):
         for k, x in was.items():
             spark.conf.set(k, x)
     assert found["1"] == found["40"] and len(found["1"]) > 100
+    # jobs of one pass each find the same, and so do numbers of single precision that are sent as such
+    links = embedding_dedup.window_links(df, passes=2, window=12, together=1)
+    assert {(r.node, r.component) for r in connected_components(links).collect()} == found["1"]
+    rounded = df.withColumn("v", F.transform("v", lambda x: x.cast("float").cast("double")))
+    same = [{tuple(r) for r in connected_components(embedding_dedup.window_links(rounded, passes=2, window=12, single=k)).collect()} for k in (False, True)]
+    assert same[0] == same[1]
 
 
 def test_host_reputation(spark):
