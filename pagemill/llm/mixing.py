@@ -97,12 +97,13 @@ def mix(
     docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
 ) -> DataFrame:
-    """``keep`` with size, source_size, target, taken and slots, a row for each document.
+    """``keep`` with size, source_size, target, taken, copies and slots, a row for each document.
 
     Each source's documents are shuffled by a hash of their id and text and laid end to end, again and again. The line
     is cut into blocks of equal words up to the source's target, the last block being what is left. The schedule's slots are
     joined to the blocks of their source and turn; taken is what a document's words in these blocks sum to, and slots (ascending,
-    at most ``most``) are those of the blocks that it begins in, each time that it is taken: the place of its copies in the mix. So a source's
+    at most ``most``) are those of the blocks that it begins in, each time that it is taken: the place of its copies in the mix. copies is how often it
+    comes whole, as often as its taken words go into its size, the rest decided by the hash. So a source's
     taken sum to its target, rounded, whatever the sizes of the others, and no document takes more than ``most`` times its
     size (a whole number).
     Null or blank texts have size 0 and take 0. Null sources are one source, the last; sources of size 0 have target 0.
@@ -110,7 +111,7 @@ def mix(
     Texts are written once and meet what they take in one join; all else is done on keys and sizes.
     """
     spark = session(docs)
-    clash = {"size", "source_size", "target", "taken", "slots"} & set(keep)
+    clash = {"size", "source_size", "target", "taken", "copies", "slots"} & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are in the input already")
     said = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
@@ -134,7 +135,8 @@ def mix(
     laid = Window.partitionBy("source", "bucket").orderBy("h", "tie").rowsBetween(Window.unboundedPreceding, -1)
     at = lines.withColumn("offset", F.coalesce(F.sum("size").over(laid), F.lit(0)))
     at = at.join(base, at.source.eqNullSafe(base.s) & (at.bucket == base.k)).withColumn("start", F.col("base") + F.col("offset"))
-    at = written(at.select("key", "rank", "size", "source_size", "target", "goal", "block", "start"))
+    drawn = F.pmod(F.xxhash64("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    at = written(at.select("key", "rank", "size", "source_size", "target", "goal", "block", "start", drawn.alias("drawn")))
     # a document's places in its source's repeated line up to the goal, and the blocks that they lie in
     rounds = F.sequence(F.lit(0).cast("long"), F.floor((F.col("goal") - 1 - F.col("start")) / F.col("source_size")))
     placed = at.where("size > 0 and start < goal").withColumn("round", F.explode(rounds)).withColumn("a", F.col("round") * F.col("source_size") + F.col("start"))
@@ -146,8 +148,10 @@ def mix(
     read = placed.join(schedule(spark, sources), ["rank", "turn"])
     taken = read.groupBy("key").agg(F.sum(words).alias("taken"), F.array_sort(F.collect_list(F.when(begins, F.col("slot")))).alias("slots"))
     none = F.array().cast("array<bigint>")
-    known = at.join(taken, "key", "left").select("key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("slots", none).alias("slots"))
-    return rows.select("key", "row").join(known, "key").select("row.*", "size", "source_size", "target", "taken", "slots")
+    words = F.coalesce("taken", F.lit(0))
+    copies = F.when(F.col("size") > 0, F.floor(words / F.col("size") + F.col("drawn"))).otherwise(0).cast("int")
+    known = at.join(taken, "key", "left").select("key", "size", "source_size", "target", words.alias("taken"), copies.alias("copies"), F.coalesce("slots", none).alias("slots"))
+    return rows.select("key", "row").join(known, "key").select("row.*", "size", "source_size", "target", "taken", "copies", "slots")
 
 
 def in_order(mixed: DataFrame, slot: str = "slot", words: str = "size") -> DataFrame:

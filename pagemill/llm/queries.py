@@ -41,7 +41,7 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.withColumn("first_slot", F.get("slots", F.lit(0))).drop("slots")
+    return out.withColumn("first_slot", F.get("slots", F.lit(0))).drop("slots", "copies")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
