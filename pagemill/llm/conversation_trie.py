@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +97,7 @@ def ranked(turns: DataFrame) -> DataFrame:
     kinds = "part long, conv long, rank long, key long, nth int, bytes long, g1 long, w1 long, g2 long, w2 long"
     rows = written(tied.select("conv", "key", "nth", "bytes").mapInArrow(_scanned, kinds))
     ends = rows.groupBy("part").agg(F.min("conv"), F.max("conv")).collect()
-    seen = [c for _, lo, hi in ends for c in {lo, hi}]
-    over = sorted({c for c in seen if seen.count(c) > 1}) if len(set(seen)) < len(seen) else []
+    over = sorted(c for c, n in Counter(c for _, lo, hi in ends for c in {lo, hi}).items() if n > 1)
     if not over:
         return rows.drop("part")
     last = F.max(F.struct("rank", "g1", "w1", "g2", "w2")).alias("x")
