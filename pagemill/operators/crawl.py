@@ -15,7 +15,9 @@ def reachable(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "
     """(node, depth): every node reached from start (node) over edges, with the least number of links.
 
     Breadth-first with an anti-join against what was seen, so cycles end. Edges and each round's new nodes are checkpointed
-    to the shared folder once: plans stay short, and a lost executor costs no earlier round.
+    to the shared folder once: plans stay short, and a lost executor costs no earlier round. A round follows all links of one length, so this is
+    for graphs that are wide; chains() follows long ones. Null ends, links of a node with itself and repeated links change nothing; null
+    starts are left out, repeated ones are one; without links the starts are all, without starts there are no rows.
     """
     _checkpoints(edges.sparkSession)
     known = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("node is not null and to is not null and node <> to").distinct().checkpoint()

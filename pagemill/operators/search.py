@@ -59,7 +59,8 @@ class Index:
 
     @classmethod
     def write(cls, spark: SparkSession, records: DataFrame, id_column: str, path: str | None = None, longest: int = LONGEST) -> Index:
-        """Stores an index at a path, or in a new folder of the shared one; records hold the id, title, as_of and source."""
+        """Stores an index at a path, or in a new folder of the shared one; records hold the id, title, as_of and source. Null and empty titles are stored and
+        have no suffixes, null ids are found as null, rows that repeat an id are found each; no records make an empty index; other columns are left out."""
         path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         records.select(id_column, "title", "as_of", "source").write.parquet(f"{path}/records")
         stored = spark.read.parquet(f"{path}/records")

@@ -17,7 +17,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, content) of whole files, gunzipped where they are gzip files."""
+    """(path, length, content) of whole files, gunzipped where they are gzip files. Damaged or cut-off gzip files have null content; files without bytes
+    have no row, as Spark's reader has none; a folder without files gives no rows. A file is one row, so it must fit a task."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select("path", "length", gunzip(F.col("content")).alias("content"))
 

@@ -187,3 +187,24 @@ def test_the_engine_leads_to_all_operators(spark):
     assert ("stray end", "i", 1, 32) in {(r.error, r.tag, r.line, r.col) for r in e.errors().collect()}
     assert sorted(r.id for r in e.index().search("PAGE").collect()) == [1, 2] and e.index().longest_repeat().first().passage == " page"
     assert e.only("http://h/b").links().count() == 0 and e.nodes().where("name = 'h1'").count() == 2
+
+
+def test_reachability_of_odd_tables(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, None), (None, 3), (2, 2)], "src long, dst long")
+    start = lambda *x: spark.createDataFrame([(i,) for i in x], "node long")
+    of = lambda e, s: sorted(map(tuple, crawl.reachable(e, s).collect()))
+    assert of(edges, start(1, 1, None)) == [(1, 0), (2, 1)] and of(edges, start(None)) == [] and of(edges, start()) == []
+    assert of(edges.limit(0), start(7)) == [(7, 0)]
+
+
+def test_an_index_of_odd_records(spark):
+    from pagemill.operators.search import Index, as_json_array
+
+    made = [(1, "An Apple", "2026", "s"), (1, "an apple pie", "2026", "s"), (2, None, None, None), (3, "", "2026", "s"), (4, "Pineapple", None, "t")]
+    records = spark.createDataFrame(made, "page_id long, title string, as_of string, source string").withColumn("suffix", F.lit(1))
+    index = Index.write(spark, records, "page_id", longest=4)
+    assert sorted((r.page_id, r.title) for r in index.search("APPLE").collect()) == [(1, "An Apple"), (1, "an apple pie"), (4, "Pineapple")]
+    assert Index.write(spark, records.limit(0), "page_id").search("a").count() == 0
+    assert as_json_array(records.select("page_id").where("page_id > 2"), "page_id").first().json == '[{"page_id":3},{"page_id":4}]'
+    with pytest.raises(Exception, match="more than 2"):
+        as_json_array(records.select("page_id"), "page_id", most=2).collect()
