@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import append_segment, base_10, first_value, path_segments, query_pairs, resolve, url_part
 from ..plans.extract import extract
-from ..sources.sinks import shared_folder
+from ..sources.sinks import kept, shared_folder
 from .nodes import by_url, find_link, links, parse_pages
 
 
@@ -45,24 +45,23 @@ def chains(successors: DataFrame, starts: DataFrame, src: str = "src", dst: str
     """(start, node, depth): the nodes of the chain from each start, where every node has one successor at most, in rounds that double.
 
     A round knows the first 2**k nodes of each chain and where every node leads in 2**k steps: both make the next round, so a chain
-    of a million nodes takes twenty joins of narrow rows, whatever its order, and each round is checkpointed to the shared folder. A chain ends before it
+    of a million nodes takes twenty joins of narrow rows, whatever its order, and each round is written to the shared folder once. A chain ends before it
     comes to a node again. Of several successors of a node the least counts, null ones end a chain; null starts have none, repeated
     starts are one; no starts or no successors give no rows or the starts alone.
     """
-    _checkpoints(successors.sparkSession)
     to = successors.select(F.col(f"`{src}`").alias("node"), F.col(f"`{dst}`").alias("to")).where("node is not null and `to` is not null")
-    to = to.groupBy("node").agg(F.min("to").alias("to")).checkpoint()
+    to = kept(to.groupBy("node").agg(F.min("to").alias("to")))
     first = F.col(f"`{starts.columns[0]}`")
-    way = starts.where(first.isNotNull()).select(first.alias("start"), first.alias("node"), F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
+    way = kept(starts.where(first.isNotNull()).select(first.alias("start"), first.alias("node"), F.lit(0).cast("long").alias("depth")).distinct())
     known, step = way.count(), 1
     while known:
         ahead = way.join(to, "node").select("start", F.col("to").alias("node"), (F.col("depth") + step).alias("depth"))
-        way = way.unionByName(ahead).groupBy("start", "node").agg(F.min("depth").alias("depth")).checkpoint()
+        way = kept(way.unionByName(ahead).groupBy("start", "node").agg(F.min("depth").alias("depth")))
         was, known = known, way.count()
         if known == was:
             break
         twice = to.select(F.col("node").alias("to"), F.col("to").alias("after"))
-        to, step = to.join(twice, "to").select("node", F.col("after").alias("to")).checkpoint(), step * 2
+        to, step = kept(to.join(twice, "to").select("node", F.col("after").alias("to"))), step * 2
     return way
 
 
