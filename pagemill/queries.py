@@ -26,11 +26,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark, sf_dir) -> DataFrame:
-    return parse_pages(_pages(spark, sf_dir))
+    """Titles and headings of the pages were cut after they had been escaped: a last &amp without its semicolon stays as it is written, as in the SQL."""
+    return parse_pages(_pages(spark, sf_dir), closed=True)
 
 
 def _nodes(spark, sf_dir) -> DataFrame:
-    return parse_html(_pages(spark, sf_dir))
+    return parse_html(_pages(spark, sf_dir), closed=True)
 
 
 def _made(spark, sf_dir, *html) -> DataFrame:
