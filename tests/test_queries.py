@@ -34,7 +34,7 @@ def test_references_without_a_semicolon_count_by_the_standard_unless_asked_other
     assert (text, a.attrs) == ("&&ampx&#65A&zz;", {"href": "?x=1&lt<"})
 
 
-@pytest.mark.parametrize("name", ["articles_json", "page_titles", "stored_records", "stored_index_search"])
+@pytest.mark.parametrize("name", ["articles_json", "page_titles", "stored_records", "stored_index_search", "title_search"])
 def test_titles_cut_within_a_reference_are_as_in_sql(spark, cut, name):
     got = sorted(map(tuple, QUERIES[name](spark, cut).collect()), key=str)
     assert got and got == by_sql(name, cut)
