@@ -6,11 +6,16 @@ import codecs
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of decoded texts that are Python objects at a time (but for one longer text).
+PIECE = 1 << 20
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, html) of a Parquet table; only these columns are scanned."""
     return spark.read.parquet(path).select("page_id", "url", "html")
@@ -45,19 +50,33 @@ def gunzip(content: pd.Series) -> pd.Series:
     return content.map(_inflate, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def decode_legacy(content: pd.Series, charset: pd.Series) -> pd.Series:
-    """Text of bytes by the label of their charset, with replacement; null where no such decoder is known."""
+def _decoded(x: bytes | None, label: str | None) -> str | None:
+    if x is None or label is None:
+        return None
+    try:
+        return x.decode(codecs.lookup(label.strip()).name, "replace")
+    except (LookupError, ValueError):
+        return None
+
+
+@F.arrow_udf(T.StringType())
+def _decode(content: pa.Array, charset: pa.Array) -> pa.Array:
+    # a batch as a whole is there as Arrow's bytes only; Python's objects are of one piece of it at a time
+    parts, out, held = [], [], 0
+    for i in range(len(content)):
+        said = _decoded(content[i].as_py(), charset[i].as_py())
+        out.append(None if said is None else said.encode("utf-8", "replace"))
+        held += len(out[-1] or b"")
+        if held >= PIECE:
+            parts.append(pa.array(out, pa.binary()))
+            out, held = [], 0
+    parts.append(pa.array(out, pa.binary()))
+    return pa.concat_arrays(parts).cast(pa.string())
 
-    def of(x, label):
-        if x is None or label is None:
-            return None
-        try:
-            return x.decode(codecs.lookup(label.strip()).name, "replace")
-        except (LookupError, ValueError):
-            return None
 
-    return pd.Series([of(x, c) for x, c in zip(content, charset)], dtype="object")
+#: Text of bytes by the label of their charset, with replacement; null where no such decoder is known. Named nondeterministic, as Spark would decode once for
+#: a filter on the text and again for the text, with a second Python worker for each task.
+decode_legacy = _decode.asNondeterministic()
 
 
 def media_type(content_type: Column) -> Column:
@@ -103,8 +122,8 @@ def dispatch(responses: DataFrame, content_type: str = "content_type", body: str
     own = prescanned(F.col(body))
     marked = F.hex(F.substring(body, 1, 3)).rlike("^(EFBBBF|FEFF|FFFE)")
     charset = F.when(marked, own).when(said != "", said).when(kind == "text/html", F.coalesce(own, F.lit("utf-8"))).otherwise("utf-8")
-    read = responses.withColumn("text", F.regexp_replace(decode_legacy(F.col(body), charset), "^\ufeff", "")).where("text is not null")
-    return {"html": read.where(kind == "text/html").withColumnRenamed("text", "html"), "text": read.where(kind == "text/plain")}
+    read = lambda only: responses.where(kind == only).withColumn("text", F.regexp_replace(decode_legacy(F.col(body), charset), "^\ufeff", "")).where("text is not null")
+    return {"html": read("text/html").withColumnRenamed("text", "html"), "text": read("text/plain")}
 
 
 def by_status(responses: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pagemill.functions import predicates as P
 from pagemill.functions.dom import rows
 from pagemill.operators import crawl, forms, nodes, structure
 from pagemill.plans.extract import el
+from pagemill.queries import QUERIES
 from pagemill.sources import pages as sources
 
 
@@ -208,3 +209,14 @@ def test_an_index_of_odd_records(spark):
     assert as_json_array(records.select("page_id").where("page_id > 2"), "page_id").first().json == '[{"page_id":3},{"page_id":4}]'
     with pytest.raises(Exception, match="more than 2"):
         as_json_array(records.select("page_id"), "page_id", most=2).collect()
+
+
+def test_texts_are_decoded_once_and_in_pieces(spark):
+    plan = QUERIES["own_charsets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    made = [(i, "text/html", c, x) for i, (c, x) in enumerate([("latin1", b"\xe9" * 700_000), ("utf-8", "é".encode() * 700_000 + b"\xff"), ("none", b"x"), (None, b"x"), ("utf-16le", b""), ("utf-8", None)])]
+    df = spark.createDataFrame(made, "i int, content_type string, charset string, body binary").coalesce(1)
+    got = {r.i: r.t for r in df.select("i", sources.decode_legacy("body", "charset").alias("t")).collect()}
+    assert got == {0: "é" * 700_000, 1: "é" * 700_000 + "�", 2: None, 3: None, 4: "", 5: None}
+    kinds = sources.dispatch(df.where("charset = 'latin1'").drop("charset"))
+    assert kinds["html"].columns == ["i", "content_type", "body", "html"] and kinds["text"].count() == 0
