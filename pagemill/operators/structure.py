@@ -9,35 +9,41 @@ from pyspark.sql import types as T
 
 
 def _merged(depth: int | None):
-    """Rows in order of (page, pre): each with the ranks of the open elements that hold it, the nearest first, ``depth`` at most. Only
-    elements that may hold others touch the stack; a page goes on from one batch to the next."""
+    """Rows in order of (page, pre): each with what the open elements that hold it are called by (their ranks, or another value), the nearest first,
+    ``depth`` at most. Only elements that may hold others touch the stack; a page goes on from one batch to the next."""
 
     def run(batches):
-        page, ranks, lasts = None, [], []
+        page, ranks, lasts, called = None, [], [], []
         for b in batches:
             if not b.num_rows:
                 continue
-            n, out = b.num_columns - 4, []
-            for of, pre, last, holds in zip(*(b.column(i).to_pylist() for i in range(n, n + 4))):
+            n, out = b.num_columns - 6, []
+            for of, pre, last, holds, by in zip(*(b.column(i).to_pylist() for i in range(n, n + 5))):
+                if of is None or pre is None:
+                    out.append([])
+                    continue
                 if of != page:
-                    page, ranks, lasts = of, [], []
+                    page, ranks, lasts, called = of, [], [], []
                 while lasts and lasts[-1] < pre:
                     lasts.pop()
                     ranks.pop()
+                    called.pop()
                 again = bool(ranks) and ranks[-1] == pre  # a row that repeats an element
-                found = ranks[:-1] if again else ranks
+                found = called[:-1] if again else called
                 out.append(found[: None if depth is None else -depth - 1 : -1])
                 if holds and not again:
                     ranks.append(pre)
                     lasts.append(last)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.list_(pa.int32()))], names=[*b.schema.names[:n], "holders"])
+                    called.append(by)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.list_(b.column(n + 4).type))], names=[*b.schema.names[:n], "holders"])
 
     return run
 
 
-def held(nodes: DataFrame, holds: Column, depth: int | None = None) -> DataFrame:
+def held(nodes: DataFrame, holds: Column, depth: int | None = None, by: Column | None = None) -> DataFrame:
     """Adds holders: the ranks of the elements that hold a node and for which ``holds`` is true, the nearest first, ``depth`` of them at
-    most (all by default; none: an empty array). Linear in the rows, one shuffle by page, and no row for a pair.
+    most (all by default; none: an empty array). Linear in the rows, one shuffle by page, and no row for a pair. With ``by``, holders has this text of
+    theirs instead of their ranks, so that nobody need look them up again.
 
     Nodes without a page or a rank are held by nothing; a repeated row of a node is held as the first and holds nothing more; an
     empty table gives an empty one. A column of nodes with the new name raises ValueError.
@@ -46,11 +52,12 @@ def held(nodes: DataFrame, holds: Column, depth: int | None = None) -> DataFrame
         raise ValueError("column holders is in the input already")
     keys = [F.col("page_id").cast("long").alias("_page"), F.col("pre").cast("int").alias("_pre"), F.col("last").cast("int").alias("_last"), F.coalesce(holds, F.lit(False)).alias("_holds")]
     known = F.col("_page").isNotNull() & F.col("_pre").isNotNull()
-    rows = nodes.select("*", *keys)
-    order = rows.where(known).repartition("_page").sortWithinPartitions("_page", "_pre")
-    schema = T.StructType([*nodes.schema.fields, T.StructField("holders", T.ArrayType(T.IntegerType()))])
-    rest = rows.where(~known).select(*nodes.columns, F.array().cast("array<int>").alias("holders"))
-    return order.mapInArrow(_merged(depth), schema).unionByName(rest)
+    kind = T.IntegerType() if by is None else T.StringType()
+    rows = nodes.select("*", *keys, (F.col("pre") if by is None else by).cast(kind).alias("_by"))
+    # rows that nothing holds go along, dealt by number: a second branch for them would make the table, and parse its pages, again
+    dealt = rows.withColumn("_dealt", F.when(known, F.col("_page")).otherwise(F.monotonically_increasing_id()))
+    schema = T.StructType([*nodes.schema.fields, T.StructField("holders", T.ArrayType(kind))])
+    return dealt.repartition("_dealt").sortWithinPartitions("_page", "_pre").mapInArrow(_merged(depth), schema)
 
 
 def joined(nodes: DataFrame, holds: Column, inside: Column, depth: int | None = None) -> DataFrame:

@@ -212,13 +212,12 @@ def paged_listing(spark, sf_dir):
 
 
 def link_holders(spark, sf_dir):
-    """How many elements of each name stand right within which list, navigation or article: a structural join of the flat node table."""
-    table = _nodes(spark, sf_dir).select("page_id", "pre", "last", "kind", "name")
-    kinds = ("nav", "ul", "li", "article")
-    found = structure.held(table.where("kind = 'element'"), F.col("name").isin(*kinds), depth=1)
-    named = found.select("page_id", "name", F.try_element_at("holders", F.lit(1)).alias("holder")).where(F.col("name").isin("a", "li", "ul", "h1"))
-    above = table.where(F.col("name").isin(*kinds)).select("page_id", F.col("pre").alias("holder"), F.col("name").alias("within"))
-    return named.join(above, ["page_id", "holder"], "left").groupBy("name", "within").agg(F.count("*").alias("n"))
+    """How many elements of each name stand right within which list, navigation or article: a structural join of the flat node table. Pages are parsed
+    once, and only elements that hold or are counted leave the scan."""
+    kinds, counted = ("nav", "ul", "li", "article"), ("a", "li", "ul", "h1")
+    table = _nodes(spark, sf_dir).where((F.col("kind") == "element") & F.col("name").isin(*kinds, *counted)).select("page_id", "pre", "last", "name")
+    found = structure.held(table, F.col("name").isin(*kinds), depth=1, by=F.col("name")).where(F.col("name").isin(*counted))
+    return found.select("name", F.try_element_at("holders", F.lit(1)).alias("within")).groupBy("name", "within").agg(F.count("*").alias("n"))
 
 
 def own_charsets(spark, sf_dir):

@@ -211,6 +211,17 @@ def test_an_index_of_odd_records(spark):
         as_json_array(records.select("page_id"), "page_id", most=2).collect()
 
 
+def test_holders_by_name_and_pages_parsed_once(spark):
+    made = [(1, "<ul><li><ul><li><b>x</b></ul><p>y</ul><h1>z"), (2, None)]
+    table = nodes.parse_html(spark.createDataFrame(made, "page_id long, html string"))
+    got = structure.held(table, F.col("name").isin("ul", "li"), by=F.upper("name")).where("kind = 'element'")
+    assert sorted((r.name, list(r.holders)) for r in got.collect() if r.page_id == 1) == sorted(
+        [("html", []), ("head", []), ("body", []), ("ul", []), ("li", ["UL"]), ("ul", ["LI", "UL"]), ("li", ["UL", "LI", "UL"]), ("b", ["LI", "UL", "LI", "UL"]), ("p", ["LI", "UL"]), ("h1", [])]
+    )
+    plan = QUERIES["link_holders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.count("Join") == 0  # the parser and the merge
+
+
 def test_texts_are_decoded_once_and_in_pieces(spark):
     plan = QUERIES["own_charsets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
