@@ -44,8 +44,14 @@ def _parsed_of(spark, sf_dir, *html) -> DataFrame:
     return parse_pages(_made(spark, sf_dir, *html))
 
 
+def _titles(spark, sf_dir) -> DataFrame:
+    """A title of each page, as in the SQL: empty where a page has none, null where it has no html."""
+    pages = _pages(spark, sf_dir).withColumn("stored", F.col("html").isNotNull())
+    return nodes.titles(parse_pages(pages, keep=["stored"], closed=True), F.when(F.col("stored"), ""))
+
+
 def page_titles(spark, sf_dir):
-    return nodes.titles(_parsed(spark, sf_dir))
+    return _titles(spark, sf_dir)
 
 
 def page_links(spark, sf_dir):

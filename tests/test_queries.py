@@ -38,3 +38,18 @@ def test_references_without_a_semicolon_count_by_the_standard_unless_asked_other
 def test_titles_cut_within_a_reference_are_as_in_sql(spark, cut, name):
     got = sorted(map(tuple, QUERIES[name](spark, cut).collect()), key=str)
     assert got and got == by_sql(name, cut)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Pages without a title, without html, of one id and of none."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    html = [(1, PAGE.format("and than")), (2, "<p>than"), (3, None), (4, ""), (5, PAGE.format("")), (6, PAGE.format("and that")), (6, PAGE.format("or")), (None, PAGE.format("And than")), (7, None), (8, PAGE.format("and tzz")), (8, PAGE.format("xxxx th"))]
+    spark.createDataFrame([(i, "http://a", h) for i, h in html], "page_id long, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["page_titles"])
+def test_odd_pages_are_as_in_sql(spark, odd, name):
+    got = sorted(map(tuple, QUERIES[name](spark, odd).collect()), key=str)
+    assert got and got == by_sql(name, odd)
