@@ -46,7 +46,10 @@ def search_suffixes(table: DataFrame, term: str, longest: int = LONGEST) -> Data
         part = low[k : k + longest]
         key: Column = F.col("key") == part[:KEY] if len(part) >= KEY else F.col("key").startswith(part)
         hits = table.where(key & F.col("suffix").startswith(part)).select("id", (F.col("at") - k).alias("at"))
-        found = hits if found is None else found.join(hits, ["id", "at"], "left_semi")
+        if found is not None:
+            then = hits.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+            hits = found.join(then, F.col("id").eqNullSafe(F.col("_id")) & (F.col("at") == F.col("_at")), "left_semi")
+        found = hits
     return found.select("id").distinct()
 
 
@@ -68,6 +71,6 @@ class Index:
         return cls(spark, path, id_column, longest)
 
     def search(self, term: str) -> DataFrame:
-        """The records whose title holds the term, in any case."""
-        found = search_suffixes(self.table, term, self.longest)
-        return self.records.join(found.withColumnRenamed("id", self.id_column), self.id_column)
+        """The records whose title holds the term, in any case. The suffixes find ids; of records that share one, those count whose own title holds it."""
+        found = search_suffixes(self.table, term, self.longest).withColumnRenamed("id", "_id")
+        return search(self.records.join(found, F.col(self.id_column).eqNullSafe(F.col("_id")), "left_semi"), term)
