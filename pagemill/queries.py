@@ -250,7 +250,7 @@ def page_files(spark, sf_dir):
 def stored_records(spark, sf_dir):
     """Titles stored under two sources and as JSON lines in one pass, read back by source."""
     path = f"{sinks.shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    of = nodes.titles(_parsed(spark, sf_dir))
+    of = _titles(spark, sf_dir)
     even, odd = of.where("page_id % 2 = 0"), of.where("page_id % 2 = 1")
     sinks.store(even, f"{path}/store", "even")
     sinks.tee(odd, lambda df: sinks.store(df, f"{path}/store", "odd"), lambda df: sinks.write_json_lines(df, f"{path}/lines"))
