@@ -49,7 +49,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["page_titles", "stored_index_search", "stored_records"])
+@pytest.mark.parametrize("name", ["page_titles", "stored_index_search", "stored_records", "title_search"])
 def test_odd_pages_are_as_in_sql(spark, odd, name):
     got = sorted(map(tuple, QUERIES[name](spark, odd).collect()), key=str)
     assert got and got == by_sql(name, odd)
